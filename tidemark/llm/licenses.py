@@ -101,7 +101,8 @@ def scan(df: DataFrame, text_col: str = "text", known: dict[str, str] = SENTENCE
     lined, wrapped = (F.concat(F.lit("|"), F.array_join(sentence_ids(F.col(text_col), w, known), "|"), F.lit("|")) for w in (False, True))
     found = df.withColumn("sentence_ids", sentence_ids(F.col(text_col), False, known)).withColumn("licenses", F.array(lined, wrapped))
     patterns = [(name, r"\|" + r"\|(.*\|)?".join(ids) + r"\|") for name, ids in rules]
-    hits = F.array(*(F.when(F.exists(F.col("licenses"), lambda s, p=pattern: s.rlike(p)), F.lit(name)) for name, pattern in patterns))
+    like = lambda pattern: lambda s: s.rlike(pattern)
+    hits = F.array(*(F.when(F.exists(F.col("licenses"), like(pattern)), F.lit(name)) for name, pattern in patterns))
     hits = F.when(F.exists(F.col("licenses"), lambda s: s != "||"), F.array_distinct(F.array_compact(hits))).otherwise(F.array().cast("array<string>"))
     return found.withColumn("licenses", hits).withColumn("license", F.try_element_at(F.col("licenses"), F.lit(1)))
 
@@ -109,14 +110,14 @@ def scan(df: DataFrame, text_col: str = "text", known: dict[str, str] = SENTENCE
 def oracle(table: str = "documents") -> str:
     """DuckDB's SQL for the query of this operator."""
     known = ", ".join(f"'{k}': '{v}'" for k, v in SENTENCES.items())
-    ids = lambda x: f"list_transform(list_filter(list_transform(string_split(x_{x}, chr(10)), s -> trim(s)), s -> map_contains(k, s)), s -> k[s])"
+    ids = lambda x: f"list_transform(list_filter(list_transform(string_split(x_{x}, chr(10)), lambda s: trim(s)), lambda s: map_contains(k, s)), lambda s: k[s])"
     cases = ", ".join(f"CASE WHEN regexp_matches(a, '{p}') OR regexp_matches(b, '{p}') THEN '{n}' END" for n, p in ((n, r"\|" + r"\|(.*\|)?".join(i) + r"\|") for n, i in RULES))
     return f"""
 WITH n AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9.!?\\n]+', ' ', 'g') t, MAP {{{known}}} k FROM {table}),
 x AS (SELECT doc_id, k, regexp_replace(t, '[.!?]+( |\\n|$)', chr(10), 'g') x_l, regexp_replace(regexp_replace(t, '[ \\n]+', ' ', 'g'), '[.!?]+( |\\n|$)', chr(10), 'g') x_w FROM n),
 i AS (SELECT doc_id, {ids('l')} l, {ids('w')} w FROM x),
 s AS (SELECT doc_id, len(l) n, coalesce(array_to_string(l, ','), '') sentence_ids, '|' || coalesce(array_to_string(l, '|'), '') || '|' a, '|' || coalesce(array_to_string(w, '|'), '') || '|' b FROM i),
-h AS (SELECT doc_id, n, sentence_ids, list_filter([{cases}], v -> v IS NOT NULL) hits FROM s),
-u AS (SELECT doc_id, n, sentence_ids, list_filter(hits, (v, p) -> list_position(hits, v) = p) hits FROM h)
+h AS (SELECT doc_id, n, sentence_ids, list_filter([{cases}], lambda v: v IS NOT NULL) hits FROM s),
+u AS (SELECT doc_id, n, sentence_ids, list_filter(hits, lambda v, p: list_position(hits, v) = p) hits FROM h)
 SELECT doc_id, CAST(n AS BIGINT) AS n_sentences, sentence_ids, coalesce(array_to_string(hits, ','), '') AS licenses, coalesce(hits[1], '') AS license FROM u
 """
