@@ -42,3 +42,8 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def small_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Arrow batches of at most ``size``, so that very long texts don't add up in a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

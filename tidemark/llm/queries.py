@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import licenses, mixing
+from tidemark.llm import langid, licenses, mixing, sentencepiece_bpe
+from tidemark.llm.common import small_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,9 +40,30 @@ o AS (SELECT d.doc_id, d.size, e.ss, e.target, e.ep, CAST(floor(e.target - CAST(
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(ss AS BIGINT) AS source_size, target, CAST(ep * size + least(greatest(rest - bef, 0), size) AS BIGINT) AS taken FROM o
 """
 
+def tokenizer_path() -> str:
+    """The public model that the contract of op9 names; the operator takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return sentencepiece_bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    got = langid.predict(docs, langid.fit(docs))
+    return got.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op4_license_scan": op4_license_scan,
     "op6_mix_sources": op6_mix_sources,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op10_language_id": op10_language_id,
 }
 ORACLES = {
     "op4_license_scan": licenses.oracle(),
