@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, licenses, mixing, sentencepiece_bpe
+from tidemark.llm import langid, licenses, mixing, sentencepiece_bpe, simhash
 from tidemark.llm.common import small_batches
 
 
@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = simhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     joined = lambda c: F.array_join(c, ",")
@@ -60,6 +65,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash_groups": op1_simhash_groups,
     "op4_license_scan": op4_license_scan,
     "op6_mix_sources": op6_mix_sources,
     "op9_sentencepiece": op9_sentencepiece,
