@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, licenses, mixing, sentencepiece_bpe, simhash
+from tidemark.llm import langid, licenses, media, mixing, sentencepiece_bpe, simhash
 from tidemark.llm.common import small_batches
 
 
@@ -45,6 +45,11 @@ o AS (SELECT d.doc_id, d.size, e.ss, e.target, e.ep, CAST(floor(e.target - CAST(
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(ss AS BIGINT) AS source_size, target, CAST(ep * size + least(greatest(rest - bef, 0), size) AS BIGINT) AS taken FROM o
 """
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = media.media_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select(F.col("key").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+
+
 def tokenizer_path() -> str:
     """The public model that the contract of op9 names; the operator takes any path."""
     import public_tokenizers
@@ -68,6 +73,7 @@ QUERIES = {
     "op1_simhash_groups": op1_simhash_groups,
     "op4_license_scan": op4_license_scan,
     "op6_mix_sources": op6_mix_sources,
+    "op7_media_columns": op7_media_columns,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language_id": op10_language_id,
 }
