@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, licenses, media, mixing, sentencepiece_bpe, simhash
+from tidemark.llm import langid, licenses, media, mixing, sentencepiece_bpe, simhash, topk
 from tidemark.llm.common import small_batches
 
 
@@ -18,6 +18,20 @@ def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+    return got.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+OP2_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     joined = lambda c: F.array_join(c, ",")
@@ -71,6 +85,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash_groups": op1_simhash_groups,
+    "op2_exact_topk": op2_exact_topk,
     "op4_license_scan": op4_license_scan,
     "op6_mix_sources": op6_mix_sources,
     "op7_media_columns": op7_media_columns,
@@ -78,6 +93,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 ORACLES = {
+    "op2_exact_topk": OP2_SQL,
     "op4_license_scan": licenses.oracle(),
     "op6_mix_sources": OP6_SQL,
 }
