@@ -47,3 +47,11 @@ def fresh(df: DataFrame, name: str) -> str:
 def small_batches(spark: SparkSession, size: str = "16m") -> None:
     """Arrow batches of at most ``size``, so that very long texts don't add up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of phases that are over (it does so when the driver's garbage is collected)."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()

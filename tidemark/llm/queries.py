@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, licenses, media, mixing, sentencepiece_bpe, simhash, topk
+from tidemark.llm import langid, licenses, media, mixing, recompression, sentencepiece_bpe, simhash, topk
 from tidemark.llm.common import small_batches
 
 
@@ -38,6 +38,21 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), joined("sentence_ids").alias("sentence_ids"), joined("licenses").alias("licenses"), F.coalesce("license", F.lit("")).alias("license"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True).withColumnRenamed("id", "doc_id")
+
+
+OP5_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS s FROM w WHERE len(ws) >= 35),
+h AS (SELECT doc_id, s, md5(array_to_string(ws[s:s + 34], ' ')) AS h FROM p),
+r AS (SELECT doc_id, list(s ORDER BY s) AS ss FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING count(*) > 1) GROUP BY doc_id),
+u AS (SELECT doc_id, list_distinct(flatten(list_transform(ss, lambda s: range(s, s + 35)))) AS gone FROM r),
+k AS (SELECT w.doc_id, w.ws, u.gone, CASE WHEN u.gone IS NULL THEN w.ws ELSE list_select(w.ws, list_sort(list_filter(range(1, len(w.ws) + 1), lambda i: NOT list_contains(u.gone, i)))) END AS kept FROM w LEFT JOIN u USING (doc_id))
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - len(kept) AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
+"""
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -87,6 +102,7 @@ QUERIES = {
     "op1_simhash_groups": op1_simhash_groups,
     "op2_exact_topk": op2_exact_topk,
     "op4_license_scan": op4_license_scan,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op7_media_columns": op7_media_columns,
     "op9_sentencepiece": op9_sentencepiece,
@@ -95,5 +111,6 @@ QUERIES = {
 ORACLES = {
     "op2_exact_topk": OP2_SQL,
     "op4_license_scan": licenses.oracle(),
+    "op5_substring_dedup": OP5_SQL,
     "op6_mix_sources": OP6_SQL,
 }
