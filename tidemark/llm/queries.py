@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, licenses, media, mixing, recompression, sentencepiece_bpe, simhash, topk
+from tidemark.llm import langid, licenses, media, mixing, recompression, sentencepiece_bpe, simhash, surrogates, topk
 from tidemark.llm.common import small_batches
 
 
@@ -79,6 +79,11 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("key").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
 
 
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), b"a key of the query's own")
+    return got.select("doc_id", "text", "n_entities", F.array_join("kinds", ",").alias("kinds"))
+
+
 def tokenizer_path() -> str:
     """The public model that the contract of op9 names; the operator takes any path."""
     import public_tokenizers
@@ -105,6 +110,7 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op7_media_columns": op7_media_columns,
+    "op8_pii_surrogates": op8_pii_surrogates,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language_id": op10_language_id,
 }
