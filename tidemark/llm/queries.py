@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, licenses, media, mixing, recompression, sentencepiece_bpe, simhash, surrogates, topk
+from tidemark.llm import langid, licenses, lines, media, mixing, recompression, sentencepiece_bpe, simhash, surrogates, topk
 from tidemark.llm.common import small_batches
 
 
@@ -32,6 +32,11 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = lines.deduplicate_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), count_as="n_removed")
+    return got.select("doc_id", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "text")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     joined = lambda c: F.array_join(c, ",")
@@ -106,6 +111,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_groups": op1_simhash_groups,
     "op2_exact_topk": op2_exact_topk,
+    "op3_line_dedup": op3_line_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_mix_sources": op6_mix_sources,
