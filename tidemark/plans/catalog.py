@@ -1,4 +1,4 @@
 """All queries over the reference's own operators."""
 
-from tidemark.plans import q_panel, q_relational  # noqa: F401
+from tidemark.plans import q_panel, q_relational, q_stats  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES  # noqa: F401
