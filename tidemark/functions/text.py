@@ -119,6 +119,6 @@ def json_pick(first: Column, second: Column, *keys: str) -> Column:
 
 def file_type(disposition: Column, path: Column, content: Column) -> Column:
     """By the name it is sent under, else by the path, else by the type it is sent as."""
-    ext = lambda c: F.nullif(F.lower(F.regexp_extract(c, r"\.(csv|xlsx|xls|json|zip|txt|html)\b", 1)), F.lit(""))
+    ext = lambda c: F.nullif(F.regexp_extract(F.lower(c), r"\.(csv|xlsx|xls|json|zip|txt|html)\b", 1), F.lit(""))
     said = F.when(content.contains("csv"), "csv").when(content.contains("json"), "json").when(content.contains("html"), "html").when(content.contains("zip"), "zip")
     return F.coalesce(ext(disposition), ext(path), said, F.lit("bin"))

@@ -1,0 +1,221 @@
+"""Factor models: imputation, principal axes, projections, cross-validation, vector autoregression, clusters.
+
+Panels are long, (week, key, x). Linear algebra needs a whole matrix: it is collected only behind a check of its size
+(``MATRIX_CELLS``); what is done for each week or fold is done on the executors, with the loadings sent along.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MATRIX_CELLS = 20_000_000
+
+
+def matrix(df: DataFrame, rows: str, columns: str, x: str) -> tuple[list, list, np.ndarray]:
+    """A small panel as a matrix with NaN for what is missing; refuses more than ``MATRIX_CELLS``."""
+    n, m = df.agg(F.countDistinct(rows), F.countDistinct(columns)).first()
+    if n * m > MATRIX_CELLS:
+        raise ValueError(f"{n} x {m} cells are too many for one matrix")
+    pdf = df.select(rows, columns, x).toPandas().pivot(index=rows, columns=columns, values=x).sort_index().sort_index(axis=1)
+    return list(pdf.index), list(pdf.columns), pdf.to_numpy(float)
+
+
+def standardise(x: np.ndarray, fit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By the mean and sample deviation of the rows of ``fit``; flat columns keep scale 1."""
+    with np.errstate(all="ignore"):
+        mean, scale = np.nanmean(x[fit], axis=0), np.nanstd(x[fit], axis=0, ddof=1)
+    scale = np.where(np.isfinite(scale) & (scale > 1e-12), scale, 1.0)
+    return (x - mean) / scale, mean, scale
+
+
+def impute(z: np.ndarray, rank: int, rounds: int = 20) -> np.ndarray:
+    """Missing cells from a low-rank fit that is refined in turns, beginning with 0; observed cells never change."""
+    seen = np.isfinite(z)
+    full = np.where(seen, z, 0.0)
+    for _ in range(rounds):
+        u, s, vt = np.linalg.svd(full, full_matrices=False)
+        new = np.where(seen, z, (u[:, :rank] * s[:rank]) @ vt[:rank])
+        if np.abs(new - full).max(initial=0) < 1e-8:
+            return new
+        full = new
+    return full
+
+
+def axes(full: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(components, singular values, explained shares); each component's largest loading is positive."""
+    _, s, vt = np.linalg.svd(full, full_matrices=False)
+    vt = vt[:rank]
+    vt = vt * np.where(vt[np.arange(len(vt)), np.abs(vt).argmax(axis=1)] < 0, -1.0, 1.0)[:, None]
+    total = full.var(axis=0, ddof=1).sum() * (len(full) - 1)
+    return vt, s[:rank], s[:rank] ** 2 / total
+
+
+def masked_scores(x: np.ndarray, components: np.ndarray, ridge: float = 1e-6, least: float = 0.2) -> np.ndarray | None:
+    """One week's factors from its observed cells; null with too few of them."""
+    seen = np.isfinite(x)
+    if seen.mean() < least or seen.sum() < len(components):
+        return None
+    b = components[:, seen]
+    left, right = b @ b.T + ridge * np.eye(len(b)), b @ x[seen]
+    try:
+        return np.linalg.solve(left, right)
+    except np.linalg.LinAlgError:
+        return np.linalg.lstsq(left, right, rcond=None)[0]
+
+
+def fit(df: DataFrame, rank: int, fit_end) -> dict:
+    """The model of a panel (week, key, x) on the weeks until ``fit_end``."""
+    weeks, keys, x = matrix(df, "week", "key", "x")
+    rows = np.array([w <= fit_end for w in weeks])
+    keep = np.isfinite(x[rows]).sum(axis=0) >= 2
+    x, keys = x[:, keep], [k for k, ok in zip(keys, keep, strict=True) if ok]
+    z, mean, scale = standardise(x, rows)
+    components, singular, share = axes(impute(z[rows], rank), rank)
+    return {"keys": keys, "mean": mean, "scale": scale, "components": components, "singular": singular, "share": share}
+
+
+def scores(df: DataFrame, model: dict) -> DataFrame:
+    """(week, factor, score) of a panel: each week by itself, on the executors."""
+    place = {k: i for i, k in enumerate(model["keys"])}
+    shared = df.sparkSession.sparkContext.broadcast((place, model["mean"], model["scale"], model["components"]))
+
+    def week(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, mean, scale, components = shared.value
+        x = np.full(len(mean), np.nan)
+        for k, v in zip(pdf["key"], pdf["x"], strict=True):
+            if k in at and v is not None:
+                x[at[k]] = v
+        got = masked_scores((x - mean) / scale, components)
+        got = np.full(len(components), np.nan) if got is None else got
+        return pd.DataFrame({"week": [pdf["week"].iloc[0]] * len(got), "factor": np.arange(1, len(got) + 1), "score": got})
+
+    out = df.groupBy("week").applyInPandas(week, "week date, factor long, score double")
+    return out.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
+
+
+def rank_errors(df: DataFrame, ranks: list[int], bounds: list[tuple[int, int, int]], key_folds: int, seed: int = 52) -> DataFrame:
+    """(rank, fold, key_fold, mse): held-out weeks of held-out keys, rebuilt from factors that the other keys give. A task a pair of folds."""
+    weeks, keys, x = matrix(df, "week", "key", "x")
+    shared = df.sparkSession.sparkContext.broadcast(x)
+    order = np.random.default_rng(seed).permutation(len(keys)) % key_folds
+    tasks = df.sparkSession.createDataFrame([(f, a, b, k) for f, a, b in bounds for k in range(key_folds)], "fold int, train_end int, held_end int, key_fold int")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        m, rows = shared.value, []
+        for f, a, b, k in pdf.itertuples(index=False):
+            train = np.zeros(len(m), bool)
+            train[:a] = True
+            ok = np.isfinite(m[:a]).sum(axis=0) >= max(2, 26, int(np.ceil(0.25 * a)))
+            z, _, _ = standardise(m[:, ok], train)
+            held_out = order[ok] == k
+            full = impute(z[:a], max(ranks))
+            vt, _, _ = axes(full, max(ranks))
+            for r in ranks:
+                left = vt[:r][:, ~held_out]
+                errors = []
+                for row in z[a:b]:
+                    s = masked_scores(row[~held_out], left)
+                    if s is not None:
+                        e = row[held_out] - s @ vt[:r][:, held_out]
+                        errors.append(e[np.isfinite(e)] ** 2)
+                all_ = np.concatenate(errors) if errors else np.zeros(0)
+                rows.append((r, f, k, float(all_.mean()) if len(all_) else None))
+        return pd.DataFrame(rows, columns=["rank", "fold", "key_fold", "mse"])
+
+    return tasks.repartition(tasks.count(), "fold", "key_fold").groupBy("fold", "key_fold").applyInPandas(one, "rank long, fold long, key_fold long, mse double")
+
+
+def stable_var(series: np.ndarray, lags: int, ridge: float = 1.0, most: float = 0.98) -> dict:
+    """Ridge vector autoregression; coefficients are shrunk until the companion's spectral radius is at most ``most``."""
+    n, k = series.shape
+    y = series[lags:]
+    x = np.concatenate([series[lags - j - 1 : n - j - 1] for j in range(lags)], axis=1)
+    mx, my = x.mean(axis=0), y.mean(axis=0)
+    a = np.linalg.solve((x - mx).T @ (x - mx) + ridge * np.eye(x.shape[1]), (x - mx).T @ (y - my)).T
+    radius = spectral_radius(a, k)
+    for _ in range(60):
+        if spectral_radius(a, k) <= most:
+            break
+        a = a * 0.95
+    residual = y - my - (x - mx) @ a.T
+    return {"intercept": my - a @ mx, "coefficients": a, "radius_before": radius, "radius": spectral_radius(a, k), "covariance": ledoit_wolf(residual) + 1e-8 * np.eye(k)}
+
+
+def spectral_radius(a: np.ndarray, k: int) -> float:
+    companion = np.zeros((a.shape[1], a.shape[1]))
+    companion[:k] = a
+    companion[k:, :-k] = np.eye(a.shape[1] - k)
+    return float(np.abs(np.linalg.eigvals(companion)).max())
+
+
+def ledoit_wolf(x: np.ndarray) -> np.ndarray:
+    """Covariance shrunk to a multiple of the identity, by the published optimal intensity."""
+    x = x - x.mean(axis=0)
+    n, p = x.shape
+    s = x.T @ x / n
+    mu = np.trace(s) / p
+    d2 = ((s - mu * np.eye(p)) ** 2).sum() / p
+    b2 = min(d2, sum(((np.outer(r, r) - s) ** 2).sum() for r in x) / n**2 / p)
+    w = b2 / d2 if d2 > 0 else 0.0
+    return w * mu * np.eye(p) + (1 - w) * s
+
+
+def rollout(spark, model: dict, context: np.ndarray, paths: int, steps: int, nu: float = 7.0, clip: float = 6.0, seed: int = 52) -> DataFrame:
+    """(path, step, factor, value): paths in parallel, steps in turn; each samples around the forecast, with Student-t noise, clipped, and is appended to the context."""
+    lags = model["coefficients"].shape[1] // context.shape[1]
+    scale = context.std(axis=0) + 1e-12
+    chol = np.linalg.cholesky(model["covariance"])
+    shared = spark.sparkContext.broadcast((model["intercept"], model["coefficients"], chol, context[-lags:], scale))
+
+    def walk(batches):
+        c, a, root, start, size = shared.value
+        for pdf in batches:
+            out = []
+            for p in pdf["id"]:
+                rng = np.random.default_rng([seed, int(p)])  # a path's own stream, wherever it runs
+                past = start.copy()
+                for s in range(1, steps + 1):
+                    noise = root @ rng.standard_normal(len(c)) / np.sqrt(rng.chisquare(nu) / nu) * np.sqrt((nu - 2) / nu)
+                    new = np.clip(c + a @ past[::-1].reshape(-1) + noise, -clip * size, clip * size)
+                    past = np.vstack([past[1:], new])
+                    out += [(p, s, f + 1, float(v)) for f, v in enumerate(new)]
+            yield pd.DataFrame(out, columns=["path", "step", "factor", "value"])
+
+    return spark.range(paths).mapInPandas(walk, "path long, step long, factor long, value double")
+
+
+def scenarios(df: DataFrame, features: list[str], key: str, clusters: int, seed: int = 52, tries: int = 3) -> DataFrame:
+    """(key, scenario, distance, medoid): winsorised at 0.5 and 99.5 %, scaled by the 10-90 % range, the farthest 0.5 % apart as -1, the rest by k-means, best of several seeds."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    levels = F.array(*map(F.lit, (0.005, 0.10, 0.5, 0.90, 0.995)))
+    q = df.agg(*(F.percentile(c, levels).alias(c) for c in features)).first()
+    scaled = [((F.least(F.greatest(F.col(c), F.lit(q[c][0])), F.lit(q[c][4])) - q[c][2]) / max(q[c][3] - q[c][1], 1e-12)).alias(c) for c in features]
+    s = df.select(key, *scaled)
+    s = s.withColumn("far", F.sqrt(sum((F.col(c) * F.col(c) for c in features[1:]), F.col(features[0]) * F.col(features[0]))))
+    limit = s.agg(F.percentile("far", F.lit(0.995))).first()[0]
+    v = VectorAssembler(inputCols=features, outputCol="v").transform(s)
+    inner = v.filter(F.col("far") <= limit)
+    models = [KMeans(k=clusters, seed=seed + i, featuresCol="v", predictionCol="scenario").fit(inner) for i in range(tries)]
+    best = min(models, key=lambda m: m.summary.trainingCost)
+    centres = best.clusterCenters()
+    named = best.transform(inner)
+    distance = F.lit(None).cast("double")
+    for i, c in enumerate(centres):
+        d = sum(((F.col(f) - float(c[j])) * (F.col(f) - float(c[j])) for j, f in enumerate(features)), F.lit(0.0))
+        distance = F.when(F.col("scenario") == i, d).otherwise(distance)
+    named = named.withColumn("distance", distance).select(key, "scenario", "distance")
+    medoid = named.groupBy("scenario").agg(F.min_by(key, F.struct("distance", key)).alias("medoid"))
+    out = named.join(F.broadcast(medoid), "scenario").select(key, "scenario", "distance", (F.col(key) == F.col("medoid")).alias("medoid"))
+    return out.unionByName(s.filter(F.col("far") > limit).select(key, F.lit(-1).alias("scenario"), F.lit(None).cast("double").alias("distance"), F.lit(False).alias("medoid")))
+
+
+def projection(model: dict, weights: dict) -> tuple[float, np.ndarray]:
+    """(intercept, loadings) of a weighted basket of the model's keys."""
+    w = np.array([weights.get(k, 0.0) for k in model["keys"]])
+    w = w / w.sum()
+    return float((w * model["mean"]).sum()), (w * model["scale"]) @ model["components"].T
