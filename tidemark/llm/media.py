@@ -44,7 +44,7 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
-def to_png(samples: bytes, level: int = 3) -> bytes:
+def to_png(samples: bytes, level: int = 6) -> bytes:
     """8-bit greyscale, one line for each ``LINE`` samples."""
     height = len(samples) // LINE
     lines = np.zeros((height, LINE + 1), np.uint8)  # each line begins with filter 0
@@ -93,12 +93,12 @@ class _Writer:
         self.fs, self.path = _store(root)
         self.out, self.name, self.at = None, "", 0
 
-    def put(self, digest: str, media: bytes) -> tuple[str, int]:
+    def put(self, digest: bytes, media: bytes) -> tuple[str, int]:
         """The shard, and the offset of the image in it."""
         if self.out is None:
-            self.name, self.at = f"shard-{uuid.uuid4().hex}.tar", 0
+            self.name, self.at = f"{uuid.uuid4().hex}.tar", 0
             self.out = self.fs.open_output_stream(f"{self.path}/{self.name}")
-        self.out.write(_tar_header(f"{digest}.png", len(media)))
+        self.out.write(_tar_header(f"{digest.hex()}.png", len(media)))
         self.out.write(media)
         self.out.write(b"\0" * (-len(media) % 512))
         at = self.at + 512
@@ -115,7 +115,7 @@ class _Writer:
             self.out = None
 
 
-def write_shards(df: DataFrame, payload_col: str, key_col: str, root: str | None = None, level: int = 3) -> tuple[DataFrame, str]:
+def write_shards(df: DataFrame, payload_col: str, key_col: str, root: str | None = None, level: int = 6) -> tuple[DataFrame, str]:
     """Store the payload (string or binary) of every row. Gives (key, digest, n_bytes, shard, offset, length) and the shards' folder.
 
     The digest is the SHA-256 of the padded payload. All rows of a digest name the same place, the first in order.
@@ -136,7 +136,7 @@ def write_shards(df: DataFrame, payload_col: str, key_col: str, root: str | None
             for payload in pdf["payload"]:
                 raw = payload.encode() if isinstance(payload, str) else bytes(payload) if isinstance(payload, (bytes, bytearray)) else b""
                 whole = padded(raw)
-                digest = hashlib.sha256(whole).hexdigest()
+                digest = hashlib.sha256(whole).digest()
                 if digest not in places:
                     media = to_png(whole, level)
                     places[digest] = (*writer.put(digest, media), len(media))
@@ -147,7 +147,7 @@ def write_shards(df: DataFrame, payload_col: str, key_col: str, root: str | None
         writer.close()
 
     rows = df.select(F.col(key_col).alias("key"), F.col(payload_col).alias("payload"))
-    index = cut(rows.mapInPandas(store, f"key {kind}, digest string, n_bytes long, shard string, offset long, length long"))
+    index = cut(rows.mapInPandas(store, f"key {kind}, digest binary, n_bytes long, shard string, offset long, length long"))
     places = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"))
     return index.select("key", "digest", "n_bytes").join(places, "digest").select("key", "digest", "n_bytes", "at.*"), root
 
@@ -173,7 +173,7 @@ def metadata(places: DataFrame, root: str) -> DataFrame:
             heads = [png_header(h) for h in _read(root, pdf, lambda n: HEADER)]
             yield pd.DataFrame({"digest": pdf["digest"].array, **{c: [h[i] for h in heads] for i, c in enumerate(("width", "height", "bits"))}})
 
-    return places.mapInPandas(read, "digest string, width long, height long, bits long")
+    return places.mapInPandas(read, "digest binary, width long, height long, bits long")
 
 
 def features(samples: bytes) -> str:
@@ -195,18 +195,19 @@ def contents(places: DataFrame, root: str) -> DataFrame:
             rows = []
             for media in _read(root, pdf, lambda n: n):
                 samples = from_png(media)
-                rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(samples)))
+                rows.append((len(samples), hashlib.sha256(samples).digest(), zlib.crc32(samples[-32:]), len(media), hashlib.sha256(media).digest(), features(samples)))
             got = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
             got.insert(0, "digest", pdf["digest"].array)
             yield got
 
-    return places.mapInPandas(read, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return places.mapInPandas(read, "digest binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string")
 
 
 def media_columns(df: DataFrame, payload_col: str = "text", key_col: str = "doc_id") -> DataFrame:
     """Store, then read back: (key, n_bytes, digest, shard, offset, length, width, height, bits, payload_bytes, payload_sha256, ...)."""
     index, root = write_shards(df, payload_col, key_col)
-    index = cut(index)
     places = index.select("digest", "shard", "offset", "length").distinct().repartition("shard").sortWithinPartitions("shard", "offset")
     known = metadata(places, root).join(contents(places, root), "digest")
-    return index.join(known, "digest").select("key", "n_bytes", "digest", "shard", "offset", "length", *(c for c in known.columns if c != "digest"))
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    rest = (text(c) if c.endswith("sha256") else F.col(c) for c in known.columns if c != "digest")
+    return index.join(known, "digest").select("key", "n_bytes", text("digest"), "shard", "offset", "length", *rest)
