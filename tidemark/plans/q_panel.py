@@ -24,9 +24,9 @@ def weekly_basket(t: Tables) -> DataFrame:
     return d.select("week", r6("basket_return").alias("basket_return"), r6("observed_fraction").alias("observed_fraction"), r6("lvl").alias("index_level"), r6("drawdown").alias("drawdown"))
 
 
-@query("t02_weekly_last_price", f"WITH {X.WK} SELECT security_id, week, round(price, 6) AS price FROM wk")
+@query("t02_weekly_last_price", f"WITH {X.WK} SELECT security_id, week, round(price, 9) AS price FROM wk")
 def t02(t: Tables) -> DataFrame:
-    return X.weekly(t).select("security_id", "week", r6("price").alias("price"))
+    return X.weekly(t).select("security_id", "week", r6("price", 9).alias("price"))
 
 
 @query("t02_daily_event_last", "SELECT user_id, CAST(ts AS DATE) AS day, arg_max(value, event_id) AS last_value, count(*) AS n FROM events GROUP BY 1, 2")
@@ -71,7 +71,7 @@ def t08(t: Tables) -> DataFrame:
     return t.orders.groupBy(F.col("o_orderstatus").alias("status")).agg(F.date_format(F.max(F.to_date("o_orderdate")), "yyyy-MM-dd").alias("snapshot"))
 
 
-FX_SQL = f"WITH {X.FX}, c AS (SELECT code, week, usd_per_unit, row_number() OVER (PARTITION BY code ORDER BY week) % 2 AS k FROM fx), o AS (SELECT code, week, CASE WHEN k = 0 THEN 'direct' ELSE 'inverse' END AS direction, CASE WHEN k = 0 THEN usd_per_unit ELSE 1 / (1 / usd_per_unit) END AS rate FROM c) SELECT code, week, direction, round(rate * 0.01::DOUBLE, 11) AS usd FROM o WHERE code IN (SELECT code FROM o GROUP BY code HAVING count(*) >= 20)"
+FX_SQL = f"WITH {X.FX}, c AS (SELECT code, week, usd_per_unit, row_number() OVER (PARTITION BY code ORDER BY week) % 2 AS k FROM fx), o AS (SELECT code, week, CASE WHEN k = 0 THEN 'direct' ELSE 'inverse' END AS direction, CASE WHEN k = 0 THEN usd_per_unit ELSE 1 / (1 / usd_per_unit) END AS rate FROM c) SELECT code, week, direction, round(rate * 0.0123::DOUBLE, 9) AS usd FROM o WHERE code IN (SELECT code FROM o GROUP BY code HAVING count(*) >= 20)"
 
 
 @query("t09_fx_direction", FX_SQL)
@@ -81,7 +81,7 @@ def t09(t: Tables) -> DataFrame:
     quoted = c.withColumn("quote", F.when(F.col("direction") == "direct", F.col("usd_per_unit")).otherwise(1 / F.col("usd_per_unit")))
     rate = F.when(F.col("direction") == "direct", F.col("quote")).when(F.col("quote") != 0, 1 / F.col("quote"))
     enough = F.count("*").over(Window.partitionBy("code"))
-    return quoted.withColumn("n", enough).filter((F.col("n") >= 20) & rate.isNotNull()).select("code", "week", "direction", r6(rate * F.lit(0.01), 11).alias("usd"))
+    return quoted.withColumn("n", enough).filter((F.col("n") >= 20) & rate.isNotNull()).select("code", "week", "direction", r6(rate * F.lit(0.0123), 9).alias("usd"))
 
 
 CODES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -102,11 +102,11 @@ def t10(t: Tables) -> DataFrame:
     return panel.adjacent_log_return(usd).select("security_id", "week", r6("log_return").alias("usd_return"))
 
 
-@query("w05_forward_fill", f"WITH {X.SP} SELECT security_id, week, round(last_value(price IGNORE NULLS) OVER (PARTITION BY security_id ORDER BY week ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS price FROM pn")
+@query("w05_forward_fill", f"WITH {X.SP} SELECT security_id, week, round(last_value(price IGNORE NULLS) OVER (PARTITION BY security_id ORDER BY week ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 9) AS price FROM pn")
 def w05(t: Tables) -> DataFrame:
     w = X.weekly(t)
     full = calendar.spine(w, "security_id").join(w, ["security_id", "week"], "left")
-    return calendar.forward_fill(full, "security_id", "week", "price", 2).select("security_id", "week", r6("price").alias("price"))
+    return calendar.forward_fill(full, "security_id", "week", "price", 2).select("security_id", "week", r6("price", 9).alias("price"))
 
 
 BOUNDS = calendar.fold_bounds(358, 3, 180)
