@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import fresh
+
 ORDER = 4
 LETTER = re.compile(r"[^\W\d_]")
 _CELLS = 2_000_000  # positions times languages that are scored at once
@@ -215,5 +217,6 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", lang_as: str =
             names, score = m.predict([None if t is None or t != t else t for t in texts])
             yield pd.DataFrame({"lang": names, "score": score})
 
-    got = df.withColumn("__ppm", ppm(F.col(text_col)))
-    return got.withColumn(lang_as, F.col("__ppm.lang")).withColumn(score_as, F.col("__ppm.score")).drop("__ppm")
+    own = fresh(df, "ppm")
+    got = df.withColumn(own, ppm(F.col(text_col)))
+    return got.withColumn(lang_as, F.col(f"{own}.lang")).withColumn(score_as, F.col(f"{own}.score")).drop(own)

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import fresh
+
 SPACE = "▁"
 CUT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 CACHE, LONG = 200_000, 64
@@ -224,4 +226,6 @@ def digests(df: DataFrame, model_path: str, text_col: str = "text") -> DataFrame
                 text_sha.append(hashlib.sha256(e.decode(ids).encode()).hexdigest())
             yield pd.DataFrame({"n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": text_sha})
 
-    return df.withColumn("__spm", spm_digests(F.col(text_col))).select(*(c for c in df.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256")), "__spm.*")
+    own = fresh(df, "spm")
+    kept = [c for c in df.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256")]
+    return df.withColumn(own, spm_digests(F.col(text_col))).select(*kept, f"{own}.*")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, small_batches
+from tidemark.llm.common import cut, fresh, small_batches
 from tidemark.llm.components import connected_components
 
 DISTANCE, SEGMENTS, WIDTH = 3, 8, 8
@@ -195,8 +195,9 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     """
     base = df.select(*df.columns)
     ids = components(base, id_col, text_col, width).filter(F.col("id").eqNullSafe(F.col("component_id")))
-    keep = ids.groupBy(F.col("id").alias("__id")).agg(F.min("fp").alias("__fp"))
-    marked = fingerprints(base, text_col, width, as_="__f")
-    got = marked.join(keep, marked[id_col].eqNullSafe(keep["__id"]) & (F.col("__f") == F.col("__fp")))
-    one = Window.partitionBy("__id").orderBy(F.xxhash64(text_col), *(F.col(c).cast("string") for c in df.columns))
-    return got.withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*df.columns)
+    i, p, f, n = (fresh(base, x) for x in ("kept_id", "kept_fp", "own_fp", "nth"))
+    keep = ids.groupBy(F.col("id").alias(i)).agg(F.min("fp").alias(p))
+    marked = fingerprints(base, text_col, width, as_=f)
+    got = marked.join(keep, marked[id_col].eqNullSafe(keep[i]) & (F.col(f) == F.col(p)))
+    one = Window.partitionBy(i).orderBy(F.xxhash64(text_col), *(F.col(c).cast("string") for c in df.columns))
+    return got.withColumn(n, F.row_number().over(one)).filter(F.col(n) == 1).select(*df.columns)
