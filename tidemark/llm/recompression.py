@@ -33,7 +33,7 @@ from tidemark.llm.common import cut, release, small_batches
 WINDOW = 35
 ROUNDS = 4  # of pairs, after the one of runs
 MOST = (2, 2, 4, 4, 8)  # words in a symbol after each round
-_CHUNK = 2 << 20  # bytes of text that are parsed together
+_CHUNK = 1 << 20  # bytes of text that are parsed together
 _FAR = 1 << 20
 _U = np.uint64
 _BASE, _BASE2 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
@@ -271,33 +271,24 @@ def _verify(window: int):
 def _remove(window: int):
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts, marks, copies = _bytes(pdf["t"]), list(pdf["marks"]), pdf["copies"].to_numpy()
-            rows: list = [None] * len(texts)
-            some = []
-            for d, t in enumerate(texts):
-                if copies[d] == 1 and marks[d] is not None and len(marks[d]):
-                    some.append(d)
-                    continue
-                kept = t.split()
-                n = len(kept)
-                rows[d] = (n, n, "") if copies[d] > 1 and n >= window else (n, 0, b" ".join(kept).decode())
-            for i, j in _chunks([texts[d] for d in some]):
-                chunk = some[i:j]
-                words = Words([texts[d] for d in chunk])
+            texts, marks = _bytes(pdf["t"]), list(pdf["marks"])
+            rows: list = []
+            for i, j in _chunks(texts):
+                words = Words(texts[i:j])
                 s, key, _ = window_keys(words, window)
                 mark = (key ^ _Ranges(words.hash, _BASE).of(s, s + window)).view(np.int64)
                 doc = np.searchsorted(words.first, s, side="right") - 1
-                edge = np.searchsorted(doc, np.arange(len(chunk) + 1))
-                for k, d in enumerate(chunk):
+                edge = np.searchsorted(doc, np.arange(j - i + 1))
+                for k, d in enumerate(range(i, j)):
                     first, n = int(words.first[k]), int(words.count[k])
                     hit = s[edge[k] : edge[k + 1]][np.isin(mark[edge[k] : edge[k + 1]], marks[d])] - first
                     cover = np.zeros(n + 1, np.int64)
                     np.add.at(cover, hit, 1)
                     np.add.at(cover, hit + window, -1)
                     gone = np.cumsum(cover)[:n] > 0
-                    kept = [w for w, g in zip(texts[d].split(), gone.tolist(), strict=True) if not g]
-                    rows[d] = (n, n - len(kept), b" ".join(kept).decode())
-            got = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
+                    kept = b" ".join([w for w, g in zip(texts[d].split(), gone.tolist(), strict=True) if not g])
+                    rows.append((int(gone.sum()), kept.decode()))
+            got = pd.DataFrame(rows, columns=["n_removed", "kept"])
             got.insert(0, "d2", pdf["d2"].to_numpy())
             got.insert(0, "d1", pdf["d1"].to_numpy())
             yield got
@@ -305,39 +296,81 @@ def _remove(window: int):
     return step
 
 
-def _digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pdf.assign(kept=[hashlib.sha256(t.encode()).hexdigest() for t in pdf["kept"]]).rename(columns={"kept": "kept_sha256"})
+BITS = 1 << 27  # of the filter: 16 MB at most, whatever the corpus
+
+
+def _likely(df: DataFrame):
+    """A filter for the texts of df(d1): true for all of them and for few others, as a function of a column of longs."""
+    at = F.pmod(F.col("d1"), F.lit(BITS))
+    bitmaps = df.select(F.bitmap_bucket_number(at).alias("n"), F.bitmap_bit_position(at).alias("p")).groupBy("n").agg(F.bitmap_construct_agg("p").alias("b"))
+    shared = df.sparkSession.sparkContext.broadcast({r["n"]: bytes(r["b"]) for r in bitmaps.collect()})  # at most BITS in all
+
+    @F.pandas_udf("boolean")
+    def likely(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        # Buckets count from 1; 0 and below don't occur, as positions are not negative.
+        table = np.zeros(BITS // 8 + 4096, np.uint8)
+        for n, b in shared.value.items():
+            first = max(int(n) - 1, 0) * 4096
+            table[first : first + len(b)] = np.frombuffer(b, np.uint8)
+        for d in batches:
+            x = np.mod(d.to_numpy(np.int64), BITS)
+            # Bit positions within a bucket follow (x - 1) modulo the bucket's size, except that 0 is the first of bucket 1.
+            y = np.where(x > 0, x - 1, 0)
+            yield pd.Series((table[y >> 3] >> (y & 7).astype(np.uint8)) & 1 > 0)
+
+    return likely
+
+
+def _whole(digest: bool):
+    @F.pandas_udf("n_words long, whole string")
+    def whole(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            words = [t.encode().split() for t in texts]
+            joined = [b" ".join(w) for w in words]
+            yield pd.DataFrame({"n_words": [len(w) for w in words], "whole": [hashlib.sha256(x).hexdigest() if digest else x.decode() for x in joined]})
+
+    return whole
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, digest: bool = False) -> DataFrame:
-    """(id, n_words, n_removed, kept) of every row of ``df``; with ``digest``, kept_sha256 in place of the kept words."""
+    """(id, n_words, n_removed, kept) of every row of ``df``; with ``digest``, kept_sha256 in place of the kept words.
+
+    Whole texts are shuffled only where a bitmap of bounded size says that they may have windows to verify, or to remove.
+    """
     spark = df.sparkSession
     small_batches(spark, "8m")
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).alias("id"), text.alias("t")).withColumn("d1", F.xxhash64("t")).withColumn("d2", F.xxhash64(F.lit("other"), "t"))
+    one = lambda some: docs.filter(some(F.col("d1"))).groupBy("d1", "d2").agg(F.first("t").alias("t"))
 
     # 1. Symbols, and in which texts they are.
     filed = docs.select("t", "d1", "d2").mapInPandas(_file(window), "d1 long, d2 long, key long, twice boolean").groupBy("d1", "d2", "key").agg(F.max("twice").alias("twice"))
     filed = cut(filed)
     places = filed.groupBy("key").agg(F.max("twice").alias("twice"), F.min(F.struct("d1", "d2")).alias("a"), F.max(F.struct("d1", "d2")).alias("b"))
     shared = places.filter(F.col("twice") | (F.col("a") != F.col("b"))).select("key")
-    found = cut(filed.select("d1", "d2", "key").join(shared, "key").select("d1", "d2", "key"))
+    found = cut(filed.join(shared, "key").groupBy("d1", "d2").agg(F.collect_list("key").alias("keys")))
     del filed, places, shared
     release(spark)
 
     # 2. The windows that are filed there, each text once, counted.
-    texts = docs.groupBy("d1", "d2").agg(F.first("t").alias("t"), F.count("*").alias("copies"))
-    wanted = found.groupBy("d1", "d2").agg(F.collect_set("key").alias("keys"))
-    rows = texts.join(wanted, ["d1", "d2"]).select("d1", "d2", "t", "keys").mapInPandas(_verify(window), "d1 long, d2 long, key long, h long")
+    rows = one(_likely(found)).join(found, ["d1", "d2"]).select("d1", "d2", "t", "keys").mapInPandas(_verify(window), "d1 long, d2 long, key long, h long")
     repeated = rows.groupBy("key", "h").agg(F.count("*").alias("n")).filter("n > 1").select("key", "h")
     marks = rows.join(repeated, ["key", "h"]).groupBy("d1", "d2").agg(F.collect_list(F.col("key").bitwiseXOR(F.col("h"))).alias("marks"))
     marks = cut(marks)
+    del found, rows, repeated
     release(spark)
 
-    # 3. Back to the texts, where a window is told by its symbol and its words.
-    done = texts.join(marks, ["d1", "d2"], "left").select("d1", "d2", "t", "copies", "marks")
-    done = done.mapInPandas(_remove(window), "d1 long, d2 long, n_words long, n_removed long, kept string")
-    if digest:
-        done = done.mapInPandas(_digested, "d1 long, d2 long, n_words long, n_removed long, kept_sha256 string")
-    return docs.select("id", "d1", "d2").join(done, ["d1", "d2"]).drop("d1", "d2")
+    # 3. Back to the texts, where a window is told by its symbol and its words. Texts with copies lose all words, if they have a window.
+    done = one(_likely(marks)).join(marks, ["d1", "d2"]).select("d1", "d2", "t", "marks").mapInPandas(_remove(window), "d1 long, d2 long, n_removed long, kept string")
+    done = done.select("d1", "d2", "n_removed", F.sha2("kept", 256).alias("kept") if digest else F.col("kept"))
+    twins = docs.groupBy("d1", "d2").agg(F.count("*").alias("copies")).filter("copies > 1").select("d1", "d2", F.lit(True).alias("twin"))
+    parts = docs.withColumn("w", _whole(digest)("t")).select("id", "d1", "d2", "w.n_words", "w.whole")
+    got = parts.join(twins, ["d1", "d2"], "left").join(done, ["d1", "d2"], "left")
+    all_gone = F.col("twin").isNotNull() & (F.col("n_words") >= window)
+    nothing = F.sha2(F.lit(""), 256) if digest else F.lit("")
+    return got.select(
+        "id",
+        "n_words",
+        F.when(all_gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(all_gone, nothing).otherwise(F.coalesce("kept", "whole")).alias("kept_sha256" if digest else "kept"),
+    )
