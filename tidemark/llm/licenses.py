@@ -2,7 +2,7 @@
 
 A text is normalised (lower case, all but letters, digits and sentence ends to a space) and split into sentences; sentences that
 are known become identifiers, the rest is left out; a rule matches where its identifiers stand in this order. A text is
-read twice, with line ends as sentence ends and with line ends as spaces, so that both bare licence lines and wrapped
+read twice, with line ends as sentence ends and with line ends as spaces (blank lines as sentence ends), so that both bare licence lines and wrapped
 paragraphs are recognised. All of it is row by row, in Spark's own expressions: no shuffle, no Python.
 
 Defined results: null and empty texts have no sentences and no licence; other columns play no part; equal rows give equal rows.
@@ -85,7 +85,7 @@ RULES = [
 def sentence_ids(text: Column, wrapped: bool, known: dict[str, str] = SENTENCES) -> Column:
     """The identifiers of the known sentences of a text, in order. wrapped: a line end is a space."""
     plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9.!?\n]+", " ")
-    plain = F.regexp_replace(F.regexp_replace(plain, r"[ \n]+", " ") if wrapped else plain, r"[.!?]+( |\n|$)", "\n")
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"\n ?\n[ \n]*", ". "), r"[ \n]+", " ") if wrapped else plain, r"[.!?]+( |\n|$)", "\n")
     sentences = F.transform(F.split(plain, "\n"), lambda s: F.trim(s))
     table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
     keys = F.array(*(F.lit(k) for k in known))
@@ -114,7 +114,7 @@ def oracle(table: str = "documents") -> str:
     cases = ", ".join(f"CASE WHEN regexp_matches(a, '{p}') OR regexp_matches(b, '{p}') THEN '{n}' END" for n, p in ((n, r"\|" + r"\|(.*\|)?".join(i) + r"\|") for n, i in RULES))
     return f"""
 WITH n AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9.!?\\n]+', ' ', 'g') t, MAP {{{known}}} k FROM {table}),
-x AS (SELECT doc_id, k, regexp_replace(t, '[.!?]+( |\\n|$)', chr(10), 'g') x_l, regexp_replace(regexp_replace(t, '[ \\n]+', ' ', 'g'), '[.!?]+( |\\n|$)', chr(10), 'g') x_w FROM n),
+x AS (SELECT doc_id, k, regexp_replace(t, '[.!?]+( |\\n|$)', chr(10), 'g') x_l, regexp_replace(regexp_replace(regexp_replace(t, '\\n ?\\n[ \\n]*', '. ', 'g'), '[ \\n]+', ' ', 'g'), '[.!?]+( |\\n|$)', chr(10), 'g') x_w FROM n),
 i AS (SELECT doc_id, {ids('l')} l, {ids('w')} w FROM x),
 s AS (SELECT doc_id, len(l) n, coalesce(array_to_string(l, ','), '') sentence_ids, '|' || coalesce(array_to_string(l, '|'), '') || '|' a, '|' || coalesce(array_to_string(w, '|'), '') || '|' b FROM i),
 h AS (SELECT doc_id, n, sentence_ids, list_filter([{cases}], lambda v: v IS NOT NULL) hits FROM s),
