@@ -228,7 +228,10 @@ def _bytes(col: pd.Series) -> list[bytes]:
 
 def _file(window: int):
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[tuple[int, int]] = set()  # a text is filed once in a task
         for pdf in batches:
+            new = [not (k in seen or seen.add(k)) for k in zip(pdf["d1"].tolist(), pdf["d2"].tolist(), strict=True)]
+            pdf = pdf[new]
             texts, d1, d2 = _bytes(pdf["t"]), pdf["d1"].to_numpy(), pdf["d2"].to_numpy()
             for i, j in _chunks(texts):
                 words = Words(texts[i:j])
@@ -344,11 +347,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one = lambda some: docs.filter(some(F.col("d1"))).groupBy("d1", "d2").agg(F.first("t").alias("t"))
 
     # 1. Symbols, and in which texts they are.
-    filed = docs.select("t", "d1", "d2").mapInPandas(_file(window), "d1 long, d2 long, key long, twice boolean").groupBy("d1", "d2", "key").agg(F.max("twice").alias("twice"))
-    filed = cut(filed)
-    places = filed.groupBy("key").agg(F.max("twice").alias("twice"), F.min(F.struct("d1", "d2")).alias("a"), F.max(F.struct("d1", "d2")).alias("b"))
+    filed = cut(docs.select("t", "d1", "d2").mapInPandas(_file(window), "d1 long, d2 long, key long, twice boolean"))
+    places = filed.groupBy("key").agg(F.max("twice").alias("twice"), F.min("d1").alias("a"), F.max("d1").alias("b"))
     shared = places.filter(F.col("twice") | (F.col("a") != F.col("b"))).select("key")
-    found = cut(filed.join(shared, "key").groupBy("d1", "d2").agg(F.collect_list("key").alias("keys")))
+    found = cut(filed.join(shared, "key").groupBy("d1", "d2").agg(F.collect_set("key").alias("keys")))
     del filed, places, shared
     release(spark)
 
