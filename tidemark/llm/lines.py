@@ -1,9 +1,9 @@
 """Line dedup: fuzzy lines by MinHash, in DataFrame operations only.
 
-1. Lines are trimmed and put in lower case, and told by their hash. A line's set is that of its character shingles: ``SHINGLE`` characters from each
-   word's start on, over what follows; in lines whose words are very long, or that have no spaces, ``DENSE`` characters from every place. Its
-   signature is made of the shingles' hashes: sorted, they are cut into ``BANDS`` parts of the hash space, and the first ``ROWS`` hashes from
-   each part's start on are one band. Lines of Jaccard similarity 0.8 share a band with a probability of over 0.99, very short ones of over 0.9.
+1. Lines are trimmed and put in lower case, and told by their hash. A line's set is that of its character shingles: ``SHINGLE`` characters from every
+   place, for all lines alike; a shorter line is one shingle. Its signature is made of the shingles' hashes: sorted, they are cut into ``BANDS`` parts of
+   the hash space, and the first ``ROWS`` hashes from each part's start on are one band. Lines of Jaccard similarity 0.8 share a band with a probability of
+   over 0.99, very short ones of over 0.9.
 2. Every line that shares a band with others is compared with the first of them, by the exact Jaccard similarity of the two
    sets. Distributed union-find joins what is similar.
 3. Only where a band still holds more than one component, its lines of different components are compared with each other. So no link within
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut, fresh, release
 from tidemark.llm.components import connected_components
 
-SHINGLE, DENSE, BANDS, ROWS, SIMILAR = 12, 8, 8, 3, 0.8
+SHINGLE, BANDS, ROWS, SIMILAR = 8, 8, 3, 0.8
 
 
 def normal(line: Column) -> Column:
@@ -39,26 +39,21 @@ def _let(value: Column, body) -> Column:
 
 def shingles(line: Column) -> Column:
     """The distinct hashes of a normalised line's character shingles."""
-    at_words = F.regexp_extract_all(F.concat(F.lit(" "), line), F.lit(rf"(?=( [^ ].{{0,{SHINGLE - 2}}}))"), F.lit(1))
 
-    def dense(units: Column) -> Column:  # two bytes a character, so that any shingle is found at once
-        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(units) - 2 * DENSE + 1), F.lit(2))
-        return F.transform(starts, lambda i: F.xxhash64(F.substring(units, i, F.lit(2 * DENSE))))
+    def of(units: Column) -> Column:  # two bytes a character, so that any shingle is found at once
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(units) - 2 * SHINGLE + 1), F.lit(2))
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(units, i, F.lit(2 * SHINGLE)))))
 
-    def of(words: Column) -> Column:
-        few = F.length(line) > 16 * F.size(words)
-        return F.array_distinct(F.when(few, _let(F.encode(line, "UTF-16BE"), dense)).otherwise(F.transform(words, lambda w: F.xxhash64(w))))
-
-    return _let(at_words, of)
+    return _let(F.encode(line, "UTF-16BE"), of)
 
 
 def bands(line: Column) -> Column:
     """The band keys of a normalised line, an array of longs."""
 
     def of(s: Column) -> Column:
-        part = lambda i: F.shiftright(F.get(s, i), 64 - BANDS.bit_length() + 1)
-        firsts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (part(i) != part(i - 1)))
-        return _let(F.concat(s, F.slice(s, 1, ROWS - 1)), lambda ring: F.transform(firsts, lambda i: F.xxhash64(F.slice(ring, i + 1, F.lit(ROWS)))))
+        parts = F.transform(s, lambda h: F.shiftright(h, 64 - BANDS.bit_length() + 1))
+        firsts = _let(parts, lambda p: F.transform(F.array_distinct(p), lambda x: F.array_position(p, x).cast("int")))
+        return _let(F.concat(s, F.slice(s, 1, ROWS - 1)), lambda ring: F.transform(firsts, lambda i: F.xxhash64(F.slice(ring, i, F.lit(ROWS)))))
 
     return _let(F.sort_array(shingles(line)), lambda s: F.when(F.size(s) > 0, of(s)).otherwise(F.array().cast("array<bigint>")))
 
