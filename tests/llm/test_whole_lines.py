@@ -38,3 +38,10 @@ def test_similarity_is_exact(spark):
     df = spark.createDataFrame(rows, "a string, b string")
     got = df.select("a", "b", lines.jaccard(lines.shingles(df["a"]), lines.shingles(df["b"])).alias("j")).collect()
     assert all(abs(r["j"] - alike(r["a"], r["b"])) < 1e-12 for r in got)
+
+
+def test_no_limit_by_length_of_words(spark):
+    base = "abcdefghijklmnop qrstuvwxyzabcdef"  # words of 16 characters, and one more and one less
+    rows = [(1, base[:-1]), (2, base), (3, base + "g"), (4, base + "gh")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in lines.deduplicate_lines(df).collect()} == {1: base[:-1], 2: "", 3: "", 4: ""}
