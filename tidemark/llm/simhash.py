@@ -11,6 +11,9 @@ of its own. Fingerprints that share an entry are compared by the chain's budgets
 An entry with many fingerprints is dealt to blocks, so no task gets more than two blocks of one entry, and each comparison
 gives back no more links than keep its fingerprints connected, never all pairs.
 
+``deduplicate`` can also ask for a Jaccard similarity of the shingle sets, which three bits are far too few for: candidates are then texts that share a
+band of MinHashes as well, and all are compared by their exact similarity.
+
 Defined results: null and blank texts have fingerprint 0 and link like any other; a null id is never the smallest unless its whole group has none;
 equal rows each get their row; an empty table gives an empty table; further columns play no part.
 """
@@ -25,29 +28,40 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, fresh, small_batches
+from tidemark.llm.common import cut, fresh, release, small_batches
 from tidemark.llm.components import connected_components
 
 DISTANCE, SEGMENTS, WIDTH = 3, 8, 8
 BUDGETS = [n * DISTANCE // SEGMENTS for n in range(1, SEGMENTS + 1)]
 BLOCK = 1024  # fingerprints of one entry that meet in a task
 _STEP = 1 << 16
+#: MinHash for candidates of a Jaccard similarity: texts of 0.8 share a band with a probability of 1 - (1 - 0.8**4)**16, 0.9998.
+MIN_BANDS, MIN_ROWS = 16, 4
+_MIX = np.random.default_rng(42).integers(0, 1 << 64, (2, MIN_BANDS * MIN_ROWS), dtype=np.uint64)
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """64 bits, each set where over half of the shingles' XXH64 have it."""
+def _hashes(text: str | None, width: int, seed: int = 42) -> np.ndarray:
+    """The shingles' XXH64, repeats included; none of a text without words."""
     words = (text or "").encode().lower().split()  # of bytes: A-Z only, and ASCII white space only
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     shingles = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
-    n = max(1, len(words) - width + 1)
+    return np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64, max(1, len(words) - width + 1))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64, n)
     for i in range(0, n, _STEP):
         ones += np.unpackbits(hashes[i : i + _STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+    """64 bits, each set where over half of the shingles' XXH64 have it."""
+    return _majority(_hashes(text, width, seed))
+
+
 def fingerprints(df: DataFrame, text_col: str = "text", width: int = 3, seed: int = 42, as_: str = "fp") -> DataFrame:
     """``df`` with the fingerprint of every whole text, as a long."""
     small_batches(df.sparkSession)
@@ -187,17 +201,101 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     return rows.join(by_fp, "fp").select("id", "fp", "component_id")
 
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of their group: one row of each group stays.
+def _min_bands(hashes: np.ndarray) -> list[int]:
+    """The band keys of a set of hashes; texts without words share theirs."""
+    if not len(hashes):
+        return [0]
+    least = np.array([(hashes * (m | np.uint64(1)) + c).min() for m, c in _MIX.T])
+    return [xxhash.xxh64_intdigest(least[i * MIN_ROWS : (i + 1) * MIN_ROWS].tobytes(), i) for i in range(MIN_BANDS)]
+
+
+def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two arrays of distinct hashes; 1 for two empty ones."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
+
 
-    Rows of equal id count as one document, so only one of them stays; rows without an id stay only where their whole group has
-    none, one of them in all.
+def _signed(df: DataFrame, width: int, banded: bool) -> DataFrame:
+    """df(id, t) to (id, digest, fp, n, bands): n distinct shingles; no bands unless ``banded``."""
+    small_batches(df.sparkSession)
+
+    @F.pandas_udf("fp long, n int, bands array<long>")
+    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = []
+            for t in texts:
+                h = _hashes(t if isinstance(t, str) else None, width)
+                fp, h = _majority(h), np.unique(h)
+                rows.append((np.array([fp], np.uint64).view(np.int64)[0], len(h), np.array(_min_bands(h) if banded else [], np.uint64).view(np.int64)))
+            yield pd.DataFrame(rows, columns=["fp", "n", "bands"])
+
+    return df.select("id", F.xxhash64("t").alias("digest"), sign("t").alias("s")).select("id", "digest", "s.*")
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, width: int, similar: float) -> DataFrame:
+    """pairs(a, b) whose texts are similar by the exact Jaccard similarity; texts(digest, t)."""
+
+    @F.pandas_udf("boolean")
+    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
+        sets = lambda t: np.unique(_hashes(t if isinstance(t, str) else None, width))
+        return pd.Series([_jaccard(sets(x), sets(y)) >= similar for x, y in zip(left, right, strict=True)], dtype=bool)
+
+    both = pairs.join(texts.select(F.col("digest").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("digest").alias("b"), F.col("t").alias("tb")), "b")
+    return both.filter(alike("ta", "tb")).select("a", "b")
+
+
+def _near(rows: DataFrame, texts: DataFrame, width: int, similar: float) -> DataFrame:
+    """(node, component) of the texts that are similar to others; rows as of _signed, texts(digest, t) with repeats.
+
+    As in line dedup: members of a band are compared with its first, and only where a band then still holds several components are those compared in pairs.
+    """
+    spark = rows.sparkSession
+    distinct = cut(rows.groupBy("digest").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    filed = distinct.select("digest", "n", F.explode(F.array_distinct("bands")).alias("band"))
+    ends = filed.groupBy("band").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("band", "low")
+    shared = cut(filed.join(ends, "band").select("band", "digest", "n", "low"))
+    # Fingerprints within DISTANCE are candidates too: each text and the first of its fingerprint, and the firsts of linked ones.
+    firsts = distinct.groupBy("fp").agg(F.min("digest").alias("low"))
+    same = distinct.join(firsts, "fp").filter("digest <> low").select(F.col("digest").alias("a"), F.col("low").alias("b"))
+    ends = firsts.withColumnsRenamed({"fp": "a", "low": "la"}), firsts.withColumnsRenamed({"fp": "b", "low": "lb"})
+    close = links(distinct.select("fp").distinct()).join(ends[0], "a").join(ends[1], "b").select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b"))
+    first = cut(shared.filter("digest <> low").select(F.col("digest").alias("a"), F.col("low").alias("b")).unionByName(same).unionByName(close).distinct())
+    release(spark)
+    wanted = shared.select("digest").unionByName(first.select(F.col("a").alias("digest"))).unionByName(first.select(F.col("b").alias("digest"))).distinct()
+    texts = cut(texts.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("t").alias("t")))
+    found = connected_components(cut(_alike(first, texts, width, similar)))
+    release(spark)
+    named = shared.join(found, F.col("digest") == F.col("node"), "left").select("band", "digest", "n", F.coalesce("component", "digest").alias("component"))
+    mixed = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
+    open_ = cut(named.join(mixed, "band"))
+    other = open_.select("band", F.col("digest").alias("d2"), F.col("n").alias("n2"), F.col("component").alias("c2"))
+    # Sets whose sizes differ by more can't be similar.
+    pairs = open_.join(other, "band").filter((F.col("component") < F.col("c2")) & (F.least("n", "n2") >= similar * F.greatest("n", "n2") - 1e-6))
+    pairs = pairs.select(F.greatest("digest", "d2").alias("a"), F.least("digest", "d2").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    more = cut(_alike(pairs, texts, width, similar))
+    if more.isEmpty():
+        return found
+    return connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similar: float | None = None) -> DataFrame:
+    """The first row by id and text of each group of near copies; ids play no part in what a group is, and rows without an id come last.
+
+    Near copies are texts whose fingerprints are linked; with ``similar``, those whose sets of shingles have this Jaccard similarity.
     """
     base = df.select(*df.columns)
-    ids = components(base, id_col, text_col, width).filter(F.col("id").eqNullSafe(F.col("component_id")))
-    i, p, f, n = (fresh(base, x) for x in ("kept_id", "kept_fp", "own_fp", "nth"))
-    keep = ids.groupBy(F.col("id").alias(i)).agg(F.min("fp").alias(p))
-    marked = fingerprints(base, text_col, width, as_=f)
-    got = marked.join(keep, marked[id_col].eqNullSafe(keep[i]) & (F.col(f) == F.col(p)))
-    one = Window.partitionBy(i).orderBy(F.xxhash64(text_col), *(F.col(c).cast("string") for c in df.columns))
+    plain = base.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    rows = cut(_signed(plain, width, similar is not None))
+    if similar is None:
+        key, linked = "fp", connected_components(links(rows.select("fp").distinct()))
+    else:
+        key, linked = "digest", _near(rows, plain.select(F.xxhash64("t").alias("digest"), "t"), width, similar)
+    release(df.sparkSession)
+    named = rows.select("id", "digest", "fp").join(linked, F.col(key) == F.col("node"), "left").withColumn("group", F.coalesce("component", key))
+    first = named.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("first"))
+    i, d, h, n = (fresh(base, x) for x in ("kept_id", "kept_digest", "own_digest", "nth"))
+    keep = cut(first.select(F.col("first.id").alias(i), F.col("first.digest").alias(d)))
+    marked = base.withColumn(h, F.xxhash64(text_col))
+    got = marked.join(keep, marked[id_col].eqNullSafe(keep[i]) & (F.col(h) == F.col(d)))
+    one = Window.partitionBy(i, d).orderBy(*(F.col(c).cast("string") for c in df.columns))  # rows of equal id and text
     return got.withColumn(n, F.row_number().over(one)).filter(F.col(n) == 1).select(*df.columns)
