@@ -38,8 +38,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one of the smallest id."""
-    return simhash.deduplicate(docs.select(*COLUMNS))
+    """One document of each group of near copies (five words, Jaccard similarity 0.8 or more) stays, the one of the smallest id."""
+    return simhash.deduplicate(docs.select(*COLUMNS), similar=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
