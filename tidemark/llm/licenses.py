@@ -85,6 +85,7 @@ RULES = [
 def sentence_ids(text: Column, wrapped: bool, known: dict[str, str] = SENTENCES) -> Column:
     """The identifiers of the known sentences of a text, in order. wrapped: a line end is a space."""
     plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9.!?\n]+", " ")
+    plain = F.regexp_replace(plain, r"(?<![a-z0-9.])v\. ?\n? ?(?=[0-9])" if wrapped else r"(?<![a-z0-9.])v\. ?(?=[0-9])", "v ")  # v. 2.0 is no sentence end
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"\n ?\n[ \n]*", ". "), r"[ \n]+", " ") if wrapped else plain, r"[.!?]+( |\n|$)", "\n")
     sentences = F.transform(F.split(plain, "\n"), lambda s: F.trim(s))
     table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
@@ -94,12 +95,12 @@ def sentence_ids(text: Column, wrapped: bool, known: dict[str, str] = SENTENCES)
 
 
 def scan(df: DataFrame, text_col: str = "text", known: dict[str, str] = SENTENCES, rules: list = RULES) -> DataFrame:
-    """``df`` with sentence_ids (of the line reading), licenses (all that match, in the order of the rules) and license (the first).
+    """``df`` with sentence_ids (of the line reading), wrapped_ids (of the other), licenses (all that match, in the order of the rules) and license (the first).
 
     Columns of these names in ``df`` are replaced.
     """
     lined, wrapped = (F.concat(F.lit("|"), F.array_join(sentence_ids(F.col(text_col), w, known), "|"), F.lit("|")) for w in (False, True))
-    found = df.withColumn("sentence_ids", sentence_ids(F.col(text_col), False, known)).withColumn("licenses", F.array(lined, wrapped))
+    found = df.withColumn("sentence_ids", sentence_ids(F.col(text_col), False, known)).withColumn("wrapped_ids", sentence_ids(F.col(text_col), True, known)).withColumn("licenses", F.array(lined, wrapped))
     patterns = [(name, r"\|" + r"\|(.*\|)?".join(ids) + r"\|") for name, ids in rules]
     like = lambda pattern: lambda s: s.rlike(pattern)
     hits = F.array(*(F.when(F.exists(F.col("licenses"), like(pattern)), F.lit(name)) for name, pattern in patterns))
