@@ -43,8 +43,8 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return _measured(mixing.mixed_documents(docs.select(*COLUMNS)))
+    """Documents, whole, as often as the mix takes them."""
+    return _measured(mixing.mixed_documents(docs.select(*COLUMNS), whole=True))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -96,16 +96,20 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     )
 
 
-def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = 3, weight=default_weight) -> DataFrame:
+def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = 3, weight=default_weight, whole: bool = False) -> DataFrame:
     """The mix itself, in the columns of ``df``: each row as many times as it is taken, the row at a source's cut with its first words only.
 
+    With ``whole``, no text is cut: the row at the cut is taken whole if at least half of its words are missing, and else not, so
+    a source is off its target by half a row at most.
     A row of which nothing is taken is left out, as are rows without words.
     """
     plain = df.select(*df.columns)
     got = mix(plain, id_col, text_col, source_col, cap, weight)
     size, taken = got.columns[len(df.columns)], got.columns[-1]
+    if whole:
+        got = got.withColumn(taken, F.floor(F.col(taken) / F.greatest(F.col(size), F.lit(1)) + 0.5).cast("long") * F.col(size))
     copy = fresh(got, "copy_")
-    copies = got.filter(F.col(taken) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.ceil(F.col(taken) / F.col(size)).cast("int"))))
+    copies = got.filter(F.col(taken) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.ceil(F.col(taken) / F.greatest(F.col(size), F.lit(1))).cast("int"))))
     words = F.least(F.col(size), F.col(taken) - (F.col(copy) - 1) * F.col(size))
     first = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})")), 1, words.cast("int")), " ")
     return copies.withColumn(text_col, F.when(words < F.col(size), first).otherwise(F.col(text_col))).select(*df.columns)
