@@ -5,7 +5,8 @@ lower-case form of an address). The surrogate is then drawn by a keyed permutati
 script, digits digits, separators what they are; a card keeps the state of its check digit, an IPv4 address the kind of network it
 is in, a phone number its country code. A permutation never gives two entities one surrogate.
 
-Names are the exception, as they are drawn from lists by gender, with a made-up family name of the same script: there two may meet. So all
+Names are found after titles; in the same text, their mentions without a title count too. A name is one person in the whole corpus, whatever
+the titles; its gender is the one that its titles tell, if they do not tell both. Names are the exception, as they are drawn from lists by gender, with a made-up family name of the same script: there two may meet. So all
 names of the corpus are checked: where several share a surrogate, all but the first draw again, until all are distinct. The outcome, the
 few names that had to draw again, is sent to the executors if it is small, and else joined to the texts.
 
@@ -49,6 +50,10 @@ TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "n", "Prof": "n",
 #: Letters of each script that stand for one another.
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "äöüß", "àâçèéêëîïôùûœ", "áíóúñ"]
 _HEX = "0123456789abcdef"
+#: Calling codes of one and of two digits; all others have three. None begins with another.
+_CODES = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
+#: In an attempt, the bits above these tell that the name's gender is another than its title's: 1 + its place in GENDERS.
+_TRIES, GENDERS = 20, "fmn"
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NAME = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
@@ -176,7 +181,7 @@ def surrogate(key: bytes, kind: str, text: str, gender: str = "n", attempt: int
         body = permute_text(key, f"card{check}", known[:-1])
         return _pour(body + str((_luhn(body) + check) % 10), text)
     if kind == "phone":
-        code = len(re.match(r"\+(\d{1,3})[ .(-]", text)[1]) if re.match(r"\+\d{1,3}[ .(-]", text) else 0
+        code = len(_CODES.match(known, 1)[0]) if known[0] == "+" else 0
         digits = known.lstrip("+")
         return _pour(digits[:code] + permute_text(key, f"phone{digits[:code]}", digits[code:]), text)
     if kind == "ssn":
@@ -195,8 +200,27 @@ def surrogate(key: bytes, kind: str, text: str, gender: str = "n", attempt: int
         it = iter(known[:2] + checked + body)
         return "".join(c if c == " " else next(it) for c in text)
     hexed = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) is not None
-    got = permute_text(key, "secret", text, [_HEX] if hexed else ALPHABETS)
-    return got.upper() if hexed and text.isupper() else got.lower() if hexed else got
+    got = text
+    while True:  # no secret of one sort becomes one of another, where permutations could meet
+        got = permute_text(key, "secret", got, [_HEX] if hexed else ALPHABETS)
+        got = got.upper() if hexed and text.isupper() else got.lower() if hexed else got
+        if (re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", got) is not None) == hexed and (not hexed or got.isupper() == text.isupper()):
+            return got
+
+
+def _bare(text: str, names: dict[str, str]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, gender) of the mentions of names (canonical, to gender) in a text, longer names first."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    word = lambda i: 0 <= i < len(text) and (text[i].isalnum() or text[i] == "_")
+    for name in sorted(names, key=lambda n: (-len(n), n)):
+        at = low.find(name)
+        while at >= 0:
+            end = at + len(name)
+            if not word(at - 1) and not word(end) and all(w[0].isupper() for w in text[at:end].split(" ")):
+                yield at, end, names[name]
+            at = low.find(name, at + 1)
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
@@ -225,6 +249,13 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 continue
             if all(end <= a or start >= b for a, b, _, _ in found):
                 found.append((start, end, kind, gender))
+    titled: dict[str, str] = {}
+    for start, end, kind, gender in found:
+        if kind == "name":
+            titled.setdefault(canonical(kind, text[start:end]), gender)
+    for start, end, gender in _bare(text, titled) if titled else ():
+        if all(end <= a or start >= b for a, b, _, _ in found):
+            found.append((start, end, "name", gender))
     return sorted(found)
 
 
@@ -238,6 +269,8 @@ class Replacer:
         for start, end, kind, gender in find(text):
             said = text[start:end]
             attempt = (attempts or self.attempts).get(f"{gender}|{canonical(kind, said)}", 0) if kind == "name" else 0
+            if attempt >> _TRIES:
+                gender, attempt = GENDERS[(attempt >> _TRIES) - 1], attempt & (1 << _TRIES) - 1
             out += [text[at:start], self._one(kind, said, gender, attempt)]
             at = end
             kinds.append(kind)
@@ -245,7 +278,10 @@ class Replacer:
 
 
 def redrawn_names(df: DataFrame, text_col: str, key: bytes) -> DataFrame:
-    """(name, attempt) of the names that must draw again for all surrogates to be distinct; name is gender and canonical form."""
+    """(name, attempt) of the names that must draw again for all surrogates to be distinct, or have another gender than their title's.
+
+    name is the title's gender and the canonical form; how attempt tells the gender, see ``_TRIES``.
+    """
 
     def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -257,14 +293,24 @@ def redrawn_names(df: DataFrame, text_col: str, key: bytes) -> DataFrame:
         return pd.Series([name_surrogate(key, n.partition("|")[2], n.partition("|")[0], a, w) for n, w, a in zip(name, words, attempt, strict=True)], dtype=object)
 
     with_title = df.select(F.col(text_col).alias("t")).filter(F.col("t").rlike(TITLE_FILTER))
-    state = cut(with_title.mapInPandas(names, "name string, words int").distinct().withColumn("attempt", F.lit(0)))
+    said = cut(with_title.mapInPandas(names, "name string, words int").distinct().select(F.substring_index("name", "|", 1).alias("title"), F.expr("substring(name, 3)").alias("who"), "words"))
+    told = F.array_sort(F.collect_set(F.when(F.col("title") != "n", F.col("title"))))
+    people = said.groupBy("who").agg(F.max("words").alias("words"), told.alias("told")).select("who", "words", F.when(F.size("told") == 1, F.get("told", F.lit(0))).otherwise(F.lit("n")).alias("gender"))
+    people = cut(people)
+    state = cut(people.select(F.concat_ws("|", "gender", "who").alias("name"), "words", F.lit(0).alias("attempt")))
     while True:
         own = Window.partitionBy("s").orderBy("attempt", "name")
         ranked = state.withColumn("s", drawn("name", "words", "attempt")).withColumn("n", F.row_number().over(own))
         after = cut(ranked.select("name", "words", (F.col("attempt") + (F.col("n") > 1).cast("int")).alias("attempt"), (F.col("n") > 1).alias("again")))
         state = after.drop("again")
         if after.filter("again").isEmpty():
-            return state.filter("attempt > 0").groupBy("name").agg(F.max("attempt").alias("attempt"))
+            break
+    tries = state.filter("attempt > 0").select(F.expr("substring(name, 3)").alias("who"), "attempt")
+    # Only what differs from a first draw by the title's gender goes on.
+    other = said.select("title", "who").distinct().join(people.select("who", "gender"), "who").join(tries, "who", "left")
+    bits = F.when(F.col("title") != F.col("gender"), F.shiftleft(F.instr(F.lit(GENDERS), F.col("gender")), _TRIES)).otherwise(F.lit(0))
+    other = other.select(F.concat_ws("|", "title", "who").alias("name"), (F.coalesce("attempt", F.lit(0)) + bits).cast("int").alias("attempt"))
+    return cut(other.filter("attempt > 0"))
 
 
 def replace_entities(df: DataFrame, key: bytes, text_col: str = "text", few: int = 100_000) -> DataFrame:
