@@ -16,8 +16,10 @@ Defined results: a null text is encoded as an empty one (no ids, decoded text ""
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +54,7 @@ class Encoder:
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(pieces) if p.type == 6}
         self.unknown = next(i for i, p in enumerate(pieces) if p.type == 2)
         self.rank = {p.piece: (-p.score, i) for i, p in enumerate(pieces) if p.type == 1}
+        self.score = {p.piece: -p.score for p in pieces if p.type == 1}
         self.id = {p.piece: i for i, p in enumerate(pieces) if p.type == 1}
         if any(SPACE in p.lstrip(SPACE) for p in self.id):
             raise ValueError("a piece has a space inside")
@@ -70,8 +73,8 @@ class Encoder:
             self.shorter[i] = next((whole[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in whole), -1)
         self.digits = [str(i).encode() for i in range(len(self.text))]
         self.fits: dict[int, bool] = {}
-        self.young: dict[str, tuple[bytes, tuple[int, ...]]] = {}
-        self.old: dict[str, tuple[bytes, tuple[int, ...]]] = {}
+        self.young: dict[str, tuple[bytes, bytes]] = {}
+        self.old: dict[str, tuple[bytes, bytes]] = {}
 
     def _merged(self, text: str) -> list[str]:
         """The merge procedure, for a short text."""
@@ -87,25 +90,41 @@ class Encoder:
     def _compatible(self, a: int, b: int) -> bool:
         if len(self.fits) > 4 * CACHE:
             self.fits.clear()
-        x, y = self.text[a], self.text[b]
-        got = self.fits[a << 20 | b] = self._merged(x + y) == [x, y]
+        got = self.fits[a << 20 | b] = self._stands(self.text[a], self.text[b])
         return got
 
+    def _stands(self, x: str, y: str) -> bool:
+        """Whether merging x + y again ends with the edge between them still there. Only the pairs beside a merge are asked for anew."""
+        rank, never = self.score.get, float("inf")
+        parts, edge = list(x + y), len(x) - 1
+        ranks = [rank(p + q, never) for p, q in zip(parts, parts[1:], strict=False)]
+        while (best := min(ranks)) != never:
+            i = ranks.index(best)
+            if i == edge:
+                return False
+            edge -= i < edge
+            parts[i] += parts.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank(parts[i - 1] + parts[i], never)
+            if i < len(ranks):
+                ranks[i] = rank(parts[i] + parts[i + 1], never)
+        return True
+
     def _known(self, text: str) -> list[int]:
         """The ids of a text of which every character has a piece."""
         chars, shorter, length, fits = self.chars, self.shorter, self.length, self.fits.get
-        longest = [chars[c] for c in text]
-        for end, (i, k) in self.automaton.iter(text):
-            # At each end the matches come from the longest on, and ends come in order, so the last one for a start is its longest.
-            longest[end - k] = i
+        # At each end the matches come from the longest on, and ends come in order, so the last one for a start is its longest.
+        longest = {end - k: i for end, (i, k) in self.automaton.iter(text)}
         n = len(text)
         out: list[int] = []
-        failed = bytearray((n >> 3) + 1)
-        at, piece, last = 0, longest[0], -1
+        failed = None  # the bitfield of places from which no sequence goes on to the end; few texts need one
+        at, last = 0, -1
+        piece = longest[0] if 0 in longest else chars[text[0]]
         while True:
             while piece >= 0:
                 end = at + length[piece]
-                if not failed[end >> 3] >> (end & 7) & 1:
+                if failed is None or not failed[end >> 3] >> (end & 7) & 1:
                     if last < 0:
                         break
                     ok = fits(last << 20 | piece)
@@ -116,8 +135,11 @@ class Encoder:
                 out.append(piece)
                 if end == n:
                     return out
-                at, last, piece = end, piece, longest[end]
+                at, last = end, piece
+                piece = longest[at] if at in longest else chars[text[at]]
             else:
+                if failed is None:
+                    failed = bytearray((n >> 3) + 1)
                 failed[at >> 3] |= 1 << (at & 7)
                 piece = out.pop()  # an encoding exists, so there is one
                 at -= length[piece]
@@ -140,26 +162,30 @@ class Encoder:
             ids += self._known(text[start:])
         return ids
 
-    def _miss(self, word: str) -> tuple[bytes, tuple[int, ...]]:
+    def _miss(self, word: str) -> tuple[bytes, bytes]:
         got = self.old.get(word)
         if got is None:
             ids, digits = self._cut(word), self.digits
-            got = (b",".join([digits[i] for i in ids]), tuple(ids))
+            got = (b",".join([digits[i] for i in ids]), array("i", ids).tobytes())
         if len(word) <= LONG:
             if len(self.young) >= CACHE:  # what was used since the last time stays
                 self.old, self.young = self.young, {}
             self.young[word] = got
         return got
 
-    def cuts(self, text: str | None) -> list[tuple[bytes, tuple[int, ...]]]:
-        """For each cut of a text: its ids joined by commas, and its ids."""
+    def cuts(self, text: str | None) -> list[tuple[bytes, bytes]]:
+        """For each cut of a text: its ids joined by commas, and its ids as bytes."""
         if not text:
             return []
         miss = self._miss
         return [self.young.get(w) or miss(w) for w in CUT.findall(SPACE + text.replace(" ", SPACE))]
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for _, ids in self.cuts(text) for i in ids]
+        return self.ids(self.cuts(text))
+
+    @staticmethod
+    def ids(cuts: list[tuple[bytes, bytes]]) -> list[int]:
+        return array("i", b"".join([raw for _, raw in cuts])).tolist()
 
     def decode(self, ids: list[int]) -> str:
         return self.processor.decode(ids)
@@ -216,11 +242,12 @@ def digests(df: DataFrame, model_path: str, text_col: str = "text") -> DataFrame
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def spm_digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         e = encoder(shared.value)
+        gc.disable()  # nothing here makes cycles, and the caches are large
         for texts in batches:
             n, ids_sha, text_sha = [], [], []
             for t in texts:
                 parts = e.cuts(t if isinstance(t, str) else "")
-                ids = [i for p in parts for i in p[1]]
+                ids = e.ids(parts)
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(b",".join([p[0] for p in parts])).hexdigest())
                 text_sha.append(hashlib.sha256(e.decode(ids).encode()).hexdigest())
