@@ -25,9 +25,9 @@ def test_gaps_are_not_bridged(spark):
     assert got[:3] == [None, None, None] and got[3] == pytest.approx(math.log(133.1 / 121))
 
 
-@pytest.mark.parametrize(("symbol", "currency"), [("2330.TW", "TWD"), ("005930.KS", "KRW"), ("0700.HK", "HKD"), ("HSBA.L", "GBp"), ("AAPL", "USD")])
+@pytest.mark.parametrize(("symbol", "currency"), [("2330.TW", "TWD"), ("005930.KS", "KRW"), ("0700.HK", "HKD"), ("HSBA.L", "GBp"), ("AAPL", "USD"), ("NBK.KW", "KWD")])
 def test_listing_currency(spark, symbol, currency):
-    assert one(spark, text.suffix_currency(F.lit(symbol), F.lit("USD"))) == currency
+    assert one(spark, text.listing_currency(F.lit(symbol), F.lit("US")))["code"] == currency
 
 
 @pytest.mark.parametrize(("given_", "want"), [("GBp", ("GBP", 0.01)), ("GBX", ("GBP", 0.01)), ("GBP", ("GBP", 1.0)), ("ZAc", ("ZAR", 0.01)), ("ILA", ("ILS", 0.01)), ("KWF", ("KWD", 0.001)), ("USc", ("USD", 0.01)), ("eur", ("EUR", 1.0))])

@@ -34,22 +34,18 @@ def log_sum_exp(xs: Column) -> Column:
 
 
 def name_similarity(a: Column, b: Column) -> Column:
-    """Ratcliff-Obershelp ratio of two names without their common words: a Python function, in Arrow batches."""
+    """Ratcliff-Obershelp ratio of two names, as labels without the words of companies' forms: a Python function, in Arrow batches."""
+    from tidemark.functions.text import label
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 
-        return pd.Series([SequenceMatcher(None, bare_name(p), bare_name(q)).ratio() if p and q else 0.0 for p, q in zip(x, y, strict=True)])
+        return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)], dtype=float)
 
-    return ratio(a, b)
+    bare = lambda c: F.array_join(F.filter(F.split(label(F.coalesce(c, F.lit(""))), " "), lambda w: ~w.isin(*COMMON_WORDS)), " ")
+    return ratio(bare(a), bare(b))
 
 
 #: Words that tell companies' forms, not their names.
-COMMON_WORDS = {"inc", "corp", "corporation", "co", "company", "ltd", "limited", "plc", "sa", "ag", "nv", "se", "spa", "ab", "asa", "oyj", "group", "holding", "holdings", "the", "class", "adr"}
-
-
-def bare_name(name: str) -> str:
-    import re
-
-    return " ".join(w for w in re.findall(r"[a-z0-9]+", name.lower()) if w not in COMMON_WORDS)
+COMMON_WORDS = ["inc", "incorporated", "corp", "corporation", "co", "company", "ltd", "limited", "plc", "sa", "ag", "nv", "class", "ordinary", "shares", "the"]

@@ -49,11 +49,14 @@ def fold_bounds(rows: int, folds: int, least: int) -> list[tuple[int, int, int]]
     return [(i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
 
 
-def expanding_folds(df: DataFrame, order: str, bounds: Sequence[tuple[int, int, int]]) -> DataFrame:
-    """Each fold's rows by position, with their part: train before its end, held up to its own."""
-    numbered = df.withColumn("pos", F.row_number().over(Window.orderBy(order)) - 1)  # one row a week
-    folds = F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(("fold", "train_end", "held_end"), b, strict=True))) for b in bounds))
-    got = numbered.select("*", F.explode(folds).alias("f")).select(*numbered.columns, "f.*").filter("pos < held_end")
+def expanding_folds(df: DataFrame, order: str, folds: int, least: int) -> DataFrame:
+    """Each fold's rows by position, with their part: train before its end, held up to its own. Bounds as of ``fold_bounds``, from the number of
+    rows there are; too few rows have no folds.
+    """
+    numbered = df.withColumn("pos", F.row_number().over(Window.orderBy(order)) - 1).withColumn("rows", F.count("*").over(Window.partitionBy()))  # one row a week
+    end = lambda i: (F.lit(least) + F.floor((F.col("rows") - least) * i / folds)).cast("long")
+    bounds = F.array(*(F.struct(F.lit(i).cast("long").alias("fold"), end(i).alias("train_end"), end(i + 1).alias("held_end")) for i in range(folds)))
+    got = numbered.filter(F.col("rows") > least).select("*", F.explode(bounds).alias("f")).select(*df.columns, "pos", "f.*").filter("pos < held_end and train_end < held_end")
     return got.withColumn("part", F.when(F.col("pos") < F.col("train_end"), "train").otherwise("held"))
 
 

@@ -58,3 +58,15 @@ def eligibility(returns: DataFrame, train_end: str, least_weeks: int, least_trai
     life = life.withColumn("coverage", F.when(F.col("train_weeks") > 0, F.col("train_weeks") / span).otherwise(F.lit(0).cast("double")))
     reason = F.when(F.col("weeks") < least_weeks, "insufficient_pre_cutoff_weeks").when(F.col("train_weeks") < least_train, "insufficient_training_weeks").when(F.col("coverage") < coverage, "low_pre_cutoff_coverage")
     return life.withColumn("reason", reason)
+
+
+def usd_per_unit(quotes: DataFrame, scale: Column, least: int = 20) -> DataFrame:
+    """quotes(code, week, direct, inverse) to (code, week, direction, usd): dollars for a unit as it is quoted. An inverse quote is turned over;
+    what is not finite goes; of the directions that have ``least`` values the direct one counts, and codes without one have no rows.
+    """
+    both = quotes.unpivot(["code", "week"], ["direct", "inverse"], "direction", "quote").filter(F.col("quote").isNotNull())
+    usd = F.when(F.col("direction") == "direct", F.col("quote")).otherwise(F.try_divide(F.lit(1.0), F.col("quote"))) * scale
+    usable = both.withColumn("usd", usd).filter(F.col("usd").isNotNull() & ~F.isnan("usd") & (F.abs("usd") < float("inf"))).drop("quote")
+    enough = usable.groupBy("code", "direction").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    first = enough.groupBy("code").agg(F.min("direction").alias("direction"))  # direct comes before inverse
+    return usable.join(first, ["code", "direction"]).select("code", "week", "direction", "usd")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import text
+
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each key: a maximum by the order, taken before the shuffle as well, so large groups need no sort."""
@@ -82,3 +84,26 @@ def ranked_with_margin(df: DataFrame, group: str, score: str, tie: str) -> DataF
     """Each group's best row and by how much it leads."""
     w = Window.partitionBy(group).orderBy(F.desc(score), tie)
     return df.withColumn("rank", F.row_number().over(w)).withColumn("margin", F.col(score) - F.lead(score).over(w)).filter("rank = 1").drop("rank")
+
+
+def pending(wanted: DataFrame, manifest: DataFrame, files: DataFrame, end: DataFrame, key: str, days: int = 10) -> DataFrame:
+    """The rows of ``wanted`` that are not done: done is what the manifest (key, status, last_date) has as ok, with a file (key), and with data up to
+    ``days`` before the requested end (a table of one row).
+    """
+    late = F.date_sub("requested_end", days)
+    done = manifest.filter("status = 'ok'").crossJoin(F.broadcast(end)).filter(F.col("last_date") >= late).join(files, key, "left_semi")  # by one row
+    return wanted.join(done.select(key), key, "left_anti")
+
+
+def audit_mappings(df: DataFrame, similarity: Column, least: float = 0.55) -> DataFrame:
+    """``df`` (ticker, country, method, resolved, was) with the first reason against each verified mapping; what has one is reset."""
+    land = F.upper(F.trim(F.coalesce("country", F.lit(""))))
+    ticker = F.trim(F.coalesce("ticker", F.lit("")))
+    elsewhere = (land != "") & (land != "US")
+    unlike = (F.coalesce("resolved", F.lit("")) != "") & (F.col("method") != "direct_symbol") & (similarity < least)
+    reason = F.when(~F.col("was"), None).when(ticker == "", "blank").when((F.col("method") == "direct_symbol") & elsewhere, "bare_symbol")
+    reason = reason.when((land != "") & ~text.compatible(F.col("country"), ticker), "suffix_mismatch").when(unlike, "name_mismatch")
+    kept = lambda c, other: F.when(F.col("reason").isNull(), F.col(c)).otherwise(other).alias(c)
+    got = df.withColumn("reason", reason)
+    reset = {"ticker": "", "method": "", "was": False}
+    return got.select(*(kept(c, F.lit(reset[c])) if c in reset else F.col(c) for c in got.columns))

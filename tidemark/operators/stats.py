@@ -39,20 +39,52 @@ def one_error_rule(df: DataFrame, rank: str, gate: str, gate_error: str, metric:
 
 
 def autocorrelation(df: DataFrame, order: str, x: str, most: int) -> DataFrame:
-    """(lag, rho) of one series, for lags from 1 to ``most``."""
+    """(lag, rho, n) of one series of n values, for lags from 1 to ``most``, n / 4 at the most."""
     whole = Window.partitionBy()
     w = Window.orderBy(order)
-    d = df.withColumn("d", F.col(x) - F.avg(x).over(whole)).withColumn("pos", F.row_number().over(w))  # one short series
+    d = df.withColumn("d", F.col(x) - F.avg(x).over(whole)).withColumn("pos", F.row_number().over(w)).withColumn("n", F.count("*").over(whole))  # one short series
     lags = F.explode(F.array(*map(F.lit, range(1, most + 1)))).alias("lag")
     ahead = d.select((F.col("pos")).alias("p2"), F.col("d").alias("d2"))
     total = d.agg(F.sum(F.col("d") * F.col("d")).alias("total"))
-    pairs = d.select("pos", "d", lags).join(ahead, F.col("p2") == F.col("pos") + F.col("lag"))
-    return pairs.groupBy("lag").agg(F.sum(F.col("d") * F.col("d2")).alias("c")).crossJoin(F.broadcast(total)).select("lag", (F.col("c") / F.col("total")).alias("rho"))
+    pairs = d.select("pos", "d", "n", lags).filter(F.col("lag") <= F.floor(F.col("n") / 4)).join(ahead, F.col("p2") == F.col("pos") + F.col("lag"))
+    return pairs.groupBy("lag").agg(F.sum(F.col("d") * F.col("d2")).alias("c"), F.max("n").alias("n")).crossJoin(F.broadcast(total)).select("lag", (F.col("c") / F.col("total")).alias("rho"), "n")
 
 
-def block_length(rho: DataFrame, bound: float, run: int = 3) -> DataFrame:
-    """max(2, lag - 2) of the first lag that ends ``run`` weak ones in a row; else of the last lag."""
+def block_length(rho: DataFrame, run: int = 3) -> DataFrame:
+    """(lag, rho, n) to the length of blocks: where the first ``run`` weak lags in a row begin, weak being below 1.96 / sqrt(n); the last lag, if none do; 2 at least."""
     w = Window.orderBy("lag").rowsBetween(1 - run, 0)  # a row a lag
-    weak = F.sum((F.abs("rho") < bound).cast("int")).over(w)
+    weak = F.sum((F.abs("rho") < 1.96 / F.sqrt("n")).cast("int")).over(w)
     ended = rho.withColumn("weak", weak).agg(F.min(F.when(F.col("weak") == run, F.col("lag"))).alias("stop"), F.max("lag").alias("last"))
-    return ended.select(F.greatest(F.lit(2), F.coalesce(F.col("stop"), F.col("last")) - (run - 1)).alias("block"))
+    return ended.select(F.greatest(F.lit(2), F.coalesce(F.col("stop") - (run - 1), F.col("last"), F.lit(2))).alias("block"))
+
+
+#: The speed of a turn by the angle that is left, and the correction by the heading's error: above the first number, the second.
+TURN_SPEED = [(45, 30), (20, 20), (None, 10)]
+HEADING_CORRECTION = [(20, 15), (10, 10), (3, 5), (None, 0)]
+
+
+def banded(x: Column, bands: Sequence[tuple[float | None, int]]) -> Column:
+    """The value of the first band whose lower bound x is above."""
+    out = F.when(F.lit(False), 0)
+    for least, value in bands[:-1]:
+        out = out.when(x > least, value)
+    return out.otherwise(bands[-1][1])
+
+
+def direction_back(x: Column, y: Column) -> Column:
+    """The angle of a vector, turned by half into (-180, 180]; with x next to 0 it is 90, -90 or 0 before the turn."""
+    flat = F.when(y > 0, 90.0).when(y < 0, -90.0).otherwise(0.0)
+    a = F.when(F.abs(x) < 0.001, flat).otherwise(F.degrees(F.atan2(y, x))) + 180
+    return F.when(a > 180, a - 360).when(a <= -180, a + 360).otherwise(a)
+
+
+def numbered(df: DataFrame, key: str, block: int = 1 << 16) -> DataFrame:
+    """``df`` with nth, each row's place from 0 in the order of a whole-number ``key``: rows are numbered within blocks of the key's values, and
+    shifted by the counts of the blocks before. No task puts more than a block in order.
+    """
+    own = Window.partitionBy("block").orderBy(key)
+    blocks = df.withColumn("block", F.floor(F.col(key) / block))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    starts = blocks.groupBy("block").agg(F.count("*").alias("size")).select("block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    local = blocks.withColumn("nth", F.row_number().over(own) - 1)
+    return local.join(starts, "block").withColumn("nth", F.col("nth") + F.col("start")).drop("block", "start")

@@ -1,0 +1,22 @@
+"""Worked examples as queries: the rows of a table take the examples in turn, Spark works the answers out, and the SQL twin has the answers as they were written down."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def _literal(v) -> str:
+    return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v.replace(chr(39), chr(39) * 2)}'" if isinstance(v, str) else f"CAST({v!r} AS DOUBLE)" if isinstance(v, float) else str(v)
+
+
+def given(df: DataFrame, key: str, names: list[str], rows: list[tuple]) -> DataFrame:
+    """``df``'s key with the columns ``names`` of the example whose turn it is; each row may have more, the answers."""
+    all_ = F.array(*(F.struct(*(F.lit(v).cast("string").alias(n) if v is None else F.lit(v).alias(n) for n, v in zip(names, r, strict=False))) for r in rows))
+    return df.select(key, F.get(all_, (F.col(key) % len(rows)).cast("int")).alias("e")).select(key, "e.*")
+
+
+def answers(table: str, key: str, names: list[str], rows: list[tuple], some: list[str]) -> str:
+    """The twin: the key and the columns ``some`` of the examples, out of all their ``names``."""
+    values = ", ".join(f"({i}, {', '.join(map(_literal, r))})" for i, r in enumerate(rows))
+    return f"SELECT {key}, {', '.join(some)} FROM {table} JOIN (VALUES {values}) e(nth, {', '.join(names)}) ON e.nth = {key} % {len(rows)}"

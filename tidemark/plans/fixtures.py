@@ -38,8 +38,8 @@ def basket(t: Tables) -> DataFrame:
 
 
 def fx(t: Tables) -> DataFrame:
-    """Weekly rates of five made-up currencies, by order priority."""
-    return t.orders.groupBy(F.col("o_orderpriority").alias("code"), calendar.week_of(F.to_date("o_orderdate")).alias("week")).agg((F.avg("o_totalprice") / 100000).alias("usd_per_unit"))
+    """Weekly rates of five made-up currencies, by order priority. Sums are decimal, so they don't depend on the order of rows."""
+    return t.orders.groupBy(F.col("o_orderpriority").alias("code"), calendar.week_of(F.to_date("o_orderdate")).alias("week")).agg((F.sum(F.col("o_totalprice").cast("decimal(15,2)")).cast("double") / F.count("*") / 100000).alias("usd_per_unit"))
 
 
 def user_paths(t: Tables) -> DataFrame:
@@ -57,5 +57,5 @@ SP = WK + ", cal AS (SELECT CAST(unnest(generate_series((SELECT min(week) FROM w
 RT = SP + ", rt AS (SELECT security_id, week, price, CASE WHEN price > 0 AND pp > 0 THEN ln(price / pp) END AS log_return FROM (SELECT *, lag(price) OVER (PARTITION BY security_id ORDER BY week) AS pp FROM pn))"
 BK = RT + ", bk AS (SELECT week, CASE WHEN count(log_return) > 0 THEN sum(log_return) / CAST(count(log_return) AS DOUBLE) END AS basket_return, avg(CASE WHEN log_return IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS observed_fraction, count(log_return) AS observed FROM rt GROUP BY week)"
 EN = "en AS (SELECT s_suppkey AS security_id, s_name AS company_name, n_name AS country, r_name AS region, 'SECTOR_' || (s_suppkey % 5) AS sector, ['USD', 'GBp', 'EUR', 'JPY'][s_nationkey % 4 + 1] AS currency, s_acctbal FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
-FX = f"fx AS (SELECT o_orderpriority AS code, {WEEK.format('o_orderdate')} AS week, avg(o_totalprice) / 100000 AS usd_per_unit FROM orders GROUP BY 1, 2)"
+FX = f"fx AS (SELECT o_orderpriority AS code, {WEEK.format('o_orderdate')} AS week, CAST(sum(CAST(o_totalprice AS DECIMAL(15, 2))) AS DOUBLE) / count(*) / 100000 AS usd_per_unit FROM orders GROUP BY 1, 2)"
 UP = "up AS (SELECT user_id, step, r, exp(least(greatest(sum(r) OVER (PARTITION BY user_id ORDER BY step ROWS UNBOUNDED PRECEDING), -80.0::DOUBLE), 80.0::DOUBLE)) AS level FROM (SELECT user_id, (value - 50) / 1000 AS r, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events))"

@@ -71,17 +71,20 @@ def t08(t: Tables) -> DataFrame:
     return t.orders.groupBy(F.col("o_orderstatus").alias("status")).agg(F.date_format(F.max(F.to_date("o_orderdate")), "yyyy-MM-dd").alias("snapshot"))
 
 
-FX_SQL = f"WITH {X.FX}, c AS (SELECT code, week, usd_per_unit, row_number() OVER (PARTITION BY code ORDER BY week) % 2 AS k FROM fx), o AS (SELECT code, week, CASE WHEN k = 0 THEN 'direct' ELSE 'inverse' END AS direction, CASE WHEN k = 0 THEN usd_per_unit ELSE 1 / (1 / usd_per_unit) END AS rate FROM c) SELECT code, week, direction, round(rate * 0.0123::DOUBLE, 9) AS usd FROM o WHERE code IN (SELECT code FROM o GROUP BY code HAVING count(*) >= 20)"
+_SCALE = "CASE code WHEN '3-MEDIUM' THEN 0.01::DOUBLE WHEN '5-LOW' THEN 0.001::DOUBLE ELSE 1.0::DOUBLE END"
+FX_SQL = f"WITH {X.FX}, o AS (SELECT code, week, CASE WHEN code <> '4-NOT SPECIFIED' AND (code <> '2-HIGH' OR week <= (SELECT min(week) FROM fx) + 70) THEN usd_per_unit END AS d, CASE WHEN code <> '4-NOT SPECIFIED' OR week <= (SELECT min(week) FROM fx) + 70 THEN CASE WHEN month(week) = 6 THEN 0.0::DOUBLE ELSE 1 / usd_per_unit END END AS i FROM fx), u AS (SELECT code, week, 'direct' AS direction, d * {_SCALE} AS usd FROM o WHERE d IS NOT NULL UNION ALL SELECT code, week, 'inverse', 1 / i * {_SCALE} FROM o WHERE i <> 0), n AS (SELECT code, min(direction) AS direction FROM (SELECT code, direction FROM u GROUP BY ALL HAVING count(*) >= 20) GROUP BY 1) SELECT code, week, direction, usd FROM u JOIN n USING (code, direction)"
 
 
 @query("t09_fx_direction", FX_SQL)
 def t09(t: Tables) -> DataFrame:
-    w = Window.partitionBy("code").orderBy("week")
-    c = X.fx(t).withColumn("direction", F.when(F.row_number().over(w) % 2 == 0, "direct").otherwise("inverse"))
-    quoted = c.withColumn("quote", F.when(F.col("direction") == "direct", F.col("usd_per_unit")).otherwise(1 / F.col("usd_per_unit")))
-    rate = F.when(F.col("direction") == "direct", F.col("quote")).when(F.col("quote") != 0, 1 / F.col("quote"))
-    enough = F.count("*").over(Window.partitionBy("code"))
-    return quoted.withColumn("n", enough).filter((F.col("n") >= 20) & rate.isNotNull()).select("code", "week", "direction", r6(rate * F.lit(0.0123), 9).alias("usd"))
+    """One currency has too few direct quotes and falls back, one has too few of either; some inverse quotes are 0. All values are compared unrounded."""
+    fx = X.fx(t)
+    early = F.col("week") <= F.date_add("first", 70)
+    q = fx.crossJoin(F.broadcast(fx.agg(F.min("week").alias("first"))))  # by one row
+    direct = F.when((F.col("code") != "4-NOT SPECIFIED") & ((F.col("code") != "2-HIGH") | early), F.col("usd_per_unit"))
+    inverse = F.when((F.col("code") != "4-NOT SPECIFIED") | early, F.when(F.month("week") == 6, 0.0).otherwise(1 / F.col("usd_per_unit")))
+    scale = F.when(F.col("code") == "3-MEDIUM", 0.01).when(F.col("code") == "5-LOW", 0.001).otherwise(1.0)
+    return panel.usd_per_unit(q.select("code", "week", direct.alias("direct"), inverse.alias("inverse")), scale)
 
 
 CODES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -109,21 +112,20 @@ def w05(t: Tables) -> DataFrame:
     return calendar.forward_fill(full, "security_id", "week", "price", 2).select("security_id", "week", r6("price", 9).alias("price"))
 
 
-BOUNDS = calendar.fold_bounds(358, 3, 180)
-_B = ", ".join(f"({a}, {b}, {c})" for a, b, c in BOUNDS)
+_FOLDS = "n AS (SELECT week, row_number() OVER (ORDER BY week) - 1 AS pos, count(*) OVER () AS rows FROM cal), b AS (SELECT DISTINCT i AS fold, 180 + (rows - 180) * i // 3 AS train_end, 180 + (rows - 180) * (i + 1) // 3 AS held_end FROM n, unnest(range(0, 3)) u(i))"
 
 
-@query("t11_expanding_folds", f"WITH {X.SP}, n AS (SELECT week, row_number() OVER (ORDER BY week) - 1 AS pos FROM cal) SELECT b.fold, CASE WHEN pos < b.train_end THEN 'train' ELSE 'held' END AS part, min(week) AS first_week, max(week) AS last_week, count(*) AS n FROM n JOIN (VALUES {_B}) b(fold, train_end, held_end) ON pos < b.held_end GROUP BY 1, 2")
+@query("t11_expanding_folds", f"WITH {X.SP}, {_FOLDS} SELECT b.fold, CASE WHEN pos < b.train_end THEN 'train' ELSE 'held' END AS part, min(week) AS first_week, max(week) AS last_week, count(*) AS n FROM n JOIN b ON pos < b.held_end GROUP BY 1, 2")
 def t11(t: Tables) -> DataFrame:
-    f = calendar.expanding_folds(calendar.weeks_between(X.weekly(t)), "week", BOUNDS)
+    f = calendar.expanding_folds(calendar.weeks_between(X.weekly(t)), "week", 3, 180)
     return f.groupBy("fold", "part").agg(F.min("week").alias("first_week"), F.max("week").alias("last_week"), F.count("*").alias("n"))
 
 
-@query("t12_fold_eligibility", f"WITH {X.RT}, n AS (SELECT week, row_number() OVER (ORDER BY week) - 1 AS pos FROM cal) SELECT b.fold, rt.security_id, count(rt.log_return) AS observed FROM rt JOIN n USING (week) JOIN (VALUES {_B}) b(fold, train_end, held_end) ON pos < b.train_end GROUP BY b.fold, rt.security_id, b.train_end HAVING count(rt.log_return) >= greatest(2, 26, ceil(0.25 * b.train_end))")
+@query("t12_fold_eligibility", f"WITH {X.RT}, {_FOLDS} SELECT b.fold, rt.security_id, count(rt.log_return) AS observed FROM rt JOIN n USING (week) JOIN b ON pos < b.train_end GROUP BY b.fold, rt.security_id, b.train_end HAVING count(rt.log_return) >= greatest(2, 26, ceil(0.25 * b.train_end))")
 def t12(t: Tables) -> DataFrame:
     rt = X.returns(t)
-    folds = calendar.expanding_folds(calendar.weeks_between(X.weekly(t)), "week", BOUNDS).filter("part = 'train'").select("fold", "week", "train_end")
-    seen = rt.filter("log_return is not null").join(F.broadcast(folds), "week").groupBy("fold", "security_id", "train_end").agg(F.count("*").alias("observed"))
+    folds = calendar.expanding_folds(calendar.weeks_between(X.weekly(t)), "week", 3, 180).filter("part = 'train'").select("fold", "week", "train_end")
+    seen = rt.filter("log_return is not null").join(F.broadcast(folds), "week").groupBy("fold", "security_id", "train_end").agg(F.count("*").alias("observed"))  # a row a fold and week
     return seen.filter(F.col("observed") >= F.greatest(F.lit(26), F.ceil(F.lit(0.25) * F.col("train_end")))).select("fold", "security_id", "observed")
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import text
+from tidemark.functions import special, text
 from tidemark.operators import relational as R
+from tidemark.plans import cases
 from tidemark.plans.registry import Tables, query
 
 
@@ -17,10 +18,14 @@ def s17(t: Tables) -> DataFrame:
     return R.upsert(old, new, ["o_custkey"], ["day", "o_orderkey"])
 
 
-@query("s18_pending_set", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderdate >= TIMESTAMP '1996-01-01')")
+@query("s18_pending_set", "WITH last AS (SELECT o_custkey, max(CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) END) AS day FROM orders GROUP BY 1), filed AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority <> '5-LOW'), requested AS (SELECT max(CAST(o_orderdate AS DATE)) - 1500 AS day FROM orders) SELECT c_custkey FROM customer, requested r WHERE NOT EXISTS (SELECT 1 FROM last l WHERE l.o_custkey = c_custkey AND l.day >= r.day - 10 AND c_custkey IN (SELECT o_custkey FROM filed))")
 def s18(t: Tables) -> DataFrame:
-    done = t.orders.filter((F.col("o_orderstatus") == "F") & (F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp_ntz"))).select(F.col("o_custkey").alias("c_custkey"))
-    return t.customer.select("c_custkey").join(done, "c_custkey", "left_anti")
+    """Done is what is marked so, whose file is there, and whose last date is at most 10 days before the requested end. The rest is pending."""
+    day = F.to_date("o_orderdate")
+    manifest = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max(F.when(F.col("o_orderstatus") == "F", day)).alias("last_date")).withColumn("status", F.when(F.col("last_date").isNotNull(), "ok"))
+    files = t.orders.filter("o_orderpriority <> '5-LOW'").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    end = t.orders.agg(F.date_sub(F.max(day), 1500).alias("requested_end"))
+    return R.pending(t.customer.select("c_custkey"), manifest, files, end, "c_custkey")
 
 
 @query("s19_unpivot_payload", "SELECT l_suppkey, field, round(sum(v), 2) AS total FROM (SELECT l_suppkey, unnest(['quantity', 'price', 'tax']) AS field, unnest([l_quantity, l_extendedprice, l_tax]) AS v FROM lineitem) GROUP BY 1, 2")
@@ -89,37 +94,68 @@ def p07(t: Tables) -> DataFrame:
     return t.supplier.select("s_suppkey", text.first_filled(("yahoo", a), ("suffix", b), ("country", c)).alias("f")).select("s_suppkey", F.col("f.value").alias("value"), F.col("f.source").alias("source"))
 
 
-_SUF = ", ".join(f"('{k}', '{v}')" for k, v in text.SUFFIX_CURRENCY.items())
-_KEYS = list(text.SUFFIX_CURRENCY)
+#: Worked by hand: symbol, country, and the currency with where it comes from.
+LISTINGS = [
+    ("2330.TW", "TW", "TWD", "yahoo_suffix:.TW"), ("6488.TWO", "TW", "TWD", "yahoo_suffix:.TWO"), ("005930.KS", "KR", "KRW", "yahoo_suffix:.KS"), ("091990.KQ", "", "KRW", "yahoo_suffix:.KQ"),
+    ("0700.hk", "CN", "HKD", "yahoo_suffix:.HK"), ("7203.T", "JP", "JPY", "yahoo_suffix:.T"), ("HSBA.L", "US", "GBp", "yahoo_suffix:.L"), ("NESN.SW", "CH", "CHF", "yahoo_suffix:.SW"),
+    ("NBK.KW", "KW", "KWD", "yahoo_suffix:.KW"), ("TEVA.TA", "IL", "ILA", "yahoo_suffix:.TA"), ("NPN.JO", "ZA", "ZAc", "yahoo_suffix:.JO"), ("RY.TO", "CA", "CAD", "yahoo_suffix:.TO"),
+    ("ABC.V", "CA", "CAD", "yahoo_suffix:.V"), ("XYZ.NE", "CA", "CAD", "yahoo_suffix:.NE"), ("COMI.CA", "EG", "EGP", "yahoo_suffix:.CA"), ("SQM.SN", "CL", "CLP", "yahoo_suffix:.SN"),
+    ("ECOPETROL.CL", "CO", "COP", "yahoo_suffix:.CL"), ("SMSN.IL", "GB", "USD", "yahoo_suffix:.IL"), ("TLV.RO", "RO", "RON", "yahoo_suffix:.RO"), ("MARL.IC", "IS", "ISK", "yahoo_suffix:.IC"),
+    ("SAP.MU", "DE", "EUR", "yahoo_suffix:.MU"), ("CEZ.PR", "CZ", "EUR", "yahoo_suffix:.PR"), ("OTP.BD", "HU", "HUF", "yahoo_suffix:.BD"), ("600000.SS", "CN", "CNY", "yahoo_suffix:.SS"),
+    ("EMAAR.AE", "AE", "AED", "yahoo_suffix:.AE"), ("FAB.AD", "AE", "AED", "yahoo_suffix:.AD"), ("THYAO.IS", "TR", "TRY", "yahoo_suffix:.IS"), ("AAPL", "us", "USD", "country:US"),
+    ("VOD", "GB", "GBp", "country:GB"), ("SQUARE", "BD", "BDT", "country:BD"), ("OGDC", "PK", "PKR", "country:PK"), ("VNM", "VN", "VND", "country:VN"), ("GGAL", "AR", "ARS", "country:AR"),
+    ("CEZ", "CZ", "CZK", "country:CZ"), ("NBK", "KW", "KWD", "country:KW"), ("TEVA", "IL", "ILA", "country:IL"), ("WHO", "XX", "", "missing"), ("WHO", "", "", "missing"), ("", "", "", "missing"),
+]
+_LISTED = ["symbol", "country", "currency", "source"]
 
 
-@query("p08_suffix_currency", f"WITH s AS (SELECT s_suppkey, 'AB' || s_suppkey || [{', '.join(repr(x) for x in _KEYS)}, ''][s_suppkey % {len(_KEYS) + 1} + 1] AS symbol FROM supplier), x(suffix, code) AS (VALUES {_SUF}), j AS (SELECT s.s_suppkey, s.symbol, x.code, row_number() OVER (PARTITION BY s.s_suppkey ORDER BY length(x.suffix) DESC NULLS LAST) AS rn FROM s LEFT JOIN x ON ends_with(s.symbol, x.suffix)) SELECT s_suppkey, symbol, coalesce(code, 'USD') AS currency FROM j WHERE rn = 1")
+@query("p08_suffix_currency", cases.answers("supplier", "s_suppkey", _LISTED, LISTINGS, ["symbol", "currency", "source"]))
 def p08(t: Tables) -> DataFrame:
-    n = len(_KEYS) + 1
-    suffix = F.element_at(F.array(*map(F.lit, [*_KEYS, ""])), (F.col("s_suppkey") % n + 1).cast("int"))
-    s = t.supplier.select("s_suppkey", F.concat(F.lit("AB"), F.col("s_suppkey").cast("string"), suffix).alias("symbol"))
-    return s.withColumn("currency", text.suffix_currency(F.col("symbol"), F.lit("USD")))
+    s = cases.given(t.supplier, "s_suppkey", _LISTED[:2], LISTINGS)
+    return s.withColumn("c", text.listing_currency(F.col("symbol"), F.col("country"))).select("s_suppkey", "symbol", F.col("c.code").alias("currency"), "c.source")
 
 
-@query("p09_keyword_currency", "SELECT r_name AS exchange, CASE " + " ".join(f"WHEN contains(lower(r_name), '{w}') THEN '{c}'" for w, c in text.EXCHANGE_CURRENCY) + " END AS currency FROM region")
+#: Worked by hand: an exchange's name, and the currency with the word that tells it.
+EXCHANGES = [
+    ("NasdaqGS - Nasdaq Real Time", "USD", "exchange:NASDAQ"), ("NMS", "USD", "exchange:NMS"), ("NYSE Arca", "USD", "exchange:NYSE"), ("New York Stock Exchange", "USD", "exchange:NEW YORK STOCK EXCHANGE"),
+    ("OTC Markets", "USD", "exchange:OTC"), ("Toronto Stock Exchange", "CAD", "exchange:TORONTO"), ("TSXV", "CAD", "exchange:TSX"), ("Stuttgart", "EUR", "exchange:STUTTGART"),
+    ("Düsseldorf", "EUR", "exchange:DÜSSELDORF"), ("International Orderbook - London", "USD", "exchange:INTERNATIONAL ORDERBOOK - LONDON"), ("London", "", "missing"),
+    ("Dubai Financial Market", "AED", "exchange:DUBAI FINANCIAL MARKET"), ("Nasdaq Iceland", "USD", "exchange:NASDAQ"), ("Iceland", "ISK", "exchange:ICELAND"), ("Bucharest", "RON", "exchange:BUCHAREST"),
+    ("Bolsa de Valores de Colombia", "COP", "exchange:BOLSA DE VALORES DE COLOMBIA"), ("Taipei Exchange", "", "missing"), (" ", "", "missing"), ("Base exchange", "USD", "exchange:ASE"), ("AMERICA", "", "missing"),
+]
+
+
+@query("p09_keyword_currency", cases.answers("nation", "n_nationkey", ["exchange", "currency", "source"], EXCHANGES, ["exchange", "currency", "source"]))
 def p09(t: Tables) -> DataFrame:
-    return t.region.select(F.col("r_name").alias("exchange"), text.keyword_currency(F.col("r_name")).alias("currency"))
+    n = cases.given(t.nation, "n_nationkey", ["exchange"], EXCHANGES)
+    return n.withColumn("c", text.exchange_currency(F.col("exchange"))).select("n_nationkey", "exchange", F.col("c.code").alias("currency"), "c.source")
+
+
+#: Worked by hand: a currency as quoted, its code and the scale.
+UNITS = [
+    ("GBp", "GBP", 0.01), ("GBX", "GBP", 0.01), ("GBP", "GBP", 1.0), ("gbp", "GBP", 1.0), ("gbx", "GBP", 0.01), ("GB pence", "GBP", 0.01), ("ZAc", "ZAR", 0.01), ("ZAC", "ZAR", 0.01), ("ILA", "ILS", 0.01), ("KWF", "KWD", 0.001),
+    ("USc", "USD", 0.01), ("usc", "USD", 0.01), ("eur", "EUR", 1.0), (" US D ", "USD", 1.0), ("", "", 1.0), (None, "", 1.0),
+]
 
 
-@query("p10_currency_units", "SELECT c AS given, CASE c WHEN 'GBp' THEN 'GBP' WHEN 'GBX' THEN 'GBP' WHEN 'ZAc' THEN 'ZAR' WHEN 'ILA' THEN 'ILS' WHEN 'KWF' THEN 'KWD' WHEN 'USc' THEN 'USD' ELSE upper(c) END AS code, CASE WHEN c = 'KWF' THEN 0.001::DOUBLE WHEN c IN ('GBp', 'GBX', 'ZAc', 'ILA', 'USc') THEN 0.01::DOUBLE ELSE 1.0::DOUBLE END AS scale FROM (VALUES ('GBp'), ('GBX'), ('GBP'), ('ZAc'), ('ILA'), ('KWF'), ('USc'), ('eur')) v(c)")
+@query("p10_currency_units", cases.answers("supplier", "s_suppkey", ["quoted", "code", "scale"], UNITS, ["quoted", "code", "scale"]))
 def p10(t: Tables) -> DataFrame:
-    v = t.spark.createDataFrame([(x,) for x in ("GBp", "GBX", "GBP", "ZAc", "ILA", "KWF", "USc", "eur")], "given string")
-    return v.withColumn("c", text.currency(F.col("given"))).select("given", "c.code", "c.scale")
+    v = cases.given(t.supplier, "s_suppkey", ["quoted"], UNITS)
+    return v.withColumn("c", text.currency(F.col("quoted"))).select("s_suppkey", "quoted", "c.code", "c.scale")
 
 
-CASH = [("US DOLLAR CASH", "USD", "", "-"), ("Cash America", "CSH", "US1", "Financials"), ("EURO CURRENCY", "EUR", "", ""), ("Deposit Bank", "DEPO", "", ""), ("Cashew Farms", "CFM", "", "")]
-_CASH = ", ".join(str(x) for x in CASH)
+#: Worked by hand: name, ticker, instrument type, country, and whether it is a cash position.
+CASH = [
+    ("US Dollar", "USD", "", "", True), ("Japanese yen balance", "jpy", "", "", True), ("EURO CURRENCY", "EUR", "", "", True), ("Israeli Shekel", "ILS", "", "", True), ("Indian Rupee", "INR", "", " ", True),
+    ("Cash America", "CSH", "EQUITY", "", False), ("Cash America", "CSH", "", "US", False), ("Cashew Farms", "CFM", "", "", False), ("Dollarama", "DOL", "", "", False), ("US Dollar", "USDX", "", "", False),
+    ("Deposit Bank", "DEP", "", "", False), ("Margin receivable", "MAR", "", "", False), ("Turkish Lira", "TRY", None, None, True), ("Swedish krone; cash", "SEK", "", "", True), (None, "USD", "", "", False),
+]
 
 
-@query("p11_cash_rows", f"SELECT n AS name, isin = '' AND regexp_full_match(t, '[A-Z]{{3}}') AND regexp_matches(n, '(?i)\\b(cash|currency|deposit|margin|receivable)\\b') AND s IN ('', '-', 'Cash') AS is_cash FROM (VALUES {_CASH}) v(n, t, isin, s)")
+@query("p11_cash_rows", cases.answers("supplier", "s_suppkey", ["name", "ticker", "instrument", "country", "is_cash"], CASH, ["name", "is_cash"]))
 def p11(t: Tables) -> DataFrame:
-    v = t.spark.createDataFrame(CASH, "name string, t string, isin string, s string")
-    return v.select("name", text.is_cash(F.col("name"), F.col("t"), F.col("isin"), F.col("s")).alias("is_cash"))
+    v = cases.given(t.supplier, "s_suppkey", ["name", "ticker", "instrument", "country"], CASH)
+    return v.select("s_suppkey", "name", text.is_cash(F.col("instrument"), F.col("country"), F.col("ticker"), F.col("name")).alias("is_cash"))
 
 
 @query("p13_clip", "SELECT event_id, least(greatest(value, 10.0::DOUBLE), 100.0::DOUBLE) AS clipped FROM events")
@@ -140,11 +176,24 @@ def p19(t: Tables) -> DataFrame:
     return w.crossJoin(F.broadcast(m)).select("s_suppkey", F.round(F.when(F.col("percent"), F.col("w") / 100).otherwise(F.col("w")), 6).alias("weight"))  # by one row
 
 
-@query("p20_mapping_audit", "WITH m AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_name END AS ticker, c_nationkey, c_acctbal > 0 AS verified FROM customer), r AS (SELECT *, CASE WHEN NOT verified THEN NULL WHEN ticker = '' THEN 'blank' WHEN c_nationkey <> 1 AND c_custkey % 5 = 0 THEN 'bare_symbol' WHEN c_nationkey % 2 = 1 THEN 'suffix_mismatch' END AS reason FROM m) SELECT c_custkey, reason, verified AND reason IS NULL AS verified FROM r")
+#: Worked by hand: ticker, country, method, name, resolved name, whether verified, and why the mapping goes, if it does.
+MAPPINGS = [
+    ("AAPL", "US", "direct_symbol", "Apple Inc", "Apple Inc.", True, None), ("", "US", "search", "Apple Inc", "Apple Inc.", True, "blank"), ("VOD", "GB", "direct_symbol", "Vodafone Group", "", True, "bare_symbol"),
+    ("VOD.L", "GB", "country_suffix:GB", "Vodafone Group plc", "Vodafone Group", True, None), ("VOD.PA", "GB", "search", "Vodafone Group", "Vodafone Group", True, "suffix_mismatch"),
+    ("7203.T", "JP", "search", "Toyota Motor Corp", "Kirin Holdings", True, "name_mismatch"), ("7203.T", "JP", "search", "Toyota Motor Corp", "", True, None), ("BRK.B", "US", "search", "Berkshire", "Berkshire", True, "suffix_mismatch"),
+    ("7203.T", "JP", "search", "Toyota Motor Corp", "Kirin Holdings", False, None), ("XYZ", "", "direct_symbol", "Any Name", "Other Thing", True, None), ("^FTSE", "GB", "search", "FTSE", "FTSE", True, "suffix_mismatch"),
+    ("ABC.QQ", "ZZ", "search", "The Alpha Company Limited", "ALPHA CO LTD", True, None),
+]
+
+
+_MAPPED = ["ticker", "country", "method", "name", "resolved", "was", "reason"]
+
+
+@query("p20_mapping_audit", "SELECT c_custkey, reason, was AND reason IS NULL AS verified, CASE WHEN reason IS NULL THEN ticker ELSE '' END AS ticker, CASE WHEN reason IS NULL THEN method ELSE '' END AS method FROM (" + cases.answers("customer", "c_custkey", _MAPPED, MAPPINGS, _MAPPED) + ")")
 def p20(t: Tables) -> DataFrame:
-    m = t.customer.select("c_custkey", F.when(F.col("c_custkey") % 7 == 0, "").otherwise(F.col("c_name")).alias("ticker"), "c_nationkey", (F.col("c_acctbal") > 0).alias("verified"))
-    reason = F.when(~F.col("verified"), None).when(F.col("ticker") == "", "blank").when((F.col("c_nationkey") != 1) & (F.col("c_custkey") % 5 == 0), "bare_symbol").when(F.col("c_nationkey") % 2 == 1, "suffix_mismatch")
-    return m.withColumn("reason", reason).select("c_custkey", "reason", (F.col("verified") & F.col("reason").isNull()).alias("verified"))
+    """Verified mappings are looked at again, and those that don't hold go back to the start; the first reason counts."""
+    m = cases.given(t.customer, "c_custkey", _MAPPED[:-1], MAPPINGS)
+    return R.audit_mappings(m, special.name_similarity(F.col("name"), F.col("resolved"))).select("c_custkey", "reason", F.col("was").alias("verified"), "ticker", "method")
 
 
 _P21 = "cd AS (SELECT c_custkey AS key, n AS nth, 'S' || ((c_custkey * 7 + n * n * 13 + c_nationkey) % 400) AS symbol FROM customer, (VALUES (0), (1), (2)) v(n))"

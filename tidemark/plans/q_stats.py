@@ -124,11 +124,11 @@ def a22(t: Tables) -> DataFrame:
     return g.select("l_suppkey", r6(F.sum("q").over(w) / F.sum("q").over(Window.partitionBy())).alias("share"))
 
 
-FAN_SQL = f"WITH {X.UP}, f AS (SELECT step, quantile_cont(level, 0.25) AS a, quantile_cont(level, 0.5) AS m, quantile_cont(level, 0.75) AS b, min(CASE WHEN user_id = 0 THEN level END) AS actual FROM up WHERE step <= 45 GROUP BY 1)"
+FAN_SQL = f"WITH {X.UP}, f AS (SELECT step, quantile_cont(level, 0.25) AS a, quantile_cont(level, 0.5) AS m, quantile_cont(level, 0.75) AS b, min(CASE WHEN user_id = 0 THEN level END) AS actual FROM up GROUP BY 1)"
 
 
 def _fan(t: Tables) -> DataFrame:
-    g = X.user_paths(t).filter("step <= 45").groupBy(F.col("step").cast("long").alias("step")).agg(stats.quantiles("level", (0.25, 0.5, 0.75)).alias("q"), F.min(F.when(F.col("user_id") == 0, F.col("level"))).alias("actual"))
+    g = X.user_paths(t).groupBy(F.col("step").cast("long").alias("step")).agg(stats.quantiles("level", (0.25, 0.5, 0.75)).alias("q"), F.min(F.when(F.col("user_id") == 0, F.col("level"))).alias("actual"))
     return g.select("step", F.col("q")[0].alias("a"), F.col("q")[1].alias("m"), F.col("q")[2].alias("b"), "actual")
 
 
@@ -183,9 +183,10 @@ def a37(t: Tables) -> DataFrame:
     return h.groupBy("phase").agg(F.min_by("epoch", F.struct(loss.alias("l"), "epoch")).alias("selected"), F.count("*").alias("epochs"))
 
 
-@query("a39_mean_of_batches", "WITH b AS (SELECT floor((row_number() OVER (ORDER BY event_id) - 1) / 32) AS batch, value FROM events WHERE event_id < 500) SELECT round(avg(m), 6) AS loss FROM (SELECT avg(value) AS m FROM b GROUP BY batch)")
+@query("a39_mean_of_batches", "WITH b AS (SELECT floor((row_number() OVER (ORDER BY event_id) - 1) / 32) AS batch, value FROM events) SELECT round(avg(m), 6) AS loss FROM (SELECT avg(value) AS m FROM b GROUP BY batch)")
 def a39(t: Tables) -> DataFrame:
-    b = t.events.filter("event_id < 500").select(F.floor((F.row_number().over(Window.orderBy("event_id")) - 1) / 32).alias("batch"), "value")  # a bounded window of ids
+    """Batches of 32 in the order of ids, over all rows: places come from counts of id ranges, so no task numbers more than a range."""
+    b = stats.numbered(t.events.select("event_id", "value"), "event_id").select(F.floor(F.col("nth") / 32).alias("batch"), "value")
     return b.groupBy("batch").agg(F.avg("value").alias("m")).agg(r6(F.avg("m")).alias("loss"))
 
 
@@ -195,13 +196,13 @@ def a32(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id", hour.alias("hour")).agg(F.max("value").alias("peak")).filter("peak > 50")
 
 
-@query("a33_sound_direction", "WITH v AS (SELECT user_id, sum(value * sin(radians((event_id % 4) * 90 + 45))) AS y, sum(value * cos(radians((event_id % 4) * 90 + 45))) AS x FROM events GROUP BY 1), a AS (SELECT user_id, CASE WHEN abs(x) < 0.001 THEN CASE WHEN y > 0 THEN 90.0::DOUBLE ELSE -90.0::DOUBLE END ELSE degrees(atan2(y, x)) END + 180 AS a FROM v) SELECT user_id, CAST(trunc(a - 360 * ceil((a - 180) / 360)) AS INTEGER) AS direction FROM a")
+@query("a33_sound_direction", "WITH v AS (SELECT user_id % 50 AS g, sum(CASE WHEN user_id % 50 = 49 THEN 0 ELSE value * sin(radians(event_id % 5 * 72 - 108)) END) AS y, sum(CASE WHEN user_id % 50 IN (48, 49) THEN 0 ELSE value * cos(radians(event_id % 5 * 72 - 108)) END) AS x FROM events GROUP BY 1), a AS (SELECT g, CASE WHEN abs(x) < 0.001 THEN CASE WHEN y > 0 THEN 90.0::DOUBLE WHEN y < 0 THEN -90.0::DOUBLE ELSE 0.0::DOUBLE END ELSE degrees(atan2(y, x)) END + 180 AS a FROM v) SELECT g, CAST(trunc(CASE WHEN a > 180 THEN a - 360 ELSE a END) AS INTEGER) AS direction FROM a")
 def a33(t: Tables) -> DataFrame:
-    """Loudness-weighted unit vectors of four microphones, the angle of their sum turned by half and wrapped to (-180, 180]."""
-    at = F.radians((F.col("event_id") % 4 * 90 + 45).cast("double"))
-    v = t.events.groupBy("user_id").agg(F.sum(F.col("value") * F.sin(at)).alias("y"), F.sum(F.col("value") * F.cos(at)).alias("x"))
-    a = F.when(F.abs("x") < 0.001, F.when(F.col("y") > 0, F.lit(90.0)).otherwise(F.lit(-90.0))).otherwise(F.degrees(F.atan2("y", "x"))) + 180
-    return v.withColumn("a", a).select("user_id", (F.col("a") - 360 * F.ceil((F.col("a") - 180) / 360)).cast("int").alias("direction"))
+    """Loudness-weighted unit vectors of five microphones 72 degrees apart, the angle of their sum turned by half. Straight up or down is 90 or -90, no sound 0, before the turn."""
+    at, g = F.radians((F.col("event_id") % 5 * 72 - 108).cast("double")), F.col("user_id") % 50
+    y, x = F.when(g == 49, 0.0).otherwise(F.col("value") * F.sin(at)), F.when(g.isin(48, 49), 0.0).otherwise(F.col("value") * F.cos(at))
+    v = t.events.groupBy(g.alias("g")).agg(F.sum(y).alias("y"), F.sum(x).alias("x"))
+    return v.select("g", stats.direction_back(F.col("x"), F.col("y")).cast("int").alias("direction"))
 
 
 @query("p15_point_in_box", "SELECT event_id, value BETWEEN 10 AND 100 AND user_id BETWEEN 5 AND 80 AS inclusive, value > 10 AND value < 100 AND user_id > 5 AND user_id < 80 AS strict FROM events")
@@ -210,16 +211,11 @@ def p15(t: Tables) -> DataFrame:
     return t.events.select("event_id", (v.between(10, 100) & u.between(5, 80)).alias("inclusive"), ((v > 10) & (v < 100) & (u > 5) & (u < 80)).alias("strict"))
 
 
-BANDS = [(0.0, 15.0, 0), (15.0, 40.0, 20), (40.0, 100.0, 50), (100.0, 1e9, 80)]
-
-
-@query("p16_threshold_bands", "SELECT event_id, speed FROM events JOIN (VALUES (0.0::DOUBLE, 15.0::DOUBLE, 0), (15.0::DOUBLE, 40.0::DOUBLE, 20), (40.0::DOUBLE, 100.0::DOUBLE, 50), (100.0::DOUBLE, 1e9::DOUBLE, 80)) b(lo, hi, speed) ON value > lo AND value <= hi")
+@query("p16_threshold_bands", "SELECT event_id, CASE WHEN a > 45 THEN 30 WHEN a > 20 THEN 20 ELSE 10 END AS turn_speed, CASE WHEN a > 20 THEN 15 WHEN a > 10 THEN 10 WHEN a > 3 THEN 5 ELSE 0 END AS correction FROM (SELECT event_id, abs(CAST(trunc(value) AS INTEGER) - 50) AS a FROM events)")
 def p16(t: Tables) -> DataFrame:
-    """A table of fixed bands becomes a chain of comparisons: no join, whatever the rows."""
-    out = F.when(F.lit(False), 0)
-    for lo, hi, speed in BANDS:
-        out = out.when((F.col("value") > lo) & (F.col("value") <= hi), speed)
-    return t.events.select("event_id", out.alias("speed")).filter("speed is not null")
+    """Bands of an angle become a chain of comparisons: no join, whatever the rows."""
+    angle = F.abs(F.col("value").cast("int") - 50)
+    return t.events.select("event_id", stats.banded(angle, stats.TURN_SPEED).alias("turn_speed"), stats.banded(angle, stats.HEADING_CORRECTION).alias("correction"))
 
 
 @query("m02_annualise", f"WITH {X.UP} SELECT user_id, round(stddev_pop(r) * sqrt(52), 6) AS volatility, round(exp(sum(r)) - 1, 6) AS total FROM up GROUP BY 1")
@@ -264,11 +260,13 @@ def m08(t: Tables) -> DataFrame:
     return t.events.select("event_id", r6(F.col("value") + (d - 360 * F.ceil((d - 180) / 360))).alias("target"))
 
 
-RHO_SQL = f"WITH {X.BK}, s AS (SELECT row_number() OVER (ORDER BY week) AS pos, basket_return - avg(basket_return) OVER () AS d FROM bk WHERE basket_return IS NOT NULL), r AS (SELECT l.lag, sum(a.d * b.d) / (SELECT sum(d * d) FROM s) AS rho FROM (SELECT unnest(range(1, 27)) AS lag) l JOIN s a ON true JOIN s b ON b.pos = a.pos + l.lag GROUP BY 1)"
+_SERIES = f"WITH {X.BK}, s AS (SELECT row_number() OVER (ORDER BY week) AS pos, x - avg(x) OVER () AS d, count(*) OVER () AS n FROM (SELECT week, basket_return * basket_return AS x FROM bk WHERE basket_return IS NOT NULL))"
+RHO_SQL = _SERIES + ", r AS (SELECT l.lag, any_value(a.n) AS n, sum(a.d * b.d) / (SELECT sum(d * d) FROM s) AS rho FROM (SELECT unnest(range(1, 27)) AS lag) l JOIN s a ON l.lag <= a.n // 4 JOIN s b ON b.pos = a.pos + l.lag GROUP BY 1)"
 
 
 def _rho(t: Tables) -> DataFrame:
-    return stats.autocorrelation(X.basket(t).filter("basket_return is not null"), "week", "basket_return", 26)
+    """Of the activity, the squared return."""
+    return stats.autocorrelation(X.basket(t).filter("basket_return is not null").select("week", (F.col("basket_return") * F.col("basket_return")).alias("x")), "week", "x", 26)
 
 
 @query("w11_autocorrelation", RHO_SQL + " SELECT CAST(lag AS INTEGER) AS lag, round(rho, 6) AS rho FROM r")
@@ -276,9 +274,9 @@ def w11(t: Tables) -> DataFrame:
     return _rho(t).select("lag", r6("rho").alias("rho"))
 
 
-@query("w11_block_length", RHO_SQL + ", k AS (SELECT lag, sum(CASE WHEN abs(rho) < 0.1 THEN 1 ELSE 0 END) OVER (ORDER BY lag ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS weak FROM r) SELECT CAST(greatest(2, coalesce(min(CASE WHEN weak = 3 THEN lag END), max(lag)) - 2) AS INTEGER) AS block FROM k")
+@query("w11_block_length", RHO_SQL + ", k AS (SELECT lag, sum(CASE WHEN abs(rho) < 1.96 / sqrt(n) THEN 1 ELSE 0 END) OVER (ORDER BY lag ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS weak FROM r) SELECT CAST(greatest(2, coalesce(min(CASE WHEN weak = 3 THEN lag END) - 2, max(lag))) AS INTEGER) AS block FROM k")
 def w11b(t: Tables) -> DataFrame:
-    return stats.block_length(_rho(t), 0.1)
+    return stats.block_length(_rho(t))
 
 
 @query("w13_quantile_paths", f"WITH {X.UP}, e AS (SELECT user_id, arg_max(level, step) AS x FROM up GROUP BY 1), o AS (SELECT user_id, x, row_number() OVER (ORDER BY x, user_id) - 1 AS pos, count(*) OVER () AS n FROM e) SELECT k.i AS nth, user_id, round(x, 6) AS terminal FROM o JOIN (SELECT unnest(range(0, 9)) AS i) k ON pos = CAST(round_even(k.i * (n - 1) / 8.0::DOUBLE, 0) AS BIGINT)")

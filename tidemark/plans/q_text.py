@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import sequence as Q
 from tidemark.functions import special, text
+from tidemark.plans import cases
 from tidemark.plans.registry import Tables, query
 from tidemark.sources import files
 
@@ -23,10 +24,17 @@ def f02(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", text.clean(x).alias("cleaned"))
 
 
-@query("f03_name_and_ticker", "SELECT p_partkey, CASE WHEN regexp_matches(x, '^(.*?)\\s*\\(([A-Za-z0-9.\\-]+)\\)\\s*$') THEN regexp_extract(x, '^(.*?)\\s*\\(([A-Za-z0-9.\\-]+)\\)\\s*$', 1) ELSE x END AS name, regexp_extract(x, '^(.*?)\\s*\\(([A-Za-z0-9.\\-]+)\\)\\s*$', 2) AS ticker FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_name || ' (P' || p_partkey || '.L)' END AS x FROM part)")
+#: Worked by hand: a holding as it is written, its name and its ticker.
+HOLDINGS = [
+    ("Berkshire Hathaway Inc (BRK/B)", "Berkshire Hathaway Inc", "BRK/B"), ("Taiwan Semiconductor Manufacturing Co Ltd (2330)", "Taiwan Semiconductor Manufacturing Co Ltd", "2330"), ("Plain name", "Plain name", ""),
+    (" Two (words here) ", "Two (words here)", ""), ("HSBC Holdings plc (HSBA.L) ", "HSBC Holdings plc", "HSBA.L"), ("Under_score (A_B-1)", "Under_score", "A_B-1"), ("(ABC)", "(ABC)", "ABC"), ("Leading dot (.AB)", "Leading dot (.AB)", ""),
+    ("Foo (X) Bar (Y1)", "Foo (X) Bar", "Y1"), ("Long (ABCDEFGHIJKLMNOPQRSTUVWXY)", "Long", "ABCDEFGHIJKLMNOPQRSTUVWXY"), ("Long (ABCDEFGHIJKLMNOPQRSTUVWXYZ)", "Long (ABCDEFGHIJKLMNOPQRSTUVWXYZ)", ""), (None, "", ""),
+]
+
+
+@query("f03_name_and_ticker", cases.answers("part", "p_partkey", ["x", "name", "ticker"], HOLDINGS, ["name", "ticker"]))
 def f03(t: Tables) -> DataFrame:
-    x = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" (P"), F.col("p_partkey").cast("string"), F.lit(".L)")))
-    return t.part.select("p_partkey", text.name_and_ticker(x).alias("s")).select("p_partkey", "s.name", "s.ticker")
+    return cases.given(t.part, "p_partkey", ["x"], HOLDINGS).select("p_partkey", text.name_and_ticker(F.col("x")).alias("s")).select("p_partkey", "s.name", "s.ticker")
 
 
 @query("f04_slug", "SELECT p_partkey, regexp_replace(regexp_replace(lower('-' || p_brand || ' ' || p_type), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM part")
@@ -34,41 +42,69 @@ def f04(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", text.slug(F.concat(F.lit("-"), "p_brand", F.lit(" "), "p_type")).alias("slug"))
 
 
-@query("f05_stable_id", "SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'ID' || s_suppkey WHEN s_suppkey % 5 = 1 THEN 'CUSIP-C' || s_suppkey WHEN s_suppkey % 5 = 2 THEN 'SEDOL-S' || s_suppkey ELSE 'VT-' || upper(substr(sha1(s_name || '|' || s_nationkey), 1, 18)) END AS id FROM supplier")
+@query("f05_stable_id", "WITH s AS (SELECT s_suppkey, s_name, s_nationkey, CASE WHEN s_suppkey % 6 = 0 THEN 'ID' || s_suppkey WHEN s_suppkey % 6 = 1 THEN 'CUSIP-C' || s_suppkey WHEN s_suppkey % 6 = 2 THEN 'SEDOL-S' || s_suppkey WHEN s_suppkey % 6 = 3 THEN 'ISIN-I' || (s_suppkey // 12) ELSE 'VT-' || upper(substr(sha1(s_name || '|' || s_nationkey), 1, 18)) END AS id FROM supplier) SELECT s_suppkey, CASE WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'VT-' || upper(substr(sha1(id || '|' || s_name || '|' || s_nationkey), 1, 18)) ELSE id END AS id FROM s")
 def f05(t: Tables) -> DataFrame:
-    k, s = F.col("s_suppkey") % 5, F.col("s_suppkey").cast("string")
-    of = lambda n, p: F.when(k == n, F.concat(F.lit(p), s))
-    return t.supplier.select("s_suppkey", text.stable_id(of(0, "ID"), of(1, "C"), of(2, "S"), F.lit(""), F.col("s_name"), F.col("s_nationkey").cast("string")).alias("id"))
+    k, key = F.col("s_suppkey") % 6, F.col("s_suppkey")
+    of = lambda n, p, v=key: F.when(k == n, F.concat(F.lit(p), v.cast("string")))
+    made = text.stable_id(of(0, "ID"), of(1, "C"), of(2, "S"), of(3, "I", F.floor(key / 12)), F.col("s_name"), F.col("s_nationkey").cast("string"))
+    return text.unique_ids(t.supplier.select("s_suppkey", "s_name", "s_nationkey", made.alias("id")), "id", "s_name", "s_nationkey").select("s_suppkey", "id")
+
+
+#: Worked by hand: a symbol as given, its country, the spellings to try, the suffixes to try, and the listings that come of them.
+SYMBOLS = [
+    ("BRK/B", "US", "BRK-B,BRK/B", "", "BRK-B"), ("brk/b*", "", "BRK/B,BRK-B", "", "BRK/B,BRK-B"), ("VOLVB", "SE", "VOLVB,VOLV-B", ".ST", "VOLVB.ST,VOLV-B.ST"), ("NOVOB", "dk", "NOVOB,NOVO-B", ".CO", "NOVOB.CO,NOVO-B.CO"),
+    ("ABB", "SE", "ABB", ".ST", "ABB.ST"), ("700", "HK", "0700,700", ".HK", "0700.HK"), ("1398", "HK", "1398", ".HK", "1398.HK"), ("600000", "CN", "600000", ".SS", "600000.SS"), ("510050", "CN", "510050", ".SS", "510050.SS"),
+    ("000001", "CN", "000001", ".SZ,.BJ", "000001.SZ,000001.BJ"), ("830799", "CN", "830799", ".SZ,.BJ", "830799.SZ,830799.BJ"), ("BT/A", "GB", "BT/A,BT-A", ".L,.IL", "BT-A.L,BT-A.IL"), ("RR/", "GB", "RR/,RR-,RR", ".L,.IL", "RR-.L,RR-.IL,RR.L,RR.IL"),
+    ("PTT/F", "TH", "PTT/F,PTT-F,PTT", ".BK", "PTT-F.BK,PTT.BK"), ("BRK.B", "US", "BRK.B,BRK-B", "", "BRK-B"), ("N/A", "US", "", "", ""), ("--", "JP", "", ".T", ""), ("1", "HK", "", ".HK", ""), ("RCI/B", "CA", "RCI-B,RCI/B", ".TO,.V,.NE", "RCI-B.TO,RCI-B.V,RCI-B.NE"),
+    ("2330", "TW", "2330", ".TW,.TWO", "2330.TW,2330.TWO"), (" aapl ", "US", "AAPL", "", "AAPL"), ("GOLD", "ZZ", "GOLD", "", ""), ("HSBA", "GB", "HSBA", ".L,.IL", "HSBA.L,HSBA.IL"), (None, "US", "", "", ""),
+]
+_SYMBOL = ["x", "country", "variants", "suffixes", "listings"]
 
 
-@query("f06_symbol_variants", "WITH s AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'HK' WHEN 1 THEN 'SE' ELSE 'US' END AS country, CASE s_suppkey % 3 WHEN 0 THEN CAST(s_suppkey AS VARCHAR) WHEN 1 THEN 'abcB' ELSE 'BRK/B*' END AS x FROM supplier), c AS (SELECT s_suppkey, country, replace(replace(regexp_replace(upper(x), '[* ]', '', 'g'), '/', '-'), '.', '-') AS x FROM s) SELECT s_suppkey, array_to_string(CASE WHEN country = 'HK' AND length(x) < 4 THEN [lpad(x, 4, '0'), x] WHEN country = 'SE' THEN [regexp_replace(x, '([AB])$', '-\\1'), x] ELSE [x] END, ',') AS variants FROM c")
+@query("f06_symbol_variants", cases.answers("supplier", "s_suppkey", _SYMBOL, SYMBOLS, ["variants"]))
 def f06(t: Tables) -> DataFrame:
-    k = F.col("s_suppkey") % 3
-    country = F.when(k == 0, "HK").when(k == 1, "SE").otherwise("US")
-    x = F.when(k == 0, F.col("s_suppkey").cast("string")).when(k == 1, "abcB").otherwise("BRK/B*")
-    return t.supplier.select("s_suppkey", F.array_join(text.symbol_variants(x, country), ",").alias("variants"))
+    s = cases.given(t.supplier, "s_suppkey", _SYMBOL[:2], SYMBOLS)
+    return s.select("s_suppkey", F.array_join(text.symbol_variants(F.col("x"), F.col("country")), ",").alias("variants"))
 
 
-@query("f07_china_exchange", "SELECT i, s, CASE WHEN s[1] IN ('6', '9') THEN '.SS' WHEN s[1] IN ('0', '2', '3') THEN '.SZ' END AS suffix FROM (SELECT i, lpad(CAST(i * 7919 % 1000000 AS VARCHAR), 6, '0') AS s FROM (SELECT unnest(range(0, 200)) AS i))")
+@query("f07_china_exchange", cases.answers("supplier", "s_suppkey", _SYMBOL, SYMBOLS, ["suffixes"]))
 def f07(t: Tables) -> DataFrame:
-    s = t.spark.range(200).select(F.col("id").alias("i"), F.lpad((F.col("id") * 7919 % 1000000).cast("string"), 6, "0").alias("s"))
-    d = F.substring("s", 1, 1)
-    return s.withColumn("suffix", F.when(d.isin("6", "9"), ".SS").when(d.isin("0", "2", "3"), ".SZ"))
+    s = cases.given(t.supplier, "s_suppkey", _SYMBOL[:2], SYMBOLS)
+    return s.select("s_suppkey", F.array_join(text.symbol_suffixes(F.col("x"), F.col("country")), ",").alias("suffixes"))
+
+
+@query("j11_candidate_listings", cases.answers("supplier", "s_suppkey", _SYMBOL, SYMBOLS, ["listings"]))
+def j11(t: Tables) -> DataFrame:
+    """Each spelling with each suffix, as long as it is compatible with the country; within a row, so the product is no join."""
+    s = cases.given(t.supplier, "s_suppkey", _SYMBOL[:2], SYMBOLS)
+    return s.select("s_suppkey", F.array_join(text.candidate_symbols(F.lit(""), F.col("x"), F.col("country")), ",").alias("listings"))
+
 
+#: Worked by hand: two names, and the Ratcliff-Obershelp ratio of what is left of them: 2 x matching characters / all characters.
+NAMES = [
+    ("Foo Inc", "foo corp", 1.0), ("Apple Incorporated", "Apple", 1.0), ("The Alpha Company Limited", "ALPHA CO LTD", 1.0), ("AT&T Inc", "AT and T Corporation", 1.0), ("abcd", "bcde", 0.75), ("abc", "xyz", 0.0), ("Inc", "Ltd", 1.0),
+    ("Ordinary Shares plc", "x", 0.0), ("ab cd", "cd ab", 0.4), ("Nestle SA", "Nestle AG class A", 12 / 14), (None, "", 1.0), ("Group", "Groupe", 10 / 11),
+]
 
-@query("f08_name_similarity")
+
+@query("f08_name_similarity", "SELECT p_partkey, a, b, round(similarity, 6) AS similarity FROM (" + cases.answers("part", "p_partkey", ["a", "b", "similarity"], NAMES, ["a", "b", "similarity"]) + ")")
 def f08(t: Tables) -> DataFrame:
-    a = t.part.filter("p_partkey > 0").select("p_partkey", "p_name", (F.col("p_partkey") - 1).alias("k"))
-    b = t.part.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("other"))
-    return a.join(b, "k").select("p_partkey", "p_name", "other", F.round(special.name_similarity(F.col("p_name"), F.col("other")), 6).alias("similarity"))
+    n = cases.given(t.part, "p_partkey", ["a", "b"], NAMES)
+    return n.select("p_partkey", "a", "b", F.round(special.name_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+
 
+#: Worked by hand: quote type, listing, country, source symbol, similarity of the names, and the score.
+CANDIDATES = [
+    ("EQUITY", "BRK-B", "US", "BRK/B", 1.0, 13.0), ("equity", "2330.TW", "TW", "2330", 0.5, 9.0), ("", "VOLV-B.ST", "SE", "VOLVB", 0.75, 11.0), ("ETF", "2330.TW", "TW", "2330", 1.0, -100.0), ("EQUITY", "2330.HK", "TW", "2330", 1.0, -100.0),
+    ("EQUITY", "", "TW", "2330", 1.0, -100.0), ("Common Stock", "AAPL34.SA", "BR", "AAPL", 0.25, 5.0), ("EQUITY", "MSFT", "US", "AAPL", 0.5, 6.0), ("EQUITY", "MSFT", "", "", 0.0, 2.0), (None, "HSBA.L", "GB", "HSBA*", 0.9, 12.2),
+]
+_SCORED = ["kind", "ticker", "country", "source", "similarity", "score"]
 
-@query("f09_candidate_score")
+
+@query("f09_candidate_score", "SELECT p_partkey, round(score, 6) AS score FROM (" + cases.answers("part", "p_partkey", _SCORED, CANDIDATES, ["score"]) + ")")
 def f09(t: Tables) -> DataFrame:
-    s = f08(t).filter("similarity is not null")
-    base = F.col("p_name") == F.col("other")
-    near = F.col("p_name").contains(F.element_at(F.split("other", " "), 1))
-    return s.select("p_partkey", F.round(8 * F.col("similarity") + 2 + F.when(base, 3).when(near, 1).otherwise(0) - F.when(F.col("similarity") < 0.2, 100).otherwise(0), 6).alias("score"))
+    c = cases.given(t.part, "p_partkey", _SCORED[:-1], CANDIDATES)
+    return c.select("p_partkey", F.round(text.candidate_score(*(F.col(x) for x in _SCORED[:-1])), 6).alias("score"))
 
 
 @query("f10_json_pick", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -92,10 +128,20 @@ def f13(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.coalesce(own, F.get_json_object("props", "$.k")).alias("filled"))
 
 
-@query("f21_symbol_primitives", "SELECT p_partkey, upper(x) AS symbol, CASE WHEN contains(x, '.') THEN '.' || upper(split_part(x, '.', -1)) ELSE '' END AS suffix FROM (SELECT p_partkey, 'pt' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '.l' ELSE '' END AS x FROM part)")
+#: Worked by hand: listing, country, given market code, exchange; and the symbol, its suffix, whether it may be of the country, and the market code.
+LISTED = [
+    (" hsba.l", "GB", "", "London Stock Exchange", "HSBA.L", ".L", True, "XLON"), ("BRK-B", "US", "xnys", "Nasdaq", "BRK-B", "", True, "XNYS"), ("BRK.B", "US", "", "NYSE", "BRK.B", ".B", False, "XNYS"),
+    ("2330.TW", "HK", "TW", "Taiwan Stock Exchange", "2330.TW", ".TW", False, "XTAI"), ("A B*", "", "", "KOSDAQ", "AB", "", False, "XKOS"), ("^GSPC", "US", "", "", "^GSPC", "", False, ""), ("BT/A.L", "GB", None, "LSE", "BT/A.L", ".L", False, "XLON"),
+    ("ABC.Q", "ZZ", "XXXXX", "Borsa Italiana", "ABC.Q", ".Q", True, "XMIL"), ("", "US", "", "Hong Kong", "", "", False, "XHKG"), (None, "JP", "XTKS", None, "", "", False, "XTKS"), ("SAN.MC", "es", "", "MADRID!", "SAN.MC", ".MC", True, "XMAD"),
+]
+_LISTED = ["x", "country", "mic", "exchange", "symbol", "suffix", "fits", "market"]
+
+
+@query("f21_symbol_primitives", cases.answers("part", "p_partkey", _LISTED, LISTED, _LISTED[4:]))
 def f21(t: Tables) -> DataFrame:
-    x = F.concat(F.lit("pt"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 2 == 0, ".l").otherwise(""))
-    return t.part.select("p_partkey", F.upper(x).alias("symbol"), text.symbol_suffix(x).alias("suffix"))
+    x = F.col("x")
+    s = cases.given(t.part, "p_partkey", _LISTED[:4], LISTED)
+    return s.select("p_partkey", text.symbol(x).alias("symbol"), text.symbol_suffix(x).alias("suffix"), text.compatible(F.col("country"), x).alias("fits"), text.market_code(F.col("mic"), F.col("exchange")).alias("market"))
 
 
 NOTES = "CASE event_id % 3 WHEN 0 THEN '{\"metadata\":{\"longName\":\"' || event_type || '\"},\"quote\":{}}' WHEN 1 THEN '{\"metadata\":{},\"quote\":{\"shortname\":\"' || event_type || '\"}}' ELSE 'broken{' END"
@@ -212,10 +258,19 @@ def s14(t: Tables) -> DataFrame:
     return p.select("page_id", size("l").alias("n"), size(F.array_distinct("l")).alias("distinct_links"), size(F.filter("l", lambda x: x.rlike("^https?://"))).alias("absolute"))
 
 
-@query("s15_snapshot_dates", "SELECT o_orderkey, TRY_CAST(regexp_extract(x, '(\\d{4}-\\d{2}-\\d{2})', 1) AS DATE) AS snapshot FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'no date' ELSE 'holdings as of ' || strftime(o_orderdate, '%Y-%m-%d') || '.csv' END AS x FROM orders)")
+_S15 = "CASE o_orderkey % 6 WHEN 0 THEN 'no date' WHEN 1 THEN 'Portfolio composition AS OF: ' || strftime(o_orderdate, '%m/%d/%Y') || ' (unaudited)' WHEN 2 THEN 'holdings as  of ' || strftime(o_orderdate, '%Y-%m-%d') || '.csv' WHEN 3 THEN 'as of - 2001-02-03, as of ' || strftime(o_orderdate, '%m/%d/%Y') WHEN 4 THEN 'file ' || strftime(o_orderdate, '%Y-%m-%d') ELSE 'as of 13/45/2001' END"
+
+
+@query("s15_snapshot_dates", f"SELECT o_orderkey, CASE WHEN o_orderkey % 6 IN (1, 2, 3) THEN CAST(o_orderdate AS DATE) END AS snapshot FROM (SELECT o_orderkey, o_orderdate, {_S15} AS x FROM orders)")
 def s15(t: Tables) -> DataFrame:
-    x = F.when(F.col("o_orderkey") % 4 == 0, "no date").otherwise(F.concat(F.lit("holdings as of "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(".csv")))
-    return t.orders.select("o_orderkey", F.regexp_extract(x, r"(\d{4}-\d{2}-\d{2})", 1).try_cast("date").alias("snapshot"))
+    """The twin knows which texts say a date; Spark has to find it."""
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 6
+    us, iso = F.date_format(d, "MM/dd/yyyy"), F.date_format(d, "yyyy-MM-dd")
+    x = (
+        F.when(k == 0, "no date").when(k == 1, F.concat(F.lit("Portfolio composition AS OF: "), us, F.lit(" (unaudited)"))).when(k == 2, F.concat(F.lit("holdings as  of "), iso, F.lit(".csv")))
+        .when(k == 3, F.concat(F.lit("as of - 2001-02-03, as of "), us)).when(k == 4, F.concat(F.lit("file "), iso)).otherwise("as of 13/45/2001")
+    )
+    return t.orders.select("o_orderkey", text.snapshot_date(x).alias("snapshot"))
 
 
 @query("s22_codon_lines", f"SELECT codon, letter FROM (VALUES {_COD}) v(codon, letter)")
