@@ -8,8 +8,8 @@ a language is the exact sum over all its bytes; the language with the shortest c
 The trees of all languages are merged into one automaton whose nodes hold one code length for each language, escapes
 included, so that a whole batch of texts is scored by ``ORDER`` + 1 table look-ups a byte, for all languages at once.
 
-Bounds: training reads at most ``max_docs`` rows a language, chosen by a hash of the id, and at most ``max_chars`` characters of each
-of these; the frozen model is bounded by that and sent to the executors. Every row is scored, over its whole text.
+Bounds: training reads at most ``max_docs`` rows a language, chosen by a hash of the id, each over its whole text; ``max_langs`` is the
+most languages that are learned, those of most rows first, so what is collected and sent to the executors is bounded by these rows. Every row is scored, over its whole text.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter, or if nothing could be learned; ties go to the
 language that comes first by name; rows with a null id can't be trained on; equal rows are scored alike; an empty table gives an empty table.
@@ -84,34 +84,44 @@ class Model:
         del self._last
         self.value = np.concatenate(value)
         self.escape = np.concatenate(escape)  # of nodes 0 .. the last context
-        self._child = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"_child": None}
-
-    @property
-    def child(self) -> np.ndarray:
-        """Followers of every node that can be a context; built once in each worker."""
-        if self._child is None:
-            sizes = [1, *(len(x) for x in self.levels)]
-            table = np.zeros((2 + sum(sizes[1:-1]), 256), np.int32)
-            first, shorter = 2, (np.zeros(1, np.int64), 1)
-            for keys in self.levels:
-                table[shorter[1] + np.searchsorted(shorter[0], keys >> 8), keys & 255] = np.arange(first, first + len(keys))
-                shorter, first = (keys, first), first + len(keys)
-            self._child = table.reshape(-1)
-        return self._child
+        self._tree()
+
+    def _tree(self) -> None:
+        """Followers of every node that can be a context, in the room of their number: 256 bits a node say which bytes follow, and as nodes of
+        a level are numbered in the order of their contexts, a follower's number is that of its context's first one and its rank among the bits."""
+        inner = 2 + sum(len(x) for x in self.levels[:-1])
+        self.follows = np.zeros((inner, 4), np.uint64)
+        rank = np.zeros((inner, 4), np.int32)
+        first, shorter = 2, (np.zeros(1, np.int64), 1)
+        for keys in self.levels:
+            node = shorter[1] + np.searchsorted(shorter[0], keys >> 8)
+            byte = (keys & 255).astype(np.uint64)
+            np.bitwise_or.at(self.follows, (node, byte >> np.uint64(6)), np.uint64(1) << (byte & np.uint64(63)))
+            nodes = np.arange(shorter[1], shorter[1] + len(shorter[0]))
+            rank[nodes, 0] = first + np.searchsorted(node, nodes)
+            shorter, first = (keys, first), first + len(keys)
+        counts = np.bitwise_count(self.follows).astype(np.int32)
+        rank[:, 1:] = rank[:, :1] + np.cumsum(counts, axis=1)[:, :3]
+        self.follows, self.rank = self.follows.reshape(-1), rank.reshape(-1)
+
+    def child(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The node of each context and the byte after it; 0 if there is none."""
+        at = node * 4 + (byte >> 6)
+        bits, bit = self.follows[at], (byte & 63).astype(np.uint64)
+        below = bits & ((np.uint64(1) << bit) - np.uint64(1))
+        return np.where((bits >> bit) & np.uint64(1), self.rank[at] + np.bitwise_count(below), 0).astype(np.int32)
 
     def _piece(self, b: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Code lengths of each byte of the concatenated texts, which begin at ``starts``."""
         child, n = self.child, len(b)
+        b = b.astype(np.int32)
         nodes = [np.ones(n, np.int32)]
         for k in range(1, self.order + 2):
             at = np.zeros(n, np.int32)
             if k == 1:
-                at = child[256 + b.astype(np.int32)]
+                at = child(nodes[0], b)
             else:
-                at[1:] = child[nodes[-1][:-1] * 256 + b[1:]]
+                at[1:] = child(nodes[-1][:-1], b[1:])
                 at[starts] = 0
             nodes.append(at)
         cost = self.value[nodes[-1]].astype(np.float64)
@@ -183,11 +193,11 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 200, max_chars: int = 20_000, order: int = ORDER) -> Model:
-    """Count the trees on at most ``max_docs`` labelled rows a language that are not held out."""
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 200, max_langs: int = 1000, order: int = ORDER) -> Model:
+    """Count the trees on at most ``max_docs`` labelled rows a language that are not held out, each over its whole text."""
     usable = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     usable = usable.filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}  # a row a language
     spread = F.shiftrightunsigned(F.xxhash64(F.col("id").cast("string")), 32)
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4 * max_docs / n + 1e-4) * 2**32))) if counts else None
     if share is None:
@@ -195,7 +205,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     picked = (
         usable.withColumn("h", spread)
         .filter((F.col("h") < F.element_at(share, F.col("lang"))) & F.col("text").isNotNull())
-        .select("lang", "h", F.substring("text", 1, max_chars).alias("text"))
+        .select("lang", "h", "text")
     )
     first = Window.partitionBy("lang", "text").orderBy("h")
     rank = Window.partitionBy("lang").orderBy("h", "text")
@@ -218,5 +228,6 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", lang_as: str =
             yield pd.DataFrame({"lang": names, "score": score})
 
     own = fresh(df, "ppm")
-    got = df.withColumn(own, ppm(F.col(text_col)))
+    # Not deterministic to the optimizer: else a filter on the prediction is pushed below it and has texts scored twice.
+    got = df.withColumn(own, ppm.asNondeterministic()(F.col(text_col)))
     return got.withColumn(lang_as, F.col(f"{own}.lang")).withColumn(score_as, F.col(f"{own}.score")).drop(own)
