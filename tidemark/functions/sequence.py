@@ -27,19 +27,35 @@ def from_start(rna: Column) -> Column:
     return F.when(at > 0, F.substring(rna, at, F.length(rna)))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body, or a function in it, names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def chunks(text: Column, n: int) -> Column:
-    """Whole pieces of n characters."""
-    count = F.floor(F.length(text) / n).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.substring(text, i * n + 1, F.lit(n)))
-    return F.when(count > 0, pieces).otherwise(F.array().cast("array<string>"))
+    """Whole pieces of n characters. Of bytes, where any piece is found at once: letters outside ASCII are counted as one byte, ?."""
+
+    def of(raw: Column) -> Column:
+        count = F.floor(F.length(raw) / n).cast("int")
+        starts = F.when(count > 0, F.sequence(F.lit(1), F.greatest(count, F.lit(1)) * n, F.lit(n))).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.filter(starts, lambda i: i <= count * n), lambda i: F.substring(raw, i, F.lit(n)).cast("string"))
+
+    return _let(F.regexp_replace(text, r"[^\x00-\x7F]", "?").cast("binary"), of)
+
+
+#: All codons, each with a space behind it: where one stands tells its letter.
+_CODONS = "".join(c + " " for c, _ in codons())
 
 
 def letters(rna: Column) -> Column:
     """Amino acids up to the first stop; unknown codons are null among them."""
-    table = F.create_map(*(F.lit(x) for pair in codons() for x in pair))
-    all_ = F.transform(chunks(rna, 3), lambda c: F.try_element_at(table, c))
-    stop = F.array_position(all_, "X").cast("int")
-    return F.when(stop > 0, F.slice(all_, F.lit(1), stop - 1)).otherwise(all_)
+    at = lambda c: F.instr(F.lit(_CODONS), c)
+    letter = lambda c: F.when(at(c) > 0, F.substring(F.lit(AMINO.replace("*", "X")), F.floor((at(c) - 1) / 4).cast("int") + 1, F.lit(1)))
+
+    def of(all_: Column) -> Column:
+        return _let(F.array_position(all_, "X").cast("int"), lambda stop: F.when(stop > 0, F.slice(all_, F.lit(1), stop - 1)).otherwise(all_))
+
+    return _let(F.transform(chunks(rna, 3), letter), of)
 
 
 def protein(rna: Column) -> Column:

@@ -76,7 +76,7 @@ def clean(c: Column) -> Column:
 
 def label(c: Column) -> Column:
     """Lower case, & as and, dashes alike, all but letters, digits and % to single spaces."""
-    x = F.regexp_replace(F.regexp_replace(F.lower(c), "&", " and "), "[‐-―]", "-")
+    x = F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "&", "and"), "[‐-―]", "-")
     return F.trim(F.regexp_replace(F.regexp_replace(x, "[^a-z0-9%]+", " "), " +", " "))
 
 

@@ -60,7 +60,19 @@ def l08(t: Tables) -> DataFrame:
     return k.select("s_suppkey", F.ntile(5).over(Window.orderBy("h", "s_suppkey")).alias("fold"))
 
 
-@query("l09_ridge_forecast")
+def _det(m: list[list[str]]) -> str:
+    (a, b, c), (d, e, f), (g, h, i) = m
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+_A = [["a11", "a12", "a13"], ["a12", "a22", "a23"], ["a13", "a23", "a33"]]
+_B = ["b1", "b2", "b3"]
+_SOLVED = ", ".join(f"{_det([[_B[i] if j == k else _A[i][j] for j in range(3)] for i in range(3)])} / {_det(_A)} AS c{k + 1}" for k in range(3))
+#: Normal equations of centred lags with 1 on the diagonal, solved by Cramer's rule.
+_RIDGE = f"WITH {X.BK}, s AS (SELECT week, basket_return AS y, lag(basket_return, 1) OVER o AS l1, lag(basket_return, 2) OVER o AS l2, lag(basket_return, 3) OVER o AS l3 FROM bk WHERE basket_return IS NOT NULL WINDOW o AS (ORDER BY week)), d AS (SELECT * FROM s WHERE l3 IS NOT NULL), f AS (SELECT avg(y) AS my, avg(l1) AS m1, avg(l2) AS m2, avg(l3) AS m3, " + ", ".join(f"count(*) * covar_pop(l{i}, l{j}){' + 1' if i == j else ''} AS a{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3) if i <= j) + ", " + ", ".join(f"count(*) * covar_pop(l{i}, y) AS b{i}" for i in (1, 2, 3)) + f" FROM d WHERE week <= DATE '1999-12-31'), c AS (SELECT *, {_SOLVED} FROM f) SELECT week, round(my + c1 * (l1 - m1) + c2 * (l2 - m2) + c3 * (l3 - m3), 6) AS forecast, round(pow(y - (my + c1 * (l1 - m1) + c2 * (l2 - m2) + c3 * (l3 - m3)), 2), 6) AS squared_error FROM d, c WHERE week > DATE '1999-12-31'"
+
+
+@query("l09_ridge_forecast", _RIDGE)
 def l09(t: Tables) -> DataFrame:
     """Ridge on three lags: by the engine's own solver, with the penalty on the scale that it expects."""
     from pyspark.ml.feature import VectorAssembler
@@ -139,7 +151,16 @@ def l17(t: Tables) -> DataFrame:
     return row.select(F.explode("g").alias("x"), best.alias("least")).select("x.scale", r6("x.nll").alias("nll"), (F.col("x.nll") == F.col("least")).alias("best"))
 
 
-@query("w17_debounced_captures")
+_W17 = """WITH RECURSIVE s AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, value, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, value) AS i FROM events),
+w AS (SELECT user_id, i, ms, value, CASE WHEN value > 100 THEN 1 ELSE 0 END AS mode, ms AS opened, value AS peak, CAST(1 AS BIGINT) AS n, false AS done FROM s WHERE i = 1
+UNION ALL SELECT s.user_id, s.i, s.ms, s.value,
+  CASE w.mode WHEN 0 THEN CASE WHEN s.value > 100 THEN 1 ELSE 0 END WHEN 1 THEN CASE WHEN s.ms >= w.opened + 3600000 THEN 2 ELSE 1 END ELSE CASE WHEN s.value <= 25 THEN 0 ELSE 2 END END,
+  CASE WHEN w.mode = 1 THEN w.opened ELSE s.ms END, CASE WHEN w.mode = 1 THEN greatest(w.peak, s.value) ELSE s.value END, CASE WHEN w.mode = 1 THEN w.n + 1 ELSE 1 END, w.mode = 1 AND s.ms >= w.opened + 3600000
+  FROM w JOIN s ON s.user_id = w.user_id AND s.i = w.i + 1)
+SELECT CAST(user_id AS BIGINT) AS key, opened, peak, n AS samples FROM w WHERE done"""
+
+
+@query("w17_debounced_captures", _W17)
 def w17(t: Tables) -> DataFrame:
     """W-17, X-02, X-03."""
     from tidemark.streaming import debounce

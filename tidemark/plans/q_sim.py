@@ -125,12 +125,19 @@ def r09(t: Tables) -> DataFrame:
     return m.agg(F.avg("mean").alias("m"), q.alias("q")).select(r6("m", 8).alias("mean_difference"), r6(F.col("q")[0], 8).alias("ci_025"), r6(F.col("q")[1], 8).alias("ci_975"))
 
 
-@query("r14_box_walk")
+_TURN = "2 * pi() * " + U("'52:{0}:' || walk || ':' || (k + 1)")
+_BOX = f"WITH RECURSIVE w AS (SELECT unnest(range(0, 100)) AS walk, 0 AS k, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, CAST(0 AS BIGINT) AS n UNION ALL SELECT walk, k + 1, CASE WHEN ok THEN nx ELSE x END, CASE WHEN ok THEN ny ELSE y END, n + CASE WHEN ok THEN 1 ELSE 0 END FROM (SELECT *, abs(nx) < 6 AND abs(ny) < 4 AS ok FROM (SELECT *, x + cos({_TURN.format('box')}) AS nx, y + sin({_TURN.format('box')}) AS ny FROM w WHERE k < 200))) SELECT walk, round(x, 6) AS x, round(y, 6) AS y, n AS accepted FROM w WHERE k = 200"
+
+
+@query("r14_box_walk", _BOX)
 def r14(t: Tables) -> DataFrame:
     return S.box_walk(t.spark, 100, 200, 6.0, 4.0).select("walk", r6("x").alias("x"), r6("y").alias("y"), "accepted")
 
 
-@query("r15_target_walk")
+_TARGET = f"WITH RECURSIVE w AS (SELECT unnest(range(0, 100)) AS walk, 0 AS k, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, CAST(0 AS BIGINT) AS n, false AS hit UNION ALL SELECT walk, k + 1, CASE WHEN mv THEN nx ELSE x END, CASE WHEN mv THEN ny ELSE y END, n + CASE WHEN mv THEN 1 ELSE 0 END, hit OR (mv AND inside) FROM (SELECT *, NOT hit AND (inside OR (abs(nx) <= 10 AND abs(ny) <= 10)) AS mv FROM (SELECT *, nx BETWEEN 3 AND 5 AND ny BETWEEN 3 AND 5 AS inside FROM (SELECT *, x + cos({_TURN.format('target')}) AS nx, y + sin({_TURN.format('target')}) AS ny FROM w WHERE k < 400)))) SELECT walk, hit, n AS moves FROM w WHERE k = 400"
+
+
+@query("r15_target_walk", _TARGET)
 def r15(t: Tables) -> DataFrame:
     return S.target_walk(t.spark, 100, 400, 10.0, (3.0, 3.0, 2.0, 2.0))
 

@@ -12,9 +12,9 @@ from tidemark.plans.registry import Tables, query
 from tidemark.sources import files
 
 
-@query("f01_label_normalise", "SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(p_brand || ' & ' || p_type || ' – ' || p_name), '&', ' and ', 'g'), '[‐-―]', '-', 'g'), '[^a-z0-9%]+', ' ', 'g'), ' +', ' ', 'g')) AS label FROM part")
+@query("f01_label_normalise", "SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(p_brand || '&' || p_type || ' – ' || p_name), '&', 'and', 'g'), '[‐-―]', '-', 'g'), '[^a-z0-9%]+', ' ', 'g'), ' +', ' ', 'g')) AS label FROM part")
 def f01(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", text.label(F.concat_ws("", "p_brand", F.lit(" & "), "p_type", F.lit(" – "), "p_name")).alias("label"))
+    return t.part.select("p_partkey", text.label(F.concat_ws("", "p_brand", F.lit("&"), "p_type", F.lit(" – "), "p_name")).alias("label"))
 
 
 @query("f02_clean_text", "SELECT p_partkey, CASE WHEN trim(coalesce(x, '')) IN ('nan', 'None') THEN '' ELSE trim(coalesce(x, '')) END AS cleaned FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'nan' WHEN 2 THEN '  ' || p_name || ' ' ELSE p_name END AS x FROM part)")
@@ -82,7 +82,7 @@ def j11(t: Tables) -> DataFrame:
 
 #: Worked by hand: two names, and the Ratcliff-Obershelp ratio of what is left of them: 2 x matching characters / all characters.
 NAMES = [
-    ("Foo Inc", "foo corp", 1.0), ("Apple Incorporated", "Apple", 1.0), ("The Alpha Company Limited", "ALPHA CO LTD", 1.0), ("AT&T Inc", "AT and T Corporation", 1.0), ("abcd", "bcde", 0.75), ("abc", "xyz", 0.0), ("Inc", "Ltd", 1.0),
+    ("Foo Inc", "foo corp", 1.0), ("Apple Incorporated", "Apple", 1.0), ("The Alpha Company Limited", "ALPHA CO LTD", 1.0), ("AT&T Inc", "ATandT Corporation", 1.0), ("abcd", "bcde", 0.75), ("abc", "xyz", 0.0), ("Inc", "Ltd", 1.0),
     ("Ordinary Shares plc", "x", 0.0), ("ab cd", "cd ab", 0.4), ("Nestle SA", "Nestle AG class A", 12 / 14), (None, "", 1.0), ("Group", "Groupe", 10 / 11),
 ]
 
@@ -243,12 +243,46 @@ def s06(t: Tables) -> DataFrame:
     return b.select("user_id", F.size("values").cast("long").alias("n"), F.round(F.aggregate(F.slice("values", 1, 5), F.lit(0.0), lambda a, x: a + x), 6).alias("head"))
 
 
-@query("s12_html_tables")
+_HEAD = "<tr><th>Ticker</th><th>Holdings</th><th>% of fund*</th></tr>"
+_ROWS = "<tr><td>AAA</td><td>Alpha <b>Inc</b></td><td>1.5%</td></tr><tr><td>BBB</td><td>Beta</td></tr>"
+_JSON = '{"fund": {"items": [{"ticker": "X", "security": "Ex", "weight": 1}, {"ticker": "Y", "weight": null}]}}'
+#: Worked by hand: a page, its best table and its best records as lines of cells, and the addresses of files of holdings in it.
+PAGES = [
+    (f"<table>{_HEAD}{_ROWS}</table>", "AAA|Alpha Inc|1.5%;BBB|Beta|", "", ""), ("<table><tr><th>A</th><th>B</th></tr><tr><td>1</td><td>2</td></tr></table>", "", "", ""),
+    (f"<table><tr><th>Name</th><th>Weight</th></tr><tr><td>n</td><td>9</td></tr></table><p><table>{_HEAD}{_ROWS}</table>", "AAA|Alpha Inc|1.5%;BBB|Beta|", "", ""),
+    (f"<table>{_ROWS}</table>", "", "", ""), (f"<script type='application/json'>{_JSON}</script>", "", "X|Ex|1;Y||", ""), (f"<script>var d = {_JSON};</script>", "", "", ""),
+    ('<a href="/files/holdings.csv">x</a><a href="mailto:holdings.csv">m</a><a href="/other.csv">o</a>', "", "", "https://example.org/files/holdings.csv"),
+    ('<div data-export-url="portfolio?export=1"></div><script>["https:\\/\\/cdn.example.org\\/composition.xlsx", "/x"]</script>', "", "", "https://example.org/fund/portfolio?export=1,https://cdn.example.org/composition.xlsx"),
+    ('<script>load("/api/holdings/download?id=7"); go("javascript:holdings.zip")</script><a href="#holdings.zip">y</a>', "", "", "https://example.org/api/holdings/download?id=7"), (None, "", "", ""), ("<p>no table", "", "", ""),
+]
+_PAGE = ["html", "best", "records", "urls"]
+
+
+def _joined(t: Tables, kind: str) -> DataFrame:
+    p = cases.given(t.pages, "page_id", ["html"], PAGES)
+    found = files.html_holdings(p, "page_id", "html", 2).filter(F.col("kind") == kind)
+    cells = found.groupBy("id", "row").agg(F.sort_array(F.collect_list(F.struct(F.when(F.lower("name") == "ticker", 0).when(F.lower("name").isin("holdings", "security"), 1).otherwise(2).alias("k"), "value"))).alias("c"))
+    lines = cells.select("id", F.struct("row", F.array_join(F.transform("c", lambda x: x["value"]), "|").alias("line")).alias("r")).groupBy("id").agg(F.sort_array(F.collect_list("r")).alias("r"))
+    lines = lines.select(F.col("id").alias("page_id"), F.array_join(F.transform("r", lambda x: x["line"]), ";").alias("lines"))
+    return p.select("page_id").join(lines, "page_id", "left").na.fill("", ["lines"])
+
+
+@query("s12_html_tables", cases.answers("pages", "page_id", _PAGE, PAGES, ["best"]))
 def s12(t: Tables) -> DataFrame:
-    """S-12, S-13: table cells and script values, per page."""
-    k = F.col("page_id").cast("string")
-    table = F.concat(F.lit("<table><tr><th>id</th><th>url</th></tr><tr><td>"), k, F.lit("</td><td>"), "url", F.lit('</td></tr></table><script>var d = {"id": '), k, F.lit(', "tags": ["a", {"b": null}]};</script>'))
-    return files.html_records(t.pages.select("page_id", F.concat("html", table).alias("html")), "page_id", "html").groupBy("id", "kind").agg(F.count("*").alias("n"), F.max(F.length("value")).alias("longest"))
+    return _joined(t, "table").withColumnRenamed("lines", "best")
+
+
+@query("s13_json_records", cases.answers("pages", "page_id", _PAGE, PAGES, ["records"]))
+def s13(t: Tables) -> DataFrame:
+    return _joined(t, "json").withColumnRenamed("lines", "records")
+
+
+@query("s14_file_urls", cases.answers("pages", "page_id", _PAGE, PAGES, ["urls"]))
+def s14b(t: Tables) -> DataFrame:
+    p = cases.given(t.pages, "page_id", ["html"], PAGES)
+    got = files.html_urls(p, "page_id", "html", "https://example.org/fund/page").groupBy(F.col("id").alias("page_id")).agg(F.sort_array(F.collect_list(F.struct("nth", "url"))).alias("u"))
+    got = got.select("page_id", F.array_join(F.transform("u", lambda x: x["url"]), ",").alias("urls"))
+    return p.select("page_id").join(got, "page_id", "left").na.fill("", ["urls"])
 
 
 @query("s14_links", "SELECT page_id, len(l) AS n, len(list_distinct(l)) AS distinct_links, len(list_filter(l, lambda x: regexp_matches(x, '^https?://'))) AS absolute FROM (SELECT page_id, regexp_extract_all(html, '(?:href|src)=\"([^\"]+)\"', 1) AS l FROM pages)")

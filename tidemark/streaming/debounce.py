@@ -1,7 +1,7 @@
 """Event-driven capture with hysteresis, in batches and as a stream (an extension: the reference polls sensors in loops).
 
-A sample above ``trigger`` opens a window of ``length`` milliseconds; when it is over its peak is given out, and nothing
-opens until a sample at or below ``reset`` has been seen.
+A sample above ``trigger`` opens a window of ``length`` milliseconds; the first sample at or after its end still counts, and then its peak is given out;
+nothing opens until a later sample at or below ``reset`` has been seen.
 """
 
 from __future__ import annotations
@@ -19,31 +19,33 @@ OUT = "key long, opened long, peak double, samples long"
 def advance(state: tuple, ms: int, value: float, trigger: float, reset: float, length: int) -> tuple[tuple, tuple | None]:
     """(mode, opened, peak, samples) after one sample, and a capture that is over, if any."""
     mode, opened, peak, n = state
-    done = None
-    if mode == CAPTURE and ms - opened >= length:
-        done, mode = (opened, peak, n), WAIT
-    if mode == WAIT and value <= reset:
-        mode = IDLE
-    if mode == IDLE and value > trigger:
-        return (CAPTURE, ms, value, 1), done
     if mode == CAPTURE:
-        return (CAPTURE, opened, max(peak, value), n + 1), done
-    return (mode, 0, 0.0, 0), done
+        peak, n = max(peak, value), n + 1
+        return ((WAIT, 0, 0.0, 0), (opened, peak, n)) if ms >= opened + length else ((CAPTURE, opened, peak, n), None)
+    if mode == WAIT:
+        return ((IDLE if value <= reset else WAIT, 0, 0.0, 0), None)
+    return ((CAPTURE, ms, value, 1) if value > trigger else state, None)
 
 
 def captures(df: DataFrame, key: str, ms: str, value: str, trigger: float = 50, reset: float = 25, length: int = 60) -> DataFrame:
-    """(key, opened, peak, samples) of a table of samples, each key in the order of time."""
+    """(key, opened, peak, samples) of a table of samples, each key in the order of time. Samples come to a task sorted by Spark, in Arrow batches, so a
+    task holds a batch and one small state, however many samples a key has.
+    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = (IDLE, 0, 0.0, 0), []
-        for m, v in pdf.sort_values(["ms", "value"])[["ms", "value"]].itertuples(index=False):
-            state, done = advance(state, m, v, trigger, reset, length)
-            if done:
-                out.append((pdf["key"].iloc[0], *done))
-        return pd.DataFrame(out, columns=["key", "opened", "peak", "samples"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, (IDLE, 0, 0.0, 0)
+        for pdf in batches:
+            out = []
+            for k, m, v in pdf.itertuples(index=False):
+                if k != key:
+                    key, state = k, (IDLE, 0, 0.0, 0)
+                state, done = advance(state, m, v, trigger, reset, length)
+                if done:
+                    out.append((k, *done))
+            yield pd.DataFrame(out, columns=["key", "opened", "peak", "samples"])
 
     s = df.select(F.col(key).cast("long").alias("key"), F.col(ms).cast("long").alias("ms"), F.col(value).cast("double").alias("value"))
-    return s.groupBy("key").applyInPandas(run, OUT)
+    return s.repartition("key").sortWithinPartitions("key", "ms", "value").mapInPandas(run, OUT)
 
 
 def stream_captures(df: DataFrame, trigger: float = 50, reset: float = 25, length: int = 60) -> DataFrame:
