@@ -14,7 +14,7 @@ words reach that it depends on is carried along, so it is known which symbols a
 Copies of a whole text are told by its digest and weigh nothing: all their windows repeat, and one of them stands for all in the search.
 
 Defined results: null texts have no words; a text with fewer words than a window loses none; words are compared as they are, by 64-bit hashes, windows by
-128 bits; equal rows count as different places; a null id is an id like any other; an empty table gives an empty table; other columns play no part.
+128 bits over these; equal rows count as different places; a null id is an id like any other; an empty table gives an empty table; other columns play no part.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, release, small_batches
+from tidemark.llm.common import Table, cut, release, small_batches
 
 WINDOW = 35
 ROUNDS = 4  # of pairs, after the one of runs
@@ -169,11 +169,15 @@ def parse(words: Words, rounds: int = ROUNDS, most: tuple[int, ...] = MOST) -> l
     return out
 
 
+def window_starts(words: Words, window: int = WINDOW) -> np.ndarray:
+    """The first word of each window, which never goes over a text's end."""
+    stop = np.repeat(words.first + words.count, words.count) if len(words) else np.zeros(0, int)
+    return np.flatnonzero(np.arange(len(words)) + window <= stop)
+
+
 def window_keys(words: Words, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each window: its first word, the key it is filed under, and where (the first word of the symbol with all it depends on)."""
-    n = len(words)
-    stop = np.repeat(words.first + words.count, words.count) if n else np.zeros(0, int)
-    s = np.flatnonzero(np.arange(n) + window <= stop)
+    n, s = len(words), window_starts(words, window)
     key, where = np.full(len(s), ~_U(0)), np.full(len(s), -1)
     if not len(s):
         return s, key, where
@@ -278,8 +282,8 @@ def _remove(window: int):
             rows: list = []
             for i, j in _chunks(texts):
                 words = Words(texts[i:j])
-                s, key, _ = window_keys(words, window)
-                mark = (key ^ _Ranges(words.hash, _BASE).of(s, s + window)).view(np.int64)
+                s = window_starts(words, window)
+                mark = _Ranges(words.hash, _BASE).of(s, s + window).view(np.int64)
                 doc = np.searchsorted(words.first, s, side="right") - 1
                 edge = np.searchsorted(doc, np.arange(j - i + 1))
                 for k, d in enumerate(range(i, j)):
@@ -354,15 +358,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     del filed, places, shared
     release(spark)
 
-    # 2. The windows that are filed there, each text once, counted.
-    rows = one(_likely(found)).join(found, ["d1", "d2"]).select("d1", "d2", "t", "keys").mapInPandas(_verify(window), "d1 long, d2 long, key long, h long")
-    repeated = rows.groupBy("key", "h").agg(F.count("*").alias("n")).filter("n > 1").select("key", "h")
-    marks = rows.join(repeated, ["key", "h"]).groupBy("d1", "d2").agg(F.collect_list(F.col("key").bitwiseXOR(F.col("h"))).alias("marks"))
-    marks = cut(marks)
-    del found, rows, repeated
+    # 2. The windows that are filed there, each text once, made once and counted.
+    table = Table(one(_likely(found)).join(found, ["d1", "d2"]).select("d1", "d2", "t", "keys").mapInPandas(_verify(window), "d1 long, d2 long, key long, h long"))
+    del found
+    release(spark)
+    repeated = table.read().groupBy("key", "h").agg(F.count("*").alias("n")).filter("n > 1").select("key", "h")
+    marks = cut(table.read().join(repeated, ["key", "h"]).groupBy("d1", "d2").agg(F.collect_set("h").alias("marks")))
+    table.drop()
+    del repeated
     release(spark)
 
-    # 3. Back to the texts, where a window is told by its symbol and its words. Texts with copies lose all words, if they have a window.
+    # 3. Back to the texts, where a window is told by the hash of its words. Texts with copies lose all words, if they have a window.
     done = one(_likely(marks)).join(marks, ["d1", "d2"]).select("d1", "d2", "t", "marks").mapInPandas(_remove(window), "d1 long, d2 long, n_removed long, kept string")
     done = done.select("d1", "d2", "n_removed", F.sha2("kept", 256).alias("kept") if digest else F.col("kept"))
     twins = docs.groupBy("d1", "d2").agg(F.count("*").alias("copies")).filter("copies > 1").select("d1", "d2", F.lit(True).alias("twin"))
