@@ -145,8 +145,7 @@ def test_blocks_are_pruned():
 
 
 def line_set(k):
-    w = re.findall(r"(?=( [^ ].{0,10}))", " " + k)
-    return frozenset(w) if len(k) <= 16 * len(w) else frozenset(k[j : j + 8] for j in range(max(1, len(k) - 7)))
+    return frozenset(k[j : j + 8] for j in range(max(1, len(k) - 7)))
 
 
 def slow_lines(rows):
@@ -206,7 +205,7 @@ def test_licenses(spark, docs, empty):
     mit = "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n"
     rows = [(1, mit), (2, "Foo. Released under the MIT License. Bar"), (3, "RELEASED!! UNDER THE MIT LICENSE!!"), (4, "Licensed under the Apache License, Version 2.0.\nAll rights reserved."), (5, None), (6, "all rights reserved for now")]
     got = {r["doc_id"]: r["licenses"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
-    assert got == {1: ["MIT"], 2: ["MIT"], 3: [], 4: ["Apache-2.0", "LicenseRef-All-Rights-Reserved"], 5: [], 6: []} or got[1] == ["MIT"] and got[4][0] == "Apache-2.0"
+    assert got == {1: ["MIT"], 2: ["MIT"], 3: [], 4: ["Apache-2.0", "LicenseRef-All-Rights-Reserved"], 5: [], 6: []}
     assert licenses.scan(docs).count() == len(ROWS) and licenses.scan(empty).count() == 0
 
 
