@@ -43,3 +43,55 @@ def test_sorts_of_secrets_do_not_meet():
     for i in range(200):
         low, high, other = (surrogates.surrogate(b"k", "secret", x) for x in (f"{i:08d}", f"A{i:07d}", f"z{i:07d}"))
         assert re.fullmatch("[0-9a-f]{8}", low) and high.isupper() and not re.fullmatch("[0-9a-f]+|[0-9A-F]+", other)
+
+
+def entities(rng):
+    """Many entities of each kind, several spellings of some, in three scripts and genders."""
+    out = {"email": [], "phone": [], "card": [], "ssn": [], "ip": [], "iban": [], "secret": []}
+    for i in range(150):
+        out["email"] += [f"user{i}@mail{i % 7}.example.org", f"User{i}@mail{i % 7}.example.org"]
+        n = f"{rng.integers(10**9, 10**10 - 1)}"
+        out["phone"] += [f"+49 {n[:3]} {n[3:]}", f"+49{n}", f"({n[:3]}) {n[3:6]}-{n[6:]}"]
+        out["ssn"].append(f"{n[:3]}-{n[3:5]}-{n[5:9]}")
+        body = n + "12345"
+        card = body + str(surrogates._luhn(body))
+        out["card"] += [card, " ".join(card[k : k + 4] for k in range(0, 16, 4))]
+        out["ip"] += [f"10.0.{i}.{i % 9}", f"8.8.{i}.1", f"192.168.{i}.7"]
+        out["iban"].append(f"DE{10 + i % 80}{n}00000000"[:22])
+        out["secret"] += [f"{n}abcdef{i:06d}xyz", f"{i:032x}"]
+    return out
+
+
+def test_brute_force_of_distinctness_and_coreference():
+    import numpy as np
+
+    for kind, said in entities(np.random.default_rng(11)).items():
+        meant = {}
+        for text in dict.fromkeys(said):
+            known, got = surrogates.canonical(kind, text), surrogates.surrogate(b"k", kind, text)
+            assert surrogates.canonical(kind, got) != known, (kind, text, got)
+            assert kind == "ip" or [c.isalnum() for c in got] == [c.isalnum() for c in text]
+            meant.setdefault(known, set()).add(surrogates.canonical(kind, got))
+        assert all(len(x) == 1 for x in meant.values()), kind  # coreference
+        assert len(set.union(*meant.values())) == len(meant), kind  # distinctness
+
+
+@pytest.mark.parametrize("size", [2, 3, 10, 257, 1000])
+def test_permutations_have_no_fixed_points(size):
+    p = surrogates.Permutation(b"k", "t", size)
+    assert sorted(map(p, range(size))) == list(range(size)) and all(p(x) != x for x in range(size))
+
+
+def test_names_are_distinct_in_scripts_and_genders(spark):
+    said = {"m": ["Mr", "Herr", "г-н"], "f": ["Mrs", "Frau", "г-жа"]}
+    said = {g: [t for t in ts if t in surrogates.TITLES] for g, ts in said.items()}
+    names = [f"{a} {b}" for a in ("Anna", "Otto", "Élise", "Иван", "Мария", "Νίκος") for b in ("Weber", "Smith", "Петров", "Παππάς")]
+    rows = [(i, f"{said[g][i % len(said[g])]} {n} came. Then {n} left.") for i, (n, g) in enumerate((n, g) for n in names for g in "mf")]
+    got = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id int, text string"), b"k").collect()}
+    person = {}
+    for i, text in rows:
+        name = re.search(r" (\S+ \S+) came", text)[1]
+        a, b = re.search(r" (\S+ \S+) came\. Then (\S+ \S+) left", got[i]).groups()
+        assert a == b != name and surrogates.script_of(a.split()[-1]) == surrogates.script_of(name)
+        person.setdefault(name, set()).add(a)
+    assert all(len(x) == 1 for x in person.values()) and len(set.union(*person.values())) == len(names)

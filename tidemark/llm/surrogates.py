@@ -3,7 +3,7 @@
 An entity is first brought to a canonical form, so that all its spellings get one surrogate (digits of a phone number or a card however they are grouped, the
 lower-case form of an address). The surrogate is then drawn by a keyed permutation of all strings of the same pattern: letters stay letters of their
 script, digits digits, separators what they are; a card keeps the state of its check digit, an IPv4 address the kind of network it
-is in, a phone number its country code. A permutation never gives two entities one surrogate.
+is in, a phone number its country code. A permutation never gives two entities one surrogate, and none its own.
 
 Names are found after titles; in the same text, their mentions without a title count too. A name is one person in the whole corpus, whatever
 the titles; its gender is the one that its titles tell, if they do not tell both. Names are the exception, as they are drawn from lists by gender, with a made-up family name of the same script: there two may meet. So all
@@ -72,30 +72,41 @@ _ANY = re.compile(r"[0-9@=:]")
 
 
 class Permutation:
-    """A keyed permutation of 0 .. size-1: a Feistel network on bits, walked until it falls below ``size``."""
+    """A keyed permutation of 0 .. size-1 that maps nothing to itself: the places in a keyed order, each to the one a keyed distance on. The order is
+    a Feistel network on bits, walked until it falls below ``size``.
+    """
 
     def __init__(self, key: bytes, tweak: str, size: int):
         self.size = size
         self.half = max(1, (max(1, size - 1).bit_length() + 1) // 2)
+        self.width = self.half // 8 + 9
         self.key, self.tweak = hashlib.blake2b(key).digest(), tweak.encode()
+        self.step = 1 + self._hash(b"step") % (size - 1) if size > 1 else 0
 
-    def _once(self, x: int) -> int:
-        mask = (1 << self.half) - 1
-        width = self.half // 8 + 9
-        left, right = x >> self.half, x & mask
-        for turn in range(8):
-            digest = hashlib.blake2b(self.tweak + bytes([turn]) + right.to_bytes(width, "big"), key=self.key, digest_size=min(64, width)).digest()
-            while len(digest) < width:
-                digest += hashlib.blake2b(digest, key=self.key).digest()
-            left, right = right, left ^ (int.from_bytes(digest[:width], "big") & mask)
-        return left << self.half | right
+    def _hash(self, what: bytes) -> int:
+        digest = hashlib.blake2b(self.tweak + what, key=self.key, digest_size=min(64, self.width)).digest()
+        while len(digest) < self.width:
+            digest += hashlib.blake2b(digest, key=self.key).digest()
+        return int.from_bytes(digest[: self.width], "big")
 
-    def __call__(self, x: int) -> int:
+    def _place(self, x: int, turns: range) -> int:
+        """Along the order, or, with the turns backwards, against it."""
+        mask, back = (1 << self.half) - 1, turns.step < 0
         while True:
-            x = self._once(x)
+            left, right = x >> self.half, x & mask
+            if back:
+                left, right = right, left
+            for turn in turns:
+                left, right = right, left ^ (self._hash(bytes([turn]) + right.to_bytes(self.width, "big")) & mask)
+            if back:
+                left, right = right, left
+            x = left << self.half | right
             if x < self.size:
                 return x
 
+    def __call__(self, x: int) -> int:
+        return self._place((self._place(x, range(7, -1, -1)) + self.step) % self.size, range(8))
+
 
 def permute_text(key: bytes, tweak: str, text: str, alphabets: list[str] = ALPHABETS) -> str:
     """Another text of the same pattern, lower case for lower case. One-to-one among texts of a pattern."""
