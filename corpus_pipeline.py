@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import langid, lines, mixing, sentencepiece_bpe, simhash
 from tidemark.llm.common import cut, small_batches
+from tidemark.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,7 +28,7 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """lang becomes the predicted language; documents without a language (no text, no letter) go."""
-    small_batches(spark)
+    small_batches(spark, "4m")
     got = langid.predict(docs.select(*COLUMNS), langid.fit(docs), lang_as="lang", score_as="score__")
     return got.filter("lang <> 'und'").select(*COLUMNS)
 
@@ -49,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of what they decode to."""
-    small_batches(spark)
+    small_batches(spark, "4m")
     return sentencepiece_bpe.digests(docs.select(*COLUMNS), tokenizer_path()).select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
@@ -66,6 +67,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -1,6 +1,7 @@
 """Known answers, and properties that must hold whatever the data."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -121,6 +122,68 @@ def test_low_rank_cells_are_found_again():
     assert factors.masked_scores(np.full(12, np.nan), components) is None
 
 
+def test_model_of_a_wide_sparse_panel(spark):
+    """Gram matrices over tasks give what one matrix gives: imputation, axes, scores, residuals and the basket."""
+    import datetime
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((40, 2)) @ rng.standard_normal((2, 70)) + 0.1 * rng.standard_normal((40, 70))
+    x[rng.random(x.shape) < 0.3] = np.nan
+    x[:, 3] = np.nan
+    weeks = [datetime.date(2000, 1, 7) + datetime.timedelta(7 * i) for i in range(40)]
+    cells = [(weeks[i], int(k), float(x[i, k])) for i in range(40) for k in range(70) if np.isfinite(x[i, k])]
+    df = spark.createDataFrame(cells, "week date, key long, x double").repartition(5)
+    model = factors.fit(factors.Panel(df), 2, 30)
+    keep = np.isfinite(x[:30]).sum(axis=0) >= 2
+    z, mean, scale = factors.standardise(x[:, keep], np.arange(40) < 30)
+    full, ok = np.where(np.isfinite(z[:30]), z[:30], 0.0), np.isfinite(z[:30])
+    for _ in range(4):
+        u, s, vt = np.linalg.svd(full, full_matrices=False)
+        full = np.where(ok, z[:30], (u[:, :2] * s[:2]) @ vt[:2])
+    components, singular, _ = factors.axes(full, 2)
+    got = {r["key"]: r for r in model["loadings"].collect()}
+    assert sorted(got) == np.flatnonzero(keep).tolist() and np.allclose(model["singular"], singular)
+    assert np.allclose(np.array([got[k]["loading"] for k in sorted(got)]).T, components)
+    sc = factors.scores(df, model, least=0.0)
+    by = {(r["week"], r["factor"]): r["score"] for r in sc.collect()}
+    want = np.array([factors.masked_scores(row, components, ridge=1e-4, least=0.0) for row in z])
+    assert np.allclose([[by[w, 1], by[w, 2]] for w in weeks], want)
+    rest = np.where(ok, z[:30] - want[:30] @ components, np.nan)
+    scales = {r["key"]: r["residual_scale"] for r in factors.residual_scales(df, model, sc, weeks[29]).collect()}
+    assert np.allclose([scales[k] for k in sorted(got)], np.nanstd(rest, axis=0, ddof=1))
+    base, loadings = factors.projection(model)
+    assert base == pytest.approx(mean.mean()) and np.allclose(loadings, (scale * components).mean(axis=1))
+    few = factors.scores(df.filter("key < 5"), model).collect()
+    assert all(r["score"] is None for r in few)  # less than half of the keys
+
+
+def test_rank_errors_are_those_of_brute_force(spark):
+    import datetime
+
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((60, 2)) @ rng.standard_normal((2, 30)) + 0.3 * rng.standard_normal((60, 30))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    weeks = [datetime.date(2000, 1, 7) + datetime.timedelta(7 * i) for i in range(60)]
+    df = spark.createDataFrame([(weeks[i], int(k), float(x[i, k])) for i in range(60) for k in range(30) if np.isfinite(x[i, k])], "week date, key long, x double")
+    got = {(r["rank"], r["key_fold"]): r["mse"] for r in factors.rank_errors(df, [1, 2, 3], [(0, 40, 60)], 2, least=0.0).collect()}
+    fold = {r["k"]: r["f"] for r in spark.range(30).select(F.col("id").alias("k"), F.pmod(F.xxhash64(F.lit(52), F.col("id").cast("string")), F.lit(2)).alias("f")).collect()}
+    fold = np.array([fold[k] for k in range(30)])
+    z, _, _ = factors.standardise(x, np.arange(60) < 40)
+    full = np.where(np.isfinite(z[:40]), z[:40], 0.0)
+    for _ in range(4):
+        u, s, vt = np.linalg.svd(full, full_matrices=False)
+        full = np.where(np.isfinite(z[:40]), z[:40], (u[:, :3] * s[:3]) @ vt[:3])
+    vt, _, _ = factors.axes(full, 3)
+    for r in (1, 2, 3):
+        for k in (0, 1):
+            errors = []
+            for row in z[40:]:
+                s = factors.masked_scores(row[fold != k], vt[:r][:, fold != k], ridge=1e-4, least=0.0)
+                e = row[fold == k] - s @ vt[:r][:, fold == k]
+                errors.append(e[np.isfinite(e)] ** 2)
+            assert got[r, k] == pytest.approx(np.concatenate(errors).mean())
+
+
 def test_var_is_stable():
     rng = np.random.default_rng(2)
     v = factors.stable_var(np.cumsum(rng.standard_normal((200, 3)), axis=0), 2)
@@ -190,8 +253,20 @@ def test_special_functions(spark):
     assert one(spark, special.name_similarity(F.lit("Foo Inc"), F.lit("foo corp"))) == 1.0
 
 
-def test_entry_without_the_optional_parts():
+def test_entry_without_the_optional_parts(tmp_path):
+    """With the optional folders and the pipeline deleted the entry still imports, and has all other queries."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
     import __spark_entry__
 
-    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
-    assert len(__spark_entry__.queries()) > 150
+    root, copy = Path(__file__).resolve().parents[1], tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q); print(*q)"
+    got = subprocess.run([sys.executable, "-c", code], cwd=copy, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True, timeout=120)
+    assert got.returncode == 0, got.stderr[-2000:]
+    whole, rest = set(__spark_entry__.queries()), set(got.stdout.split())
+    assert len(rest) > 150 and {q for q in whole - rest if q != "pipeline" and not re.match(r"op\d+_", q)} == set() and rest <= whole
+    assert "corpus_pipeline" not in got.stdout and not any(re.match(r"op\d+_", q) for q in rest)

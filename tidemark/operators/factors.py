@@ -1,7 +1,8 @@
 """Factor models: imputation, principal axes, projections, cross-validation, vector autoregression, clusters.
 
-Panels are long, (week, key, x). Linear algebra needs a whole matrix: it is collected only behind a check of its size
-(``MATRIX_CELLS``); what is done for each week or fold is done on the executors, with the loadings sent along.
+Panels are long, (week, key, x), with a row a week at the most and as many keys as there are. A model's linear algebra goes through matrices of weeks by
+weeks, or of factors by factors, that tasks add up over the keys they hold; only these come to the driver, and only they are solved there.
+Loadings stay a table with a row a key, scores are a table with a row a week.
 """
 
 from __future__ import annotations
@@ -11,18 +12,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MATRIX_CELLS = 20_000_000
-
-
-def matrix(df: DataFrame, rows: str, columns: str, x: str) -> tuple[list, list, np.ndarray]:
-    """A small panel as a matrix with NaN for what is missing; refuses more than ``MATRIX_CELLS``."""
-    n, m = df.agg(F.countDistinct(rows), F.countDistinct(columns)).first()
-    if n * m > MATRIX_CELLS:
-        raise ValueError(f"{n} x {m} cells are too many for one matrix")
-    pdf = df.select(rows, columns, x).toPandas().pivot(index=rows, columns=columns, values=x).sort_index().sort_index(axis=1)
-    return list(pdf.index), list(pdf.columns), pdf.to_numpy(float)
-
-
 def standardise(x: np.ndarray, fit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By the mean and sample deviation of the rows of ``fit``; flat columns keep scale 1."""
     with np.errstate(all="ignore"):
@@ -66,66 +55,235 @@ def masked_scores(x: np.ndarray, components: np.ndarray, ridge: float = 1e-6, le
         return np.linalg.lstsq(left, right, rcond=None)[0]
 
 
-def fit(df: DataFrame, rank: int, fit_end) -> dict:
-    """The model of a panel (week, key, x) on the weeks until ``fit_end``."""
-    weeks, keys, x = matrix(df, "week", "key", "x")
-    rows = np.array([w <= fit_end for w in weeks])
-    keep = np.isfinite(x[rows]).sum(axis=0) >= 2
-    x, keys = x[:, keep], [k for k, ok in zip(keys, keep, strict=True) if ok]
-    z, mean, scale = standardise(x, rows)
-    components, singular, share = axes(impute(z[rows], rank), rank)
-    return {"keys": keys, "mean": mean, "scale": scale, "components": components, "singular": singular, "share": share}
+class Panel:
+    """A panel as one row a key: (key, at, x), the places of its observed weeks among all ``weeks`` and the values there. Kept for the passes over it."""
+
+    def __init__(self, df: DataFrame, weeks: list | None = None):
+        self.spark = df.sparkSession
+        self.weeks = weeks or [r["week"] for r in df.select("week").distinct().orderBy("week").collect()]  # a row a week
+        if self.weeks:
+            place = self.spark.createDataFrame(list(enumerate(self.weeks)), "at int, week date")
+            df = df.join(F.broadcast(place), "week")  # a row a week
+        seen = df.filter(F.col("x").isNotNull() & ~F.isnan("x"))
+        self.rows = seen.groupBy("key").agg(F.collect_list("at").alias("at"), F.collect_list("x").alias("x")).persist() if self.weeks else None
+
+    def __len__(self) -> int:
+        return len(self.weeks)
+
+
+def _dense(pdf: pd.DataFrame, n: int) -> np.ndarray:
+    """Keys by weeks, NaN for what is missing."""
+    out = np.full((len(pdf), n), np.nan)
+    for i, (at, x) in enumerate(zip(pdf["at"], pdf["x"], strict=True)):
+        out[i, np.asarray(at)] = x
+    return out
+
+
+def _standard(x: np.ndarray, rows: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of keys by weeks: (which have ``least`` values in the first ``rows`` weeks, their values standardised by those, means, scales)."""
+    ok = np.isfinite(x[:, :rows]).sum(axis=1) >= max(2, least)
+    z, mean, scale = standardise(x[ok].T, np.arange(x.shape[1]) < rows)
+    return ok, z.T, mean, scale
+
+
+def _filled(z: np.ndarray, bases: list[np.ndarray]) -> np.ndarray:
+    """Missing cells 0 at first, then what the weeks' bases of each round make of the key's other cells; observed cells never change."""
+    seen = np.isfinite(z)
+    full = np.where(seen, z, 0.0)
+    for u in bases:
+        full = np.where(seen, z, full @ u @ u.T)
+    return full
+
+
+def _added(df: DataFrame, n: int) -> np.ndarray:
+    """The sum of square matrices of n rows, each as rows df(i, m): row by row on the executors, and the n sums to the driver."""
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}  # of the rows that this task has
+        for pdf in batches:
+            for i, m in zip(pdf["i"], pdf["m"], strict=True):
+                sums[i] = sums.get(i, 0.0) + np.frombuffer(m, float)
+        yield pd.DataFrame({"i": list(sums), "m": [x.tobytes() for x in sums.values()]})
+
+    out = np.zeros((n, n))
+    for r in df.repartition("i").mapInPandas(add, "i int, m binary").collect():  # a row a week
+        out[r["i"]] = np.frombuffer(r["m"], float)
+    return out
+
+
+def fit(panel: Panel, rank: int, rows: int, rounds: int = 4, least: int = 2) -> dict:
+    """The model of the panel's first ``rows`` weeks, of the keys with ``least`` values there.
+
+    Each round adds up the weeks' Gram matrix over all keys, and its first ``rank`` eigenvectors fill the missing cells of the next. The
+    loadings are a table (key, mean, scale, loading) with the largest of each factor positive.
+    """
+    n, shared = len(panel), panel.spark.sparkContext.broadcast
+    bases: list[np.ndarray] = []
+
+    def gram(sent):
+        def step(batches):
+            total = np.zeros((rows, rows))
+            for pdf in batches:
+                _, z, _, _ = _standard(_dense(pdf, n), rows, least)
+                full = _filled(z[:, :rows], sent.value)
+                total += full.T @ full
+            yield pd.DataFrame({"i": np.arange(rows, dtype=np.int32), "m": [r.tobytes() for r in total]})
+
+        return step
+
+    for turn in range(rounds + 1):
+        values, vectors = np.linalg.eigh(_added(panel.rows.mapInPandas(gram(shared(list(bases))), "i int, m binary"), rows))
+        u = vectors[:, ::-1][:, :rank]
+        if turn < rounds:
+            bases.append(u)
+    singular = np.sqrt(np.maximum(values[::-1][:rank], 0.0))
+    final = shared((list(bases), u, np.where(singular > 1e-12, singular, 1.0)))
+
+    def loadings(batches):
+        chain, base, size = final.value
+        for pdf in batches:
+            ok, z, mean, scale = _standard(_dense(pdf, n), rows, least)
+            v = _filled(z[:, :rows], chain) @ base / size
+            spread = np.nan_to_num(np.nanvar(z[:, :rows], axis=1, ddof=1))
+            yield pd.DataFrame({"key": pdf["key"].to_numpy()[ok], "mean": mean, "scale": scale, "loading": list(v), "variance": spread})
+
+    kind = dict(panel.rows.dtypes)["key"]
+    table = panel.rows.mapInPandas(loadings, f"key {kind}, mean double, scale double, loading array<double>, variance double").persist()
+    top = table.agg(F.sum("variance").alias("total"), *(F.max_by(F.col("loading")[i], F.struct(F.abs(F.col("loading")[i]), "key")).alias(f"t{i}") for i in range(rank))).first()
+    signs = [(-1.0 if (top[f"t{i}"] or 0.0) < 0 else 1.0) for i in range(rank)]
+    turned = F.array(*(F.col("loading")[i] * F.lit(x) for i, x in enumerate(signs)))
+    share = singular**2 / max((rows - 1) * float(top["total"] or 0.0), 1e-12)
+    return {"loadings": table.select("key", "mean", "scale", turned.alias("loading")), "singular": singular, "share": share, "rank": rank, "panel": panel, "rows": rows, "bases": bases, "least": least}
+
+
+def filled_weeks(df: DataFrame, model: dict) -> DataFrame:
+    """(week, observed, filled, norm) of the weeks of the fit: how many cells are observed and filled, and the sum of squares of the latter."""
+    panel, rows, least = model["panel"], model["rows"], model["least"]
+    weeks, n = panel.weeks[:rows], len(panel)
+    sent = panel.spark.sparkContext.broadcast(list(model["bases"]))
+
+    def step(batches):
+        seen, norm, keys = np.zeros(rows, np.int64), np.zeros(rows), 0
+        for pdf in batches:
+            _, z, _, _ = _standard(_dense(pdf, n), rows, least)
+            z = z[:, :rows]
+            full, ok = _filled(z, sent.value), np.isfinite(z)
+            seen, norm, keys = seen + ok.sum(axis=0), norm + (np.where(ok, 0.0, full) ** 2).sum(axis=0), keys + len(z)
+        yield pd.DataFrame({"week": weeks, "observed": seen, "filled": keys - seen, "norm": norm})
+
+    got = panel.rows.mapInPandas(step, "week date, observed long, filled long, norm double")
+    return got.groupBy("week").agg(F.sum("observed").alias("observed"), F.sum("filled").alias("filled"), F.sum("norm").alias("norm"))
+
+
+def _moments(df: DataFrame, by: list[str], rank: int, only: str) -> DataFrame:
+    """df(*by, z, loading) to (*by, bb, bx, n): what the normal equations of each group need, added up in each task first, then over tasks."""
+
+    def part(batches):
+        sums: dict[tuple, list] = {}
+        for pdf in batches:
+            for k, g in pdf.groupby(by, sort=False):
+                b, z = np.stack(g["loading"].to_numpy()), g["z"].to_numpy()
+                now = sums.setdefault(k if isinstance(k, tuple) else (k,), [np.zeros((rank, rank)), np.zeros(rank), 0])
+                now[0] += b.T @ b
+                now[1] += b.T @ z
+                now[2] += len(z)
+        yield pd.DataFrame([(*k, bb.tobytes(), bx.tobytes(), n) for k, (bb, bx, n) in sums.items()], columns=[*by, "bb", "bx", "n"])
+
+    def add(batches):
+        sums: dict[tuple, list] = {}
+        for pdf in batches:
+            for *k, bb, bx, n in pdf[[*by, "bb", "bx", "n"]].itertuples(index=False):
+                now = sums.setdefault(tuple(k), [0.0, 0.0, 0])
+                now[0], now[1], now[2] = now[0] + np.frombuffer(bb, float), now[1] + np.frombuffer(bx, float), now[2] + n
+        yield pd.DataFrame([(*k, bb.tobytes(), bx.tobytes(), n) for k, (bb, bx, n) in sums.items()], columns=[*by, "bb", "bx", "n"])
+
+    spec = f"{only}, bb binary, bx binary, n long"
+    return df.select(*by, "z", "loading").mapInPandas(part, spec).repartition(*by).mapInPandas(add, spec)
+
+
+def solved(bb: np.ndarray, bx: np.ndarray, n: int, keys: int, ridge: float = 1e-4, least: float = 0.5) -> np.ndarray | None:
+    """The factors of a week from its normal equations; null if less than ``least`` of the keys, or fewer than factors, are observed."""
+    if n < least * keys or n < len(bx):
+        return None
+    left = bb + ridge * np.eye(len(bx))
+    try:
+        return np.linalg.solve(left, bx)
+    except np.linalg.LinAlgError:
+        return np.linalg.lstsq(left, bx, rcond=None)[0]
+
+
+def _placed(df: DataFrame, model: dict) -> DataFrame:
+    """(week, key, z, loading) of the observed cells."""
+    seen = df.filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    return seen.join(model["loadings"], "key").withColumn("z", (F.col("x") - F.col("mean")) / F.col("scale"))
+
 
+def scores(df: DataFrame, model: dict, ridge: float = 1e-4, least: float = 0.5) -> DataFrame:
+    """(week, factor, score) of a panel (week, key, x): each week's normal equations, added up over its observed keys."""
+    rank, keys = model["rank"], model["loadings"].count()
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for week, bb, bx, n in pdf[["week", "bb", "bx", "n"]].itertuples(index=False):
+                got = solved(np.frombuffer(bb, float).reshape(rank, rank), np.frombuffer(bx, float), n, keys, ridge, least)
+                out += [(week, i + 1, None if got is None else float(got[i])) for i in range(rank)]
+            yield pd.DataFrame(out, columns=["week", "factor", "score"])
 
-def scores(df: DataFrame, model: dict) -> DataFrame:
-    """(week, factor, score) of a panel: each week by itself, on the executors."""
-    place = {k: i for i, k in enumerate(model["keys"])}
-    shared = df.sparkSession.sparkContext.broadcast((place, model["mean"], model["scale"], model["components"]))
+    got = _moments(_placed(df, model), ["week"], rank, "week date").mapInPandas(solve, "week date, factor long, score double")
+    return got.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
+
+
+def residual_scales(df: DataFrame, model: dict, got: DataFrame, fit_end) -> DataFrame:
+    """(key, residual_scale): the sample deviation of what the scores leave of each key until ``fit_end``; 1e-3 where that is next to nothing."""
+    wide = got.groupBy("week").agg(F.sort_array(F.collect_list(F.struct("factor", "score"))).alias("s")).filter(F.forall("s", lambda p: p["score"].isNotNull()))
+    rows = _placed(df.filter(F.col("week") <= F.lit(fit_end)), model).join(F.broadcast(wide), "week")  # a row a week
+    rest = F.col("z") - F.aggregate(F.zip_with("s", "loading", lambda p, b: p["score"] * b), F.lit(0.0), lambda a, x: a + x)
+    sd = F.stddev_samp(rest)
+    return rows.groupBy("key").agg(F.when(sd > 1e-6, sd).otherwise(1e-3).alias("residual_scale"))
+
+
+def _others_solved(sent):
+    """For each week, fold of keys and rank: the factors that the other folds' keys give."""
 
     def week(pdf: pd.DataFrame) -> pd.DataFrame:
-        at, mean, scale, components = shared.value
-        x = np.full(len(mean), np.nan)
-        for k, v in zip(pdf["key"], pdf["x"], strict=True):
-            if k in at and v is not None:
-                x[at[k]] = v
-        got = masked_scores((x - mean) / scale, components)
-        got = np.full(len(components), np.nan) if got is None else got
-        return pd.DataFrame({"week": [pdf["week"].iloc[0]] * len(got), "factor": np.arange(1, len(got) + 1), "score": got})
-
-    out = df.groupBy("week").applyInPandas(week, "week date, factor long, score double")
-    return out.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
-
-
-def rank_errors(df: DataFrame, ranks: list[int], bounds: list[tuple[int, int, int]], key_folds: int, seed: int = 52) -> DataFrame:
-    """(rank, fold, key_fold, mse): held-out weeks of held-out keys, rebuilt from factors that the other keys give. A task a pair of folds."""
-    weeks, keys, x = matrix(df, "week", "key", "x")
-    shared = df.sparkSession.sparkContext.broadcast(x)
-    order = np.random.default_rng(seed).permutation(len(keys)) % key_folds
-    tasks = df.sparkSession.createDataFrame([(f, a, b, k) for f, a, b in bounds for k in range(key_folds)], "fold int, train_end int, held_end int, key_fold int")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, rows = shared.value, []
-        for f, a, b, k in pdf.itertuples(index=False):
-            train = np.zeros(len(m), bool)
-            train[:a] = True
-            ok = np.isfinite(m[:a]).sum(axis=0) >= max(2, 26, int(np.ceil(0.25 * a)))
-            z, _, _ = standardise(m[:, ok], train)
-            held_out = order[ok] == k
-            full = impute(z[:a], max(ranks))
-            vt, _, _ = axes(full, max(ranks))
-            for r in ranks:
-                left = vt[:r][:, ~held_out]
-                errors = []
-                for row in z[a:b]:
-                    s = masked_scores(row[~held_out], left)
-                    if s is not None:
-                        e = row[held_out] - s @ vt[:r][:, held_out]
-                        errors.append(e[np.isfinite(e)] ** 2)
-                all_ = np.concatenate(errors) if errors else np.zeros(0)
-                rows.append((r, f, k, float(all_.mean()) if len(all_) else None))
-        return pd.DataFrame(rows, columns=["rank", "fold", "key_fold", "mse"])
-
-    return tasks.repartition(tasks.count(), "fold", "key_fold").groupBy("fold", "key_fold").applyInPandas(one, "rank long, fold long, key_fold long, mse double")
+        sizes, ranks, most, ridge, least = sent.value
+        bb = {k: np.frombuffer(m, float).reshape(most, most) for k, m in zip(pdf["key_fold"], pdf["bb"], strict=True)}
+        bx = {k: np.frombuffer(m, float) for k, m in zip(pdf["key_fold"], pdf["bx"], strict=True)}
+        n = dict(zip(pdf["key_fold"], pdf["n"], strict=True))
+        rows = []
+        for k in sizes:
+            left, right = sum(m for j, m in bb.items() if j != k), sum(m for j, m in bx.items() if j != k)
+            many, keys = sum(c for j, c in n.items() if j != k), sum(c for j, c in sizes.items() if j != k)
+            for r in ranks if many else ():
+                got = solved(left[:r, :r], right[:r], many, keys, ridge, least)
+                if got is not None:
+                    rows.append((pdf["week"].iloc[0], k, r, got))
+        return pd.DataFrame(rows, columns=["week", "key_fold", "rank", "s"])
+
+    return week
+
+
+def rank_errors(df: DataFrame, ranks: list[int], bounds: list[tuple[int, int, int]], key_folds: int, seed: int = 52, ridge: float = 1e-4, least: float = 0.5) -> DataFrame:
+    """(rank, fold, key_fold, mse): held-out weeks of held-out keys, rebuilt from factors that the other keys give.
+
+    bounds: (fold, end of training, end of the held-out part), places of weeks. Each week's normal equations are added up by fold of
+    keys, so those of all other folds are the whole less one; lower ranks are corners of the highest.
+    """
+    panel, most, out = Panel(df), max(ranks), None
+    fold_of = F.pmod(F.xxhash64(F.lit(seed), F.col("key").cast("string")), F.lit(key_folds)).cast("long").alias("key_fold")
+    for f, a, b in bounds:
+        held = df.filter((F.col("week") >= F.lit(panel.weeks[a])) & (F.col("week") <= F.lit(panel.weeks[b - 1])))
+        model = fit(panel, most, a, least=max(2, 26, -(-a // 4)))
+        placed = _placed(held, model).withColumn("key_fold", fold_of).persist()
+        sizes = {r["key_fold"]: r["n"] for r in model["loadings"].select(fold_of).groupBy("key_fold").agg(F.count("*").alias("n")).collect()}  # a row a fold
+        sent = df.sparkSession.sparkContext.broadcast((sizes, ranks, most, ridge, least))
+        sums = _moments(placed, ["week", "key_fold"], most, "week date, key_fold long")
+        factors = sums.groupBy("week").applyInPandas(_others_solved(sent), "week date, key_fold long, rank long, s array<double>")
+        error = F.col("z") - F.aggregate(F.zip_with("s", F.slice("loading", 1, F.size("s")), lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+        got = placed.join(factors, ["week", "key_fold"]).groupBy("rank", F.lit(f).cast("long").alias("fold"), "key_fold").agg(F.avg(error * error).alias("mse"))
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 def stable_var(series: np.ndarray, lags: int, ridge: float = 1.0, most: float = 0.98) -> dict:
@@ -172,17 +330,20 @@ def rollout(spark, model: dict, context: np.ndarray, paths: int, steps: int, nu:
 
     def walk(batches):
         c, a, root, start, size = shared.value
+        k = len(c)
         for pdf in batches:
-            out = []
-            for p in pdf["id"]:
+            ids = pdf["id"].to_numpy()
+            noise = np.empty((len(ids), steps, k))
+            for i, p in enumerate(ids):
                 rng = np.random.default_rng([seed, int(p)])  # a path's own stream, wherever it runs
-                past = start.copy()
-                for s in range(1, steps + 1):
-                    noise = root @ rng.standard_normal(len(c)) / np.sqrt(rng.chisquare(nu) / nu) * np.sqrt((nu - 2) / nu)
-                    new = np.clip(c + a @ past[::-1].reshape(-1) + noise, -clip * size, clip * size)
-                    past = np.vstack([past[1:], new])
-                    out += [(p, s, f + 1, float(v)) for f, v in enumerate(new)]
-            yield pd.DataFrame(out, columns=["path", "step", "factor", "value"])
+                noise[i] = rng.standard_normal((steps, k)) @ root.T / np.sqrt(rng.chisquare(nu, steps) / nu)[:, None]
+            noise *= np.sqrt((nu - 2) / nu)
+            past, out = np.repeat(start[None], len(ids), axis=0), np.empty((len(ids), steps, k))
+            for s in range(steps):  # all paths of the batch go a step
+                new = np.clip(c + past[:, ::-1].reshape(len(ids), -1) @ a.T + noise[:, s], -clip * size, clip * size)
+                past, out[:, s] = np.concatenate([past[:, 1:], new[:, None]], axis=1), new
+            n = len(ids) * steps * k
+            yield pd.DataFrame({"path": np.repeat(ids, steps * k), "step": np.tile(np.repeat(np.arange(1, steps + 1), k), len(ids)), "factor": np.tile(np.arange(1, k + 1), n // k), "value": out.reshape(-1)})
 
     return spark.range(paths).mapInPandas(walk, "path long, step long, factor long, value double")
 
@@ -193,13 +354,14 @@ def scenarios(df: DataFrame, features: list[str], key: str, clusters: int, seed:
     from pyspark.ml.feature import VectorAssembler
 
     levels = F.array(*map(F.lit, (0.005, 0.10, 0.5, 0.90, 0.995)))
+    df = df.select(key, *features).persist()  # read for the levels, the limit and each turn of each fit
     q = df.agg(*(F.percentile(c, levels).alias(c) for c in features)).first()
     scaled = [((F.least(F.greatest(F.col(c), F.lit(q[c][0])), F.lit(q[c][4])) - q[c][2]) / max(q[c][3] - q[c][1], 1e-12)).alias(c) for c in features]
     s = df.select(key, *scaled)
     s = s.withColumn("far", F.sqrt(sum((F.col(c) * F.col(c) for c in features[1:]), F.col(features[0]) * F.col(features[0]))))
     limit = s.agg(F.percentile("far", F.lit(0.995))).first()[0]
     v = VectorAssembler(inputCols=features, outputCol="v").transform(s)
-    inner = v.filter(F.col("far") <= limit)
+    inner = v.filter(F.col("far") <= limit).persist()
     models = [KMeans(k=clusters, seed=seed + i, featuresCol="v", predictionCol="scenario").fit(inner) for i in range(tries)]
     best = min(models, key=lambda m: m.summary.trainingCost)
     centres = best.clusterCenters()
@@ -214,8 +376,8 @@ def scenarios(df: DataFrame, features: list[str], key: str, clusters: int, seed:
     return out.unionByName(s.filter(F.col("far") > limit).select(key, F.lit(-1).alias("scenario"), F.lit(None).cast("double").alias("distance"), F.lit(False).alias("medoid")))
 
 
-def projection(model: dict, weights: dict) -> tuple[float, np.ndarray]:
-    """(intercept, loadings) of a weighted basket of the model's keys."""
-    w = np.array([weights.get(k, 0.0) for k in model["keys"]])
-    w = w / w.sum()
-    return float((w * model["mean"]).sum()), (w * model["scale"]) @ model["components"].T
+def projection(model: dict, weights: DataFrame | None = None) -> tuple[float, np.ndarray]:
+    """(intercept, loadings) of a basket of the model's keys by weights(key, w), or of all alike."""
+    table = model["loadings"].withColumn("w", F.lit(1.0)) if weights is None else model["loadings"].join(weights, "key")
+    row = table.agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("mean")).alias("m"), *(F.sum(F.col("w") * F.col("scale") * F.col("loading")[i]).alias(f"b{i}") for i in range(model["rank"]))).first()
+    return row["m"] / row["w"], np.array([row[f"b{i}"] / row["w"] for i in range(model["rank"])])

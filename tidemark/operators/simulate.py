@@ -57,7 +57,7 @@ def stationary_bootstrap(source: DataFrame, spark: SparkSession, paths: int, ste
     start = F.floor(uniform(seed, "start", F.col("walk"), F.col("step")) * length)
     s = s.withColumn("begin", F.last(F.when(fresh, F.struct("step", start.alias("at"))), ignorenulls=True).over(w))
     s = s.select("walk", "step", ((F.col("begin.at") + F.col("step") - F.col("begin.step")) % length).alias("pos"))
-    return s.join(F.broadcast(source), "pos").select("walk", "step", "pos", "r")
+    return s.join(source, "pos").select("walk", "step", "pos", "r")
 
 
 def paired_block_means(source: DataFrame, spark: SparkSession, reps: int, block: int, length: int, seed: int = 52) -> DataFrame:
@@ -66,7 +66,7 @@ def paired_block_means(source: DataFrame, spark: SparkSession, reps: int, block:
     r = spark.range(reps).withColumnRenamed("id", "rep").select("rep", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
     r = r.withColumn("start", F.floor(uniform(seed, F.col("rep"), F.col("b")) * length)).select("rep", "b", "start", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("o"))
     r = r.filter(F.col("b") * block + F.col("o") < length).withColumn("pos", (F.col("start") + F.col("o")) % length)
-    return r.join(F.broadcast(source), "pos").groupBy("rep").agg(F.avg("d").alias("mean"))
+    return r.join(source, "pos").groupBy("rep").agg(F.avg("d").alias("mean"))
 
 
 def categorical(key: list, weights: list[float]) -> Column:

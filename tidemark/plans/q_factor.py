@@ -5,12 +5,11 @@ from __future__ import annotations
 import datetime
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import factors as L
-from tidemark.operators import panel, stats
+from tidemark.operators import calendar, panel, stats
 from tidemark.plans import fixtures as X
 from tidemark.plans.registry import Tables, query
 
@@ -19,36 +18,49 @@ r6 = lambda c, n=6: F.round(c, n)
 
 
 def _panel(t: Tables) -> DataFrame:
-    """(week, key, x) of five sectors and five regions' baskets: a small panel that is nearly full."""
-    e = X.entities(t).select("security_id", F.explode(F.array("sector", "country")).alias("key"))
-    return X.returns(t).join(e, "security_id").groupBy("week", "key").agg(F.avg("log_return").alias("x")).filter("x is not null")
+    """(week, key, x) of all securities: wide, with many cells missing."""
+    return X.returns(t).select("week", F.col("security_id").alias("key"), F.col("log_return").alias("x")).filter("x is not null").persist()
+
+
+def _model(t: Tables, rank: int = 3) -> tuple[DataFrame, dict]:
+    p = _panel(t)
+    panel = L.Panel(p)
+    return p, L.fit(panel, rank, sum(w <= END for w in panel.weeks))
 
 
 @query("l02_imputed_panel")
 def l02(t: Tables) -> DataFrame:
-    weeks, keys, x = L.matrix(_panel(t), "week", "key", "x")
-    z, _, _ = L.standardise(x, np.array([w <= END for w in weeks]))
-    full = L.impute(z[:, np.isfinite(z).sum(axis=0) > 2], 3)
-    return t.spark.createDataFrame(pd.DataFrame({"week": weeks, "observed": np.isfinite(z).sum(axis=1), "norm": np.round((full**2).sum(axis=1), 6)}))
+    """L-01, L-02: the panel's cells that are observed and that are filled, by week, with the sum of squares of what they are filled with."""
+    p, m = _model(t)
+    return L.filled_weeks(p, m).select("week", "observed", "filled", r6("norm", 4).alias("norm"))
 
 
 @query("l06_pca_model")
 def l06(t: Tables) -> DataFrame:
-    """L-01, L-02, L-03, L-05, L-06."""
-    m = L.fit(_panel(t), 3, END)
+    """L-01, L-02, L-03, L-06."""
+    _, m = _model(t)
     return t.spark.createDataFrame([(i + 1, round(float(s), 6), round(float(e), 6)) for i, (s, e) in enumerate(zip(m["singular"], m["share"], strict=True))], "factor int, singular double, share double")
 
 
 @query("l04_masked_scores")
 def l04(t: Tables) -> DataFrame:
-    p = _panel(t)
-    return L.scores(p, L.fit(p, 3, END)).withColumn("score", r6("score"))
+    p, m = _model(t)
+    return L.scores(p, m, least=0.0).withColumn("score", r6("score"))
+
+
+@query("l05_residual_scales")
+def l05(t: Tables) -> DataFrame:
+    p, m = _model(t)
+    return L.residual_scales(p, m, L.scores(p, m, least=0.0), END).select("key", r6("residual_scale").alias("residual_scale"))
 
 
 @query("l07_rank_cv")
 def l07(t: Tables) -> DataFrame:
     """L-07, A-08, A-19: errors by rank, and the rank that the one-error rule takes."""
-    e = L.rank_errors(_panel(t), [1, 2, 3, 4], [(0, 180, 240), (1, 240, 300)], 3)
+    p = _panel(t)
+    weeks = p.select("week").distinct().count()
+    bounds = [b for b in calendar.fold_bounds(weeks, 3, 180) if b[0] > 0]
+    e = L.rank_errors(p, [1, 2, 3, 4], bounds, 3, least=0.0)
     g = stats.mean_and_error(e, ["rank"], "mse").select("rank", F.col("mean").alias("g"), F.col("error").alias("ge"), F.col("mean").alias("f"), F.col("error").alias("fe"))
     chosen = stats.one_error_rule(g, "rank", "g", "ge", "f", "fe")
     return g.crossJoin(F.broadcast(chosen)).select("rank", r6("g").alias("mse"), r6("ge").alias("error"), (F.col("rank") == F.col("selected")).alias("selected"))
@@ -88,9 +100,8 @@ def l09(t: Tables) -> DataFrame:
 
 
 def _var(t: Tables):
-    p = _panel(t)
-    m = L.fit(p, 3, END)
-    s = L.scores(p, m).groupBy("week").pivot("factor", [1, 2, 3]).agg(F.first("score")).orderBy("week").dropna().toPandas()  # a row a week
+    p, m = _model(t)
+    s = L.scores(p, m, least=0.0).groupBy("week").pivot("factor", [1, 2, 3]).agg(F.first("score")).orderBy("week").dropna().toPandas()  # a row a week
     series = s[["1", "2", "3"]].to_numpy(float)
     return m, series, L.stable_var(series[[w <= END for w in s["week"]]], 2)
 
@@ -108,7 +119,7 @@ def r03(t: Tables) -> DataFrame:
     """R-02, R-03, R-19, L-13, L-14, W-02: factor paths, projected to a market index."""
     m, series, v = _var(t)
     paths = L.rollout(t.spark, v, series, 100, 26)
-    base, loadings = L.projection(m, {k: 1.0 for k in m["keys"]})
+    base, loadings = L.projection(m)
     table = t.spark.createDataFrame([(i + 1, float(x)) for i, x in enumerate(loadings)], "factor long, loading double")
     market = paths.join(F.broadcast(table), "factor").groupBy("path", "step").agg((F.sum(F.col("value") * F.col("loading")) + base).alias("r"))
     level = panel.level(F.col("r"), Window.partitionBy("path").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))

@@ -42,7 +42,7 @@ def t03(t: Tables) -> DataFrame:
 @query("t01_parse_timestamps", "SELECT event_id, CAST(ts AS TIMESTAMP) AS stamp, TRY_CAST(CASE WHEN event_id % 7 = 0 THEN 'bad' ELSE strftime(ts, '%Y-%m-%d') END AS DATE) AS day FROM events")
 def t01(t: Tables) -> DataFrame:
     s = F.when(F.col("event_id") % 7 == 0, "bad").otherwise(F.date_format("ts", "yyyy-MM-dd"))
-    return t.events.select("event_id", F.col("ts").alias("stamp"), F.expr("try_cast(s as date)").alias("day") if False else s.try_cast("date").alias("day"))
+    return t.events.select("event_id", F.col("ts").alias("stamp"), s.try_cast("date").alias("day"))
 
 
 @query("t04_inclusive_slice", f"WITH {X.WK} SELECT week, count(*) AS n FROM wk WHERE week >= DATE '1997-01-03' AND week <= DATE '{TRAIN_END}' GROUP BY week")
@@ -145,6 +145,12 @@ def t14(t: Tables) -> DataFrame:
     return g.select("security_id", r6(pick("sum"), 2).alias("total"), pick("n").alias("used"))
 
 
+@query("m01_log_ratio", "SELECT event_id, CASE WHEN value - 20 > 0 AND user_id > 3 THEN round(ln((value - 20) / user_id), 9) END AS log_ratio FROM events")
+def m01(t: Tables) -> DataFrame:
+    """Null where either side is not positive."""
+    return t.events.select("event_id", r6(panel.log_ratio(F.col("value") - 20, F.when(F.col("user_id") > 3, F.col("user_id"))), 9).alias("log_ratio"))
+
+
 @query("w01_adjacent_log_return", f"WITH {X.RT} SELECT security_id, week, round(log_return, 6) AS log_return FROM rt")
 def w01(t: Tables) -> DataFrame:
     return X.returns(t).select("security_id", "week", r6("log_return").alias("log_return"))

@@ -9,6 +9,7 @@ from tidemark.functions import sequence as Q
 from tidemark.functions import special, text
 from tidemark.plans import cases
 from tidemark.plans.registry import Tables, query
+from tidemark.session import shared_folder
 from tidemark.sources import files
 
 
@@ -226,6 +227,51 @@ def f20(t: Tables) -> DataFrame:
     return v.select("event_id", Q.packet(bits).alias("p")).select("event_id", "p.*")
 
 
+@query("s01_parquet_columns", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 300000")
+def s01(t: Tables) -> DataFrame:
+    """Two columns and a filter that reach the scan."""
+    return files.read_parquet(t.spark, f"{t.sf_dir}/orders.parquet").filter("o_totalprice > 300000").select("o_orderkey", "o_totalprice")
+
+
+@query("s02_parquet_round_trip", "SELECT s_suppkey, s_name, s_acctbal, CAST(s_nationkey AS INTEGER) AS s_nationkey FROM supplier")
+def s02(t: Tables) -> DataFrame:
+    path = shared_folder(t.spark)
+    files.write_parquet(t.supplier.select("s_suppkey", "s_name", "s_acctbal", "s_nationkey"), path, ["s_nationkey"])
+    return files.read_parquet(t.spark, path).select("s_suppkey", "s_name", "s_acctbal", F.col("s_nationkey").cast("int").alias("s_nationkey"))
+
+
+@query("s04_csv_round_trip", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name || ', \"' || c_mktsegment || '\"' END AS note FROM customer")
+def s04(t: Tables) -> DataFrame:
+    """Written with quotes and commas, and read again as text; what was missing is empty."""
+    path = shared_folder(t.spark)
+    note = F.when(F.col("c_custkey") % 3 != 0, F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"')))
+    files.write_csv(t.customer.select("c_custkey", note.alias("note")), path)
+    return files.read_csv_text(t.spark, path, ["c_custkey", "note"])
+
+
+#: Worked by hand: an export as it is sent, its encoding, and its rows of cells as they are after repair.
+EXPORTS = [
+    ("fund of today\n\nTicker;Holdings;% of fund\nAAA;Alfa;1,5\n\nBBB;Größe;2;more;still\nTicker;Holdings;% of fund\nCCC\n", "utf-16", "AAA|Alfa|1,5/BBB|Größe|2/CCC||"),
+    ("Security name,Shares,Weight,Weight\n\"A, B\",1,2,3\n", "utf-8-sig", "A, B|1|2|3"), ("a,b,c\n1,2,3\n", "utf-8", ""), ("Symbol\tName\tMarket value\tWeight\nX\tÉ\t5\t6\n", "cp1252", "X|É|5|6"),
+    ("x|y|z\nTicker|Security|Weight|ISIN\nA|B|C|D\n", "utf-8", "A|B|C|D"), ("", "utf-8", ""),
+]
+
+
+@query("s09_delimited_exports", cases.answers("region", "r_regionkey", ["text", "encoding", "rows_read"], EXPORTS, ["rows_read"]))
+def s09(t: Tables) -> DataFrame:
+    """S-09, S-10: encoding, delimiter and header line are found, ragged rows are repaired."""
+    table = {i: (x.encode(e), y) for i, (x, e, y) in enumerate(EXPORTS)}
+
+    def read(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = ["/".join("|".join(r) for r in files.repaired_rows(files.decode_bytes(table[k % len(table)][0]))[1]) for k in pdf["r_regionkey"]]
+            yield pd.DataFrame({"r_regionkey": pdf["r_regionkey"], "rows_read": rows})
+
+    return t.region.select("r_regionkey").mapInPandas(read, "r_regionkey long, rows_read string")
+
+
 @query("s03_text_columns", "SELECT c_custkey::VARCHAR AS c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS segment FROM customer")
 def s03(t: Tables) -> DataFrame:
     return t.customer.select(F.col("c_custkey").cast("string").alias("c_custkey"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("segment")).na.fill("")

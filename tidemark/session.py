@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
+import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -24,3 +28,23 @@ def get_session(app: str = "tidemark", cores: int | str | None = None, **conf: s
     spark = SparkSession.builder.master(f"local[{n}]").appName(app).config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a Spark context, so that their Python finds it wherever the driver was started."""
+    context = spark.sparkContext
+    if not getattr(context, "_tidemark_shipped", False):
+        here = Path(__file__).resolve().parent
+        made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='tidemark-')}/tidemark", "zip", here.parent, here.name)
+        context.addPyFile(made)  # the driver serves it
+        context._tidemark_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors see: under ``spark.checkpoint.dir``; a temporary one only if there is one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tidemark-")
+    return f"{root.rstrip('/')}/tidemark_{uuid.uuid4().hex}"
