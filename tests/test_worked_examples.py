@@ -184,6 +184,20 @@ def test_rank_errors_are_those_of_brute_force(spark):
             assert got[r, k] == pytest.approx(np.concatenate(errors).mean())
 
 
+def test_forecast_error():
+    """An autoregression of known coefficients is forecast nearly as well as its noise allows; missing weeks give no error."""
+    rng = np.random.default_rng(6)
+    x = np.zeros((400, 2))
+    for t in range(1, 400):
+        x[t] = 0.8 * x[t - 1] + 0.1 * rng.standard_normal(2)
+    got = factors.forecast_error(x[:300], x[300:])
+    best = ((x[300:] - 0.8 * x[299:-1]) ** 2 / x[:300].var(axis=0, ddof=1)).mean()
+    assert best * 0.9 < got < best * 1.15
+    holes = x[300:].copy()
+    holes[10] = np.nan
+    assert np.isfinite(factors.forecast_error(x[:300], holes)) and np.isnan(factors.forecast_error(x[:4], holes)) and np.isnan(factors.forecast_error(x[:300], np.full((5, 2), np.nan)))
+
+
 def test_var_is_stable():
     rng = np.random.default_rng(2)
     v = factors.stable_var(np.cumsum(rng.standard_normal((200, 3)), axis=0), 2)
