@@ -29,7 +29,7 @@ from tidemark.llm.common import fresh
 
 ORDER = 4
 LETTER = re.compile(r"[^\W\d_]")
-_CELLS = 2_000_000  # positions times languages that are scored at once
+_CELLS = 500_000  # positions times languages that are scored at once
 
 
 def _grams(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@
    the hash space, and the first ``ROWS`` hashes from each part's start on are one band, so a band is shared with a probability of J ** ROWS. Lines of
    Jaccard similarity 0.8 share at least one with a probability of 0.98, of 0.9 with 0.9999, of 0.5 with 0.27.
 2. Every line that shares a band with others is compared with the band's head by the exact Jaccard similarity of the two sets, and
-   distributed union-find joins what is similar. Heads are drawn anew in each of ``TURNS`` turns, among the lines of bands that still hold several components.
+   distributed union-find joins what is similar. Bands that then still hold several components get a second head, from outside the component of the first.
 3. Where a band still holds more than one component, all its lines of different components are compared, in the first band they share. A bitmap
    of ``WORDS`` x 64 bits of either set bounds how many shingles two lines can share: each bit that only one of them has is a shingle that the
    other has not. Pairs that can't be similar by this bound go within the join, so no link within bands is lost, and no rows are made of pairs
@@ -28,7 +28,7 @@ from tidemark.llm.common import Table, cut, fresh, release
 from tidemark.llm.components import connected_components
 
 SHINGLE, BANDS, ROWS, SIMILAR = 8, 10, 5, 0.8
-TURNS, WORDS = 3, 32
+WORDS = 32
 
 
 def normal(line: Column) -> Column:
@@ -139,19 +139,19 @@ def line_classes(table: Table, similar: float = SIMILAR) -> DataFrame:
     found = connected_components(cut(_verified(pairs, texts, similar)))
     release(spark)
 
-    def open_bands() -> DataFrame:
-        """(band, line, component) where a band holds several components."""
-        named = shared.select("band", "line").join(found, F.col("line") == F.col("node"), "left").select("band", "line", F.coalesce("component", "line").alias("component"))
-        mixed = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
-        return named.join(mixed, "band")
-
-    for turn in range(1, TURNS):
-        rest = cut(open_bands())
-        head = F.struct(F.xxhash64("band", "line", F.lit(turn)).alias("h"), F.col("line").alias("b"), F.col("component").alias("cb"))
-        heads = rest.groupBy("band").agg(F.min(head).alias("head")).select("band", "head.b", "head.cb")
-        pairs = rest.join(heads, "band").filter("component <> cb").select(F.greatest("line", "b").alias("a"), F.least("line", "b").alias("b")).distinct()
-        found = _merged(found, _verified(pairs, texts, similar))
-    rest = cut(open_bands().join(texts.drop("norm"), "line"))
+    def open_bands(found: DataFrame) -> DataFrame:
+        """(band, line, component, first) where a band holds several components; first: that of its first head."""
+        named = shared.join(found, F.col("line") == F.col("node"), "left").select("band", "line", "low", F.coalesce("component", "line").alias("component"))
+        first = F.max(F.when(F.col("line") == F.col("low"), F.col("component")))
+        mixed = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), first.alias("first")).filter("lo <> hi").select("band", "first")
+        return named.drop("low").join(mixed, "band")
+
+    rest = cut(open_bands(found))
+    head = F.struct(F.xxhash64("band", "line").alias("h"), F.col("line").alias("b"), F.col("component").alias("cb"))
+    heads = rest.filter("component <> first").groupBy("band").agg(F.min(head).alias("head")).select("band", "head.b", "head.cb")
+    pairs = rest.join(heads, "band").filter("component <> cb").select(F.greatest("line", "b").alias("a"), F.least("line", "b").alias("b")).distinct()
+    found = _merged(found, _verified(pairs, texts, similar))
+    rest = cut(open_bands(found).drop("first").join(texts.drop("norm"), "line"))
     first_shared = F.array_min(F.array_intersect("abands", "bbands")) == F.col("aband")
     met = (F.col("aband") == F.col("bband")) & (F.col("acomponent") < F.col("bcomponent")) & _may_be_similar(similar) & first_shared
     pairs = _side(rest, "a").join(_side(rest, "b"), met).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
