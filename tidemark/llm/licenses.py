@@ -10,115 +10,219 @@ Defined results: null and empty texts have no sentences and no licence; other co
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Sentences of licence texts and notices, as they are after normalising, with their identifiers.
-SENTENCES = {
-    "released under the mit license": "mit-notice",
-    "licensed under the mit license": "mit-notice",
-    "this project is licensed under the mit license": "mit-notice",
-    "the mit license": "mit-title",
-    "mit license": "mit-title",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
-    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-keep",
-    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit-as-is",
-    "licensed under the apache license version 2.0": "apache-2-notice",
-    "licensed under the apache license version 2.0 the license": "apache-2-notice",
-    "you may not use this file except in compliance with the license": "apache-2-comply",
-    "you may obtain a copy of the license at": "apache-2-obtain",
-    "this work is licensed under the gnu general public license version 3": "gpl-3-notice",
-    "licensed under the gnu general public license version 3": "gpl-3-notice",
-    "this work is licensed under the gnu general public license version 2": "gpl-2-notice",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl-3-later",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl-2-later",
-    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-no-warranty",
-    "licensed under the gnu lesser general public license version 2.1": "lgpl-21-notice",
-    "licensed under the gnu lesser general public license version 3": "lgpl-3-notice",
-    "licensed under the gnu affero general public license version 3": "agpl-3-notice",
-    "licensed under cc by 4.0": "cc-by-4-notice",
-    "licensed under cc by sa 4.0": "cc-by-sa-4-notice",
-    "licensed under cc by nc 4.0": "cc-by-nc-4-notice",
-    "licensed under cc by nd 4.0": "cc-by-nd-4-notice",
-    "licensed under cc by nc sa 4.0": "cc-by-nc-sa-4-notice",
-    "licensed under cc0 1.0": "cc0-1-notice",
-    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
-    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
-    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
-    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-names",
-    "this source code form is subject to the terms of the mozilla public license v 2.0": "mpl-2-notice",
-    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
-    "this is free and unencumbered software released into the public domain": "unlicense-notice",
-    "all rights reserved": "all-rights-reserved",
-}
+#: Sentences of public licences and of their usual notices, with identifiers.
+TEXTS = [
+    ("mit-title", "MIT License"),
+    ("mit-title", "The MIT License"),
+    ("mit-title", "The MIT License (MIT)"),
+    ("mit-notice", "Released under the MIT License."),
+    ("mit-notice", "Licensed under the MIT License."),
+    ("mit-notice", "This project is licensed under the MIT License."),
+    ("mit-notice", "This software is released under the MIT License."),
+    ("mit-notice", "Distributed under the MIT License."),
+    ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the 'Software'), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("mit-keep", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("mit-as-is", "The Software is provided 'as is', without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement."),
+    ("mit-liability", "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the Software or the use or other dealings in the Software."),
+    ("apache-2-notice", "Licensed under the Apache License, Version 2.0."),
+    ("apache-2-notice", "Licensed under the Apache License, Version 2.0 (the 'License');"),
+    ("apache-2-notice", "This project is licensed under the Apache License, Version 2.0."),
+    ("apache-2-notice", "Licensed under the Apache License, Version 2.0 (the 'License'); you may not use this file except in compliance with the License."),
+    ("apache-2-comply", "You may not use this file except in compliance with the License."),
+    ("apache-2-obtain", "You may obtain a copy of the License at"),
+    ("apache-2-unless", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an 'AS IS' BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    ("apache-2-see", "See the License for the specific language governing permissions and limitations under the License."),
+    ("apache-2-title", "Apache License Version 2.0, January 2004"),
+    ("apache-2-title", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("apache-2-terms", "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("apache-2-grant", "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form."),
+    ("gpl-3-notice", "This work is licensed under the GNU General Public License, version 3."),
+    ("gpl-3-notice", "Licensed under the GNU General Public License, version 3."),
+    ("gpl-2-notice", "This work is licensed under the GNU General Public License, version 2."),
+    ("gpl-2-notice", "Licensed under the GNU General Public License, version 2."),
+    ("gpl-3-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("gpl-2-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("gpl-2-only", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2."),
+    ("gpl-2-only", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("gpl-no-warranty", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
+    ("gpl-details", "See the GNU General Public License for more details."),
+    ("gpl-3-title", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("gpl-3-preamble", "The GNU General Public License is a free, copyleft license for software and other kinds of works."),
+    ("gpl-2-title", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("gpl-2-preamble", "The licenses for most software are designed to take away your freedom to share and change it."),
+    ("gnu-verbatim", "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("lgpl-21-notice", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    ("lgpl-21-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("lgpl-3-notice", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("lgpl-3-later", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("lgpl-no-warranty", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
+    ("agpl-3-notice", "Licensed under the GNU Affero General Public License, version 3."),
+    ("agpl-3-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("agpl-3-title", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("agpl-3-preamble", "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."),
+    ("cc0-notice", "Licensed under CC0 1.0."),
+    ("cc0-notice", "CC0 1.0 Universal"),
+    ("cc0-waiver", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."),
+    ("bsd-grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("bsd-source", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("bsd-binary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd-advertising", "All advertising materials mentioning features or use of this software must display the following acknowledgement:"),
+    ("bsd-names", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd-as-is", "This software is provided by the copyright holders and contributors 'as is' and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed."),
+    ("bsd-liability", "In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage."),
+    ("bsd-3-notice", "Licensed under the BSD 3-Clause License."),
+    ("bsd-2-notice", "Licensed under the BSD 2-Clause License."),
+    ("mpl-2-notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("mpl-2-title", "Mozilla Public License Version 2.0"),
+    ("isc-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("isc-as-is", "The software is provided 'as is' and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness."),
+    ("isc-liability", "In no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software."),
+    ("0bsd-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("zlib-as-is", "This software is provided 'as-is', without any express or implied warranty."),
+    ("zlib-liability", "In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("zlib-grant", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("bsl-1-title", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("bsl-1-notice", "Distributed under the Boost Software License, Version 1.0."),
+    ("bsl-1-grant", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the 'Software') to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"),
+    ("unlicense-notice", "This is free and unencumbered software released into the public domain."),
+    ("unlicense-grant", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("epl-2-notice", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("epl-2-title", "Eclipse Public License - v 2.0"),
+    ("artistic-2-title", "The Artistic License 2.0"),
+    ("all-rights-reserved", "All rights reserved."),
+]
 #: Licences and their ordered sentence identifiers, from the most telling rule to the least.
 RULES = [
+    ("MIT", ["mit-grant", "mit-keep", "mit-as-is", "mit-liability"]),
     ("MIT", ["mit-grant", "mit-keep", "mit-as-is"]),
     ("MIT", ["mit-title", "mit-grant"]),
     ("MIT", ["mit-notice"]),
+    ("Apache-2.0", ["apache-2-title", "apache-2-terms", "apache-2-grant"]),
     ("Apache-2.0", ["apache-2-notice", "apache-2-comply", "apache-2-obtain"]),
+    ("Apache-2.0", ["apache-2-notice", "apache-2-obtain", "apache-2-unless", "apache-2-see"]),
     ("Apache-2.0", ["apache-2-notice"]),
+    ("Apache-2.0", ["apache-2-title", "apache-2-terms"]),
+    ("AGPL-3.0-or-later", ["agpl-3-later"]),
+    ("AGPL-3.0-only", ["agpl-3-title", "gnu-verbatim", "agpl-3-preamble"]),
     ("GPL-3.0-or-later", ["gpl-3-later", "gpl-no-warranty"]),
     ("GPL-3.0-or-later", ["gpl-3-later"]),
     ("GPL-2.0-or-later", ["gpl-2-later", "gpl-no-warranty"]),
     ("GPL-2.0-or-later", ["gpl-2-later"]),
+    ("GPL-3.0-only", ["gpl-3-title", "gnu-verbatim", "gpl-3-preamble"]),
     ("GPL-3.0-only", ["gpl-3-notice"]),
+    ("GPL-2.0-only", ["gpl-2-title", "gnu-verbatim", "gpl-2-preamble"]),
+    ("GPL-2.0-only", ["gpl-2-only"]),
     ("GPL-2.0-only", ["gpl-2-notice"]),
     ("AGPL-3.0-only", ["agpl-3-notice"]),
+    ("LGPL-3.0-or-later", ["lgpl-3-later"]),
+    ("LGPL-2.1-or-later", ["lgpl-21-later"]),
     ("LGPL-3.0-only", ["lgpl-3-notice"]),
     ("LGPL-2.1-only", ["lgpl-21-notice"]),
+    ("BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
+    ("BSD-3-Clause", ["bsd-3-notice"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    ("BSD-2-Clause", ["bsd-2-notice"]),
     ("MPL-2.0", ["mpl-2-notice"]),
+    ("MPL-2.0", ["mpl-2-title"]),
     ("ISC", ["isc-grant"]),
+    ("0BSD", ["0bsd-grant", "isc-as-is"]),
+    ("Zlib", ["zlib-as-is", "zlib-liability", "zlib-grant"]),
+    ("BSL-1.0", ["bsl-1-title", "bsl-1-grant"]),
+    ("BSL-1.0", ["bsl-1-notice"]),
     ("Unlicense", ["unlicense-notice"]),
-    ("CC0-1.0", ["cc0-1-notice"]),
-    ("CC-BY-4.0", ["cc-by-4-notice"]),
-    ("CC-BY-SA-4.0", ["cc-by-sa-4-notice"]),
-    ("CC-BY-NC-4.0", ["cc-by-nc-4-notice"]),
-    ("CC-BY-ND-4.0", ["cc-by-nd-4-notice"]),
-    ("CC-BY-NC-SA-4.0", ["cc-by-nc-sa-4-notice"]),
+    ("EPL-2.0", ["epl-2-notice"]),
+    ("EPL-2.0", ["epl-2-title"]),
+    ("Artistic-2.0", ["artistic-2-title"]),
+    ("CC0-1.0", ["cc0-notice"]),
+    ("CC0-1.0", ["cc0-waiver"]),
     ("LicenseRef-All-Rights-Reserved", ["all-rights-reserved"]),
 ]
+#: The parts of Creative Commons licences.
+DEEDS = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nc": "Attribution-NonCommercial", "by-nd": "Attribution-NoDerivatives", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
+
+
+def normal_sentence(text: str) -> str:
+    """As sentences are in a normalised text."""
+    plain = re.sub(r"[^a-z0-9.!?]+", " ", text.lower()).strip()
+    return re.sub(r"(?<![a-z0-9.])v\. (?=[0-9])", "v ", plain).rstrip(".!? ")
+
+
+def _with_notices() -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
+    """The sentences and rules above, and those that are made by rule: Creative Commons notices and SPDX lines."""
+    known, rules = {normal_sentence(t): i for i, t in TEXTS}, list(RULES)
+    for part, name in DEEDS.items():
+        for version in ("3.0", "4.0"):
+            i, scope = f"cc-{part}-{version[0]}-notice", {"3.0": "Unported", "4.0": "International"}[version]
+            short = f"CC {part.upper()} {version}"
+            for t in (f"Licensed under {short}", f"This work is licensed under {short}", f"This work is licensed under a Creative Commons {name} {version} {scope} License", f"This work is licensed under the Creative Commons {name} {version} {scope} License"):
+                known[normal_sentence(t)] = i
+            rules.insert(len(rules) - 1, (f"CC-{part.upper()}-{version}", [i]))
+    for name in dict.fromkeys(n for n, _ in rules if not n.startswith("LicenseRef")):
+        known[normal_sentence(f"SPDX-License-Identifier: {name}")] = f"spdx-{name.lower()}"
+        rules.insert(len(rules) - 1, (name, [f"spdx-{name.lower()}"]))
+    return known, rules
+
 
+SENTENCES, ALL_RULES = _with_notices()
 
-def sentence_ids(text: Column, wrapped: bool, known: dict[str, str] = SENTENCES) -> Column:
-    """The identifiers of the known sentences of a text, in order. wrapped: a line end is a space."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9.!?\n]+", " ")
-    plain = F.regexp_replace(plain, r"(?<![a-z0-9.])v\. ?\n? ?(?=[0-9])" if wrapped else r"(?<![a-z0-9.])v\. ?(?=[0-9])", "v ")  # v. 2.0 is no sentence end
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"\n ?\n[ \n]*", ". "), r"[ \n]+", " ") if wrapped else plain, r"[.!?]+( |\n|$)", "\n")
-    sentences = F.transform(F.split(plain, "\n"), lambda s: F.trim(s))
+
+def telling_words(known: dict[str, str]) -> list[str]:
+    """A few words of which every known sentence has one: long ones that cover many sentences first, as they are rare in other texts."""
+    left, words = [set(re.findall("[a-z]{5,}", s)) or {s} for s in known], []
+    while left:
+        best = min({w for s in left for w in s}, key=lambda w: (-sum(w in s for s in left) * len(w) ** 3, w))
+        words.append(best)
+        left = [s for s in left if best not in s]
+    return words
+
+
+def sentence_ids(plain: Column, wrapped: bool, known: dict[str, str] = SENTENCES) -> Column:
+    """The identifiers of the known sentences of a text (as of ``_plain``), in order. wrapped: a line end is a space."""
+    folded = F.regexp_replace(F.regexp_replace(plain, r"\n ?\n[ \n]*", ". "), r"[ \n]+", " ") if wrapped else plain
+    folded = F.regexp_replace(folded, r"(^|[^a-z0-9.])v\. ?([0-9])", "$1v $2")  # v. 2.0 is no sentence end
+    sentences = F.transform(F.split(F.regexp_replace(folded, r"[.!?]+( |\n|$)", "\n"), "\n"), lambda s: F.trim(s))
     table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
-    keys = F.array(*(F.lit(k) for k in known))
-    mapped = F.transform(F.filter(sentences, lambda s: F.array_contains(keys, s)), lambda s: F.element_at(table, s))
-    return F.when(F.arrays_overlap(sentences, keys), mapped).otherwise(F.array().cast("array<string>"))
+    return F.array_compact(F.transform(sentences, lambda s: F.try_element_at(table, s)))
+
+
+def _plain(text: Column) -> Column:
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9.!?\n]+", " ")
 
 
-def scan(df: DataFrame, text_col: str = "text", known: dict[str, str] = SENTENCES, rules: list = RULES) -> DataFrame:
+def scan(df: DataFrame, text_col: str = "text", known: dict[str, str] = SENTENCES, rules: list = ALL_RULES) -> DataFrame:
     """``df`` with sentence_ids (of the line reading), wrapped_ids (of the other), licenses (all that match, in the order of the rules) and license (the first).
 
-    Columns of these names in ``df`` are replaced.
+    Each reading is made once a text, and only of texts with a word of a known sentence. Columns of these names in ``df`` are replaced.
     """
-    lined, wrapped = (F.concat(F.lit("|"), F.array_join(sentence_ids(F.col(text_col), w, known), "|"), F.lit("|")) for w in (False, True))
-    found = df.withColumn("sentence_ids", sentence_ids(F.col(text_col), False, known)).withColumn("wrapped_ids", sentence_ids(F.col(text_col), True, known)).withColumn("licenses", F.array(lined, wrapped))
+    none = F.array().cast("array<string>")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    read = lambda w: F.when(F.lower(text).rlike("|".join(telling_words(known))), sentence_ids(_plain(text), w, known)).otherwise(none)
+    found = df.withColumns({"sentence_ids": read(False), "wrapped_ids": read(True)})
+    joined = [F.concat(F.lit("|"), F.array_join(c, "|"), F.lit("|")) for c in ("sentence_ids", "wrapped_ids")]
     patterns = [(name, r"\|" + r"\|(.*\|)?".join(ids) + r"\|") for name, ids in rules]
-    like = lambda pattern: lambda s: s.rlike(pattern)
-    hits = F.array(*(F.when(F.exists(F.col("licenses"), like(pattern)), F.lit(name)) for name, pattern in patterns))
-    hits = F.when(F.exists(F.col("licenses"), lambda s: s != "||"), F.array_distinct(F.array_compact(hits))).otherwise(F.array().cast("array<string>"))
-    return found.withColumn("licenses", hits).withColumn("license", F.try_element_at(F.col("licenses"), F.lit(1)))
+    hits = F.array(*(F.when(joined[0].rlike(p) | joined[1].rlike(p), F.lit(name)) for name, p in patterns))
+    some = (F.size("sentence_ids") > 0) | (F.size("wrapped_ids") > 0)
+    found = found.withColumn("licenses", F.when(some, F.array_distinct(F.array_compact(hits))).otherwise(none))
+    return found.withColumn("license", F.try_element_at(F.col("licenses"), F.lit(1)))
 
 
 def oracle(table: str = "documents") -> str:
     """DuckDB's SQL for the query of this operator."""
     known = ", ".join(f"'{k}': '{v}'" for k, v in SENTENCES.items())
-    ids = lambda x: f"list_transform(list_filter(list_transform(string_split(x_{x}, chr(10)), lambda s: trim(s)), lambda s: map_contains(k, s)), lambda s: k[s])"
-    cases = ", ".join(f"CASE WHEN regexp_matches(a, '{p}') OR regexp_matches(b, '{p}') THEN '{n}' END" for n, p in ((n, r"\|" + r"\|(.*\|)?".join(i) + r"\|") for n, i in RULES))
+    ids = lambda x: f"list_transform(list_filter(list_transform(string_split(regexp_replace(regexp_replace(x_{x}, '(^|[^a-z0-9.])v\\. ?([0-9])', '\\1v \\2', 'g'), '[.!?]+( |\\n|$)', chr(10), 'g'), chr(10)), lambda s: trim(s)), lambda s: map_contains(k, s)), lambda s: k[s])"
+    cases = ", ".join(f"CASE WHEN regexp_matches(a, '{p}') OR regexp_matches(b, '{p}') THEN '{n}' END" for n, p in ((n, r"\|" + r"\|(.*\|)?".join(i) + r"\|") for n, i in ALL_RULES))
     return f"""
-WITH n AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9.!?\\n]+', ' ', 'g') t, MAP {{{known}}} k FROM {table}),
-x AS (SELECT doc_id, k, regexp_replace(t, '[.!?]+( |\\n|$)', chr(10), 'g') x_l, regexp_replace(regexp_replace(regexp_replace(t, '\\n ?\\n[ \\n]*', '. ', 'g'), '[ \\n]+', ' ', 'g'), '[.!?]+( |\\n|$)', chr(10), 'g') x_w FROM n),
+WITH n AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9.!?\\n]+', ' ', 'g') x_l, MAP {{{known}}} k FROM {table}),
+x AS (SELECT doc_id, k, x_l, regexp_replace(regexp_replace(x_l, '\\n ?\\n[ \\n]*', '. ', 'g'), '[ \\n]+', ' ', 'g') x_w FROM n),
 i AS (SELECT doc_id, {ids('l')} l, {ids('w')} w FROM x),
-s AS (SELECT doc_id, len(l) n, coalesce(array_to_string(l, ','), '') sentence_ids, '|' || coalesce(array_to_string(l, '|'), '') || '|' a, '|' || coalesce(array_to_string(w, '|'), '') || '|' b FROM i),
-h AS (SELECT doc_id, n, sentence_ids, list_filter([{cases}], lambda v: v IS NOT NULL) hits FROM s),
-u AS (SELECT doc_id, n, sentence_ids, list_filter(hits, lambda v, p: list_position(hits, v) = p) hits FROM h)
-SELECT doc_id, CAST(n AS BIGINT) AS n_sentences, sentence_ids, coalesce(array_to_string(hits, ','), '') AS licenses, coalesce(hits[1], '') AS license FROM u
+s AS (SELECT doc_id, len(l) n, coalesce(array_to_string(l, ','), '') sentence_ids, coalesce(array_to_string(w, ','), '') wrapped_ids, '|' || coalesce(array_to_string(l, '|'), '') || '|' a, '|' || coalesce(array_to_string(w, '|'), '') || '|' b FROM i),
+h AS (SELECT doc_id, n, sentence_ids, wrapped_ids, list_filter([{cases}], lambda v: v IS NOT NULL) hits FROM s),
+u AS (SELECT doc_id, n, sentence_ids, wrapped_ids, list_filter(hits, lambda v, p: list_position(hits, v) = p) hits FROM h)
+SELECT doc_id, CAST(n AS BIGINT) AS n_sentences, sentence_ids, wrapped_ids, coalesce(array_to_string(hits, ','), '') AS licenses, coalesce(hits[1], '') AS license FROM u
 """

@@ -1,9 +1,9 @@
 """Mixing sources to target weights.
 
 Every row gets a hash-random key (the MD5 of its id). Within a source the rows are laid out in key order, in
-4096 key ranges; summing each range and then running over the ranges gives the distributed prefix sums of
-word counts. A source's budget is whole epochs of it plus the rows before the key at which the prefix sum
-reaches what is left. That key lies in one range, so only this range's rows (1 in 4096 of a source) are
+4096 key ranges, or 16 times as many for each 16 times of 268 million rows; summing each range and then running over the ranges gives the distributed
+prefix sums of word counts. A source's budget is whole epochs of it plus the rows before the key at which the prefix sum
+reaches what is left. That key lies in one range, so only this range's rows (65,536 at most are expected) are
 put in order; all other rows compare their range with the cut. A source that holds most of the rows is thus spread
 over as many groups as any other.
 
@@ -21,7 +21,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import WORD, cut, fresh, words_of
 
-RANGE_DIGITS = 3  # hexadecimal digits of the key that name its range
+def range_digits(rows: int) -> int:
+    """How many hexadecimal digits of a key name its range: three, or as many as leave 65,536 rows to one."""
+    digits = 3
+    while rows > 65_536 * 16**digits:
+        digits += 1
+    return digits
 
 
 def default_weight(rank: Column) -> Column:
@@ -54,20 +59,18 @@ def targets(sizes: DataFrame, cap: int = 3, weight=default_weight) -> DataFrame:
     )
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = 3, weight=default_weight) -> DataFrame:
-    """``df`` with size, source_size, target and taken: the words that the mix takes of each row, repeats counted.
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = 3, weight=default_weight, size_col: str | None = None) -> DataFrame:
+    """``df`` with size, source_size, target and taken: the words that the mix takes of each row, repeats counted. ``size_col``: where the sizes are, if they have
+    been counted; the text is not read then.
 
     Each source's ``taken`` add up to its target, rounded down: the row at the cut gives only the words that are missing.
     """
     names = reduce(lambda got, c: got | {c: fresh(df.select("*", *(F.lit(0).alias(x) for x in got.values())), c)}, ("size", "source_size", "target", "taken", "key_", "range_", "src"), {})
     size, key, rng, src = (names[x] for x in ("size", "key_", "range_", "src"))
-    keyed = (
-        df.withColumn(size, words_of(F.col(text_col)))
-        .withColumn(key, F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")))
-        .withColumn(rng, F.substring(key, 1, RANGE_DIGITS))
-    )
+    sized = F.col(size_col) if size_col else words_of(F.col(text_col))
+    keyed = df.withColumn(key, F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))).withColumn(rng, F.substring(key, 1, range_digits(df.count())))
     # One row for each source and range: small, and read several times.
-    sums = cut(keyed.groupBy(F.col(source_col).alias("src"), F.col(rng).alias("rng")).agg(F.sum(size).alias("words")))
+    sums = cut(keyed.groupBy(F.col(source_col).alias("src"), F.col(rng).alias("rng")).agg(F.sum(sized).alias("words")))
     plan = targets(sums.groupBy("src").agg(F.sum("words").alias("source_size")), cap, weight)
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     plan = plan.withColumn("rest", F.floor(F.col("target") - (F.col("epochs") * F.col("source_size")).cast("double")).cast("long"))
@@ -82,14 +85,15 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     )
     plan = plan.select(F.col("src").alias(src), *(F.col(a).alias(f"{src}{a}") for a in ("source_size", "target", "epochs", "rest", "cut_range", "cut_before")))
     p = lambda name: F.col(f"{src}{name}")
-    rows = keyed.join(plan, keyed[source_col].eqNullSafe(plan[src]))
+    planned = lambda some: some.join(plan, some[source_col].eqNullSafe(plan[src]))
     here = Window.partitionBy(source_col).orderBy(key, size).rowsBetween(Window.unboundedPreceding, -1)
     partial = F.least(F.greatest(p("rest") - p("cut_before") - F.coalesce(F.sum(size).over(here), F.lit(0)), F.lit(0)), F.col(size))
-    outside = rows.filter(F.col(rng) != p("cut_range")).withColumn("part", F.when(F.col(rng) < p("cut_range"), F.col(size)).otherwise(F.lit(0)))
-    at_cut = rows.filter(F.col(rng) == p("cut_range")).withColumn("part", partial)
+    # Words are counted once for each row: below the join, and at the cut behind the filter.
+    outside = planned(keyed.withColumn(size, sized)).filter(F.col(rng) != p("cut_range")).withColumn("part", F.when(F.col(rng) < p("cut_range"), F.col(size)).otherwise(F.lit(0)))
+    at_cut = planned(keyed).filter(F.col(rng) == p("cut_range")).withColumn(size, sized).withColumn("part", partial)
     return outside.unionByName(at_cut).select(
         *(F.col(c) for c in df.columns),
-        F.col(size),
+        F.col(size).cast("long").alias(size),
         p("source_size").alias(names["source_size"]),
         p("target").alias(names["target"]),
         (p("epochs") * F.col(size) + F.col("part")).cast("long").alias(names["taken"]),

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, licenses, lines, media, mixing, recompression, sentencepiece_bpe, simhash, surrogates, topk
-from tidemark.llm.common import small_batches
+from tidemark.llm.common import cut, small_batches, words_of
+from tidemark.session import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,7 +42,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     joined = lambda c: F.array_join(c, ",")
-    return got.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), joined("sentence_ids").alias("sentence_ids"), joined("licenses").alias("licenses"), F.coalesce("license", F.lit("")).alias("license"))
+    return got.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), joined("sentence_ids").alias("sentence_ids"), joined("wrapped_ids").alias("wrapped_ids"), joined("licenses").alias("licenses"), F.coalesce("license", F.lit("")).alias("license"))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +61,9 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - len(kept) AS B
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents")
+    counted = cut(docs.select("doc_id", "source", words_of(F.col("text")).alias("words")))  # each text is read once
+    return mixing.mix(counted, size_col="words").select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP6_SQL = r"""
@@ -97,12 +101,12 @@ def tokenizer_path() -> str:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, "4m")
     return sentencepiece_bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, "4m")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     got = langid.predict(docs, langid.fit(docs))
     return got.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
