@@ -8,8 +8,10 @@ start from which the first l segments differ in at most l * 3 / 8 bits together,
 segments are equal and of the next three two are: each fingerprint is filed under 8 starts x 3 choices of the segment that may differ, each time by 32 exact bits
 of its own. Fingerprints that share an entry are compared by the chain's budgets first and then by the full distance.
 
-An entry with many fingerprints is dealt to blocks, so no task gets more than two blocks of one entry, and each comparison
-gives back no more links than keep its fingerprints connected, never all pairs.
+An entry with more than ``BLOCK`` fingerprints is split by further exact bits: all differences are in the 32 bits that it leaves open, 3 at the most, so
+of their four segments one is equal, and each fingerprint is filed again under each of the four. What still has more is dealt to blocks by a hash, so no task gets more than
+two blocks of one entry, and each comparison gives back no more links than keep its fingerprints connected, never all pairs. Entries are counted, not numbered, so
+none is ever put in order in one task.
 
 ``deduplicate`` can also ask for a Jaccard similarity of the shingle sets, which three bits are far too few for: candidates are then texts that share a
 band of MinHashes as well, and all are compared by their exact similarity.
@@ -37,6 +39,7 @@ BLOCK = 1024  # fingerprints of one entry that meet in a task
 _STEP = 1 << 16
 #: MinHash for candidates of a Jaccard similarity: texts of 0.8 share a band with a probability of 1 - (1 - 0.8**4)**16, 0.9998.
 MIN_BANDS, MIN_ROWS = 16, 4
+WORDS = 32  # of the bitmap that bounds how many shingles two texts can share
 _MIX = np.random.default_rng(42).integers(0, 1 << 64, (2, MIN_BANDS * MIN_ROWS), dtype=np.uint64)
 
 
@@ -75,14 +78,18 @@ def fingerprints(df: DataFrame, text_col: str = "text", width: int = 3, seed: in
     return df.withColumn(as_, simhash(F.col(text_col)))
 
 
-def _entries() -> list[tuple[int, int]]:
-    """(start, mask) of each of the 24 ways to file a fingerprint."""
+def _as_long(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _entries() -> list[tuple[int, int, list[int]]]:
+    """(start, mask, masks of the four segments that are left open) of each of the 24 ways to file a fingerprint."""
     out = []
+    of = lambda s: ((1 << WIDTH) - 1) << (WIDTH * s)
     for start in range(SEGMENTS):
         for free in (2, 3, 4):
             kept = [(start + k) % SEGMENTS for k in range(5) if k != free]
-            mask = sum(((1 << WIDTH) - 1) << (WIDTH * s) for s in kept)
-            out.append((start, mask - (1 << 64) if mask >> 63 else mask))
+            out.append((start, _as_long(sum(map(of, kept))), [_as_long(of(s)) for s in range(SEGMENTS) if s not in kept]))
     return out
 
 
@@ -152,8 +159,8 @@ def _compare(group: np.ndarray, fp: np.ndarray, start: np.ndarray) -> tuple[np.n
 
 
 def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted rows (entry, value, i, j, fp, start); a run that goes over a batch's end waits for the next."""
-    keys = ["entry", "value", "i", "j"]
+    """Sorted rows (entry, value, part, bits, i, j, fp, start); a run that goes over a batch's end waits for the next."""
+    keys = ["entry", "value", "part", "bits", "i", "j"]
     rest: pd.DataFrame | None = None
 
     def out(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -179,14 +186,22 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     """fps(fp), distinct, to (a, b): links enough to connect all that are at most three bits apart, directly or by others."""
-    filed = F.array(*(F.struct(F.lit(n).cast("byte").alias("entry"), F.lit(s).cast("byte").alias("start"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for n, (s, m) in enumerate(_entries())))
+    entries = _entries()
+    filed = F.array(*(F.struct(F.lit(n).cast("byte").alias("entry"), F.lit(s).cast("byte").alias("start"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for n, (s, m, _) in enumerate(entries)))
     rows = fps.select("fp", F.explode(filed).alias("e")).select("fp", "e.*")
-    own = Window.partitionBy("entry", "value").orderBy("fp")
-    rows = rows.withColumn("n", F.count("*").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).filter("n > 1")
-    rows = rows.withColumn("block", F.floor((F.row_number().over(own) - 1) / block)).withColumn("last", F.floor((F.col("n") - 1) / block))
-    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
-    met = met.select("entry", "value", F.least("block", "other").cast("long").alias("i"), F.greatest("block", "other").cast("long").alias("j"), "fp", F.col("start").cast("long").alias("start"))
-    met = met.repartition("entry", "value", "i", "j").sortWithinPartitions("entry", "value", "i", "j")
+    counts = lambda df, *by: df.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 1")
+    rows = rows.join(counts(rows, "entry", "value"), ["entry", "value"])
+    zero = F.lit(0).cast("long")
+    few = rows.filter(F.col("n") <= block).select("entry", "value", zero.cast("int").alias("part"), zero.alias("bits"), "start", "fp", F.lit(1).cast("long").alias("blocks"))
+    open_ = F.get(F.array(*(F.array(*map(F.lit, masks)) for _, _, masks in entries)), F.col("entry").cast("int"))
+    many = rows.filter(F.col("n") > block).select("entry", "value", "start", "fp", F.posexplode(F.transform(open_, lambda m: F.col("fp").bitwiseAND(m))).alias("part", "bits"))
+    many = many.join(counts(many, "entry", "value", "part", "bits"), ["entry", "value", "part", "bits"])
+    many = many.select("entry", "value", (F.col("part") + 1).alias("part"), "bits", "start", "fp", F.ceil(F.col("n") / block).cast("long").alias("blocks"))
+    met = few.unionByName(many).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    met = met.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    keys = ["entry", "value", "part", "bits", "i", "j"]
+    met = met.select("entry", "value", "part", "bits", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", F.col("start").cast("long").alias("start"))
+    met = met.repartition(*keys).sortWithinPartitions(*keys)
     return met.mapInPandas(_links, "a long, b long").distinct()
 
 
@@ -215,19 +230,27 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
 
 
+def _bitmap(hashes: np.ndarray) -> np.ndarray:
+    """``WORDS`` x 64 bits of a set of hashes."""
+    out, at = np.zeros(WORDS, np.uint64), hashes >> np.uint64(64 - (WORDS * 64 - 1).bit_length())
+    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
 def _signed(df: DataFrame, width: int, banded: bool) -> DataFrame:
-    """df(id, t) to (id, digest, fp, n, bands): n distinct shingles; no bands unless ``banded``."""
+    """df(id, t) to (id, digest, fp, n, bands, bits, ones): n distinct shingles; no bands and bits unless ``banded``."""
     small_batches(df.sparkSession)
 
-    @F.pandas_udf("fp long, n int, bands array<long>")
+    @F.pandas_udf("fp long, n int, bands array<long>, bits array<long>, ones int")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
             for t in texts:
                 h = _hashes(t if isinstance(t, str) else None, width)
                 fp, h = _majority(h), np.unique(h)
-                rows.append((np.array([fp], np.uint64).view(np.int64)[0], len(h), np.array(_min_bands(h) if banded else [], np.uint64).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["fp", "n", "bands"])
+                bits = _bitmap(h) if banded else np.zeros(0, np.uint64)
+                rows.append((np.array([fp], np.uint64).view(np.int64)[0], len(h), np.array(_min_bands(h) if banded else [], np.uint64).view(np.int64), bits.view(np.int64), int(np.bitwise_count(bits).sum())))
+            yield pd.DataFrame(rows, columns=["fp", "n", "bands", "bits", "ones"])
 
     return df.select("id", F.xxhash64("t").alias("digest"), sign("t").alias("s")).select("id", "digest", "s.*")
 
@@ -247,10 +270,11 @@ def _alike(pairs: DataFrame, texts: DataFrame, width: int, similar: float) -> Da
 def _near(rows: DataFrame, texts: DataFrame, width: int, similar: float) -> DataFrame:
     """(node, component) of the texts that are similar to others; rows as of _signed, texts(digest, t) with repeats.
 
-    As in line dedup: members of a band are compared with its first, and only where a band then still holds several components are those compared in pairs.
+    As in line dedup: members of a band are compared with its first, then with one from outside the first's component, and only where a band then
+    still holds several components are those compared in pairs, in the first band they share, if a bitmap's bound lets them be similar.
     """
     spark = rows.sparkSession
-    distinct = cut(rows.groupBy("digest").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    distinct = cut(rows.groupBy("digest").agg(F.first("fp").alias("fp"), *(F.first(c).alias(c) for c in ("n", "bands", "bits", "ones"))))
     filed = distinct.select("digest", "n", F.explode(F.array_distinct("bands")).alias("band"))
     ends = filed.groupBy("band").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("band", "low")
     shared = cut(filed.join(ends, "band").select("band", "digest", "n", "low"))
@@ -265,17 +289,34 @@ def _near(rows: DataFrame, texts: DataFrame, width: int, similar: float) -> Data
     texts = cut(texts.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("t").alias("t")))
     found = connected_components(cut(_alike(first, texts, width, similar)))
     release(spark)
-    named = shared.join(found, F.col("digest") == F.col("node"), "left").select("band", "digest", "n", F.coalesce("component", "digest").alias("component"))
-    mixed = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
-    open_ = cut(named.join(mixed, "band"))
-    other = open_.select("band", F.col("digest").alias("d2"), F.col("n").alias("n2"), F.col("component").alias("c2"))
-    # Sets whose sizes differ by more can't be similar.
-    pairs = open_.join(other, "band").filter((F.col("component") < F.col("c2")) & (F.least("n", "n2") >= similar * F.greatest("n", "n2") - 1e-6))
-    pairs = pairs.select(F.greatest("digest", "d2").alias("a"), F.least("digest", "d2").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    merged = lambda found, more: connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+    def open_bands(found: DataFrame) -> DataFrame:
+        """(band, digest, component, first) where a band holds several components; first: that of its first member."""
+        named = shared.join(found, F.col("digest") == F.col("node"), "left").select("band", "digest", "low", F.coalesce("component", "digest").alias("component"))
+        head = F.max(F.when(F.col("digest") == F.col("low"), F.col("component")))
+        mixed = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), head.alias("first")).filter("lo <> hi").select("band", "first")
+        return named.drop("low").join(mixed, "band")
+
+    rest = cut(open_bands(found))
+    head = F.struct(F.xxhash64("band", "digest").alias("h"), F.col("digest").alias("b"), F.col("component").alias("cb"))
+    heads = rest.filter("component <> first").groupBy("band").agg(F.min(head).alias("head")).select("band", "head.b", "head.cb")
+    pairs = rest.join(heads, "band").filter("component <> cb").select(F.greatest("digest", "b").alias("a"), F.least("digest", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    more = cut(_alike(pairs, texts, width, similar))
+    if not more.isEmpty():
+        found = cut(merged(found, more))
+    release(spark)
+    rest = cut(open_bands(found).select("band", "digest", "component").join(distinct.drop("fp"), "digest"))
+    left, right = (rest.select(*(F.col(c).alias(x + c) for c in rest.columns)) for x in "ab")
+    # Sets whose sizes differ by more can't be similar; nor can those of which a bitmap says that too many shingles are in one only.
+    sizes = F.least("an", "bn") >= similar * F.greatest("an", "bn") - 1e-6
+    both = F.aggregate(F.zip_with("abits", "bbits", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda acc, x: acc + x)
+    most = F.least(F.col("an") - F.col("aones"), F.col("bn") - F.col("bones")) + both
+    bound = most * (1 + similar) >= similar * (F.col("an") + F.col("bn")) - 1e-6
+    met = (F.col("aband") == F.col("bband")) & (F.col("acomponent") < F.col("bcomponent")) & sizes & bound & (F.array_min(F.array_intersect("abands", "bbands")) == F.col("aband"))
+    pairs = left.join(right, met).select(F.greatest("adigest", "bdigest").alias("a"), F.least("adigest", "bdigest").alias("b")).join(first, ["a", "b"], "left_anti")
     more = cut(_alike(pairs, texts, width, similar))
-    if more.isEmpty():
-        return found
-    return connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    return found if more.isEmpty() else merged(found, more)
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similar: float | None = None) -> DataFrame:
