@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,17 +14,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``; one of our own only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        current = spark.sparkContext.getCheckpointDir()
-        if current is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-ckpt-"))
-            current = spark.sparkContext.getCheckpointDir()
-        return current
-    if spark.sparkContext.getCheckpointDir() is None:
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``. Where it is unset, one of our own, but only if there is one machine."""
+    named, current = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.getCheckpointDir()
+    if named is None and current is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="tidemark-ckpt-")
+    if current is None:
         spark.sparkContext.setCheckpointDir(named)
-    return named
+    return named or current
 
 
 def cut(df: DataFrame) -> DataFrame:
