@@ -88,10 +88,12 @@ class Encoder:
         return parts
 
     def _compatible(self, a: int, b: int) -> bool:
-        if len(self.fits) > 4 * CACHE:
-            self.fits.clear()
-        got = self.fits[a << 20 | b] = self._stands(self.text[a], self.text[b])
-        return got
+        known = self.fits.get(a << 20 | b)
+        if known is None:
+            if len(self.fits) > 4 * CACHE:
+                self.fits.clear()
+            known = self.fits[a << 20 | b] = self._stands(self.text[a], self.text[b])
+        return known
 
     def _stands(self, x: str, y: str) -> bool:
         """Whether merging x + y again ends with the edge between them still there. Only the pairs beside a merge are asked for anew."""
@@ -112,24 +114,40 @@ class Encoder:
         return True
 
     def _known(self, text: str) -> list[int]:
-        """The ids of a text of which every character has a piece."""
-        chars, shorter, length, fits = self.chars, self.shorter, self.length, self.fits.get
+        """The ids of a text of which every character has a piece; KeyError if one has none."""
         # At each end the matches come from the longest on, and ends come in order, so the last one for a start is its longest.
         longest = {end - k: i for end, (i, k) in self.automaton.iter(text)}
+        chars, shorter, length, fits, get = self.chars, self.shorter, self.length, self.fits.get, longest.get
+        last = get(0)
+        if last is None:
+            last = chars[text[0]]
+        out, at, n = [last], length[last], len(text)
+        while at < n:
+            piece = get(at)
+            if piece is None:
+                piece = chars[text[at]]
+            while not fits(last << 20 | piece) and not self._compatible(last, piece):
+                piece = shorter[piece]
+                if piece < 0:
+                    return self._searched(text, longest)
+            out.append(piece)
+            last = piece
+            at += length[piece]
+        return out
+
+    def _searched(self, text: str, longest: dict[int, int]) -> list[int]:
+        """The same where the way forward has met a dead end: going back, with a bitfield of the places from which no sequence goes on to the end."""
+        chars, shorter, length, fits = self.chars, self.shorter, self.length, self.fits.get
         n = len(text)
         out: list[int] = []
-        failed = None  # the bitfield of places from which no sequence goes on to the end; few texts need one
+        failed = bytearray((n >> 3) + 1)
         at, last = 0, -1
         piece = longest[0] if 0 in longest else chars[text[0]]
         while True:
             while piece >= 0:
                 end = at + length[piece]
-                if failed is None or not failed[end >> 3] >> (end & 7) & 1:
-                    if last < 0:
-                        break
-                    ok = fits(last << 20 | piece)
-                    if ok or ok is None and self._compatible(last, piece):
-                        break
+                if not failed[end >> 3] >> (end & 7) & 1 and (last < 0 or fits(last << 20 | piece) or self._compatible(last, piece)):
+                    break
                 piece = shorter[piece]
             if piece >= 0:
                 out.append(piece)
@@ -138,8 +156,6 @@ class Encoder:
                 at, last = end, piece
                 piece = longest[at] if at in longest else chars[text[at]]
             else:
-                if failed is None:
-                    failed = bytearray((n >> 3) + 1)
                 failed[at >> 3] |= 1 << (at & 7)
                 piece = out.pop()  # an encoding exists, so there is one
                 at -= length[piece]
@@ -147,10 +163,11 @@ class Encoder:
                 piece = shorter[piece]
 
     def _cut(self, text: str) -> list[int]:
-        chars = self.chars
-        if chars.keys() >= set(text):
+        try:
             return self._known(text)
-        ids: list[int] = []
+        except KeyError:  # a character without a piece
+            pass
+        chars, ids = self.chars, []
         start = 0
         for i, c in enumerate(text):
             if c not in chars:
