@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, licenses, lines, media, mixing, recompression, sentencepiece_bpe, simhash, surrogates, topk
+from tidemark.llm import filter_audit, langid, licenses, lines, media, mixing, recompression, sentencepiece_bpe, simhash, surrogates, topk
 from tidemark.llm.common import cut, small_batches, words_of
 from tidemark.session import ship
 
@@ -112,6 +112,29 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1}
+    return filter_audit.audit(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"), flags=flags)
+
+
+OP13_SQL = r"""
+WITH l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+m AS (SELECT doc_id, part, CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+  + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask FROM t),
+h AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c, unnest([1, 2, 4, 8, 16]) AS b),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM f a, f b, f c, f d, f e WHERE a.b + b.b + c.b + d.b + e.b = 31 AND a.b | b.b | c.b | d.b | e.b = 31),
+s AS (SELECT filter_order, step, bits[step] AS f, CAST(list_sum(bits[1:step]) - bits[step] AS BIGINT) AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, step, f, sum(CASE WHEN mask & (before | f) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & before = 0 AND mask & f > 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN mask & before > 0 AND mask & f > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = f THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN mask & before = 0 AND mask & f > 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & before = 0 AND mask & f > 0 THEN toxic ELSE 0 END) AS toxic_lost FROM h, s GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r
+"""
+
+
 QUERIES = {
     "op1_simhash_groups": op1_simhash_groups,
     "op2_exact_topk": op2_exact_topk,
@@ -123,10 +146,12 @@ QUERIES = {
     "op8_pii_surrogates": op8_pii_surrogates,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language_id": op10_language_id,
+    "op13_filter_audit": op13_filter_audit,
 }
 ORACLES = {
     "op2_exact_topk": OP2_SQL,
     "op4_license_scan": licenses.oracle(),
     "op5_substring_dedup": OP5_SQL,
     "op6_mix_sources": OP6_SQL,
+    "op13_filter_audit": OP13_SQL,
 }
