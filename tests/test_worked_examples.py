@@ -68,7 +68,7 @@ def test_bits(spark):
 
 def test_crps_of_a_point(spark):
     s = spark.createDataFrame([(1, 3.0, 5.5)] * 4, "g int, x double, y double")
-    assert stats.crps(s, ["g"], "x", "y").first()["crps"] == pytest.approx(2.5)
+    assert order.crps(s, ["g"], "x", "y").first()["crps"] == pytest.approx(2.5)
 
 
 def test_mean_and_error(spark):

@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import order
+
+
 def standardise(x: np.ndarray, fit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By the mean and sample deviation of the rows of ``fit``; flat columns keep scale 1."""
     with np.errstate(all="ignore"):
@@ -401,13 +404,13 @@ def scenarios(df: DataFrame, features: list[str], key: str, clusters: int, seed:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    levels = F.array(*map(F.lit, (0.005, 0.10, 0.5, 0.90, 0.995)))
+    levels = (0.005, 0.10, 0.5, 0.90, 0.995)
     df = df.select(key, *features).persist()  # read for the levels, the limit and each turn of each fit
-    q = df.agg(*(F.percentile(c, levels).alias(c) for c in features)).first()
+    q = {r["feature"]: r["q"] for r in order.quantiles(df.unpivot(key, features, "feature", "x"), ["feature"], "x", levels).collect()}  # a row a feature
     scaled = [((F.least(F.greatest(F.col(c), F.lit(q[c][0])), F.lit(q[c][4])) - q[c][2]) / max(q[c][3] - q[c][1], 1e-12)).alias(c) for c in features]
     s = df.select(key, *scaled)
     s = s.withColumn("far", F.sqrt(sum((F.col(c) * F.col(c) for c in features[1:]), F.col(features[0]) * F.col(features[0]))))
-    limit = s.agg(F.percentile("far", F.lit(0.995))).first()[0]
+    limit = order.quantiles(s, [], "far", [0.995]).first()["q"][0]
     v = VectorAssembler(inputCols=features, outputCol="v").transform(s)
     inner = v.filter(F.col("far") <= limit).persist()
     models = [KMeans(k=clusters, seed=seed + i, featuresCol="v", predictionCol="scenario").fit(inner) for i in range(tries)]

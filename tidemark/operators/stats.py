@@ -10,19 +10,6 @@ from pyspark.sql import functions as F
 LEVELS = (0.025, 0.10, 0.25, 0.5, 0.75, 0.90, 0.975)
 
 
-def quantiles(x: str, levels: Sequence[float] = LEVELS) -> Column:
-    """Exact, interpolated between neighbours; an array."""
-    return F.percentile(x, F.array(*map(F.lit, levels)))
-
-
-def crps(samples: DataFrame, group: Sequence[str], x: str, actual: str) -> DataFrame:
-    """The continuous ranked probability score of each group's samples: E|x - y| less half the mean distance of two samples."""
-    w = Window.partitionBy(*group).orderBy(x)
-    s = samples.withColumn("i", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy(*group)))
-    spread = F.sum((2 * F.col("i") - F.col("n") - 1) * F.col(x)) / F.first(F.col("n").cast("double") * F.col("n"))
-    return s.groupBy(*group).agg((F.avg(F.abs(F.col(x) - F.col(actual))) - spread).alias("crps"))
-
-
 def mean_and_error(df: DataFrame, group: Sequence[str], x: str) -> DataFrame:
     """The mean, its standard error (0 for one value, null for none) and the count."""
     n = F.count(x)
@@ -76,15 +63,3 @@ def direction_back(x: Column, y: Column) -> Column:
     flat = F.when(y > 0, 90.0).when(y < 0, -90.0).otherwise(0.0)
     a = F.when(F.abs(x) < 0.001, flat).otherwise(F.degrees(F.atan2(y, x))) + 180
     return F.when(a > 180, a - 360).when(a <= -180, a + 360).otherwise(a)
-
-
-def numbered(df: DataFrame, key: str, block: int = 1 << 16) -> DataFrame:
-    """``df`` with nth, each row's place from 0 in the order of a whole-number ``key``: rows are numbered within blocks of the key's values, and
-    shifted by the counts of the blocks before. No task puts more than a block in order.
-    """
-    own = Window.partitionBy("block").orderBy(key)
-    blocks = df.withColumn("block", F.floor(F.col(key) / block))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
-    starts = blocks.groupBy("block").agg(F.count("*").alias("size")).select("block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
-    local = blocks.withColumn("nth", F.row_number().over(own) - 1)
-    return local.join(starts, "block").withColumn("nth", F.col("nth") + F.col("start")).drop("block", "start")

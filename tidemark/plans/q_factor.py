@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import factors as L
-from tidemark.operators import calendar, panel, stats
+from tidemark.operators import calendar, order, panel, stats
 from tidemark.plans import fixtures as X
 from tidemark.plans.registry import Tables, query
 
@@ -72,7 +72,7 @@ def l07(t: Tables) -> DataFrame:
 @query("l08_shuffled_folds", "WITH k AS (SELECT s_suppkey, md5('52:' || s_suppkey) AS h FROM supplier) SELECT s_suppkey, CAST(ntile(5) OVER (ORDER BY h, s_suppkey) AS INTEGER) AS fold FROM k")
 def l08(t: Tables) -> DataFrame:
     k = t.supplier.select("s_suppkey", F.md5(F.concat(F.lit("52:"), F.col("s_suppkey").cast("string")).cast("binary")).alias("h"))
-    return k.select("s_suppkey", F.ntile(5).over(Window.orderBy("h", "s_suppkey")).alias("fold"))
+    return order.folds(k, "h", "s_suppkey", n=5).select("s_suppkey", F.col("fold").cast("int").alias("fold"))
 
 
 def _det(m: list[list[str]]) -> str:
@@ -136,7 +136,11 @@ def l18(t: Tables) -> DataFrame:
     f = p.groupBy("user_id").agg((F.max_by("level", "step") - 1).alias("total"), (F.stddev_pop("r") * F.sqrt(F.lit(52.0))).alias("volatility"), F.min("drawdown").alias("fall"))
     s = L.scenarios(f, ["total", "volatility", "fall"], "user_id", 4)
     n = f.agg(F.count("*").alias("n"))
-    got = s.join(f, "user_id").groupBy("scenario").agg(F.count("*").alias("paths"), r6(F.median("total")).alias("median_total"), r6(F.median("volatility")).alias("median_volatility"), r6(F.median("fall")).alias("median_fall"), F.max(F.when(F.col("medoid"), F.col("user_id"))).alias("representative"))
+    both = s.join(f, "user_id")
+    long = both.unpivot("scenario", ["total", "volatility", "fall"], "feature", "x")
+    middles = order.quantiles(long, ["scenario", "feature"], "x", [0.5]).groupBy("scenario").pivot("feature", ["total", "volatility", "fall"]).agg(r6(F.first(F.col("q")[0])))
+    middles = middles.toDF("scenario", "median_total", "median_volatility", "median_fall")
+    got = both.groupBy("scenario").agg(F.count("*").alias("paths"), F.max(F.when(F.col("medoid"), F.col("user_id"))).alias("representative")).join(middles, "scenario")
     return got.crossJoin(F.broadcast(n)).select("scenario", r6(F.col("paths") / F.col("n")).alias("probability"), "paths", "median_total", "median_volatility", "median_fall", "representative")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import special, text
+from tidemark.operators import order
 from tidemark.operators import relational as R
 from tidemark.plans import cases
 from tidemark.plans.registry import Tables, query
@@ -36,7 +37,7 @@ def s19(t: Tables) -> DataFrame:
 
 @query("s21_batches", "SELECT CAST(floor((row_number() OVER (ORDER BY s_suppkey) - 1) / 16) AS BIGINT) AS batch, s_suppkey FROM supplier")
 def s21(t: Tables) -> DataFrame:
-    return t.supplier.select(F.floor((F.row_number().over(Window.orderBy("s_suppkey")) - 1) / 16).alias("batch"), "s_suppkey")
+    return order.places(t.supplier.select("s_suppkey"), "s_suppkey").select(F.floor(F.col("nth") / 16).alias("batch"), "s_suppkey")
 
 
 @query("s25_valid_symbols", "SELECT l_suppkey AS symbol, count(*) AS fields FROM (SELECT l_suppkey, unnest([CASE WHEN l_discount > 0.05 THEN l_discount END, CASE WHEN l_tax > 0.07 THEN l_tax END]) AS v FROM lineitem) WHERE v IS NOT NULL GROUP BY 1")

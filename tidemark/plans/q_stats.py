@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import stats
+from tidemark.operators import order, stats
 from tidemark.plans import fixtures as X
 from tidemark.plans.registry import Tables, query
 
@@ -64,7 +64,7 @@ def a08(t: Tables) -> DataFrame:
 
 @query("a13_quantile_fan", "SELECT event_type, " + ", ".join(f"round(quantile_cont(value, {v}), 6) AS {n}" for v, n in zip(stats.LEVELS, NAMES, strict=True)) + " FROM events GROUP BY 1")
 def a13(t: Tables) -> DataFrame:
-    q = t.events.groupBy("event_type").agg(stats.quantiles("value").alias("q"))
+    q = order.quantiles(t.events, ["event_type"], "value", stats.LEVELS)
     return q.select("event_type", *(r6(F.col("q")[i]).alias(n) for i, n in enumerate(NAMES)))
 
 
@@ -76,14 +76,14 @@ def a14(t: Tables) -> DataFrame:
 @query("a15_crps", "WITH s AS (SELECT user_id, value AS x, 50.0::DOUBLE AS y, row_number() OVER (PARTITION BY user_id ORDER BY value) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, round(avg(abs(x - y)) - sum((2 * i - n - 1) * x) / (max(n) * CAST(max(n) AS DOUBLE)), 6) AS crps FROM s GROUP BY 1")
 def a15(t: Tables) -> DataFrame:
     s = t.events.select("user_id", F.col("value").alias("x"), F.lit(50.0).alias("y"))
-    return stats.crps(s, ["user_id"], "x", "y").select("user_id", r6("crps").alias("crps"))
+    return order.crps(s, ["user_id"], "x", "y").select("user_id", r6("crps").alias("crps"))
 
 
 @query("a16_interval_coverage", "WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b, quantile_cont(value, 0.1) AS c, quantile_cont(value, 0.9) AS d FROM events GROUP BY 1), k AS (SELECT event_type, avg(CASE WHEN value BETWEEN a AND b THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS c50, avg(CASE WHEN value BETWEEN c AND d THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS c80, avg(d - c) AS width FROM events JOIN q USING (event_type) GROUP BY 1) SELECT event_type, round(c50, 6) AS coverage_50, round(c80, 6) AS coverage_80, round(width, 6) AS mean_width, round((abs(c50 - 0.5::DOUBLE) + abs(c80 - 0.8::DOUBLE)) / 2, 6) AS calibration_error FROM k")
 def a16(t: Tables) -> DataFrame:
-    q = t.events.groupBy("event_type").agg(stats.quantiles("value", (0.25, 0.75, 0.1, 0.9)).alias("q"))
+    q = order.quantiles(t.events, ["event_type"], "value", (0.25, 0.75, 0.1, 0.9)).drop("n")
     hit = lambda i, j: F.avg(F.col("value").between(F.col("q")[i], F.col("q")[j]).cast("double"))
-    k = t.events.join(F.broadcast(q), "event_type").groupBy("event_type").agg(hit(0, 1).alias("c50"), hit(2, 3).alias("c80"), F.avg(F.col("q")[3] - F.col("q")[2]).alias("width"))
+    k = t.events.join(q, "event_type").groupBy("event_type").agg(hit(0, 1).alias("c50"), hit(2, 3).alias("c80"), F.avg(F.col("q")[3] - F.col("q")[2]).alias("width"))
     return k.select("event_type", r6("c50").alias("coverage_50"), r6("c80").alias("coverage_80"), r6("width").alias("mean_width"), r6((F.abs(F.col("c50") - 0.5) + F.abs(F.col("c80") - 0.8)) / 2).alias("calibration_error"))
 
 
@@ -105,7 +105,9 @@ def a19(t: Tables) -> DataFrame:
 
 @query("a20_uncertainty_ladder", f"WITH {X.UP} SELECT step, round(quantile_cont(level, 0.1), 6) AS q10, round(quantile_cont(level, 0.5), 6) AS q50, round(quantile_cont(level, 0.9), 6) AS q90, round(avg(CASE WHEN level < 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS loss FROM up WHERE step IN (1, 4, 13, 26, 40) GROUP BY 1")
 def a20(t: Tables) -> DataFrame:
-    g = X.user_paths(t).filter(F.col("step").isin(1, 4, 13, 26, 40)).groupBy(F.col("step").cast("long").alias("step")).agg(stats.quantiles("level", (0.1, 0.5, 0.9)).alias("q"), F.avg((F.col("level") < 1).cast("double")).alias("loss"))
+    p = X.user_paths(t).filter(F.col("step").isin(1, 4, 13, 26, 40)).select(F.col("step").cast("long").alias("step"), "level")
+    loss = p.groupBy("step").agg(F.avg((F.col("level") < 1).cast("double")).alias("loss"))
+    g = order.quantiles(p, ["step"], "level", (0.1, 0.5, 0.9)).join(loss, "step")
     return g.select("step", *(r6(F.col("q")[i]).alias(n) for i, n in enumerate(("q10", "q50", "q90"))), r6("loss").alias("loss"))
 
 
@@ -120,15 +122,18 @@ def a21(t: Tables) -> DataFrame:
 @query("a22_cumulative_share", "WITH g AS (SELECT l_suppkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) SELECT l_suppkey, round(sum(q) OVER (ORDER BY q DESC, l_suppkey ROWS UNBOUNDED PRECEDING) / sum(q) OVER (), 6) AS share FROM g")
 def a22(t: Tables) -> DataFrame:
     g = t.lineitem.groupBy("l_suppkey").agg(F.sum("l_quantity").alias("q"))
-    w = Window.orderBy(F.desc("q"), "l_suppkey").rowsBetween(Window.unboundedPreceding, 0)  # a row an entity
-    return g.select("l_suppkey", r6(F.sum("q").over(w) / F.sum("q").over(Window.partitionBy())).alias("share"))
+    total = g.agg(F.sum("q").alias("total"))
+    so_far = order.running_sums(g, F.desc("q"), "l_suppkey", sums={"so_far": "q"})
+    return so_far.crossJoin(F.broadcast(total)).select("l_suppkey", r6(F.col("so_far") / F.col("total")).alias("share"))  # by one row
 
 
 FAN_SQL = f"WITH {X.UP}, f AS (SELECT step, quantile_cont(level, 0.25) AS a, quantile_cont(level, 0.5) AS m, quantile_cont(level, 0.75) AS b, min(CASE WHEN user_id = 0 THEN level END) AS actual FROM up GROUP BY 1)"
 
 
 def _fan(t: Tables) -> DataFrame:
-    g = X.user_paths(t).groupBy(F.col("step").cast("long").alias("step")).agg(stats.quantiles("level", (0.25, 0.5, 0.75)).alias("q"), F.min(F.when(F.col("user_id") == 0, F.col("level"))).alias("actual"))
+    p = X.user_paths(t).select(F.col("step").cast("long").alias("step"), "user_id", "level")
+    actual = p.filter("user_id = 0").select("step", F.col("level").alias("actual"))
+    g = order.quantiles(p, ["step"], "level", (0.25, 0.5, 0.75)).join(actual, "step", "left")
     return g.select("step", F.col("q")[0].alias("a"), F.col("q")[1].alias("m"), F.col("q")[2].alias("b"), "actual")
 
 
@@ -151,8 +156,11 @@ def a34(t: Tables) -> DataFrame:
 @query("a27_simulation_sanity", f"WITH {X.UP}, e AS (SELECT user_id, arg_max(level, step) AS x, max(step) AS h FROM up GROUP BY 1) SELECT round(min(x), 6) AS least, round(max(x), 6) AS most, round(avg(CASE WHEN x < 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS loss, round(median(exp(ln(x) * 52 / h) - 1), 6) AS annualised, array_to_string(list_filter([CASE WHEN max(x) > 2 THEN 'extreme_gain' END, CASE WHEN min(x) < 0.5 THEN 'extreme_loss' END, CASE WHEN count(*) < 100 THEN 'few_paths' END], lambda w: w IS NOT NULL), ',') AS warnings FROM e")
 def a27(t: Tables) -> DataFrame:
     e = X.user_paths(t).groupBy("user_id").agg(F.max_by("level", "step").alias("x"), F.max("step").alias("h"))
+    e = e.withColumn("yearly", F.exp(F.ln("x") * 52 / F.col("h")) - 1)
+    middle = order.quantiles(e, [], "yearly", [0.5]).select(r6(F.col("q")[0]).alias("annualised"))
     warn = F.array_compact(F.array(F.when(F.max("x") > 2, "extreme_gain"), F.when(F.min("x") < 0.5, "extreme_loss"), F.when(F.count("*") < 100, "few_paths")))
-    return e.agg(r6(F.min("x")).alias("least"), r6(F.max("x")).alias("most"), r6(F.avg((F.col("x") < 1).cast("double"))).alias("loss"), r6(F.median(F.exp(F.ln("x") * 52 / F.col("h")) - 1)).alias("annualised"), F.array_join(warn, ",").alias("warnings"))
+    got = e.agg(r6(F.min("x")).alias("least"), r6(F.max("x")).alias("most"), r6(F.avg((F.col("x") < 1).cast("double"))).alias("loss"), F.array_join(warn, ",").alias("warnings"))
+    return got.crossJoin(middle)  # of one row each
 
 
 @query("a28_histogram", "WITH b AS (SELECT CAST(least(floor((value - 0) / 10), 49) AS BIGINT) AS bin FROM events) SELECT bin, count(*) AS n, round(count(*) / (10 * CAST((SELECT count(*) FROM events) AS DOUBLE)), 8) AS density FROM b GROUP BY 1")
@@ -165,8 +173,9 @@ def a28(t: Tables) -> DataFrame:
 @query("a35_path_axis", f"WITH {X.UP}, e AS (SELECT user_id % 3 AS method, user_id, arg_max(level, step) AS x FROM up GROUP BY 1, 2) SELECT method, round(median(x), 6) AS median_terminal, round((SELECT quantile_cont(x, 0.002) FROM e), 6) AS low, round((SELECT quantile_cont(x, 0.998) FROM e), 6) AS high FROM e GROUP BY 1")
 def a35(t: Tables) -> DataFrame:
     e = X.user_paths(t).groupBy((F.col("user_id") % 3).alias("method"), "user_id").agg(F.max_by("level", "step").alias("x"))
-    axis = e.agg(stats.quantiles("x", (0.002, 0.998)).alias("q"))
-    return e.groupBy("method").agg(r6(F.median("x")).alias("median_terminal")).crossJoin(F.broadcast(axis)).select("method", "median_terminal", r6(F.col("q")[0]).alias("low"), r6(F.col("q")[1]).alias("high"))
+    axis = order.quantiles(e, [], "x", (0.002, 0.998)).drop("n")
+    middle = order.quantiles(e, ["method"], "x", [0.5]).select("method", r6(F.col("q")[0]).alias("median_terminal"))
+    return middle.crossJoin(F.broadcast(axis)).select("method", "median_terminal", r6(F.col("q")[0]).alias("low"), r6(F.col("q")[1]).alias("high"))
 
 
 @query("a36_selection_curve", f"WITH {MSE_SQL} SELECT rank, round(f - fe, 8) AS lower, round(f, 8) AS mean, round(f + fe, 8) AS upper, rank = (SELECT rank FROM m ORDER BY f, rank LIMIT 1) AS best FROM m")
@@ -186,7 +195,7 @@ def a37(t: Tables) -> DataFrame:
 @query("a39_mean_of_batches", "WITH b AS (SELECT floor((row_number() OVER (ORDER BY event_id) - 1) / 32) AS batch, value FROM events) SELECT round(avg(m), 6) AS loss FROM (SELECT avg(value) AS m FROM b GROUP BY batch)")
 def a39(t: Tables) -> DataFrame:
     """Batches of 32 in the order of ids, over all rows: places come from counts of id ranges, so no task numbers more than a range."""
-    b = stats.numbered(t.events.select("event_id", "value"), "event_id").select(F.floor(F.col("nth") / 32).alias("batch"), "value")
+    b = order.places(t.events.select("event_id", "value"), "event_id").select(F.floor(F.col("nth") / 32).alias("batch"), "value")
     return b.groupBy("batch").agg(F.avg("value").alias("m")).agg(r6(F.avg("m")).alias("loss"))
 
 
@@ -283,7 +292,7 @@ def w11b(t: Tables) -> DataFrame:
 def w13(t: Tables) -> DataFrame:
     """Paths spread evenly over the order of their ends: places rounded half to even, as by linspace."""
     e = X.user_paths(t).groupBy("user_id").agg(F.max_by("level", "step").alias("x"))
-    o = e.withColumn("pos", F.row_number().over(Window.orderBy("x", "user_id")) - 1)  # a row a path
+    o = order.places(e, "x", "user_id", name="pos")
     n = e.agg(F.count("*").alias("n"))
     k = t.spark.range(9).crossJoin(n).select(F.col("id").alias("nth"), F.bround(F.col("id") * (F.col("n") - 1) / 8, 0).cast("int").alias("pos"))
     return o.join(F.broadcast(k), "pos").select("nth", "user_id", r6("x").alias("terminal"))

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "tidemark", cores: int | str | None = None, **conf: str) -> SparkSession:
@@ -21,6 +21,7 @@ def get_session(app: str = "tidemark", cores: int | str | None = None, **conf: s
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "6g",
@@ -48,3 +49,13 @@ def shared_folder(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tidemark-")
     return f"{root.rstrip('/')}/tidemark_{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """``df``, computed now and kept reliably in the shared folder: lost executors don't have it computed again, in another order. Spark deletes it with
+    its last reader if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, as ``get_session`` does.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
