@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import filter_audit, langid, licenses, lines, media, mixing, recompression, sentencepiece_bpe, simhash, surrogates, topk
+from tidemark.llm import filter_audit, importance, langid, licenses, lines, media, mixing, recompression, sentencepiece_bpe, simhash, surrogates, topk
 from tidemark.llm.common import cut, small_batches, words_of
 from tidemark.session import ship
 
@@ -112,6 +112,33 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return got.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+#: The checksum is taken bit by bit, each byte being followed by seven zeros.
+OP11_SQL = r"""
+WITH low AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
+d AS (SELECT doc_id, row_number() OVER () AS i, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents, low),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark, low),
+dw AS (SELECT i, unnest(ws) AS w FROM d), bw AS (SELECT unnest(ws) AS w FROM b),
+k AS (SELECT w, hex(w) AS h FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+c AS (SELECT w, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(range(1, CAST(len(h) / 2 AS BIGINT) + 1),
+  lambda i: [CAST((instr('0123456789ABCDEF', substr(h, 2 * i - 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(h, 2 * i, 1)) - 1 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+  lambda c, x: xor(xor(c, x) >> 1, CAST(3988292384 AS BIGINT) * (xor(c, x) & 1)))) % 10000 AS k FROM k),
+df AS (SELECT i, k FROM dw JOIN c USING (w)),
+s AS (SELECT k, count(*) AS s FROM df GROUP BY 1), t AS (SELECT k, count(*) AS t FROM bw JOIN c USING (w) GROUP BY 1),
+g AS (SELECT k, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (coalesce((SELECT sum(s) FROM s), 0) + 10000.0::DOUBLE) / ((coalesce(s, 0) + 1.0::DOUBLE) * (coalesce((SELECT sum(t) FROM t), 0) + 10000.0::DOUBLE)))) AS BIGINT) AS g
+  FROM (SELECT unnest(range(0, 10000)) AS k) LEFT JOIN s USING (k) LEFT JOIN t USING (k)),
+w AS (SELECT i, count(*) AS n, CAST(floor(sum(g) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS weight FROM df JOIN g USING (k) GROUP BY 1),
+r AS (SELECT doc_id, len(ws) AS words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN w USING (i)),
+o AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS nth, sum(CASE WHEN words >= 20 THEN 1 ELSE 0 END) OVER () AS n FROM r)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN words >= 20 AND nth <= floor(10 * n / 100.0::DOUBLE) THEN nth END AS rank FROM o
+"""
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1}
     return filter_audit.audit(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"), flags=flags)
@@ -146,6 +173,7 @@ QUERIES = {
     "op8_pii_surrogates": op8_pii_surrogates,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language_id": op10_language_id,
+    "op11_importance_resampling": op11_importance_resampling,
     "op13_filter_audit": op13_filter_audit,
 }
 ORACLES = {
@@ -153,5 +181,6 @@ ORACLES = {
     "op4_license_scan": licenses.oracle(),
     "op5_substring_dedup": OP5_SQL,
     "op6_mix_sources": OP6_SQL,
+    "op11_importance_resampling": OP11_SQL,
     "op13_filter_audit": OP13_SQL,
 }
