@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import filter_audit, importance, langid, licenses, lines, media, mixing, recompression, sentencepiece_bpe, simhash, surrogates, topk
+from tidemark.llm import filter_audit, importance, langid, licenses, lines, media, mixing, prefix_free, recompression, sentencepiece_bpe, simhash, surrogates, topk
 from tidemark.llm.common import cut, small_batches, words_of
 from tidemark.session import ship
 
@@ -139,6 +139,10 @@ SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHE
 """
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_free.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True).withColumnRenamed("id", "doc_id")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1}
     return filter_audit.audit(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"), flags=flags)
@@ -174,6 +178,7 @@ QUERIES = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language_id": op10_language_id,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_filter_audit": op13_filter_audit,
 }
 ORACLES = {
