@@ -33,18 +33,28 @@ def log_sum_exp(xs: Column) -> Column:
     return top + F.ln(F.aggregate(xs, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
 
 
-def name_similarity(a: Column, b: Column) -> Column:
-    """Ratcliff-Obershelp ratio of two names, as labels without the words of companies' forms: a Python function, in Arrow batches."""
+def bare_name(c: Column) -> Column:
+    """A name as a label, without the words of companies' forms."""
     from tidemark.functions.text import label
 
+    return F.array_join(F.filter(F.split(label(F.coalesce(c, F.lit(""))), " "), lambda w: ~w.isin(*COMMON_WORDS)), " ")
+
+
+def matched_ratio(a: Column, b: Column) -> Column:
+    """The Ratcliff-Obershelp ratio of two strings: a Python function, in Arrow batches."""
+
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 
         return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)], dtype=float)
 
-    bare = lambda c: F.array_join(F.filter(F.split(label(F.coalesce(c, F.lit(""))), " "), lambda w: ~w.isin(*COMMON_WORDS)), " ")
-    return ratio(bare(a), bare(b))
+    return ratio(a, b)
+
+
+def name_similarity(a: Column, b: Column) -> Column:
+    """The ratio of two names' bare forms."""
+    return matched_ratio(bare_name(a), bare_name(b))
 
 
 #: Words that tell companies' forms, not their names.
