@@ -58,7 +58,10 @@ EXCHANGE_MIC = {
     "nyse american": "XASE", "toronto stock exchange": "XTSE", "tsx": "XTSE", "london stock exchange": "XLON", "lse": "XLON", "euronext paris": "XPAR", "euronext amsterdam": "XAMS",
     "xetra": "XETR", "frankfurt": "XFRA", "six swiss exchange": "XSWX", "milan": "XMIL", "borsa italiana": "XMIL", "madrid": "XMAD", "tokyo stock exchange": "XTKS", "tokyo": "XTKS",
     "hong kong stock exchange": "XHKG", "hong kong": "XHKG", "shanghai stock exchange": "XSHG", "shenzhen stock exchange": "XSHE", "taiwan stock exchange": "XTAI",
-    "taipei exchange": "ROCO", "korea exchange": "XKRX", "kospi": "XKRX", "kosdaq": "XKOS",
+    "taipei exchange": "ROCO", "korea exchange": "XKRX", "kospi": "XKRX", "kosdaq": "XKOS", "australian securities exchange": "XASX", "asx": "XASX", "new zealand exchange": "XNZE",
+    "singapore exchange": "XSES", "sgx": "XSES", "bursa malaysia": "XKLS", "stock exchange of thailand": "XBKK", "indonesia stock exchange": "XIDX", "philippine stock exchange": "XPHS",
+    "national stock exchange of india": "XNSE", "nse": "XNSE", "bombay stock exchange": "XBOM", "bse": "XBOM", "b3": "BVMF", "mexican stock exchange": "XMEX",
+    "johannesburg stock exchange": "XJSE", "tel aviv stock exchange": "XTAE", "saudi exchange": "XSAU",
 }
 
 

@@ -25,19 +25,6 @@ def f02(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", text.clean(x).alias("cleaned"))
 
 
-#: Worked by hand: a holding as it is written, its name and its ticker.
-HOLDINGS = [
-    ("Berkshire Hathaway Inc (BRK/B)", "Berkshire Hathaway Inc", "BRK/B"), ("Taiwan Semiconductor Manufacturing Co Ltd (2330)", "Taiwan Semiconductor Manufacturing Co Ltd", "2330"), ("Plain name", "Plain name", ""),
-    (" Two (words here) ", "Two (words here)", ""), ("HSBC Holdings plc (HSBA.L) ", "HSBC Holdings plc", "HSBA.L"), ("Under_score (A_B-1)", "Under_score", "A_B-1"), ("(ABC)", "(ABC)", "ABC"), ("Leading dot (.AB)", "Leading dot (.AB)", ""),
-    ("Foo (X) Bar (Y1)", "Foo (X) Bar", "Y1"), ("Long (ABCDEFGHIJKLMNOPQRSTUVWXY)", "Long", "ABCDEFGHIJKLMNOPQRSTUVWXY"), ("Long (ABCDEFGHIJKLMNOPQRSTUVWXYZ)", "Long (ABCDEFGHIJKLMNOPQRSTUVWXYZ)", ""), (None, "", ""),
-]
-
-
-@query("f03_name_and_ticker", cases.answers("part", "p_partkey", ["x", "name", "ticker"], HOLDINGS, ["name", "ticker"]))
-def f03(t: Tables) -> DataFrame:
-    return cases.given(t.part, "p_partkey", ["x"], HOLDINGS).select("p_partkey", text.name_and_ticker(F.col("x")).alias("s")).select("p_partkey", "s.name", "s.ticker")
-
-
 @query("f04_slug", "SELECT p_partkey, regexp_replace(regexp_replace(lower('-' || p_brand || ' ' || p_type), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM part")
 def f04(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", text.slug(F.concat(F.lit("-"), "p_brand", F.lit(" "), "p_type")).alias("slug"))
@@ -51,63 +38,6 @@ def f05(t: Tables) -> DataFrame:
     return text.unique_ids(t.supplier.select("s_suppkey", "s_name", "s_nationkey", made.alias("id")), "id", "s_name", "s_nationkey").select("s_suppkey", "id")
 
 
-#: Worked by hand: a symbol as given, its country, the spellings to try, the suffixes to try, and the listings that come of them.
-SYMBOLS = [
-    ("BRK/B", "US", "BRK-B,BRK/B", "", "BRK-B"), ("brk/b*", "", "BRK/B,BRK-B", "", "BRK/B,BRK-B"), ("VOLVB", "SE", "VOLVB,VOLV-B", ".ST", "VOLVB.ST,VOLV-B.ST"), ("NOVOB", "dk", "NOVOB,NOVO-B", ".CO", "NOVOB.CO,NOVO-B.CO"),
-    ("ABB", "SE", "ABB", ".ST", "ABB.ST"), ("700", "HK", "0700,700", ".HK", "0700.HK"), ("1398", "HK", "1398", ".HK", "1398.HK"), ("600000", "CN", "600000", ".SS", "600000.SS"), ("510050", "CN", "510050", ".SS", "510050.SS"),
-    ("000001", "CN", "000001", ".SZ,.BJ", "000001.SZ,000001.BJ"), ("830799", "CN", "830799", ".SZ,.BJ", "830799.SZ,830799.BJ"), ("BT/A", "GB", "BT/A,BT-A", ".L,.IL", "BT-A.L,BT-A.IL"), ("RR/", "GB", "RR/,RR-,RR", ".L,.IL", "RR-.L,RR-.IL,RR.L,RR.IL"),
-    ("PTT/F", "TH", "PTT/F,PTT-F,PTT", ".BK", "PTT-F.BK,PTT.BK"), ("BRK.B", "US", "BRK.B,BRK-B", "", "BRK-B"), ("N/A", "US", "", "", ""), ("--", "JP", "", ".T", ""), ("1", "HK", "", ".HK", ""), ("RCI/B", "CA", "RCI-B,RCI/B", ".TO,.V,.NE", "RCI-B.TO,RCI-B.V,RCI-B.NE"),
-    ("2330", "TW", "2330", ".TW,.TWO", "2330.TW,2330.TWO"), (" aapl ", "US", "AAPL", "", "AAPL"), ("GOLD", "ZZ", "GOLD", "", ""), ("HSBA", "GB", "HSBA", ".L,.IL", "HSBA.L,HSBA.IL"), (None, "US", "", "", ""),
-]
-_SYMBOL = ["x", "country", "variants", "suffixes", "listings"]
-
-
-@query("f06_symbol_variants", cases.answers("supplier", "s_suppkey", _SYMBOL, SYMBOLS, ["variants"]))
-def f06(t: Tables) -> DataFrame:
-    s = cases.given(t.supplier, "s_suppkey", _SYMBOL[:2], SYMBOLS)
-    return s.select("s_suppkey", F.array_join(text.symbol_variants(F.col("x"), F.col("country")), ",").alias("variants"))
-
-
-@query("f07_china_exchange", cases.answers("supplier", "s_suppkey", _SYMBOL, SYMBOLS, ["suffixes"]))
-def f07(t: Tables) -> DataFrame:
-    s = cases.given(t.supplier, "s_suppkey", _SYMBOL[:2], SYMBOLS)
-    return s.select("s_suppkey", F.array_join(text.symbol_suffixes(F.col("x"), F.col("country")), ",").alias("suffixes"))
-
-
-@query("j11_candidate_listings", cases.answers("supplier", "s_suppkey", _SYMBOL, SYMBOLS, ["listings"]))
-def j11(t: Tables) -> DataFrame:
-    """Each spelling with each suffix, as long as it is compatible with the country; within a row, so the product is no join."""
-    s = cases.given(t.supplier, "s_suppkey", _SYMBOL[:2], SYMBOLS)
-    return s.select("s_suppkey", F.array_join(text.candidate_symbols(F.lit(""), F.col("x"), F.col("country")), ",").alias("listings"))
-
-
-#: Worked by hand: two names, and the Ratcliff-Obershelp ratio of what is left of them: 2 x matching characters / all characters.
-NAMES = [
-    ("Foo Inc", "foo corp", 1.0), ("Apple Incorporated", "Apple", 1.0), ("The Alpha Company Limited", "ALPHA CO LTD", 1.0), ("AT&T Inc", "ATandT Corporation", 1.0), ("abcd", "bcde", 0.75), ("abc", "xyz", 0.0), ("Inc", "Ltd", 1.0),
-    ("Ordinary Shares plc", "x", 0.0), ("ab cd", "cd ab", 0.4), ("Nestle SA", "Nestle AG class A", 12 / 14), (None, "", 1.0), ("Group", "Groupe", 10 / 11),
-]
-
-
-@query("f08_name_similarity", "SELECT p_partkey, a, b, round(similarity, 6) AS similarity FROM (" + cases.answers("part", "p_partkey", ["a", "b", "similarity"], NAMES, ["a", "b", "similarity"]) + ")")
-def f08(t: Tables) -> DataFrame:
-    n = cases.given(t.part, "p_partkey", ["a", "b"], NAMES)
-    return n.select("p_partkey", "a", "b", F.round(special.name_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
-
-
-#: Worked by hand: quote type, listing, country, source symbol, similarity of the names, and the score.
-CANDIDATES = [
-    ("EQUITY", "BRK-B", "US", "BRK/B", 1.0, 13.0), ("equity", "2330.TW", "TW", "2330", 0.5, 9.0), ("", "VOLV-B.ST", "SE", "VOLVB", 0.75, 11.0), ("ETF", "2330.TW", "TW", "2330", 1.0, -100.0), ("EQUITY", "2330.HK", "TW", "2330", 1.0, -100.0),
-    ("EQUITY", "", "TW", "2330", 1.0, -100.0), ("Common Stock", "AAPL34.SA", "BR", "AAPL", 0.25, 5.0), ("EQUITY", "MSFT", "US", "AAPL", 0.5, 6.0), ("EQUITY", "MSFT", "", "", 0.0, 2.0), (None, "HSBA.L", "GB", "HSBA*", 0.9, 12.2),
-]
-_SCORED = ["kind", "ticker", "country", "source", "similarity", "score"]
-
-
-@query("f09_candidate_score", "SELECT p_partkey, round(score, 6) AS score FROM (" + cases.answers("part", "p_partkey", _SCORED, CANDIDATES, ["score"]) + ")")
-def f09(t: Tables) -> DataFrame:
-    c = cases.given(t.part, "p_partkey", _SCORED[:-1], CANDIDATES)
-    return c.select("p_partkey", F.round(text.candidate_score(*(F.col(x) for x in _SCORED[:-1])), 6).alias("score"))
-
-
 @query("f10_json_pick", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def f10(t: Tables) -> DataFrame:
     return t.events.select("event_id", text.json_pick(F.lit(None).cast("string"), F.col("props"), "missing", "k").cast("long").alias("k"))
@@ -129,22 +59,6 @@ def f13(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.coalesce(own, F.get_json_object("props", "$.k")).alias("filled"))
 
 
-#: Worked by hand: listing, country, given market code, exchange; and the symbol, its suffix, whether it may be of the country, and the market code.
-LISTED = [
-    (" hsba.l", "GB", "", "London Stock Exchange", "HSBA.L", ".L", True, "XLON"), ("BRK-B", "US", "xnys", "Nasdaq", "BRK-B", "", True, "XNYS"), ("BRK.B", "US", "", "NYSE", "BRK.B", ".B", False, "XNYS"),
-    ("2330.TW", "HK", "TW", "Taiwan Stock Exchange", "2330.TW", ".TW", False, "XTAI"), ("A B*", "", "", "KOSDAQ", "AB", "", False, "XKOS"), ("^GSPC", "US", "", "", "^GSPC", "", False, ""), ("BT/A.L", "GB", None, "LSE", "BT/A.L", ".L", False, "XLON"),
-    ("ABC.Q", "ZZ", "XXXXX", "Borsa Italiana", "ABC.Q", ".Q", True, "XMIL"), ("", "US", "", "Hong Kong", "", "", False, "XHKG"), (None, "JP", "XTKS", None, "", "", False, "XTKS"), ("SAN.MC", "es", "", "MADRID!", "SAN.MC", ".MC", True, "XMAD"),
-]
-_LISTED = ["x", "country", "mic", "exchange", "symbol", "suffix", "fits", "market"]
-
-
-@query("f21_symbol_primitives", cases.answers("part", "p_partkey", _LISTED, LISTED, _LISTED[4:]))
-def f21(t: Tables) -> DataFrame:
-    x = F.col("x")
-    s = cases.given(t.part, "p_partkey", _LISTED[:4], LISTED)
-    return s.select("p_partkey", text.symbol(x).alias("symbol"), text.symbol_suffix(x).alias("suffix"), text.compatible(F.col("country"), x).alias("fits"), text.market_code(F.col("mic"), F.col("exchange")).alias("market"))
-
-
 NOTES = "CASE event_id % 3 WHEN 0 THEN '{\"metadata\":{\"longName\":\"' || event_type || '\"},\"quote\":{}}' WHEN 1 THEN '{\"metadata\":{},\"quote\":{\"shortname\":\"' || event_type || '\"}}' ELSE 'broken{' END"
 
 
