@@ -157,33 +157,6 @@ def test_model_of_a_wide_sparse_panel(spark):
     assert all(r["score"] is None for r in few)  # less than half of the keys
 
 
-def test_rank_errors_are_those_of_brute_force(spark):
-    import datetime
-
-    rng = np.random.default_rng(5)
-    x = rng.standard_normal((60, 2)) @ rng.standard_normal((2, 30)) + 0.3 * rng.standard_normal((60, 30))
-    x[rng.random(x.shape) < 0.1] = np.nan
-    weeks = [datetime.date(2000, 1, 7) + datetime.timedelta(7 * i) for i in range(60)]
-    df = spark.createDataFrame([(weeks[i], int(k), float(x[i, k])) for i in range(60) for k in range(30) if np.isfinite(x[i, k])], "week date, key long, x double")
-    got = {(r["rank"], r["key_fold"]): r["mse"] for r in factors.rank_errors(df, [1, 2, 3], [(0, 40, 60)], 2, least=0.0).collect()}
-    fold = {r["k"]: r["f"] for r in spark.range(30).select(F.col("id").alias("k"), F.pmod(F.xxhash64(F.lit(52), F.col("id").cast("string")), F.lit(2)).alias("f")).collect()}
-    fold = np.array([fold[k] for k in range(30)])
-    z, _, _ = factors.standardise(x, np.arange(60) < 40)
-    full = np.where(np.isfinite(z[:40]), z[:40], 0.0)
-    for _ in range(4):
-        u, s, vt = np.linalg.svd(full, full_matrices=False)
-        full = np.where(np.isfinite(z[:40]), z[:40], (u[:, :3] * s[:3]) @ vt[:3])
-    vt, _, _ = factors.axes(full, 3)
-    for r in (1, 2, 3):
-        for k in (0, 1):
-            errors = []
-            for row in z[40:]:
-                s = factors.masked_scores(row[fold != k], vt[:r][:, fold != k], ridge=1e-4, least=0.0)
-                e = row[fold == k] - s @ vt[:r][:, fold == k]
-                errors.append(e[np.isfinite(e)] ** 2)
-            assert got[r, k] == pytest.approx(np.concatenate(errors).mean())
-
-
 def test_forecast_error():
     """An autoregression of known coefficients is forecast nearly as well as its noise allows; missing weeks give no error."""
     rng = np.random.default_rng(6)

@@ -246,52 +246,159 @@ def residual_scales(df: DataFrame, model: dict, got: DataFrame, fit_end) -> Data
     return rows.groupBy("key").agg(F.when(sd > 1e-6, sd).otherwise(1e-3).alias("residual_scale"))
 
 
-def fold_models(df: DataFrame, rank: int, bounds: list[tuple[int, int, int]]) -> list[tuple[int, int, int, list, dict]]:
-    """(fold, end of training, end of the held-out part, weeks, model) of each time fold, on the keys that are observed enough in training."""
-    panel = Panel(df)
-    return [(f, a, b, panel.weeks, fit(panel, rank, a, least=max(2, 26, -(-a // 4)))) for f, a, b in bounds]
-
-
-def _others_solved(sent):
-    """For each week, fold of keys and rank: the factors that the other folds' keys give."""
-
-    def week(pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes, ranks, most, ridge, least = sent.value
-        bb = {k: np.frombuffer(m, float).reshape(most, most) for k, m in zip(pdf["key_fold"], pdf["bb"], strict=True)}
-        bx = {k: np.frombuffer(m, float) for k, m in zip(pdf["key_fold"], pdf["bx"], strict=True)}
-        n = dict(zip(pdf["key_fold"], pdf["n"], strict=True))
-        rows = []
-        for k in sizes:
-            left, right = sum(m for j, m in bb.items() if j != k), sum(m for j, m in bx.items() if j != k)
-            many, keys = sum(c for j, c in n.items() if j != k), sum(c for j, c in sizes.items() if j != k)
-            for r in ranks if many else ():
-                got = solved(left[:r, :r], right[:r], many, keys, ridge, least)
-                if got is not None:
-                    rows.append((pdf["week"].iloc[0], k, r, got))
-        return pd.DataFrame(rows, columns=["week", "key_fold", "rank", "s"])
-
-    return week
-
-
-def rank_errors(df: DataFrame, ranks: list[int], bounds: list[tuple[int, int, int]], key_folds: int, seed: int = 52, ridge: float = 1e-4, least: float = 0.5, models: list | None = None) -> DataFrame:
-    """(rank, fold, key_fold, mse): held-out weeks of held-out keys, rebuilt from factors that the other keys give.
-
-    bounds: (fold, end of training, end of the held-out part), places of weeks. Each week's normal equations are added up by fold of
-    keys, so those of all other folds are the whole less one; lower ranks are corners of the highest.
+class RankSelection:
+    """Cross-validation of the number of factors: time folds (fold, end of training, end of the held-out part; places of weeks) by folds of keys.
+
+    For each pair of folds a model is fitted on the training weeks of the keys that aren't held out, and rebuilds the held-out weeks of the held-out keys from the
+    other two blocks: with A, B, C for training weeks of training keys, training weeks of held-out keys and held-out weeks of training keys, and A = U S V', that is C V S^-1 U' B, or (C A') U S^-2 U' B.
+    So of the training keys only sums over keys are needed, A A' and C A'. Each pass over the keys adds them up for all pairs of folds, and for each time fold with no key held out, which is the model whose scores are forecast.
+    In the first pass, with nothing filled in yet, the sums of a pair of folds are those of all keys less those of its own; later, what is filled in depends on the pair. The number of passes depends on neither kind of fold.
+
+    Each eigenproblem is solved in a task of its own; a basis a pair of folds, of weeks by ranks, comes to the driver.
     """
-    most, out = max(ranks), None
-    fold_of = F.pmod(F.xxhash64(F.lit(seed), F.col("key").cast("string")), F.lit(key_folds)).cast("long").alias("key_fold")
-    for f, a, b, weeks, model in models or fold_models(df, most, bounds):
-        held = df.filter((F.col("week") >= F.lit(weeks[a])) & (F.col("week") <= F.lit(weeks[b - 1])))
-        placed = _placed(held, model).withColumn("key_fold", fold_of).persist()
-        sizes = {r["key_fold"]: r["n"] for r in model["loadings"].select(fold_of).groupBy("key_fold").agg(F.count("*").alias("n")).collect()}  # a row a fold
-        sent = df.sparkSession.sparkContext.broadcast((sizes, ranks, most, ridge, least))
-        sums = _moments(placed, ["week", "key_fold"], most, "week date, key_fold long")
-        factors = sums.groupBy("week").applyInPandas(_others_solved(sent), "week date, key_fold long, rank long, s array<double>")
-        error = F.col("z") - F.aggregate(F.zip_with("s", F.slice("loading", 1, F.size("s")), lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-        got = placed.join(factors, ["week", "key_fold"]).groupBy("rank", F.lit(f).cast("long").alias("fold"), "key_fold").agg(F.avg(error * error).alias("mse"))
-        out = got if out is None else out.unionByName(got)
-    return out
+
+    def __init__(self, df: DataFrame, ranks: list[int], bounds: list[tuple[int, int, int]], key_folds: int, rounds: int = 3, seed: int = 52, least=None):
+        self.panel, self.ranks, self.bounds, self.key_folds = Panel(df), sorted(ranks), bounds, key_folds
+        self.most, self.least = max(ranks), least or (lambda rows: max(2, 26, -(-rows // 4)))
+        fold = F.pmod(F.xxhash64(F.lit(seed), F.col("key").cast("string")), F.lit(key_folds)).cast("int")
+        self.rows = self.panel.rows.withColumn("key_fold", fold)
+        self.chains: dict[int, list[np.ndarray]] = {g: [] for g in range(len(bounds) * (key_folds + 1))}
+        for turn in range(rounds + 1):
+            self._turn(first=turn == 0, last=turn == rounds)
+
+    def release(self) -> None:
+        self.panel.rows.unpersist()
+
+    def _blocks(self, pdf: pd.DataFrame):
+        """For each time fold: (its number, end of training, end, fold of each key that takes part, keys by weeks, standardised by the training weeks)."""
+        x, folds = _dense(pdf, len(self.panel)), pdf["key_fold"].to_numpy()
+        for f, (_, a, b) in enumerate(self.bounds):
+            ok, z, _, _ = _standard(x, a, self.least(a))
+            yield f, a, b, folds[ok], z[:, :b]
+
+    def _turn(self, first: bool, last: bool) -> None:
+        """One pass: Gram matrices with what the bases so far fill in, and the next basis of each model; in the last one the sums of C A' too."""
+        k, most, bounds, blocks = self.key_folds, self.most, self.bounds, self._plain()._blocks
+        sent = self.panel.spark.sparkContext.broadcast(self.chains)
+
+        def gram(batches):
+            sums: dict[int, np.ndarray] = {}
+            for pdf in batches:
+                for f, a, b, folds, z in blocks(pdf):
+                    for held in range(k + 1):
+                        g = f * (k + 1) + held
+                        if first:
+                            if held == k:
+                                continue  # the sum of the others
+                            use = folds == held
+                        else:
+                            use = folds != held
+                        full = _filled(z[use, :a], sent.value[g])
+                        seen = np.hstack([full, np.nan_to_num(z[use, a:])]) if last else full
+                        sums[g] = sums.get(g, 0.0) + seen.T @ full
+            yield pd.DataFrame([(g, i, r.tobytes()) for g, m in sums.items() for i, r in enumerate(m)], columns=["g", "i", "m"])
+
+        def add(batches):
+            sums: dict[tuple[int, int], np.ndarray] = {}
+            for pdf in batches:
+                for g, i, m in zip(pdf["g"], pdf["i"], pdf["m"], strict=True):
+                    sums[g, i] = sums.get((g, i), 0.0) + np.frombuffer(m, float)
+            yield pd.DataFrame([(g, i, m.tobytes()) for (g, i), m in sums.items()], columns=["g", "i", "m"])
+
+        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+            """All models of a time fold: a row each. The first pass has the sums of each fold of keys, of which the others are made."""
+            f = int(pdf["g"].iloc[0]) // (k + 1)
+            a = bounds[f][1]
+            by = {int(g): np.stack([np.frombuffer(m, float) for m in some.sort_values("i")["m"]]) for g, some in pdf.groupby("g")}
+            if first:
+                total = sum(by.values())
+                by = {f * (k + 1) + held: total - by.get(f * (k + 1) + held, 0.0) for held in range(k + 1)}
+            out = []
+            for g, m in by.items():
+                values, vectors = np.linalg.eigh(m[:a])
+                u, size = vectors[:, ::-1][:, :most], np.maximum(np.sqrt(np.maximum(values[::-1][:most], 0.0)), 1e-10)
+                cross = m[a:] @ u / size**2 if last else np.zeros((0, most))
+                out.append((g, u.tobytes(), size.tobytes(), cross.tobytes()))
+            return pd.DataFrame(out, columns=["g", "u", "size", "cross"])
+
+        sums = self.rows.mapInPandas(gram, "g int, i int, m binary").repartition("g", "i").mapInPandas(add, "g int, i int, m binary")
+        matrix = lambda raw: np.frombuffer(raw, float).reshape(-1, most)
+        self.bases = {}
+        for r in sums.groupBy(F.floor(F.col("g") / (k + 1))).applyInPandas(solve, "g int, u binary, size binary, cross binary").collect():  # a row a pair of folds
+            self.bases[r["g"]] = (matrix(r["u"]), np.frombuffer(r["size"], float), matrix(r["cross"]))
+            self.chains[r["g"]] = [*self.chains[r["g"]], self.bases[r["g"]][0]] if not last else self.chains[r["g"]]
+
+    def _plain(self) -> RankSelection:
+        """Without the panel's rows, for use in tasks."""
+        got = object.__new__(RankSelection)
+        got.bounds, got.least, got.panel = self.bounds, self.least, range(len(self.panel))
+        return got
+
+    def errors(self) -> DataFrame:
+        """(rank, fold, key_fold, mse): of the observed cells in held-out weeks of held-out keys. A pass over the keys."""
+        k, ranks, bounds, blocks = self.key_folds, self.ranks, self.bounds, self._plain()._blocks
+        sent = self.panel.spark.sparkContext.broadcast(self.bases)
+
+        def step(batches):
+            sums: dict[tuple[int, int, int], list] = {}
+            for pdf in batches:
+                for f, a, _, folds, z in blocks(pdf):
+                    for held in range(k):
+                        mine = folds == held
+                        if not mine.any() or f * (k + 1) + held not in sent.value:
+                            continue
+                        u, _, cross = sent.value[f * (k + 1) + held]
+                        right, d = np.nan_to_num(z[mine, :a]) @ u, z[mine, a:]
+                        guess = np.zeros_like(d)
+                        for c in range(ranks[-1]):
+                            guess += np.outer(right[:, c], cross[:, c])
+                            if c + 1 in ranks:
+                                now = sums.setdefault((c + 1, bounds[f][0], held), [0.0, 0])
+                                now[0], now[1] = now[0] + float(np.nansum((d - guess) ** 2)), now[1] + int(np.isfinite(d).sum())
+            yield pd.DataFrame([(*at, e, n) for at, (e, n) in sums.items()], columns=["rank", "fold", "key_fold", "e", "n"])
+
+        got = self.rows.mapInPandas(step, "rank long, fold long, key_fold long, e double, n long")
+        return got.groupBy("rank", "fold", "key_fold").agg(F.sum("e").alias("e"), F.sum("n").alias("n")).filter("n > 0").select("rank", "fold", "key_fold", (F.col("e") / F.col("n")).alias("mse"))
+
+    def forecasts(self, lags: int = 4, alpha: float = 1.0, ridge: float = 1e-4, least: float = 0.5) -> DataFrame:
+        """(rank, fold, forecast_mse): how well the scores of the held-out weeks are forecast from those before. A pass over the keys; what comes to the driver is a row a week."""
+        k, most, bounds, blocks = self.key_folds, self.most, self.bounds, self._plain()._blocks
+        whole = {f: f * (k + 1) + k for f in range(len(bounds))}
+        sent = self.panel.spark.sparkContext.broadcast(({g: self.bases[g] for g in whole.values() if g in self.bases}, {g: self.chains[g] for g in whole.values()}))
+
+        def step(batches):
+            sums: dict[tuple[int, int], np.ndarray] = {}
+            for pdf in batches:
+                for f, a, b, _, z in blocks(pdf):
+                    if whole[f] not in sent.value[0]:
+                        continue
+                    u, size, _ = sent.value[0][whole[f]]
+                    v = _filled(z[:, :a], sent.value[1][whole[f]]) @ u / size
+                    for w in range(a, b):
+                        seen = np.isfinite(z[:, w])
+                        now = np.concatenate([(v[seen].T @ v[seen]).reshape(-1), v[seen].T @ z[seen, w], [seen.sum(), len(z)]])
+                        sums[f, w] = sums.get((f, w), 0.0) + now
+            yield pd.DataFrame([(f, w, m.tolist()) for (f, w), m in sums.items()], columns=["f", "w", "m"])
+
+        size = most * most + most + 2
+        each = self.rows.mapInPandas(step, "f int, w int, m array<double>").groupBy("f", "w").agg(*(F.sum(F.col("m")[i]).alias(f"m{i}") for i in range(size)))
+        sums = {(r["f"], r["w"]): np.array(r[2:]) for r in each.collect()}  # a row a fold and held-out week
+        out = []
+        for f, (fold, a, b) in enumerate(bounds):
+            if whole[f] not in self.bases:
+                continue
+            u, singular, _ = self.bases[whole[f]]
+            for rank in self.ranks:
+                held = np.full((b - a, rank), np.nan)
+                for w in range(a, b):
+                    if (f, w) in sums:
+                        m = sums[f, w]
+                        bb, bx = m[: most * most].reshape(most, most), m[most * most : -2]
+                        got = solved(bb[:rank, :rank], bx[:rank], int(m[-2]), int(m[-1]), ridge, least)
+                        held[w - a] = np.nan if got is None else got
+                mse = forecast_error((u * singular)[:, :rank], held, lags, alpha)
+                out.append((rank, fold, None if np.isnan(mse) else mse))
+        return self.panel.spark.createDataFrame(out, "rank long, fold long, forecast_mse double")
 
 
 def forecast_error(train: np.ndarray, held: np.ndarray, lags: int = 4, alpha: float = 1.0) -> float:
@@ -318,25 +425,6 @@ def forecast_error(train: np.ndarray, held: np.ndarray, lags: int = 4, alpha: fl
     return float(error.mean()) if len(error) else float("nan")
 
 
-def rank_forecasts(df: DataFrame, ranks: list[int], bounds: list[tuple[int, int, int]], lags: int = 4, alpha: float = 1.0, ridge: float = 1e-4, least: float = 0.5, models: list | None = None) -> DataFrame:
-    """(rank, fold, forecast_mse): how well the scores of the held-out weeks are forecast from those before. What comes to the driver is a row a week."""
-    most, out = max(ranks), []
-    for f, a, b, weeks, model in models or fold_models(df, most, bounds):
-        held = df.filter((F.col("week") >= F.lit(weeks[a])) & (F.col("week") <= F.lit(weeks[b - 1])))
-        keys = model["loadings"].count()
-        sums = {r["week"]: r for r in _moments(_placed(held, model), ["week"], most, "week date").collect()}  # a row a week
-        for r in ranks:
-            scores_ = np.full((b - a, r), np.nan)
-            for i, w in enumerate(weeks[a:b]):
-                if w in sums:
-                    bb, bx = np.frombuffer(sums[w]["bb"], float).reshape(most, most), np.frombuffer(sums[w]["bx"], float)
-                    got = solved(bb[:r, :r], bx[:r], sums[w]["n"], keys, ridge, least)
-                    scores_[i] = np.nan if got is None else got
-            mse = forecast_error(model["train"][:, :r], scores_, lags, alpha)
-            out.append((r, f, None if np.isnan(mse) else mse))
-    return df.sparkSession.createDataFrame(out, "rank long, fold long, forecast_mse double")
-
-
 def stable_var(series: np.ndarray, lags: int, ridge: float = 1.0, most: float = 0.98) -> dict:
     """Ridge vector autoregression; coefficients are shrunk until the companion's spectral radius is at most ``most``."""
     n, k = series.shape

@@ -56,14 +56,13 @@ def l05(t: Tables) -> DataFrame:
 
 @query("l07_rank_cv")
 def l07(t: Tables) -> DataFrame:
-    """L-07, A-08, A-19: errors by rank, of held-out securities and of forecasts, and the rank that the one-error rule takes."""
+    """L-07, A-08, A-19: errors by rank, of held-out weeks of held-out securities and of forecasts, and the rank that the one-error rule takes."""
     p = _panel(t)
     weeks = p.select("week").distinct().count()
     bounds = [b for b in calendar.fold_bounds(weeks, 3, 180) if b[0] > 0]
-    ranks = [1, 2, 3, 4]
-    models = L.fold_models(p, max(ranks), bounds)
-    g = stats.mean_and_error(L.rank_errors(p, ranks, bounds, 3, least=0.0, models=models), ["rank"], "mse").select("rank", F.col("mean").alias("g"), F.col("error").alias("ge"))
-    f = stats.mean_and_error(L.rank_forecasts(p, ranks, bounds, least=0.0, models=models), ["rank"], "forecast_mse").select("rank", F.col("mean").alias("f"), F.col("error").alias("fe"))
+    folds = L.RankSelection(p, [1, 2, 3, 4], bounds, 3)
+    g = stats.mean_and_error(folds.errors(), ["rank"], "mse").select("rank", F.col("mean").alias("g"), F.col("error").alias("ge"))
+    f = stats.mean_and_error(folds.forecasts(least=0.0), ["rank"], "forecast_mse").select("rank", F.col("mean").alias("f"), F.col("error").alias("fe"))
     both = g.join(f, "rank").persist()
     chosen = stats.one_error_rule(both, "rank", "g", "ge", "f", "fe")
     return both.crossJoin(F.broadcast(chosen)).select("rank", r6("g").alias("mse"), r6("ge").alias("error"), r6("f").alias("forecast"), r6("fe").alias("forecast_error"), (F.col("rank") == F.col("selected")).alias("selected"))
