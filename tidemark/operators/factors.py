@@ -114,11 +114,71 @@ def _added(df: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def fit(panel: Panel, rank: int, rows: int, rounds: int = 4, least: int = 2) -> dict:
+def _stacked(df: DataFrame, width: int, at_most: int = 64) -> np.ndarray:
+    """The triangle R of the QR factors of a tall matrix whose row blocks' triangles are df(r): triangles are stacked and factored again, in tasks and at last here, so no more than ``at_most`` come to the driver."""
+
+    def again(batches):
+        r = np.zeros((0, width))
+        for pdf in batches:
+            for raw in pdf["r"]:
+                r = np.linalg.qr(np.vstack([r, np.frombuffer(raw, float).reshape(-1, width)]), mode="r")
+        yield pd.DataFrame({"r": [r.tobytes()] if len(r) else []})
+
+    parts = [np.frombuffer(x["r"], float).reshape(-1, width) for x in df.repartition(at_most).mapInPandas(again, "r binary").collect()]
+    return np.linalg.qr(np.vstack([np.zeros((0, width)), *parts]), mode="r")
+
+
+def truncated(df: DataFrame, weeks: int, rank: int, block, start: np.ndarray | None = None, extra: int = 10, turns: int = 60, tolerance: float = 1e-10, seed: int = 52) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(directions of weeks by rank, singular values, the whole subspace) of a matrix of keys by weeks whose rows the tasks hold; ``block`` makes them of a batch of df.
+
+    A random range finder: ``rank + extra`` directions, at first random ones, or ``start``, are taken through the matrix and back in each power turn, a sum of weeks by directions over tasks, and made orthogonal.
+    At last the tall image of the directions is brought to a triangle by QR factors over tasks, and the small problem is solved here. No matrix of weeks by weeks is made, and no task or driver holds the keys.
+    Turns end when the sizes of the directions stop changing by more than the tolerance, relatively.
+    """
+    width = min(rank + extra, weeks)
+    shared = df.sparkSession.sparkContext.broadcast
+    q = np.random.default_rng(seed).standard_normal((weeks, width))
+    if start is not None:
+        q[:, : min(width, start.shape[1])] = start[:, :width]
+    q, sizes = np.linalg.qr(q)[0], np.zeros(rank)
+
+    def power(sent):
+        def step(batches):
+            total = np.zeros((weeks, width))
+            for pdf in batches:
+                x = block(pdf)
+                total += x.T @ (x @ sent.value)
+            yield pd.DataFrame({"i": np.arange(weeks, dtype=np.int32), "m": list(total)})
+
+        return step
+
+    for _ in range(turns):
+        image = np.zeros((weeks, width))
+        sums = df.mapInPandas(power(shared(q)), "i int, m array<double>").groupBy("i").agg(*(F.sum(F.col("m")[c]).alias(f"c{c}") for c in range(width)))
+        for r in sums.collect():  # a row a week
+            image[r["i"]] = r[1:]
+        now = np.sort(np.sqrt(np.abs(np.linalg.eigvalsh(q.T @ image))))[::-1][:rank]
+        q, change, sizes = np.linalg.qr(image)[0], np.abs(now - sizes).max(initial=0), now
+        if change <= tolerance * max(float(now.max(initial=0)), 1e-300):
+            break
+    sent = shared(q)
+
+    def tall(batches):
+        r = np.zeros((0, width))
+        for pdf in batches:
+            r = np.linalg.qr(np.vstack([r, block(pdf) @ sent.value]), mode="r")
+        yield pd.DataFrame({"r": [r.tobytes()] if len(r) else []})
+
+    r = _stacked(df.mapInPandas(tall, "r binary"), width)
+    _, singular, vt = np.linalg.svd(np.vstack([r, np.zeros((max(0, width - len(r)), width))]))
+    return q @ vt[:rank].T, singular[:rank], q @ vt.T
+
+
+def fit(panel: Panel, rank: int, rows: int, rounds: int = 4, least: int = 2, solver: str = "gram") -> dict:
     """The model of the panel's first ``rows`` weeks, of the keys with ``least`` values there.
 
-    Each round adds up the weeks' Gram matrix over all keys, and its first ``rank`` eigenvectors fill the missing cells of the next. The
-    loadings are a table (key, mean, scale, loading) with the largest of each factor positive.
+    In each round the first ``rank`` directions of the weeks fill the missing cells of the next. Solver "gram" adds up the weeks' Gram matrix over all keys, in one pass, which suits some thousand weeks; "random" finds the
+    directions by ``truncated``, in several passes from those of the round before, and has no matrix of weeks by weeks. The loadings are a table (key, mean, scale, loading) with the largest of each factor positive.
     """
     n, shared = len(panel), panel.spark.sparkContext.broadcast
     bases: list[np.ndarray] = []
@@ -134,12 +194,16 @@ def fit(panel: Panel, rank: int, rows: int, rounds: int = 4, least: int = 2) ->
 
         return step
 
+    wide = None
     for turn in range(rounds + 1):
-        values, vectors = np.linalg.eigh(_added(panel.rows.mapInPandas(gram(shared(list(bases))), "i int, m binary"), rows))
-        u = vectors[:, ::-1][:, :rank]
+        if solver == "random":
+            sent = shared(list(bases))
+            u, singular, wide = truncated(panel.rows, rows, rank, lambda pdf, sent=sent: _filled(_standard(_dense(pdf, n), rows, least)[1][:, :rows], sent.value), wide)
+        else:
+            values, vectors = np.linalg.eigh(_added(panel.rows.mapInPandas(gram(shared(list(bases))), "i int, m binary"), rows))
+            u, singular = vectors[:, ::-1][:, :rank], np.sqrt(np.maximum(values[::-1][:rank], 0.0))
         if turn < rounds:
             bases.append(u)
-    singular = np.sqrt(np.maximum(values[::-1][:rank], 0.0))
     final = shared((list(bases), u, np.where(singular > 1e-12, singular, 1.0)))
 
     def loadings(batches):

@@ -42,6 +42,14 @@ def l06(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(i + 1, round(float(s), 6), round(float(e), 6)) for i, (s, e) in enumerate(zip(m["singular"], m["share"], strict=True))], "factor int, singular double, share double")
 
 
+@query("l03_truncated_svd")
+def l03(t: Tables) -> DataFrame:
+    """L-03: singular values by a random range finder, without a matrix of weeks by weeks, and the share of each."""
+    panel = L.Panel(_panel(t))
+    m = L.fit(panel, 3, sum(w <= END for w in panel.weeks), rounds=1, solver="random")
+    return t.spark.createDataFrame([(i + 1, round(float(s), 6), round(float(e), 6)) for i, (s, e) in enumerate(zip(m["singular"], m["share"], strict=True))], "factor int, singular double, share double")
+
+
 @query("l04_masked_scores")
 def l04(t: Tables) -> DataFrame:
     p, m = _model(t)
