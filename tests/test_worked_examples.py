@@ -180,22 +180,24 @@ def test_var_is_stable():
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 50), st.floats(0, 100)), max_size=60))
 def test_captures_are_apart(steps):
-    state, ms, done = (debounce.IDLE, 0, 0.0, 0), 0, []
+    state, ms, done = debounce.State(), 0, []
     for gap, v in steps:
         ms += gap
-        state, got = debounce.advance(state, ms, v, 50, 25, 60)
-        if got:
-            done.append(got)
+        state, got = debounce.advance(state, ms, v, debounce.Rules(50, 25, 60))
+        done += got
     assert all(b[0] - a[0] >= 60 for a, b in zip(done, done[1:], strict=False)) and all(peak > 50 for _, peak, _ in done)
 
 
 def test_stream_gives_what_the_batch_gives(spark, sf_dir, tmp_path):
     ev = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "value")
-    ev.repartition(1).sortWithinPartitions("ms").write.parquet(str(tmp_path / "in"))
+    later = spark.createDataFrame([(-1, 1 << 42, 0.0)], ev.schema)  # moves the watermark past all others
+    ev.unionByName(later).repartition(1).sortWithinPartitions("ms").write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     batch = sorted(map(tuple, debounce.captures(ev, "key", "ms", "value", 100, 25, 3_600_000).collect()))
     stream = debounce.stream_captures(spark.readStream.schema("key long, ms long, value double").parquet(str(tmp_path / "in")), 100, 25, 3_600_000)
     q = stream.writeStream.format("memory").queryName("captures").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     assert sorted(map(tuple, spark.table("captures").collect())) == batch
 
 
