@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import sequence as Q
 from tidemark.functions import special, text
 from tidemark.operators import calendar, factors, panel, relational, simulate, stats
-from tidemark.sources import files
+from tidemark.sources import delimited, files, rules
 from tidemark.streaming import debounce
 
 
@@ -213,7 +213,7 @@ def test_files(spark, tmp_path):
 
 def test_delimited_text_of_unknown_make(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("report of today\nTicker;Weight;Ticker\nFoo;1;x\n\nBar;2\nTicker;Weight;Ticker\nBaz;3;y;z\n".encode("utf-16"))
-    got = files.read_delimited(spark, str(tmp_path / "a.txt")).orderBy("row", "name").collect()
+    got = delimited.read_delimited(spark, str(tmp_path / "a.txt")).orderBy("row", "name").collect()
     assert [(r["row"], r["name"], r["value"]) for r in got] == [
         (0, "Ticker", "Foo"), (0, "Ticker_2", "x"), (0, "Weight", "1"), (1, "Ticker", "Bar"), (1, "Ticker_2", ""), (1, "Weight", "2"), (2, "Ticker", "Baz"), (2, "Ticker_2", "y"), (2, "Weight", "3"),
     ]
@@ -221,19 +221,7 @@ def test_delimited_text_of_unknown_make(spark, tmp_path):
 
 @pytest.mark.parametrize(("header", "score"), [("Ticker,Holdings,% of fund", 23), ("a,b", -1), ("a,b,c", 0), ("Name,Market value,Shares", 8), ("SEDOL,ISIN,CUSIP,Weight", 8), ("Symbol,Security name,Weight (%)", 23)])
 def test_header_score(header, score):
-    assert files.header_score(header.split(",")) == score
-
-
-def test_headers_below_the_score_are_not_taken():
-    assert files.repaired_rows("a,b,c\n1,2,3\n") == ([], [])
-    assert files.repaired_rows("x\nTicker|Security|Market value|Weight\nA|B|C|D\n")[1] == [["A", "B", "C", "D"]]
-    assert files.decode_bytes("Größe".encode("cp1252")) == "Größe" and files.decode_bytes("x€".encode("utf-16-le")) == "x€"
-
-
-def test_html(spark):
-    page = '<table><tr><th>A</th><th>B</th></tr><tr><td> 1 <b>x</b></td><td>2</td></tr></table><script>var d = {"k": [1, {"z": "y"}]};</script>'
-    assert files.table_cells(page) == [(0, 0, "A"), (0, 1, "B"), (1, 0, "1 x"), (1, 1, "2")]
-    assert files.script_leaves(page) == [("k[0]", "1"), ("k[1].z", '"y"')]
+    assert rules.header_score(header.split(",")) == score
 
 
 def test_special_functions(spark):

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import sequence as Q
-from tidemark.functions import special, text
-from tidemark.plans import cases
+from tidemark.functions import text
 from tidemark.plans.registry import Tables, query
 from tidemark.session import shared_folder
-from tidemark.sources import files
+from tidemark.sources import files, pages
 
 
 @query("f01_label_normalise", "SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(p_brand || '&' || p_type || ' – ' || p_name), '&', 'and', 'g'), '[‐-―]', '-', 'g'), '[^a-z0-9%]+', ' ', 'g'), ' +', ' ', 'g')) AS label FROM part")
@@ -163,29 +162,6 @@ def s04(t: Tables) -> DataFrame:
     return files.read_csv_text(t.spark, path, ["c_custkey", "note"])
 
 
-#: Worked by hand: an export as it is sent, its encoding, and its rows of cells as they are after repair.
-EXPORTS = [
-    ("fund of today\n\nTicker;Holdings;% of fund\nAAA;Alfa;1,5\n\nBBB;Größe;2;more;still\nTicker;Holdings;% of fund\nCCC\n", "utf-16", "AAA|Alfa|1,5/BBB|Größe|2/CCC||"),
-    ("Security name,Shares,Weight,Weight\n\"A, B\",1,2,3\n", "utf-8-sig", "A, B|1|2|3"), ("a,b,c\n1,2,3\n", "utf-8", ""), ("Symbol\tName\tMarket value\tWeight\nX\tÉ\t5\t6\n", "cp1252", "X|É|5|6"),
-    ("x|y|z\nTicker|Security|Weight|ISIN\nA|B|C|D\n", "utf-8", "A|B|C|D"), ("", "utf-8", ""),
-]
-
-
-@query("s09_delimited_exports", cases.answers("region", "r_regionkey", ["text", "encoding", "rows_read"], EXPORTS, ["rows_read"]))
-def s09(t: Tables) -> DataFrame:
-    """S-09, S-10: encoding, delimiter and header line are found, ragged rows are repaired."""
-    table = {i: (x.encode(e), y) for i, (x, e, y) in enumerate(EXPORTS)}
-
-    def read(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            rows = ["/".join("|".join(r) for r in files.repaired_rows(files.decode_bytes(table[k % len(table)][0]))[1]) for k in pdf["r_regionkey"]]
-            yield pd.DataFrame({"r_regionkey": pdf["r_regionkey"], "rows_read": rows})
-
-    return t.region.select("r_regionkey").mapInPandas(read, "r_regionkey long, rows_read string")
-
-
 @query("s03_text_columns", "SELECT c_custkey::VARCHAR AS c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS segment FROM customer")
 def s03(t: Tables) -> DataFrame:
     return t.customer.select(F.col("c_custkey").cast("string").alias("c_custkey"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("segment")).na.fill("")
@@ -203,51 +179,9 @@ def s06(t: Tables) -> DataFrame:
     return b.select("user_id", F.size("values").cast("long").alias("n"), F.round(F.aggregate(F.slice("values", 1, 5), F.lit(0.0), lambda a, x: a + x), 6).alias("head"))
 
 
-_HEAD = "<tr><th>Ticker</th><th>Holdings</th><th>% of fund*</th></tr>"
-_ROWS = "<tr><td>AAA</td><td>Alpha <b>Inc</b></td><td>1.5%</td></tr><tr><td>BBB</td><td>Beta</td></tr>"
-_JSON = '{"fund": {"items": [{"ticker": "X", "security": "Ex", "weight": 1}, {"ticker": "Y", "weight": null}]}}'
-#: Worked by hand: a page, its best table and its best records as lines of cells, and the addresses of files of holdings in it.
-PAGES = [
-    (f"<table>{_HEAD}{_ROWS}</table>", "AAA|Alpha Inc|1.5%;BBB|Beta|", "", ""), ("<table><tr><th>A</th><th>B</th></tr><tr><td>1</td><td>2</td></tr></table>", "", "", ""),
-    (f"<table><tr><th>Name</th><th>Weight</th></tr><tr><td>n</td><td>9</td></tr></table><p><table>{_HEAD}{_ROWS}</table>", "AAA|Alpha Inc|1.5%;BBB|Beta|", "", ""),
-    (f"<table>{_ROWS}</table>", "", "", ""), (f"<script type='application/json'>{_JSON}</script>", "", "X|Ex|1;Y||", ""), (f"<script>var d = {_JSON};</script>", "", "", ""),
-    ('<a href="/files/holdings.csv">x</a><a href="mailto:holdings.csv">m</a><a href="/other.csv">o</a>', "", "", "https://example.org/files/holdings.csv"),
-    ('<div data-export-url="portfolio?export=1"></div><script>["https:\\/\\/cdn.example.org\\/composition.xlsx", "/x"]</script>', "", "", "https://example.org/fund/portfolio?export=1,https://cdn.example.org/composition.xlsx"),
-    ('<script>load("/api/holdings/download?id=7"); go("javascript:holdings.zip")</script><a href="#holdings.zip">y</a>', "", "", "https://example.org/api/holdings/download?id=7"), (None, "", "", ""), ("<p>no table", "", "", ""),
-]
-_PAGE = ["html", "best", "records", "urls"]
-
-
-def _joined(t: Tables, kind: str) -> DataFrame:
-    p = cases.given(t.pages, "page_id", ["html"], PAGES)
-    found = files.html_holdings(p, "page_id", "html", 2).filter(F.col("kind") == kind)
-    cells = found.groupBy("id", "row").agg(F.sort_array(F.collect_list(F.struct(F.when(F.lower("name") == "ticker", 0).when(F.lower("name").isin("holdings", "security"), 1).otherwise(2).alias("k"), "value"))).alias("c"))
-    lines = cells.select("id", F.struct("row", F.array_join(F.transform("c", lambda x: x["value"]), "|").alias("line")).alias("r")).groupBy("id").agg(F.sort_array(F.collect_list("r")).alias("r"))
-    lines = lines.select(F.col("id").alias("page_id"), F.array_join(F.transform("r", lambda x: x["line"]), ";").alias("lines"))
-    return p.select("page_id").join(lines, "page_id", "left").na.fill("", ["lines"])
-
-
-@query("s12_html_tables", cases.answers("pages", "page_id", _PAGE, PAGES, ["best"]))
-def s12(t: Tables) -> DataFrame:
-    return _joined(t, "table").withColumnRenamed("lines", "best")
-
-
-@query("s13_json_records", cases.answers("pages", "page_id", _PAGE, PAGES, ["records"]))
-def s13(t: Tables) -> DataFrame:
-    return _joined(t, "json").withColumnRenamed("lines", "records")
-
-
-@query("s14_file_urls", cases.answers("pages", "page_id", _PAGE, PAGES, ["urls"]))
-def s14b(t: Tables) -> DataFrame:
-    p = cases.given(t.pages, "page_id", ["html"], PAGES)
-    got = files.html_urls(p, "page_id", "html", "https://example.org/fund/page").groupBy(F.col("id").alias("page_id")).agg(F.sort_array(F.collect_list(F.struct("nth", "url"))).alias("u"))
-    got = got.select("page_id", F.array_join(F.transform("u", lambda x: x["url"]), ",").alias("urls"))
-    return p.select("page_id").join(got, "page_id", "left").na.fill("", ["urls"])
-
-
 @query("s14_links", "SELECT page_id, len(l) AS n, len(list_distinct(l)) AS distinct_links, len(list_filter(l, lambda x: regexp_matches(x, '^https?://'))) AS absolute FROM (SELECT page_id, regexp_extract_all(html, '(?:href|src)=\"([^\"]+)\"', 1) AS l FROM pages)")
 def s14(t: Tables) -> DataFrame:
-    p = t.pages.select("page_id", files.links().alias("l"))
+    p = t.pages.select("page_id", pages.links().alias("l"))
     size = lambda c: F.size(c).cast("long")
     return p.select("page_id", size("l").alias("n"), size(F.array_distinct("l")).alias("distinct_links"), size(F.filter("l", lambda x: x.rlike("^https?://"))).alias("absolute"))
 

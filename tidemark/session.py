@@ -51,6 +51,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tidemark_{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """A folder and all in it, in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """``df``, computed now and kept reliably in the shared folder: lost executors don't have it computed again, in another order. Spark deletes it with
     its last reader if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, as ``get_session`` does.

@@ -1,9 +1,9 @@
-"""Sources and sinks: Parquet, CSV, JSON, arrays, delimited text of unknown make, HTML."""
+"""Sources and sinks: Parquet, CSV, JSON, arrays."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,316 +51,3 @@ def codon_lines(df: DataFrame, column: str = "value") -> DataFrame:
     """Lines of four fields: codon, abbreviation, letter, name."""
     parts = F.split(F.trim(column), r"\s+", 4)
     return df.filter(F.size(parts) == 4).select(*(parts[i].alias(n) for i, n in enumerate(("codon", "abbr", "letter", "name"))))
-
-
-ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
-DELIMITERS = (",", "\t", ";", "|")
-HEADER_LINES, HEADERS = 200, 12  # how far down a header line may stand, and how many candidates are read
-#: Labels of columns with tickers, with names and with codes; words in labels of weights and of values; hints that a table is one of holdings; and
-#: what they weigh when a header line is told from others, and a table from others.
-TICKERS = ("ticker", "symbol", "local ticker")
-NAMES = ("holdings", "holding", "security", "security name", "name")
-CODES = ("cusip", "sedol", "isin", "shares", "sub industry")
-WEIGHTS = ("% of fund", "% of funds", "weight")
-HINTS = ("ticker", "holdings", "holding", "security", "security name", "name", "cusip", "sedol", "% of fund", "weight", "market value", "shares")
-HEADER_LEAST, TABLE_LEAST = 10, 5
-
-
-def decode_bytes(raw: bytes) -> str:
-    """UTF-16 first if a byte-order mark or NULs tell so; else the first encoding that takes all bytes."""
-    wide = raw[:2] in (b"\xff\xfe", b"\xfe\xff") or b"\0" in raw[:4096]
-    for name in (*(("utf-16", "utf-16-le", "utf-16-be") if wide else ()), *ENCODINGS):
-        try:
-            return raw.decode(name)
-        except UnicodeDecodeError:
-            continue
-    return ""
-
-
-def label(name: str) -> str:
-    """As ``text.label``, for use within Python workers."""
-    import re
-
-    x = re.sub("[‐-―]", "-", str(name).strip().lower().replace("&", "and"))
-    return " ".join(re.sub("[^a-z0-9%]+", " ", x).split())
-
-
-def header_score(cells: Sequence[str]) -> int:
-    """How much a line looks like the header of holdings; -1 with fewer than three filled cells."""
-    labels = [label(c) for c in cells if str(c).strip()]
-    if len(labels) < 3:
-        return -1
-    weighty = lambda x: any(w in x for w in WEIGHTS)
-    points = [(lambda x: x in TICKERS, 5), (lambda x: x in NAMES, 5), (weighty, 5), (lambda x: "market value" in x, 2), (lambda x: x in CODES, 1)]
-    told = [any(map(rule, labels)) for rule, _ in points]
-    return sum(n for x in labels for rule, n in points if rule(x)) + (8 if told[2] and (told[0] or told[1]) else 0)
-
-
-def table_score(columns: Iterable[str]) -> int:
-    """How much a table looks like one of holdings, by its columns."""
-    labels = {label(c) for c in columns}
-    any_of = lambda *words: any(w in x for x in labels for w in words)
-    return sum(any_of(h) for h in HINTS) + 3 * bool(labels & {"ticker", "symbol"}) + 3 * any_of("holding", "security") + 2 * any_of("% of fund", "weight")
-
-
-def best_table(tables: Iterable[tuple[list[str], list[list[str]]]], least_rows: int) -> tuple[list[str], list[list[str]]] | None:
-    """Of tables (columns, rows) that of the highest score, then of most rows, then the first; none if that one has too low a score or too few rows."""
-    ranked = sorted((t for t in tables if t[1]), key=lambda t: (-table_score(t[0]), -len(t[1])))
-    return ranked[0] if ranked and table_score(ranked[0][0]) >= TABLE_LEAST and len(ranked[0][1]) >= least_rows else None
-
-
-def unique_headers(names: Iterable[str]) -> list[str]:
-    """Repeated names get _2, _3 and so on; blank ones unnamed and their place."""
-    seen: dict[str, int] = {}
-    out = []
-    for i, n in enumerate(names, 1):
-        n = n.strip() or f"unnamed_{i}"
-        seen[n] = seen.get(n, 0) + 1
-        out.append(n if seen[n] == 1 else f"{n}_{seen[n]}")
-    return out
-
-
-def repaired_rows(text: str, least_rows: int = 1) -> tuple[list[str], list[list[str]]]:
-    """Header and rows of delimited text: of the lines that look like headers, by any delimiter, the best table they begin; rows padded or cut to its width, blank rows and repeated headers gone."""
-    import csv
-
-    lines = text.splitlines()
-    found = []
-    for i, line in enumerate(lines[:HEADER_LINES]):
-        for d in DELIMITERS if line.strip() else ():
-            cells = next(csv.reader([line], delimiter=d), [])
-            if (score := header_score(cells)) >= HEADER_LEAST:
-                found.append((-score, i, d, cells))
-    tables = []
-    for _, i, d, cells in sorted(found, key=lambda x: x[:2])[:HEADERS]:
-        width, own = len(cells), [label(c) for c in cells]
-        body = [[c.strip() for c in r] for r in csv.reader(lines[i + 1 :], delimiter=d)]
-        body = [r[:width] + [""] * (width - len(r)) for r in body if any(r) and [label(c) for c in r[:width]] != own]
-        tables.append((unique_headers(cells), body))
-    return best_table(tables, least_rows) or ([], [])
-
-
-def read_delimited(spark: SparkSession, path: str, least_rows: int = 1) -> DataFrame:
-    """(path, row, name, value) of files whose encoding, delimiter and header line are not known; one file is one row of work."""
-
-    def rows(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for p, raw in zip(pdf["path"], pdf["content"], strict=True):
-                head, body = repaired_rows(decode_bytes(bytes(raw)), least_rows)
-                out += [(p, i, h, v) for i, r in enumerate(body) for h, v in zip(head, r, strict=True)]
-            yield pd.DataFrame(out, columns=["path", "row", "name", "value"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "path string, row long, name string, value string")
-
-
-def links(html: str = "html"):
-    """The targets of href and src attributes, an array."""
-    return F.regexp_extract_all(F.col(html), F.lit(r"(?:href|src)=\"([^\"]+)\""), F.lit(1))
-
-
-class _Page:
-    """What is of use in a page: its tables, its scripts, and the attributes that name files."""
-
-    #: The attributes that are looked at.
-    ATTRIBUTES = ("href", "src", "data-url", "data-href", "data-download-url", "data-export-url", "download-url")
-
-    def __init__(self, page: str):
-        from html.parser import HTMLParser
-
-        self.tables: list[list[list[tuple[str, str]]]] = []  # rows of (tag, text)
-        self.scripts: list[str] = []
-        self.targets: list[str] = []
-        open_: list[int] = []  # tables may stand in tables
-        cell: list[tuple[int, str, list[str]]] = []
-        outer = self
-
-        class Parser(HTMLParser):
-            script = False
-
-            def handle_starttag(self, tag, attrs):
-                got = dict(attrs)
-                outer.targets.extend(got[a] for a in _Page.ATTRIBUTES if got.get(a))
-                if tag == "table":
-                    outer.tables.append([])
-                    open_.append(len(outer.tables) - 1)
-                elif tag == "tr" and open_:
-                    outer.tables[open_[-1]].append([])
-                elif tag in ("td", "th") and open_ and outer.tables[open_[-1]]:
-                    cell.append((open_[-1], tag, []))
-                elif tag == "script":
-                    self.script = True
-                    outer.scripts.append("")
-
-            def handle_endtag(self, tag):
-                if tag == "table" and open_:
-                    open_.pop()
-                elif tag in ("td", "th") and cell:
-                    at, kind, parts = cell.pop()
-                    outer.tables[at][-1].append((kind, " ".join("".join(parts).split())))
-                elif tag == "script":
-                    self.script = False
-
-            def handle_data(self, data):
-                if self.script:
-                    outer.scripts[-1] += data
-                elif cell:
-                    cell[-1][2].append(data)
-
-        Parser().feed(page or "")
-
-    def frames(self) -> list[tuple[list[str], list[list[str]]]]:
-        """(columns, rows) of each table; without a first row of headings the columns have no names."""
-        out = []
-        for rows in (list(filter(None, t)) for t in self.tables):
-            if not rows:
-                continue
-            width = max(map(len, rows))
-            full = [[x for _, x in r] + [""] * (width - len(r)) for r in rows]
-            named = all(k == "th" for k, _ in rows[0])
-            out.append((unique_headers(full[0]), full[1:]) if named else ([str(i) for i in range(width)], full))
-        return out
-
-    def parsed(self) -> Iterable:
-        """The scripts that are JSON, whole."""
-        for body in self.scripts:
-            try:
-                yield json.loads(body)
-            except ValueError:
-                continue
-
-    def records(self, least_rows: int) -> list[tuple[list[str], list[list[str]]]]:
-        """(columns, rows) of the lists of objects anywhere in JSON scripts that look like holdings."""
-        out = []
-        for top in self.parsed():
-            for item in parts_of(top):
-                if isinstance(item, list) and len(item) >= max(1, least_rows) and all(isinstance(x, dict) for x in item[:20]):
-                    columns = list(dict.fromkeys(k for x in item if isinstance(x, dict) for k in x))
-                    text = lambda v: "" if v is None else v if isinstance(v, str) else json.dumps(v)
-                    if table_score(columns) >= TABLE_LEAST:
-                        out.append((columns, [[text(x.get(c)) if isinstance(x, dict) else "" for c in columns] for x in item]))
-        return out
-
-    def urls(self, base: str) -> list[str]:
-        """The addresses of files of holdings: in attributes, in strings of JSON scripts, and in the text of scripts, each once."""
-        import re
-
-        told = [*self.targets, *(x for top in self.parsed() for x in parts_of(top) if isinstance(x, str))]
-        for body in self.scripts:
-            told += re.findall(r"https?:(?:\\?/){2}[^\"'<>\s]+|/[\w?&=./%+-]+", body, re.A)
-        return list(dict.fromkeys(u for x in told if (u := holdings_url(x, base))))
-
-
-def parts_of(value) -> Iterable:
-    """A value of JSON and all that is in it."""
-    yield value
-    for x in value.values() if isinstance(value, dict) else value if isinstance(value, list) else ():
-        yield from parts_of(x)
-
-
-#: Words of addresses that have to do with holdings, and of those that are files.
-ABOUT, FILES = ("holding", "portfolio", "composition"), ("export", "download", ".csv", ".xlsx", ".xls", ".zip")
-
-
-def holdings_url(given: str, base: str) -> str | None:
-    """The whole address, if it may be a file of holdings."""
-    from urllib.parse import urljoin, urlparse
-
-    x = given.strip().replace("\\/", "/")
-    if not x or x.startswith(("javascript:", "mailto:", "#")):
-        return None
-    try:
-        whole = urljoin(base, x)
-        scheme = urlparse(whole).scheme
-    except ValueError:
-        return None
-    low = whole.lower()
-    return whole if scheme in ("http", "https") and any(w in low for w in ABOUT) and any(w in low for w in FILES) else None
-
-
-def html_holdings(df: DataFrame, id_col: str, html_col: str, least_rows: int = 1) -> DataFrame:
-    """(id, kind, row, name, value) of each page's best table of holdings and best list of records in its scripts. Arrow batches, one page at a time."""
-    kind = dict(df.dtypes)[id_col]
-
-    def found(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for key, html in zip(pdf["id"], pdf["html"], strict=True):
-                page = _Page(html)
-                for what, best in (("table", best_table(page.frames(), least_rows)), ("json", best_table(page.records(least_rows), least_rows))):
-                    head, body = best or ([], [])
-                    out += [(key, what, i, h, v) for i, r in enumerate(body) for h, v in zip(head, r, strict=True)]
-            yield pd.DataFrame(out, columns=["id", "kind", "row", "name", "value"])
-
-    return df.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).mapInPandas(found, f"id {kind}, kind string, row long, name string, value string")
-
-
-def html_urls(df: DataFrame, id_col: str, html_col: str, base: str) -> DataFrame:
-    """(id, nth, url) of the files of holdings that each page names; relative addresses are those of ``base``."""
-    kind = dict(df.dtypes)[id_col]
-
-    def found(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = [(key, i, u) for key, html in zip(pdf["id"], pdf["html"], strict=True) for i, u in enumerate(_Page(html).urls(base))]
-            yield pd.DataFrame(out, columns=["id", "nth", "url"])
-
-    return df.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).mapInPandas(found, f"id {kind}, nth long, url string")
-
-
-def html_records(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(id, kind, n, path, value): cells of all tables, and leaves of JSON in scripts, of each page. Arrow batches, one page at a time."""
-    kind = dict(df.dtypes)[id_col]
-
-    def records(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for key, page in zip(pdf["id"], pdf["html"], strict=True):
-                out += [(key, "cell", i, f"{r}.{c}", v) for i, (r, c, v) in enumerate(table_cells(page or ""))]
-                out += [(key, "json", i, p, v) for i, (p, v) in enumerate(script_leaves(page or ""))]
-            yield pd.DataFrame(out, columns=["id", "kind", "n", "path", "value"])
-
-    return df.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).mapInPandas(records, f"id {kind}, kind string, n long, path string, value string")
-
-
-def table_cells(page: str) -> list[tuple[int, int, str]]:
-    """(row, column, text) of the cells of a page's tables, rows counted through."""
-    rows = [r for t in _Page(page).tables for r in t]
-    return [(i, j, x) for i, r in enumerate(rows) for j, (_, x) in enumerate(r)]
-
-
-def walk_json(value, path: str = "") -> Iterable[tuple[str, str]]:
-    """(path, value) of all leaves."""
-    if isinstance(value, dict):
-        for k, v in value.items():
-            yield from walk_json(v, f"{path}.{k}" if path else str(k))
-    elif isinstance(value, list):
-        for i, v in enumerate(value):
-            yield from walk_json(v, f"{path}[{i}]")
-    else:
-        yield path, json.dumps(value)
-
-
-def script_leaves(page: str) -> list[tuple[str, str]]:
-    """Of each JSON value in a page's scripts, in the order they stand, all leaves."""
-    import re
-
-    out: list[tuple[str, str]] = []
-    for body in _Page(page).scripts:
-        end = 0
-        for m in re.finditer(r"[\[{]", body):
-            if m.start() < end:
-                continue
-            try:
-                value, end = json.JSONDecoder().raw_decode(body, m.start())
-            except ValueError:
-                continue
-            out += walk_json(value)
-    return out
