@@ -9,6 +9,8 @@ from tidemark.functions import text
 from tidemark.operators import order
 from tidemark.operators import relational as R
 from tidemark.plans.registry import Tables, query
+from tidemark.session import keep, scratch
+from tidemark.sources.stored import Stored
 
 
 @query("s17_manifest_upsert", "WITH m AS (SELECT o_custkey, o_orderkey, o_orderdate, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS o_totalprice FROM orders) SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS day, o_totalprice AS total FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM m) WHERE rn = 1")
@@ -45,11 +47,29 @@ def s25(t: Tables) -> DataFrame:
     return u.groupBy("symbol").agg(F.count("v").alias("fields")).filter("fields > 0")
 
 
-@query("s26_report_upsert", "SELECT horizon, arg_max(paths, version) AS paths FROM (VALUES (1, 1, 100), (4, 1, 100), (1, 2, 250), (13, 2, 50)) v(horizon, version, paths) GROUP BY 1")
+@query("s17_stored_upsert", "SELECT CAST(o_custkey % 8 AS INTEGER) AS part, o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS day, o_totalprice AS total FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1")
+def s17_stored(t: Tables) -> DataFrame:
+    """The same on a stored table: each batch of orders rewrites only the parts that it has keys of, and the manifest is switched last."""
+    part = (F.col("o_custkey") % 8).cast("int").alias("part")
+    o = t.orders.select(part, "o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("day"), F.col("o_totalprice").alias("total"))
+    with scratch(t.spark) as path:
+        stored = Stored(t.spark, path, ["part"])
+        for n in range(3):
+            stored.upsert(o.filter(F.col("o_orderkey") % 3 == n), ["o_custkey"], ["day", "o_orderkey"], run=f"batch{n}")
+        return keep(stored.read())
+
+
+@query("s26_report_upsert", "SELECT o_orderpriority AS name, arg_max(to_json({'orders': n, 'total': total}), batch) AS report FROM (SELECT o_orderpriority, o_orderkey % 3 AS batch, count(*) AS n, CAST(round(sum(o_totalprice)) AS BIGINT) AS total FROM orders WHERE NOT (o_orderkey % 3 = 2 AND o_orderpriority LIKE '%LOW') GROUP BY 1, 2) GROUP BY 1")
 def s26(t: Tables) -> DataFrame:
-    old = t.spark.createDataFrame([(1, 1, 100), (4, 1, 100)], "horizon int, version int, paths int")
-    new = t.spark.createDataFrame([(1, 2, 250), (13, 2, 50)], "horizon int, version int, paths int")
-    return R.upsert(old, new, ["horizon"], ["version"]).select("horizon", "paths")
+    """A report a priority, keyed, as JSON with keys in order: each batch of orders replaces those that it has."""
+    o = t.orders.withColumn("batch", F.col("o_orderkey") % 3).filter(~((F.col("batch") == 2) & F.col("o_orderpriority").endswith("LOW")))
+    made = o.groupBy(F.col("o_orderpriority").alias("name"), "batch").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice")).cast("long").alias("total"))
+    reports = made.select("name", "batch", F.to_json(F.struct("orders", "total")).alias("report"))
+    with scratch(t.spark) as path:
+        stored = Stored(t.spark, path, ["name"])
+        for n in range(3):
+            stored.upsert(reports.filter(F.col("batch") == n), ["name"], ["batch"], run=f"batch{n}")
+        return keep(stored.read().select("name", "report"))
 
 
 @query("p01_reindex_columns", "SELECT s_suppkey AS security_id, s_name AS company_name, CAST(NULL AS VARCHAR) AS isin, CAST(s_acctbal AS DOUBLE) AS market_cap FROM supplier")
@@ -284,6 +304,18 @@ def u04(t: Tables) -> DataFrame:
     return t.customer.select(F.col("c_custkey").alias("id")).subtract(t.orders.select(F.col("o_custkey").alias("id")))
 
 
+@query("u05_stored_parts", "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'P' THEN 0.0::DOUBLE ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderstatus <> 'F' OR o_orderkey % 2 = 0")
+def u05_stored(t: Tables) -> DataFrame:
+    """Parts of a stored table replaced: one by new prices, one by half of its rows; the third is not written again."""
+    o = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
+    with scratch(t.spark) as path:
+        stored = Stored(t.spark, path, ["o_orderstatus"])
+        stored.replace_parts(o, run="all")
+        stored.replace_parts(o.filter("o_orderstatus = 'P'").withColumn("o_totalprice", F.lit(0.0)), run="prices")
+        stored.replace_parts(o.filter("o_orderstatus = 'F' and o_orderkey % 2 = 0"), run="half")
+        return keep(stored.read())
+
+
 @query("u05_replace_partition", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT o_orderkey, o_orderstatus, 0.0::DOUBLE FROM orders WHERE o_orderstatus = 'P'")
 def u05(t: Tables) -> DataFrame:
     o = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")

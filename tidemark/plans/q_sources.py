@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.registry import Tables, query
-from tidemark.session import remove_folder, shared_folder
+from tidemark.session import keep, scratch
 from tidemark.sources import delimited, pages
 
 #: Delimiters and encodings of the exports.
@@ -16,18 +16,15 @@ EXPORTS = [(",", "UTF-8"), (";", "UTF-16LE"), ("\t", "ISO-8859-1"), ("|", "UTF-8
 @query("s09_delimited_exports", "SELECT c_custkey % 4 AS export, 'C' || c_custkey AS ticker, c_name || ' é' AS holding, printf('%.2f', c_acctbal) AS weight, CASE WHEN c_custkey % 4 = 2 THEN '' ELSE c_mktsegment END AS segment FROM customer")
 def s09(t: Tables) -> DataFrame:
     """S-09, S-10: all customers, written by Spark in four encodings with four delimiters; encoding, delimiter and header are found by the reader, a row at a time."""
-    path = shared_folder(t.spark)
     c = t.customer.withColumn("export", F.col("c_custkey") % 4)
-    for n, (delimiter, encoding) in enumerate(EXPORTS):
-        rows = c.filter(F.col("export") == n).select(F.concat(F.lit("C"), "c_custkey").alias("Ticker"), F.concat("c_name", F.lit(" é")).alias("Holding"), F.format_string("%.2f", "c_acctbal").alias("Weight"), *([] if n == 2 else [F.col("c_mktsegment").alias("Segment")]))
-        rows.write.option("header", True).option("sep", delimiter).option("encoding", encoding).option("emptyValue", "").csv(f"{path}/export={n}")
-    cells = delimited.read_delimited(t.spark, f"{path}/*/*.csv")
     cell = lambda name: F.max(F.when(F.col("name") == name, F.col("value")))
-    got = cells.groupBy("path", "row").agg(*(cell(n).alias(a) for n, a in (("Ticker", "ticker"), ("Holding", "holding"), ("Weight", "weight"), ("Segment", "segment")))).na.fill("", ["segment"])
-    got = got.select(F.regexp_extract("path", r"export=(\d)", 1).cast("long").alias("export"), "ticker", "holding", "weight", "segment").persist()
-    got.count()  # read before the files go
-    remove_folder(t.spark, path)
-    return got
+    with scratch(t.spark) as path:
+        for n, (delimiter, encoding) in enumerate(EXPORTS):
+            rows = c.filter(F.col("export") == n).select(F.concat(F.lit("C"), "c_custkey").alias("Ticker"), F.concat("c_name", F.lit(" é")).alias("Holding"), F.format_string("%.2f", "c_acctbal").alias("Weight"), *([] if n == 2 else [F.col("c_mktsegment").alias("Segment")]))
+            rows.write.option("header", True).option("sep", delimiter).option("encoding", encoding).option("emptyValue", "").csv(f"{path}/export={n}")
+        cells = delimited.read_delimited(t.spark, f"{path}/*/*.csv")
+        got = cells.groupBy("path", "row").agg(*(cell(n).alias(a) for n, a in (("Ticker", "ticker"), ("Holding", "holding"), ("Weight", "weight"), ("Segment", "segment")))).na.fill("", ["segment"])
+        return keep(got.select(F.regexp_extract("path", r"export=(\d)", 1).cast("long").alias("export"), "ticker", "holding", "weight", "segment"))
 
 
 def _held(t: Tables) -> DataFrame:

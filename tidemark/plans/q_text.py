@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import sequence as Q
 from tidemark.functions import text
 from tidemark.plans.registry import Tables, query
-from tidemark.session import shared_folder
+from tidemark.session import keep, scratch
 from tidemark.sources import files, pages
 
 
@@ -148,18 +148,18 @@ def s01(t: Tables) -> DataFrame:
 
 @query("s02_parquet_round_trip", "SELECT s_suppkey, s_name, s_acctbal, CAST(s_nationkey AS INTEGER) AS s_nationkey FROM supplier")
 def s02(t: Tables) -> DataFrame:
-    path = shared_folder(t.spark)
-    files.write_parquet(t.supplier.select("s_suppkey", "s_name", "s_acctbal", "s_nationkey"), path, ["s_nationkey"])
-    return files.read_parquet(t.spark, path).select("s_suppkey", "s_name", "s_acctbal", F.col("s_nationkey").cast("int").alias("s_nationkey"))
+    with scratch(t.spark) as path:
+        files.write_parquet(t.supplier.select("s_suppkey", "s_name", "s_acctbal", "s_nationkey"), path, ["s_nationkey"])
+        return keep(files.read_parquet(t.spark, path).select("s_suppkey", "s_name", "s_acctbal", F.col("s_nationkey").cast("int").alias("s_nationkey")))
 
 
 @query("s04_csv_round_trip", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name || ', \"' || c_mktsegment || '\"' END AS note FROM customer")
 def s04(t: Tables) -> DataFrame:
     """Written with quotes and commas, and read again as text; what was missing is empty."""
-    path = shared_folder(t.spark)
     note = F.when(F.col("c_custkey") % 3 != 0, F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"')))
-    files.write_csv(t.customer.select("c_custkey", note.alias("note")), path)
-    return files.read_csv_text(t.spark, path, ["c_custkey", "note"])
+    with scratch(t.spark) as path:
+        files.write_csv(t.customer.select("c_custkey", note.alias("note")), path)
+        return keep(files.read_csv_text(t.spark, path, ["c_custkey", "note"]))
 
 
 @query("s03_text_columns", "SELECT c_custkey::VARCHAR AS c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS segment FROM customer")

@@ -6,6 +6,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +59,16 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder that all executors see, removed at the end, also on errors."""
+    path = shared_folder(spark)
+    try:
+        yield path
+    finally:
+        remove_folder(spark, path)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """``df``, computed now and kept reliably in the shared folder: lost executors don't have it computed again, in another order. Spark deletes it with
     its last reader if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, as ``get_session`` does.
