@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import sequence as Q
 from tidemark.functions import special, text
-from tidemark.operators import calendar, factors, panel, relational, simulate, stats
+from tidemark.operators import calendar, factors, order, panel, relational, simulate, stats
 from tidemark.sources import delimited, files, rules
 from tidemark.streaming import debounce
 
@@ -71,6 +71,12 @@ def test_crps_of_a_point(spark):
     assert order.crps(s, ["g"], "x", "y").first()["crps"] == pytest.approx(2.5)
 
 
+@pytest.mark.parametrize(("values", "block"), [([0.5] * 40, 2), ([1.0, 9.0, 2.0], 2), ([float(i) for i in range(11)], 2), ([float(i // 8) for i in range(80)], 20), ([], 2)])
+def test_block_length_of_flat_and_short_series(spark, values, block):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "pos int, x double")
+    assert stats.block_length(stats.autocorrelation(df, "pos", "x", 26)).first()["block"] == block
+
+
 def test_mean_and_error(spark):
     s = spark.createDataFrame([(1, 2.0), (1, 4.0), (2, 7.0), (3, None)], "g int, x double")
     got = {r["g"]: (r["mean"], r["error"]) for r in stats.mean_and_error(s, ["g"], "x").collect()}

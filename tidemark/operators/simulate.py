@@ -10,22 +10,27 @@ from pyspark.sql import functions as F
 from tidemark.functions.rng import uniform
 
 
-def grid(spark: SparkSession, walks: int, steps: int) -> DataFrame:
-    """(walk, step) for steps from 1: walks are dealt out, and each makes its own steps."""
-    w = spark.range(walks).withColumnRenamed("id", "walk")
-    return w.select("walk", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(steps).cast("long"))).alias("step"))
+def walkers(spark: SparkSession, walks: int | DataFrame) -> DataFrame:
+    """A table of walks: as it is, with a column walk, or so many by number."""
+    return walks if isinstance(walks, DataFrame) else spark.range(walks).withColumnRenamed("id", "walk")
+
+
+def grid(spark: SparkSession, walks: int | DataFrame, steps: int) -> DataFrame:
+    """The walks with step from 1: walks are dealt out, and each makes its own steps."""
+    return walkers(spark, walks).select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(steps).cast("long"))).alias("step"))
 
 
 def _run(column: Column) -> Column:
     return F.sum(column).over(Window.partitionBy("walk").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
 
 
-def walk_1d(spark: SparkSession, walks: int, steps: int, seed: int = 52, p: float = 0.5) -> DataFrame:
+def walk_1d(spark: SparkSession, walks: int | DataFrame, steps: int, seed: int = 52, p: float | Column = 0.5) -> DataFrame:
+    """Steps up with probability ``p``, a number or a column of the walks, and else down."""
     s = grid(spark, walks, steps).withColumn("d", F.when(uniform(seed, F.col("walk"), F.col("step")) < p, 1).otherwise(-1))
-    return s.select("walk", "step", _run(F.col("d")).alias("x"))
+    return s.withColumn("x", _run(F.col("d"))).drop("d")
 
 
-def walk_2d(spark: SparkSession, walks: int, steps: int, kind: str, seed: int = 52) -> DataFrame:
+def walk_2d(spark: SparkSession, walks: int | DataFrame, steps: int, kind: str, seed: int = 52) -> DataFrame:
     """kind: angle (unit steps in any direction), grid4 (four neighbours) or grid8 (eight neighbours, or staying)."""
     s = grid(spark, walks, steps).withColumn("u", uniform(seed, kind, F.col("walk"), F.col("step")))
     if kind == "angle":
@@ -36,16 +41,17 @@ def walk_2d(spark: SparkSession, walks: int, steps: int, kind: str, seed: int =
     else:
         k = F.floor(F.col("u") * 9)
         dx, dy = k % 3 - 1, F.floor(k / 3) - 1
-    return s.select("walk", "step", _run(dx.cast("double")).alias("x"), _run(dy.cast("double")).alias("y"))
+    return s.withColumn("x", _run(dx.cast("double"))).withColumn("y", _run(dy.cast("double"))).drop("u")
 
 
-def ruin(spark: SparkSession, games: int, cap: int, first: int, second: int, p: float, seed: int = 52) -> DataFrame:
-    """(game, steps, first_won) of gambler's ruin: the first step at which one has all; at the cap, the larger bankroll wins."""
-    run = walk_1d(spark, games, cap, seed, p)
-    end = F.min(F.when((F.col("x") >= second) | (F.col("x") <= -first), F.struct("step", "x")))
-    g = run.groupBy("walk").agg(end.alias("e"), F.max_by("x", "step").alias("last"))
+def ruin(spark: SparkSession, games: int | DataFrame, cap: int, first: int | Column, second: int | Column, p: float | Column, seed: int = 52) -> DataFrame:
+    """(game, steps, first_won) of gambler's ruin: the first step at which one has all; at the cap, the larger bankroll wins. Bankrolls and odds may be columns of the games, which have a column walk."""
+    of = lambda v: v if isinstance(v, Column) else F.lit(v)
+    run = walk_1d(spark, walkers(spark, games).withColumn("first_", of(first)).withColumn("second_", of(second)), cap, seed, p)
+    end = F.min(F.when((F.col("x") >= F.col("second_")) | (F.col("x") <= -F.col("first_")), F.struct("step", "x")))
+    g = run.groupBy("walk", "first_", "second_").agg(end.alias("e"), F.max_by("x", "step").alias("last"))
     x = F.coalesce(F.col("e.x"), F.col("last"))
-    won = F.when(F.col("e").isNotNull(), x > 0).otherwise(first + x > second - x)
+    won = F.when(F.col("e").isNotNull(), x > 0).otherwise(F.col("first_") + x > F.col("second_") - x)
     return g.select(F.col("walk").alias("game"), F.coalesce(F.col("e.step"), F.lit(cap)).cast("long").alias("steps"), won.alias("first_won"))
 
 
@@ -79,13 +85,12 @@ def categorical(key: list, weights: list[float]) -> Column:
     return out.otherwise(len(weights) - 1)
 
 
-def _fold(spark: SparkSession, walks: int, trials: int, start: Column, step) -> DataFrame:
+def _fold(spark: SparkSession, walks: int | DataFrame, trials: int, start: Column, step) -> DataFrame:
     """A walk whose next state depends on its state: a fold over its own trials, one row a walk, in the JVM."""
-    w = spark.range(walks).withColumnRenamed("id", "walk")
-    return w.withColumn("s", F.aggregate(F.sequence(F.lit(1), F.lit(trials)), start, step))
+    return walkers(spark, walks).withColumn("s", F.aggregate(F.sequence(F.lit(1), F.lit(trials)), start, step))
 
 
-def box_walk(spark: SparkSession, walks: int, trials: int, half_width: float, half_height: float, seed: int = 52, strict: bool = True) -> DataFrame:
+def box_walk(spark: SparkSession, walks: int | DataFrame, trials: int, half_width: float | Column, half_height: float | Column, seed: int = 52, strict: bool = True) -> DataFrame:
     """Steps of angle that stay in a box around the origin; a step that would leave it is drawn again. (walk, x, y, accepted)"""
 
     def step(s: Column, k: Column) -> Column:
@@ -98,7 +103,7 @@ def box_walk(spark: SparkSession, walks: int, trials: int, half_width: float, ha
     return _fold(spark, walks, trials, start, step).select("walk", "s.x", "s.y", F.col("s.n").alias("accepted"))
 
 
-def target_walk(spark: SparkSession, walks: int, trials: int, half: float, target: tuple[float, float, float, float], seed: int = 52) -> DataFrame:
+def target_walk(spark: SparkSession, walks: int | DataFrame, trials: int, half: float | Column, target: tuple[float | Column, ...], seed: int = 52) -> DataFrame:
     """As in a box, until a step hits the target (left, bottom, width, height): (walk, hit, moves). The target is tested first, then the border."""
     left, low, width, height = target
 

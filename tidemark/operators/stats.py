@@ -26,7 +26,7 @@ def one_error_rule(df: DataFrame, rank: str, gate: str, gate_error: str, metric:
 
 
 def autocorrelation(df: DataFrame, order: str, x: str, most: int) -> DataFrame:
-    """(lag, rho, n) of one series of n values, for lags from 1 to ``most``, n / 4 at the most."""
+    """(lag, rho, n) of one series of n values, for lags from 1 to ``most``, n / 4 at the most; rho is null for a flat series."""
     whole = Window.partitionBy()
     w = Window.orderBy(order)
     d = df.withColumn("d", F.col(x) - F.avg(x).over(whole)).withColumn("pos", F.row_number().over(w)).withColumn("n", F.count("*").over(whole))  # one short series
@@ -34,15 +34,15 @@ def autocorrelation(df: DataFrame, order: str, x: str, most: int) -> DataFrame:
     ahead = d.select((F.col("pos")).alias("p2"), F.col("d").alias("d2"))
     total = d.agg(F.sum(F.col("d") * F.col("d")).alias("total"))
     pairs = d.select("pos", "d", "n", lags).filter(F.col("lag") <= F.floor(F.col("n") / 4)).join(ahead, F.col("p2") == F.col("pos") + F.col("lag"))
-    return pairs.groupBy("lag").agg(F.sum(F.col("d") * F.col("d2")).alias("c"), F.max("n").alias("n")).crossJoin(F.broadcast(total)).select("lag", (F.col("c") / F.col("total")).alias("rho"), "n")
+    return pairs.groupBy("lag").agg(F.sum(F.col("d") * F.col("d2")).alias("c"), F.max("n").alias("n")).crossJoin(F.broadcast(total)).select("lag", F.when(F.col("total") > 1e-12, F.col("c") / F.col("total")).alias("rho"), "n")
 
 
 def block_length(rho: DataFrame, run: int = 3) -> DataFrame:
-    """(lag, rho, n) to the length of blocks: where the first ``run`` weak lags in a row begin, weak being below 1.96 / sqrt(n); the last lag, if none do; 2 at least."""
+    """(lag, rho, n) to the length of blocks: where the first ``run`` weak lags in a row begin, weak being below 1.96 / sqrt(n); the last lag, if none do; 2 at least, and for series that are flat or have fewer than 12 values."""
     w = Window.orderBy("lag").rowsBetween(1 - run, 0)  # a row a lag
     weak = F.sum((F.abs("rho") < 1.96 / F.sqrt("n")).cast("int")).over(w)
-    ended = rho.withColumn("weak", weak).agg(F.min(F.when(F.col("weak") == run, F.col("lag"))).alias("stop"), F.max("lag").alias("last"))
-    return ended.select(F.greatest(F.lit(2), F.coalesce(F.col("stop") - (run - 1), F.col("last"), F.lit(2))).alias("block"))
+    ended = rho.withColumn("weak", weak).agg(F.min(F.when(F.col("weak") == run, F.col("lag"))).alias("stop"), F.max("lag").alias("last"), (F.max("rho").isNull() | (F.max("n") < 12)).alias("none"))
+    return ended.select(F.when(F.col("none"), F.lit(2)).otherwise(F.greatest(F.lit(2), F.coalesce(F.col("stop") - (run - 1), F.col("last"), F.lit(2)))).alias("block"))
 
 
 #: The speed of a turn by the angle that is left, and the correction by the heading's error: above the first number, the second.

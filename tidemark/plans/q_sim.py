@@ -13,26 +13,34 @@ from tidemark.plans.registry import Tables, query
 
 r6 = lambda c, n=6: F.round(c, n)
 U = uniform_sql
-GRID = "g AS (SELECT walk, step FROM (SELECT unnest(range(0, {0})) AS walk) CROSS JOIN (SELECT unnest(range(1, {1} + 1)) AS step))"
-W1 = GRID.format("{0}", "{1}") + ", w AS (SELECT walk, step, sum(CASE WHEN " + U("'52:' || walk || ':' || step") + " < {2}::DOUBLE THEN 1 ELSE -1 END) OVER (PARTITION BY walk ORDER BY step ROWS UNBOUNDED PRECEDING) AS x FROM g)"
+#: A walk a supplier: its odds, bankroll, box and target come from its balance and nation.
+SUP = "sp AS (SELECT s_suppkey AS walk, 0.5::DOUBLE + s_acctbal / 200000 AS p, CAST(8 + s_nationkey % 5 AS BIGINT) AS bank, 4.0::DOUBLE + s_nationkey % 3 AS hw, 3.0::DOUBLE + s_nationkey % 2 AS hh, CAST(s_nationkey % 4 AS DOUBLE) AS aim FROM supplier)"
+GRID = SUP + ", g AS (SELECT sp.*, step FROM sp CROSS JOIN (SELECT unnest(range(1, {0} + 1)) AS step))"
+FIXED = "g AS (SELECT walk, step FROM (SELECT unnest(range(0, {0})) AS walk) CROSS JOIN (SELECT unnest(range(1, {1} + 1)) AS step))"
+W1 = GRID + ", w AS (SELECT walk, step, bank, sum(CASE WHEN " + U("'52:' || walk || ':' || step") + " < p THEN 1 ELSE -1 END) OVER (PARTITION BY walk ORDER BY step ROWS UNBOUNDED PRECEDING) AS x FROM g)"
 
 
-@query("r12_walk_1d", f"WITH {W1.format(100, 100, 0.5)} SELECT walk, step, CAST(x AS BIGINT) AS x FROM w")
+def suppliers(t: Tables) -> DataFrame:
+    n, d = F.col("s_nationkey"), lambda c: c.cast("double")
+    return t.supplier.select(F.col("s_suppkey").alias("walk"), (F.lit(0.5) + F.col("s_acctbal") / 200000).alias("p"), (8 + n % 5).cast("long").alias("bank"), d(4 + n % 3).alias("hw"), d(3 + n % 2).alias("hh"), d(n % 4).alias("aim"))
+
+
+@query("r12_walk_1d", f"WITH {W1.format(100)} SELECT walk, step, CAST(x AS BIGINT) AS x FROM w")
 def r12(t: Tables) -> DataFrame:
-    return S.walk_1d(t.spark, 100, 100)
+    return S.walk_1d(t.spark, suppliers(t), 100, p=F.col("p")).select("walk", "step", "x")
 
 
-ANGLE = f"WITH {GRID.format(100, 100)}, d AS (SELECT walk, step, {U(chr(39) + '52:angle:' + chr(39) + ' || walk || ' + chr(39) + ':' + chr(39) + ' || step')} AS u FROM g), w AS (SELECT walk, step, sum(cos(2 * pi() * u)) OVER o AS x, sum(sin(2 * pi() * u)) OVER o AS y FROM d WINDOW o AS (PARTITION BY walk ORDER BY step ROWS UNBOUNDED PRECEDING))"
+ANGLE = f"WITH {GRID.format(100)}, d AS (SELECT walk, step, {U(chr(39) + '52:angle:' + chr(39) + ' || walk || ' + chr(39) + ':' + chr(39) + ' || step')} AS u FROM g), w AS (SELECT walk, step, sum(cos(2 * pi() * u)) OVER o AS x, sum(sin(2 * pi() * u)) OVER o AS y FROM d WINDOW o AS (PARTITION BY walk ORDER BY step ROWS UNBOUNDED PRECEDING))"
 
 
 @query("r13_walk_angle", ANGLE + " SELECT walk, step, round(x, 6) AS x, round(y, 6) AS y FROM w")
 def r13a(t: Tables) -> DataFrame:
-    return S.walk_2d(t.spark, 100, 100, "angle").select("walk", "step", r6("x").alias("x"), r6("y").alias("y"))
+    return S.walk_2d(t.spark, suppliers(t), 100, "angle").select("walk", "step", r6("x").alias("x"), r6("y").alias("y"))
 
 
 def _grid_sql(kind: str, dx: str, dy: str) -> str:
     key = f"'52:{kind}:' || walk || ':' || step"
-    return f"WITH {GRID.format(100, 100)}, d AS (SELECT walk, step, {U(key)} AS u FROM g), w AS (SELECT walk, step, sum(CAST({dx} AS DOUBLE)) OVER o AS x, sum(CAST({dy} AS DOUBLE)) OVER o AS y FROM d WINDOW o AS (PARTITION BY walk ORDER BY step ROWS UNBOUNDED PRECEDING))"
+    return f"WITH {GRID.format(100)}, d AS (SELECT walk, step, {U(key)} AS u FROM g), w AS (SELECT walk, step, sum(CAST({dx} AS DOUBLE)) OVER o AS x, sum(CAST({dy} AS DOUBLE)) OVER o AS y FROM d WINDOW o AS (PARTITION BY walk ORDER BY step ROWS UNBOUNDED PRECEDING))"
 
 
 G4 = _grid_sql("grid4", "CASE floor(u * 4) WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END", "CASE floor(u * 4) WHEN 2 THEN 1 WHEN 3 THEN -1 ELSE 0 END")
@@ -41,12 +49,12 @@ G8 = _grid_sql("grid8", "floor(u * 9) % 3 - 1", "floor(floor(u * 9) / 3) - 1")
 
 @query("r13_walk_grid4", G4 + " SELECT walk, step, x, y FROM w")
 def r13b(t: Tables) -> DataFrame:
-    return S.walk_2d(t.spark, 100, 100, "grid4")
+    return S.walk_2d(t.spark, suppliers(t), 100, "grid4").select("walk", "step", "x", "y")
 
 
 @query("r13_walk_grid8", G8 + " SELECT walk, step, x, y FROM w")
 def r13c(t: Tables) -> DataFrame:
-    return S.walk_2d(t.spark, 100, 100, "grid8")
+    return S.walk_2d(t.spark, suppliers(t), 100, "grid8").select("walk", "step", "x", "y")
 
 
 _MSD = [k + f", m AS (SELECT '{n}' AS kind, step AS n, avg(x * x + y * y) AS msd, avg(sqrt(x * x + y * y)) AS mad FROM w WHERE step % 20 = 0 GROUP BY 2) SELECT kind, n, round(msd, 6) AS msd, round(mad, 6) AS mad, round(sqrt(n), 6) AS root_n FROM m" for n, k in (("angle", ANGLE), ("grid4", G4), ("grid8", G8))]
@@ -56,7 +64,7 @@ _MSD = [k + f", m AS (SELECT '{n}' AS kind, step AS n, avg(x * x + y * y) AS msd
 def a29(t: Tables) -> DataFrame:
     out = None
     for kind in ("angle", "grid4", "grid8"):
-        w = S.walk_2d(t.spark, 100, 100, kind).filter("step % 20 = 0")
+        w = S.walk_2d(t.spark, suppliers(t).select("walk"), 100, kind).filter("step % 20 = 0")
         r2 = F.col("x") * F.col("x") + F.col("y") * F.col("y")
         m = w.groupBy(F.lit(kind).alias("kind"), F.col("step").alias("n")).agg(r6(F.avg(r2)).alias("msd"), r6(F.avg(F.sqrt(r2))).alias("mad"))
         m = m.withColumn("root_n", r6(F.sqrt(F.col("n").cast("double"))))
@@ -64,46 +72,60 @@ def a29(t: Tables) -> DataFrame:
     return out
 
 
-RUIN = f"WITH {W1.format(200, 400, 0.5)}, f AS (SELECT walk, min(step) AS steps FROM w WHERE x >= 10 OR x <= -10 GROUP BY 1), e AS (SELECT l.walk AS game, coalesce(f.steps, 400) AS steps, (SELECT x FROM w WHERE w.walk = l.walk AND w.step = coalesce(f.steps, 400)) AS x, f.steps IS NOT NULL AS ended FROM (SELECT DISTINCT walk FROM w) l LEFT JOIN f USING (walk)), r AS (SELECT game, steps, CASE WHEN ended THEN x > 0 ELSE 10 + x > 10 - x END AS first_won FROM e)"
+RUIN = f"WITH {W1.format(400)}, f AS (SELECT walk, min(step) AS steps FROM w WHERE x >= 10 OR x <= -bank GROUP BY 1), e AS (SELECT l.walk AS game, bank, coalesce(f.steps, 400) AS steps, (SELECT x FROM w WHERE w.walk = l.walk AND w.step = coalesce(f.steps, 400)) AS x, f.steps IS NOT NULL AS ended FROM sp l LEFT JOIN f USING (walk)), r AS (SELECT game, steps, CASE WHEN ended THEN x > 0 ELSE bank + x > 10 - x END AS first_won FROM e)"
+
+
+def _ruin(t: Tables) -> DataFrame:
+    return S.ruin(t.spark, suppliers(t), 400, F.col("bank"), 10, F.col("p"))
 
 
 @query("r11_gamblers_ruin", RUIN + " SELECT game, steps, first_won FROM r")
 def r11(t: Tables) -> DataFrame:
-    return S.ruin(t.spark, 200, 400, 10, 10, 0.5)
+    """A game a supplier, whose bankroll and odds are its own."""
+    return _ruin(t)
 
 
 @query("a28_ruin_summary", RUIN + " SELECT round(avg(CASE WHEN first_won THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS won, round(avg(steps), 6) AS mean_steps, max(steps) AS most_steps FROM r")
 def ruin_summary(t: Tables) -> DataFrame:
-    return S.ruin(t.spark, 200, 400, 10, 10, 0.5).agg(r6(F.avg(F.col("first_won").cast("double"))).alias("won"), r6(F.avg("steps")).alias("mean_steps"), F.max("steps").alias("most_steps"))
+    return _ruin(t).agg(r6(F.avg(F.col("first_won").cast("double"))).alias("won"), r6(F.avg("steps")).alias("mean_steps"), F.max("steps").alias("most_steps"))
+
 
+_DRAWN = f"d AS (SELECT event_id, value, CASE WHEN u < 0.2 THEN 0 WHEN u < 0.5 THEN 1 ELSE 2 END AS k FROM (SELECT event_id, value, {U(chr(39) + '7:' + chr(39) + ' || user_id || ' + chr(39) + ':' + chr(39) + ' || event_id')} AS u FROM events))"
 
-@query("r01_categorical", f"SELECT i, CASE WHEN u < 0.2 THEN 0 WHEN u < 0.5 THEN 1 ELSE 2 END AS drawn FROM (SELECT i, {U(chr(39) + '7:' + chr(39) + ' || i')} AS u FROM (SELECT unnest(range(0, 1000)) AS i))")
+
+def _drawn(t: Tables) -> DataFrame:
+    """Each event's component, by a counter of its user and its own."""
+    return t.events.select("event_id", "value", S.categorical([7, F.col("user_id"), F.col("event_id")], [0.2, 0.3, 0.5]).alias("k"))
+
+
+@query("r01_categorical", f"WITH {_DRAWN} SELECT event_id, k AS drawn FROM d")
 def r01(t: Tables) -> DataFrame:
-    return t.spark.range(1000).select(F.col("id").alias("i"), S.categorical([7, F.col("id")], [0.2, 0.3, 0.5]).alias("drawn"))
+    return _drawn(t).select("event_id", F.col("k").alias("drawn"))
 
 
-@query("r17_seeded_streams", f"SELECT s AS stream, i, round({U('(52 + s) || ' + chr(39) + ':' + chr(39) + ' || i')}, 9) AS u FROM (SELECT unnest([0, 20000, 30000, 40000, 60000, 70000]) AS s) CROSS JOIN (SELECT unnest(range(0, 50)) AS i)")
+@query("r17_seeded_streams", f"SELECT s AS stream, s_suppkey, round({U('(52 + s) || ' + chr(39) + ':' + chr(39) + ' || s_name')}, 9) AS u FROM (SELECT unnest([0, 20000, 30000, 40000, 60000, 70000]) AS s) CROSS JOIN supplier")
 def r17(t: Tables) -> DataFrame:
-    s = t.spark.range(50).select(F.col("id").alias("i"), F.explode(F.array(*map(F.lit, (0, 20000, 30000, 40000, 60000, 70000)))).alias("stream"))
-    return s.select("stream", "i", r6(uniform(F.col("stream") + 52, F.col("i")), 9).alias("u"))
+    s = t.supplier.select("s_suppkey", "s_name", F.explode(F.array(*map(F.lit, (0, 20000, 30000, 40000, 60000, 70000)))).alias("stream"))
+    return s.select("stream", "s_suppkey", r6(uniform(F.col("stream") + 52, F.col("s_name")), 9).alias("u"))
 
 
-@query("r18_selected_parameters", f"WITH d AS (SELECT i, CASE WHEN u < 0.2 THEN 0 WHEN u < 0.5 THEN 1 ELSE 2 END AS k FROM (SELECT i, {U(chr(39) + '7:' + chr(39) + ' || i')} AS u FROM (SELECT unnest(range(0, 500)) AS i))) SELECT i, k, loc, scale FROM d JOIN (VALUES (0, -0.1::DOUBLE, 1.0::DOUBLE), (1, 0.0::DOUBLE, 0.5::DOUBLE), (2, 0.2::DOUBLE, 2.0::DOUBLE)) p(k, loc, scale) USING (k)")
+@query("r18_selected_parameters", f"WITH {_DRAWN} SELECT event_id, k, round(loc + scale * value, 9) AS drawn FROM d JOIN (VALUES (0, -0.1::DOUBLE, 1.0::DOUBLE), (1, 0.0::DOUBLE, 0.5::DOUBLE), (2, 0.2::DOUBLE, 2.0::DOUBLE)) p(k, loc, scale) USING (k)")
 def r18(t: Tables) -> DataFrame:
-    d = t.spark.range(500).select(F.col("id").alias("i"), S.categorical([7, F.col("id")], [0.2, 0.3, 0.5]).alias("k"))
-    p = t.spark.createDataFrame([(0, -0.1, 1.0), (1, 0.0, 0.5), (2, 0.2, 2.0)], "k int, loc double, scale double")
-    return d.join(F.broadcast(p), "k").select("i", "k", "loc", "scale")
+    """One step of the drawn component, the event's value being the noise; the parameters are a constant array."""
+    p = F.get(F.array(*(F.struct(F.lit(loc).alias("loc"), F.lit(scale).alias("scale")) for loc, scale in ((-0.1, 1.0), (0.0, 0.5), (0.2, 2.0)))), F.col("k"))
+    return _drawn(t).select("event_id", "k", r6(p["loc"] + p["scale"] * F.col("value"), 9).alias("drawn"))
 
 
-@query("r16_box_corners", "SELECT i, x0 - w / 2 AS left_c, y0 - h / 2 AS low_c, x0 + w / 2 AS right_c, y0 + h / 2 AS high_c, x0 + w AS right_b, y0 + h AS high_b FROM (SELECT i, CAST(i % 7 AS DOUBLE) AS x0, CAST(i % 5 AS DOUBLE) AS y0, CAST(4 + i % 3 AS DOUBLE) AS w, CAST(2 + i % 2 AS DOUBLE) AS h FROM (SELECT unnest(range(0, 100)) AS i))")
+@query("r16_box_corners", "SELECT i, x0 - w / 2 AS left_c, y0 - h / 2 AS low_c, x0 + w / 2 AS right_c, y0 + h / 2 AS high_c, x0 + w AS right_b, y0 + h AS high_b FROM (SELECT p_partkey AS i, p_retailprice AS x0, CAST(p_size AS DOUBLE) AS y0, CAST(4 + p_size % 3 AS DOUBLE) AS w, CAST(2 + p_size % 2 AS DOUBLE) AS h FROM part)")
 def r16(t: Tables) -> DataFrame:
-    b = t.spark.range(100).select(F.col("id").alias("i"), *(e.cast("double").alias(n) for n, e in (("x0", F.col("id") % 7), ("y0", F.col("id") % 5), ("w", 4 + F.col("id") % 3), ("h", 2 + F.col("id") % 2))))
+    z = F.col("p_size")
+    b = t.part.select(F.col("p_partkey").alias("i"), *(e.cast("double").alias(n) for n, e in (("x0", F.col("p_retailprice")), ("y0", z), ("w", 4 + z % 3), ("h", 2 + z % 2))))
     x, y, w, h = (F.col(c) for c in ("x0", "y0", "w", "h"))
     return b.select("i", (x - w / 2).alias("left_c"), (y - h / 2).alias("low_c"), (x + w / 2).alias("right_c"), (y + h / 2).alias("high_c"), (x + w).alias("right_b"), (y + h).alias("high_b"))
 
 
 _POS = f"WITH {X.BK}, src AS (SELECT row_number() OVER (ORDER BY week) - 1 AS pos, basket_return AS r FROM bk WHERE basket_return IS NOT NULL), n AS (SELECT count(*) AS n FROM src)"
-SB = _POS + f", {GRID.format(20, 26)}, s AS (SELECT walk, step, CASE WHEN step = 1 OR {U(chr(39) + '52:restart:' + chr(39) + ' || walk || ' + chr(39) + ':' + chr(39) + ' || step')} < 0.125 THEN step END AS fresh, CAST(floor({U(chr(39) + '52:start:' + chr(39) + ' || walk || ' + chr(39) + ':' + chr(39) + ' || step')} * (SELECT n FROM n)) AS BIGINT) AS beg FROM g), b AS (SELECT walk, step, last_value(fresh IGNORE NULLS) OVER o AS bs, last_value(CASE WHEN fresh IS NOT NULL THEN beg END IGNORE NULLS) OVER o AS ba FROM s WINDOW o AS (PARTITION BY walk ORDER BY step ROWS UNBOUNDED PRECEDING)) SELECT walk, step, (ba + step - bs) % (SELECT n FROM n) AS pos, round(r, 8) AS r FROM b JOIN src ON src.pos = (ba + step - bs) % (SELECT n FROM n)"
+SB = _POS + f", {FIXED.format(20, 26)}, s AS (SELECT walk, step, CASE WHEN step = 1 OR {U(chr(39) + '52:restart:' + chr(39) + ' || walk || ' + chr(39) + ':' + chr(39) + ' || step')} < 0.125 THEN step END AS fresh, CAST(floor({U(chr(39) + '52:start:' + chr(39) + ' || walk || ' + chr(39) + ':' + chr(39) + ' || step')} * (SELECT n FROM n)) AS BIGINT) AS beg FROM g), b AS (SELECT walk, step, last_value(fresh IGNORE NULLS) OVER o AS bs, last_value(CASE WHEN fresh IS NOT NULL THEN beg END IGNORE NULLS) OVER o AS ba FROM s WINDOW o AS (PARTITION BY walk ORDER BY step ROWS UNBOUNDED PRECEDING)) SELECT walk, step, (ba + step - bs) % (SELECT n FROM n) AS pos, round(r, 8) AS r FROM b JOIN src ON src.pos = (ba + step - bs) % (SELECT n FROM n)"
 
 
 def _source(t: Tables) -> tuple[DataFrame, int]:
@@ -127,28 +149,30 @@ def r09(t: Tables) -> DataFrame:
 
 
 _TURN = "2 * pi() * " + U("'52:{0}:' || walk || ':' || (k + 1)")
-_BOX = f"WITH RECURSIVE w AS (SELECT unnest(range(0, 100)) AS walk, 0 AS k, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, CAST(0 AS BIGINT) AS n UNION ALL SELECT walk, k + 1, CASE WHEN ok THEN nx ELSE x END, CASE WHEN ok THEN ny ELSE y END, n + CASE WHEN ok THEN 1 ELSE 0 END FROM (SELECT *, abs(nx) < 6 AND abs(ny) < 4 AS ok FROM (SELECT *, x + cos({_TURN.format('box')}) AS nx, y + sin({_TURN.format('box')}) AS ny FROM w WHERE k < 200))) SELECT walk, round(x, 6) AS x, round(y, 6) AS y, n AS accepted FROM w WHERE k = 200"
+_BOX = f"WITH RECURSIVE {SUP}, w AS (SELECT walk, hw, hh, 0 AS k, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, CAST(0 AS BIGINT) AS n FROM sp UNION ALL SELECT walk, hw, hh, k + 1, CASE WHEN ok THEN nx ELSE x END, CASE WHEN ok THEN ny ELSE y END, n + CASE WHEN ok THEN 1 ELSE 0 END FROM (SELECT *, abs(nx) < hw AND abs(ny) < hh AS ok FROM (SELECT *, x + cos({_TURN.format('box')}) AS nx, y + sin({_TURN.format('box')}) AS ny FROM w WHERE k < 200))) SELECT walk, round(x, 6) AS x, round(y, 6) AS y, n AS accepted FROM w WHERE k = 200"
 
 
 @query("r14_box_walk", _BOX)
 def r14(t: Tables) -> DataFrame:
-    return S.box_walk(t.spark, 100, 200, 6.0, 4.0).select("walk", r6("x").alias("x"), r6("y").alias("y"), "accepted")
+    return S.box_walk(t.spark, suppliers(t), 200, F.col("hw"), F.col("hh")).select("walk", r6("x").alias("x"), r6("y").alias("y"), "accepted")
 
 
-_TARGET = f"WITH RECURSIVE w AS (SELECT unnest(range(0, 100)) AS walk, 0 AS k, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, CAST(0 AS BIGINT) AS n, false AS hit UNION ALL SELECT walk, k + 1, CASE WHEN mv THEN nx ELSE x END, CASE WHEN mv THEN ny ELSE y END, n + CASE WHEN mv THEN 1 ELSE 0 END, hit OR (mv AND inside) FROM (SELECT *, NOT hit AND (inside OR (abs(nx) <= 10 AND abs(ny) <= 10)) AS mv FROM (SELECT *, nx BETWEEN 3 AND 5 AND ny BETWEEN 3 AND 5 AS inside FROM (SELECT *, x + cos({_TURN.format('target')}) AS nx, y + sin({_TURN.format('target')}) AS ny FROM w WHERE k < 400)))) SELECT walk, hit, n AS moves FROM w WHERE k = 400"
+_TARGET = f"WITH RECURSIVE {SUP}, w AS (SELECT walk, aim, 0 AS k, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, CAST(0 AS BIGINT) AS n, false AS hit FROM sp UNION ALL SELECT walk, aim, k + 1, CASE WHEN mv THEN nx ELSE x END, CASE WHEN mv THEN ny ELSE y END, n + CASE WHEN mv THEN 1 ELSE 0 END, hit OR (mv AND inside) FROM (SELECT *, NOT hit AND (inside OR (abs(nx) <= 10 AND abs(ny) <= 10)) AS mv FROM (SELECT *, nx BETWEEN 3 AND 5 AND ny BETWEEN aim AND aim + 2 AS inside FROM (SELECT *, x + cos({_TURN.format('target')}) AS nx, y + sin({_TURN.format('target')}) AS ny FROM w WHERE k < 400)))) SELECT walk, hit, n AS moves FROM w WHERE k = 400"
 
 
 @query("r15_target_walk", _TARGET)
 def r15(t: Tables) -> DataFrame:
-    return S.target_walk(t.spark, 100, 400, 10.0, (3.0, 3.0, 2.0, 2.0))
+    return S.target_walk(t.spark, suppliers(t), 400, 10.0, (3.0, F.col("aim"), 2.0, 2.0)).select("walk", "hit", "moves")
 
 
-@query("r06_zero_return", "SELECT step, 0.0::DOUBLE AS weekly_return, 1.0::DOUBLE AS index_value FROM (SELECT unnest(range(1, 53)) AS step)")
+@query("r06_zero_return", f"WITH {X.BK} SELECT week, row_number() OVER (ORDER BY week) AS step, 0.0::DOUBLE AS weekly_return, 1.0::DOUBLE AS index_value FROM bk WHERE week > DATE '1999-12-31'")
 def r06(t: Tables) -> DataFrame:
-    return t.spark.range(1, 53).select(F.col("id").alias("step"), F.lit(0.0).alias("weekly_return"), F.lit(1.0).alias("index_value"))
+    """No return in each week after the origin, on the calendar of what is forecast."""
+    ahead = X.basket(t).filter(F.col("week") > F.lit("1999-12-31").cast("date")).select("week")
+    return ahead.select("week", F.row_number().over(Window.orderBy("week")).cast("long").alias("step"), F.lit(0.0).alias("weekly_return"), F.lit(1.0).alias("index_value"))  # a row a week
 
 
-_G = f"WITH {X.BK}, m AS (SELECT avg(basket_return) AS mu, stddev_samp(basket_return) AS sd FROM bk), {GRID.format(100, 26)}, p AS (SELECT walk, step, mu + sd * {normal_sql(chr(39) + '52:gauss:' + chr(39) + ' || walk || ' + chr(39) + ':' + chr(39) + ' || step')} AS r FROM g, m), q AS (SELECT walk, step, exp(least(greatest(sum(r) OVER (PARTITION BY walk ORDER BY step ROWS UNBOUNDED PRECEDING), -80.0::DOUBLE), 80.0::DOUBLE)) AS lvl FROM p)"
+_G = f"WITH {X.BK}, m AS (SELECT avg(basket_return) AS mu, stddev_samp(basket_return) AS sd FROM bk), {FIXED.format(100, 26)}, p AS (SELECT walk, step, mu + sd * {normal_sql(chr(39) + '52:gauss:' + chr(39) + ' || walk || ' + chr(39) + ':' + chr(39) + ' || step')} AS r FROM g, m), q AS (SELECT walk, step, exp(least(greatest(sum(r) OVER (PARTITION BY walk ORDER BY step ROWS UNBOUNDED PRECEDING), -80.0::DOUBLE), 80.0::DOUBLE)) AS lvl FROM p)"
 
 
 def gaussian_paths(t: Tables) -> DataFrame:
@@ -196,10 +220,15 @@ def r10(t: Tables) -> DataFrame:
     return m.agg(r6(F.avg("msd")).alias("mean"), r6(F.stddev_samp("msd")).alias("deviation"), F.count("*").alias("seeds"))
 
 
-@query("s20_synthetic_panel", f"WITH g AS (SELECT s, w FROM (SELECT unnest(range(0, 40)) AS s) CROSS JOIN (SELECT unnest(range(0, 60)) AS w)), f AS (SELECT w, k, {normal_sql(chr(39) + '52:f:' + chr(39) + ' || w || ' + chr(39) + ':' + chr(39) + ' || k')} AS f FROM (SELECT unnest(range(0, 60)) AS w) CROSS JOIN (SELECT unnest(range(0, 3)) AS k)), l AS (SELECT s, k, {normal_sql(chr(39) + '52:l:' + chr(39) + ' || s || ' + chr(39) + ':' + chr(39) + ' || k')} AS l FROM (SELECT unnest(range(0, 40)) AS s) CROSS JOIN (SELECT unnest(range(0, 3)) AS k)), m AS (SELECT s, w, sum(f * l) AS common FROM f JOIN l USING (k) GROUP BY 1, 2) SELECT s, w, CASE WHEN {U(chr(39) + '52:miss:' + chr(39) + ' || s || ' + chr(39) + ':' + chr(39) + ' || w')} >= 0.015 THEN round(0.01 * common + 0.02 * {normal_sql(chr(39) + '52:e:' + chr(39) + ' || s || ' + chr(39) + ':' + chr(39) + ' || w')}, 6) END AS log_return FROM m")
+_S20 = f"{X.BK}, f AS (SELECT week, k, {normal_sql(chr(39) + '52:f:' + chr(39) + ' || week || ' + chr(39) + ':' + chr(39) + ' || k')} AS f FROM bk CROSS JOIN (SELECT unnest(range(0, 3)) AS k)), l AS (SELECT s_suppkey, k, {normal_sql(chr(39) + '52:l:' + chr(39) + ' || s_name || ' + chr(39) + ':' + chr(39) + ' || k')} AS l FROM supplier CROSS JOIN (SELECT unnest(range(0, 3)) AS k)), m AS (SELECT s_suppkey, week, sum(f * l) AS common FROM f JOIN l USING (k) GROUP BY 1, 2)"
+
+
+@query("s20_synthetic_panel", f"WITH {_S20} SELECT s_suppkey, week, CASE WHEN {U(chr(39) + '52:miss:' + chr(39) + ' || s_name || ' + chr(39) + ':' + chr(39) + ' || week')} >= 0.015 THEN round(0.01 * common + 0.02 * {normal_sql(chr(39) + '52:e:' + chr(39) + ' || s_name || ' + chr(39) + ':' + chr(39) + ' || week')}, 6) END AS log_return FROM m JOIN supplier USING (s_suppkey)")
 def s20(t: Tables) -> DataFrame:
-    """Factors x loadings and noise, 1.5 % missing: each cell from its own counters."""
-    s, w = F.col("s"), F.col("w")
-    g = t.spark.range(40).select(F.col("id").alias("s"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(59).cast("long"))).alias("w"))
-    common = sum((normal(52, "f", w, k) * normal(52, "l", s, k) for k in range(1, 3)), normal(52, "f", w, 0) * normal(52, "l", s, 0))
-    return g.select("s", "w", F.when(uniform(52, "miss", s, w) >= 0.015, r6(0.01 * common + 0.02 * normal(52, "e", s, w))).alias("log_return"))
+    """Factors x loadings and noise, 1.5 % missing, of each supplier in each week of the calendar: each cell from its own counters, factors and loadings made once each."""
+    of = lambda name, key: F.array(*(normal(52, name, key, k) for k in range(3)))
+    weeks = X.basket(t).select("week", of("f", F.col("week")).alias("f"))  # a row a week
+    cells = t.supplier.select("s_suppkey", "s_name", of("l", F.col("s_name")).alias("l")).crossJoin(F.broadcast(weeks))
+    common = sum((F.col("f")[k] * F.col("l")[k] for k in (1, 2)), F.col("f")[0] * F.col("l")[0])
+    seen = uniform(52, "miss", F.col("s_name"), F.col("week")) >= 0.015
+    return cells.select("s_suppkey", "week", F.when(seen, r6(0.01 * common + 0.02 * normal(52, "e", F.col("s_name"), F.col("week")))).alias("log_return"))

@@ -232,9 +232,9 @@ def m02(t: Tables) -> DataFrame:
     return X.user_paths(t).groupBy("user_id").agg(r6(F.stddev_pop("r") * math.sqrt(52)).alias("volatility"), r6(F.expm1(F.sum("r"))).alias("total"))
 
 
-@query("m03_wrap_angle", "SELECT a, a - 360 * ceil((a - 180) / 360) AS wrapped FROM (SELECT CAST(unnest(generate_series(-1000, 1000, 5)) AS DOUBLE) AS a)")
+@query("m03_wrap_angle", "SELECT event_id, a, a - 360 * ceil((a - 180) / 360) AS wrapped FROM (SELECT event_id, floor(value * 16) - 1000 AS a FROM events)")
 def m03(t: Tables) -> DataFrame:
-    a = t.spark.range(-1000, 1001, 5).select(F.col("id").cast("double").alias("a"))
+    a = t.events.select("event_id", (F.floor(F.col("value") * 16) - 1000).cast("double").alias("a"))
     return a.withColumn("wrapped", F.col("a") - 360 * F.ceil((F.col("a") - 180) / 360))
 
 
@@ -243,10 +243,14 @@ def m04(t: Tables) -> DataFrame:
     return t.events.select("event_id", r6(F.sin("value"), 9).alias("s"), r6(F.cos("value"), 9).alias("c"), r6(F.degrees(F.atan("value")), 9).alias("d"))
 
 
-@query("m05_warmup_cosine", "SELECT step, round(CASE WHEN step < 50 THEN (step + 1) / 50.0::DOUBLE ELSE 0.5 * (1 + cos(pi() * (step - 50) / 450.0::DOUBLE)) END, 9) AS multiplier FROM (SELECT unnest(range(0, 500)) AS step)")
+@query("m05_warmup_cosine", f"WITH {X.UP}, k AS (SELECT user_id, step - 1 AS step, CAST(greatest(ceil(0.1::DOUBLE * n), 1) AS BIGINT) AS warm, n FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM up)) SELECT user_id, step, round(CASE WHEN step < warm THEN (step + 1) / CAST(warm AS DOUBLE) ELSE 0.5 * (1 + cos(pi() * (step - warm) / greatest(n - warm, 1))) END, 9) AS multiplier FROM k")
 def m05(t: Tables) -> DataFrame:
-    s = F.col("step")
-    return t.spark.range(500).withColumnRenamed("id", "step").select("step", r6(F.when(s < 50, (s + 1) / 50).otherwise(0.5 * (1 + F.cos(math.pi * (s - 50) / 450))), 9).alias("multiplier"))
+    """A schedule a user, over as many steps as it has: linear for the first tenth, then a half cosine."""
+    n = F.count("*").over(Window.partitionBy("user_id"))
+    k = X.user_paths(t).select("user_id", (F.col("step") - 1).cast("long").alias("step"), n.alias("n")).withColumn("warm", F.greatest(F.ceil(F.lit(0.1) * F.col("n")), F.lit(1)))
+    s, warm = F.col("step"), F.col("warm")
+    later = 0.5 * (1 + F.cos(math.pi * (s - warm) / F.greatest(F.col("n") - warm, F.lit(1))))
+    return k.select("user_id", "step", r6(F.when(s < warm, (s + 1) / warm).otherwise(later), 9).alias("multiplier"))
 
 
 @query("m06_bounds_and_softmax", "WITH m AS (SELECT user_id, avg(value) / 100 AS x FROM events GROUP BY 1) SELECT user_id, round(1 / (1 + exp(-x)), 9) AS sigmoid, round(tanh(x), 9) AS bounded, round(exp(x) / sum(exp(x)) OVER (), 9) AS softmax FROM m")

@@ -72,10 +72,16 @@ def f23(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.format_string("%.2f%%", F.col("value") / 7).alias("percent"), F.format_string("%.4f", F.col("value") / 3).alias("decimals"))
 
 
-@query("p18_number_cleanup", "SELECT x, CASE WHEN regexp_matches(y, '^\\(.*\\)$') THEN -TRY_CAST(regexp_replace(y, '[()]', '', 'g') AS DOUBLE) ELSE TRY_CAST(y AS DOUBLE) END AS v FROM (SELECT x, trim(regexp_replace(x, '[,$%— ]', '', 'g')) AS y FROM (VALUES ('1,234.5'), ('(12.5)'), ('—'), ('$ 3'), ('7.25%'), ('abc'), ('')) v(x))")
+_CELL = "CASE o_orderstatus WHEN 'P' THEN '(' || format('{:,.2f}', o_totalprice) || ')' WHEN 'F' THEN '$ ' || format('{:,.2f}', o_totalprice) ELSE CASE WHEN o_orderpriority LIKE '%LOW' THEN '—' WHEN o_orderpriority LIKE '1%' THEN o_orderpriority ELSE format('{:.2f}', o_totalprice) || '%' END END"
+
+
+@query("p18_number_cleanup", f"SELECT o_orderkey, CASE WHEN regexp_matches(y, '^\\(.*\\)$') THEN -TRY_CAST(regexp_replace(y, '[()]', '', 'g') AS DOUBLE) ELSE TRY_CAST(y AS DOUBLE) END AS v FROM (SELECT o_orderkey, trim(regexp_replace({_CELL}, '[,$%— ]', '', 'g')) AS y FROM orders)")
 def p18(t: Tables) -> DataFrame:
-    v = t.spark.createDataFrame([(x,) for x in ("1,234.5", "(12.5)", "—", "$ 3", "7.25%", "abc", "")], "x string")
-    return v.withColumn("v", text.number(F.col("x")))
+    """Prices as they would be written: with separators, in brackets, with signs of money, dashes and words for none."""
+    price, kind = F.format_string("%,.2f", "o_totalprice"), F.col("o_orderpriority")
+    open_ = F.when(kind.endswith("LOW"), "—").when(kind.startswith("1"), kind).otherwise(F.format_string("%.2f%%", "o_totalprice"))
+    cell = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("("), price, F.lit(")"))).when(F.col("o_orderstatus") == "F", F.concat(F.lit("$ "), price)).otherwise(open_)
+    return t.orders.select("o_orderkey", text.number(cell).alias("v"))
 
 
 _COD = ", ".join(f"('{c}', '{a}')" for c, a in Q.codons())
@@ -100,28 +106,37 @@ def f16(t: Tables) -> DataFrame:
 _SHORT = ", ".join(f"('{a}', '{b}')" for a, b in Q.SHORT.items())
 
 
-@query("f17_short_names", f"SELECT p AS peptide, string_agg(abbr, '-' ORDER BY i) AS names FROM (SELECT p, i, p[i] AS letter FROM (VALUES ('MDQFQL'), ('MASS'), ('VKLFPWFNQY')) v(p), unnest(range(1, length(p) + 1)) u(i)) JOIN (VALUES {_SHORT}) s(letter, abbr) USING (letter) GROUP BY 1")
+_LETTERS = f"{_RNA}, cd(codon, letter) AS (VALUES {_COD}), p AS (SELECT doc_id, substr(r, pos0) AS s FROM rn WHERE pos0 > 0), k AS (SELECT doc_id, i, s[3 * i + 1:3 * i + 3] AS codon FROM p, unnest(range(0, CAST(floor(length(s) / 3) AS BIGINT))) u(i)), l AS (SELECT k.doc_id, k.i, cd.letter, min(CASE WHEN cd.letter = 'X' THEN k.i END) OVER (PARTITION BY doc_id) AS stop FROM k JOIN cd USING (codon)), z AS (SELECT doc_id, i, letter FROM l WHERE stop IS NULL OR i < stop), fs AS (SELECT doc_id, letter, min(i) AS i FROM z GROUP BY 1, 2)"
+
+
+def _tails(t: Tables) -> DataFrame:
+    return f15(t).filter("tail is not null")
+
+
+@query("f17_short_names", f"WITH {_LETTERS} SELECT doc_id, string_agg(abbr, '-' ORDER BY i) AS names FROM z JOIN (VALUES {_SHORT}) s(letter, abbr) USING (letter) GROUP BY 1")
 def f17(t: Tables) -> DataFrame:
-    v = t.spark.createDataFrame([(x,) for x in ("MDQFQL", "MASS", "VKLFPWFNQY")], "peptide string")
-    table = F.create_map(*(F.lit(x) for pair in Q.SHORT.items() for x in pair))
-    return v.withColumn("names", F.array_join(F.transform(F.filter(F.split("peptide", ""), lambda c: c != ""), lambda c: F.element_at(table, c)), "-"))
+    """Of the proteins that all documents spell; those without a letter have no names."""
+    return _tails(t).select("doc_id", Q.short_names(F.col("tail")).alias("names")).filter("names <> ''")
 
 
-@query("f18_first_seen_letters", f"SELECT letter, min(codon) AS first_codon FROM (VALUES {_COD}) v(codon, letter) WHERE letter <> 'X' GROUP BY 1")
+@query("f18_first_seen_letters", f"WITH {_LETTERS} SELECT doc_id, string_agg(letter, '' ORDER BY i) AS letters FROM fs GROUP BY 1")
 def f18(t: Tables) -> DataFrame:
-    v = t.spark.createDataFrame(Q.codons(), "codon string, letter string").filter("letter <> 'X'")
-    return v.groupBy("letter").agg(F.min("codon").alias("first_codon"))
+    """The letters of each document's protein in the order in which they are first seen; stops are no letters."""
+    return _tails(t).select("doc_id", F.array_join(F.array_distinct(Q.letters(F.col("tail"))), "").alias("letters")).filter("letters <> ''")
 
 
-@query("a30_codon_multiplicity", f"SELECT letter, count(*) AS n FROM (VALUES {_COD}) v(codon, letter) GROUP BY 1")
+@query("a30_codon_multiplicity", f"WITH {_LETTERS} SELECT letter, count(DISTINCT codon) AS spellings, count(*) AS n FROM k JOIN cd USING (codon) GROUP BY 1")
 def a30(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(Q.codons(), "codon string, letter string").groupBy("letter").agg(F.count("*").alias("n"))
+    """By how many codons each letter is spelled over all documents, stops included, and how often."""
+    table = F.create_map(*(F.lit(x) for pair in Q.codons() for x in pair))
+    k = _tails(t).select(F.explode(Q.chunks(F.col("tail"), 3)).alias("codon")).groupBy("codon").agg(F.count("*").alias("n"))  # 64 at most
+    return k.withColumn("letter", F.try_element_at(table, F.col("codon"))).filter("letter is not null").groupBy("letter").agg(F.count("*").alias("spellings"), F.sum("n").alias("n"))
 
 
-@query("a31_encoding_count", f"WITH m AS (SELECT letter, count(*) AS n FROM (VALUES {_COD}) v(codon, letter) GROUP BY 1) SELECT p AS peptide, CAST(round(product(n)) AS BIGINT) AS ways FROM (SELECT p, p[i] AS letter FROM (VALUES ('MA'), ('MASS'), ('VKLFPWFNQY')) v(p), unnest(range(1, length(p) + 1)) u(i)) JOIN m USING (letter) GROUP BY 1")
+@query("a31_encoding_count", f"WITH {_LETTERS}, m AS (SELECT letter, count(*) AS n FROM cd GROUP BY 1) SELECT doc_id, string_agg(letter, '' ORDER BY i) AS peptide, CAST(round(product(n)) AS BIGINT) AS ways FROM fs JOIN m USING (letter) GROUP BY 1")
 def a31(t: Tables) -> DataFrame:
-    v = t.spark.createDataFrame([(x,) for x in ("MA", "MASS", "VKLFPWFNQY")], "peptide string")
-    return v.withColumn("ways", Q.encodings(F.col("peptide")))
+    """In how many ways DNA can spell the peptide of each document's letters, each once, in the order of their first place."""
+    return f18(t).select("doc_id", F.col("letters").alias("peptide"), Q.encodings(F.col("letters")).alias("ways"))
 
 
 @query("f19_bits", "SELECT event_id, v, array_to_string(list_transform(range(6, -1, -1), lambda k: (v >> k) & 1), '') AS bits FROM (SELECT event_id, CAST(floor(value) AS BIGINT) % 128 AS v FROM events)")
@@ -201,10 +216,11 @@ def s15(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", text.snapshot_date(x).alias("snapshot"))
 
 
-@query("s22_codon_lines", f"SELECT codon, letter FROM (VALUES {_COD}) v(codon, letter)")
+@query("s22_codon_lines", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), f AS (SELECT doc_id, regexp_extract(trim(line), '^([^ \\t\\f\\r]*)[ \\t\\f\\r]+([^ \\t\\f\\r]+)[ \\t\\f\\r]+([^ \\t\\f\\r]+)[ \\t\\f\\r]+(.*)$', ['codon', 'abbr', 'letter', 'name']) AS f FROM l) SELECT doc_id, f.codon AS codon, f.abbr AS abbr, f.letter AS letter, f.name AS name FROM f WHERE f.letter <> ''")
 def s22(t: Tables) -> DataFrame:
-    lines = t.spark.createDataFrame([(f"{c} {Q.SHORT.get(a, 'Stp')}  {a} name",) for c, a in Q.codons()], "value string")
-    return files.codon_lines(lines).select("codon", "letter")
+    """All lines of all documents with four fields or more, the last field being the rest of the line."""
+    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("value"))
+    return files.codon_lines(lines, keep=["doc_id"])
 
 
 @query("s27_file_types", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'csv' WHEN regexp_extract(lower(url), '\\.(csv|xlsx|xls|json|zip|txt|html)\\b', 1) <> '' THEN regexp_extract(lower(url), '\\.(csv|xlsx|xls|json|zip|txt|html)\\b', 1) WHEN page_id % 3 = 1 THEN 'html' ELSE 'bin' END AS type FROM pages")

@@ -47,7 +47,7 @@ def array_bundle(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.transform(pairs, lambda p: p[value]).alias("values"))
 
 
-def codon_lines(df: DataFrame, column: str = "value") -> DataFrame:
-    """Lines of four fields: codon, abbreviation, letter, name."""
+def codon_lines(df: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """Lines of four fields: codon, abbreviation, letter, name, which is the rest of the line; and the columns to keep. Lines of fewer fields go."""
     parts = F.split(F.trim(column), r"\s+", 4)
-    return df.filter(F.size(parts) == 4).select(*(parts[i].alias(n) for i, n in enumerate(("codon", "abbr", "letter", "name"))))
+    return df.filter(F.size(parts) == 4).select(*keep, *(parts[i].alias(n) for i, n in enumerate(("codon", "abbr", "letter", "name"))))
