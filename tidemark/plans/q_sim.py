@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.rng import normal, normal_sql, uniform, uniform_sql
-from tidemark.operators import order
+from tidemark.operators import evaluate
 from tidemark.operators import simulate as S
+from tidemark.operators.stats import LEVELS
 from tidemark.plans import fixtures as X
 from tidemark.plans.registry import Tables, query
 
@@ -186,7 +187,7 @@ def gaussian_paths(t: Tables) -> DataFrame:
 
 @query("r06_gaussian_benchmark", _G + " SELECT step, round(quantile_cont(lvl, 0.1), 5) AS q10, round(median(lvl), 5) AS q50, round(quantile_cont(lvl, 0.9), 5) AS q90 FROM q GROUP BY 1")
 def r06g(t: Tables) -> DataFrame:
-    q = order.quantiles(gaussian_paths(t), ["step"], "lvl", (0.1, 0.5, 0.9))
+    q = gaussian_paths(t).groupBy("step").agg(F.percentile("lvl", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"))  # of as many values as there are paths
     return q.select("step", *(r6(F.col("q")[i], 5).alias(n) for i, n in enumerate(("q10", "q50", "q90"))))
 
 
@@ -197,9 +198,9 @@ def r08(t: Tables) -> DataFrame:
     a = X.basket(t).filter(F.col("week") > F.lit("2000-12-29").cast("date"))
     a = a.select(F.row_number().over(w).cast("long").alias("step"), F.exp(F.sum(F.coalesce("basket_return", F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("actual"))
     s = gaussian_paths(t).join(F.broadcast(a), "step")
-    m = s.groupBy("step").agg(F.max("actual").alias("actual"), F.avg((F.col("lvl") <= F.col("actual")).cast("double")).alias("p"))
-    m = m.join(order.quantiles(s, ["step"], "lvl", [0.5]).select("step", F.col("q")[0].alias("m")), "step")
-    return m.join(order.crps(s, ["step"], "lvl", "actual"), "step").select("step", r6("actual", 5).alias("actual"), r6("m", 5).alias("median_index"), r6("p", 5).alias("actual_percentile"), r6("crps", 5).alias("crps"))
+    each = s.groupBy("step", "actual").agg(F.collect_list("lvl").alias("samples"))  # as many as there are paths
+    got = evaluate.scored(each, "samples", "actual")
+    return got.select("step", r6("actual", 5).alias("actual"), r6(F.col("q")[LEVELS.index(0.5)], 5).alias("median_index"), r6("percentile", 5).alias("actual_percentile"), r6("crps", 5).alias("crps"))
 
 
 @query("r07_rolling_one_step", f"WITH {X.BK}, c AS (SELECT week, basket_return AS y, avg(basket_return) OVER w AS mu, stddev_samp(basket_return) OVER w AS sd, count(basket_return) OVER w AS n FROM bk WINDOW w AS (ORDER BY week ROWS BETWEEN 52 PRECEDING AND 1 PRECEDING)), s AS (SELECT week, y, mu + sd * {normal_sql(chr(39) + '52:' + chr(39) + ' || strftime(week, ' + chr(39) + '%Y-%m-%d' + chr(39) + ') || ' + chr(39) + ':' + chr(39) + ' || k')} AS x FROM c CROSS JOIN (SELECT unnest(range(0, 50)) AS k) WHERE n >= 26 AND y IS NOT NULL AND week > DATE '2000-12-29') SELECT week, round(median(x), 5) AS median_return, round(avg(CASE WHEN x <= y THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 5) AS percentile, sign(median(x)) = sign(y) AS direction_correct FROM s GROUP BY week, y")
