@@ -45,3 +45,19 @@ def test_no_limit_by_length_of_words(spark):
     rows = [(1, base[:-1]), (2, base), (3, base + "g"), (4, base + "gh")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in lines.deduplicate_lines(df).collect()} == {1: base[:-1], 2: "", 3: "", 4: ""}
+
+
+def test_a_text_of_very_many_lines(spark):
+    """Removal is linear in a text's lines: 100,000 of them, most repeated, in seconds; and a line of a MB beside them."""
+    import time
+
+    many = "\n".join(f"line number {i % 500} of the log that goes on and on" if i % 3 else f"{i * 7919}" for i in range(100_000))
+    long_ = " ".join(f"w{i * 31 % 9973}" for i in range(150_000))
+    df = spark.createDataFrame([(1, many), (2, long_), (3, long_ + "\nshort")], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in lines.deduplicate_lines(df, count_as="n").collect()}
+    assert time.time() - began < 90
+    left = got[1]["text"].split("\n")
+    assert len(left) + got[1]["n"] == 100_000 and len(set(left)) == len(left) and left[:3] == many.split("\n")[:3]
+    assert left == [x for x in dict.fromkeys(many.split("\n")) if x in set(left)]
+    assert got[2]["text"] == long_ and got[3]["text"] == "short"

@@ -1,6 +1,6 @@
 """Line dedup: fuzzy lines by MinHash, in DataFrame operations only.
 
-1. Lines are trimmed and put in lower case, and told by their hash. A line's set is that of its character shingles: ``SHINGLE`` characters from every
+1. Lines are trimmed and put in lower case, and told by their hash. A line's set is that of its character shingles: ``SHINGLE`` characters (UTF-16 units: those beyond the basic plane are two) from every
    place, for all lines alike; a shorter line is one shingle. Its signature is made of the shingles' hashes: sorted, they are cut into ``BANDS`` parts of
    the hash space, and the first ``ROWS`` hashes from each part's start on are one band, so a band is shared with a probability of J ** ROWS. Lines of
    Jaccard similarity 0.8 share at least one with a probability of 0.98, of 0.9 with 0.9999, of 0.5 with 0.27.
@@ -164,7 +164,8 @@ def line_classes(table: Table, similar: float = SIMILAR) -> DataFrame:
 def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """(id, digest, gone) of the documents that lose lines: their numbers from 0. digest: xxhash64 of the text."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).filter(F.col("t").isNotNull())
-    lines = docs.select("id", F.xxhash64("t").alias("digest"), F.posexplode(F.split("t", "\n")).alias("pos", "raw"))
+    docs = docs.withColumn("digest", F.xxhash64("t"))  # below the explosion, or each line would hash its whole text
+    lines = docs.select("id", "digest", F.posexplode(F.split("t", "\n")).alias("pos", "raw"))
     lines = lines.select("id", "digest", "pos", normal(F.col("raw")).alias("norm")).filter("norm <> ''").withColumn("line", F.xxhash64("norm"))
     place = F.struct("id", "digest", "pos")
     distinct = lines.groupBy("line").agg(F.first("norm").alias("norm"), F.min(place).alias("first"), F.max(place).alias("last"))
@@ -188,7 +189,8 @@ def deduplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gone = gone.select(F.col("id").alias(i), F.col("digest").alias(d), F.col("gone").alias(g))
     rows = base.withColumn(h, F.xxhash64(text_col))
     joined = rows.join(gone, rows[id_col].eqNullSafe(gone[i]) & (F.col(h) == F.col(d)), "left")
-    left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, n: ~F.array_contains(F.col(g), n)), "\n")
+    # The places that stay are told by a set, and the text is cut once: linear in a text's lines.
+    left = _let(F.split(F.col(text_col), "\n"), lambda parts: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(g)), lambda n: F.get(parts, n)), "\n"))
     text = F.when(F.col(g).isNotNull(), left).otherwise(F.col(text_col))
     count = [F.coalesce(F.size(g), F.lit(0)).cast("long").alias(count_as)] if count_as else []
     return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in base.columns), *count)
