@@ -35,13 +35,14 @@ def words(text: Column) -> Column:
 def bucket_array(some: Column, low: int, high: int, buckets: int) -> Column:
     """The bucket of each run of ``low`` to ``high`` words."""
     bucket = lambda gram: F.pmod(F.crc32(gram.cast("binary")), F.lit(buckets)).cast("int")
-    runs = []
-    for n in range(low, high + 1):
+
+    def of(n: int) -> Column:
         if n == 1:
-            runs.append(F.transform(some, bucket))
-        else:
-            starts = F.when(F.size(some) >= n, F.sequence(F.lit(1), F.size(some) - (n - 1))).otherwise(F.array().cast("array<int>"))
-            runs.append(F.transform(starts, lambda i, n=n: bucket(F.array_join(F.slice(some, i, n), " "))))
+            return F.transform(some, bucket)
+        starts = F.when(F.size(some) >= n, F.sequence(F.lit(1), F.size(some) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: bucket(F.array_join(F.slice(some, i, n), " ")))
+
+    runs = [of(n) for n in range(low, high + 1)]
     return runs[0] if len(runs) == 1 else F.concat(*runs)
 
 
