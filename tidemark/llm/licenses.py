@@ -1,7 +1,8 @@
 """Licence scans by sentence rules.
 
 A text is normalised (lower case, all but letters, digits and sentence ends to a space) and split into sentences; sentences that
-are known become identifiers, the rest is left out; a rule matches where its identifiers stand in this order. A text is
+are known become identifiers, the rest is left out; a rule matches where its identifiers stand in this order, unless one that it excludes stands anywhere. Sentences with places for names (holders, organisations) are
+told by patterns, and SPDX lines are taken apart at OR, AND and WITH, each part being a line of its own. A text is
 read twice, with line ends as sentence ends and with line ends as spaces (blank lines as sentence ends), so that both bare licence lines and wrapped
 paragraphs are recognised. All of it is row by row, in Spark's own expressions: no shuffle, no Python.
 
@@ -94,19 +95,53 @@ TEXTS = [
     ("epl-2-notice", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
     ("epl-2-title", "Eclipse Public License - v 2.0"),
     ("artistic-2-title", "The Artistic License 2.0"),
+    ("gfdl-13-later", "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation"),
+    ("gfdl-13-later", "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation; with no Invariant Sections, no Front-Cover Texts, and no Back-Cover Texts."),
+    ("gfdl-12-later", "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.2 or any later version published by the Free Software Foundation; with no Invariant Sections, no Front-Cover Texts, and no Back-Cover Texts."),
+    ("ofl-11-notice", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
+    ("ofl-11-title", "SIL OPEN FONT LICENSE Version 1.1 - 26 February 2007"),
+    ("eupl-12-notice", "Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL"),
+    ("cddl-1-title", "COMMON DEVELOPMENT AND DISTRIBUTION LICENSE (CDDL) Version 1.0"),
+    ("cddl-1-notice", "The contents of this file are subject to the terms of the Common Development and Distribution License (the 'License')."),
+    ("epl-1-notice", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution"),
+    ("epl-1-title", "Eclipse Public License - v 1.0"),
+    ("ms-pl-title", "Microsoft Public License (Ms-PL)"),
+    ("postgresql-grant", "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies."),
+    ("psf-2-title", "PYTHON SOFTWARE FOUNDATION LICENSE VERSION 2"),
+    ("mpl-11-notice", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the 'License'); you may not use this file except in compliance with the License."),
+    ("osl-3-notice", "Licensed under the Open Software License version 3.0"),
+    ("afl-3-notice", "Licensed under the Academic Free License version 3.0"),
+    ("blue-oak-title", "Blue Oak Model License Version 1.0.0"),
+    ("wtfpl-title", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE Version 2, December 2004"),
     ("all-rights-reserved", "All rights reserved."),
 ]
-#: Licences and their ordered sentence identifiers, from the most telling rule to the least.
+#: Sentences with places for names, as patterns of whole normalised sentences; the first that fits counts. A full stop within a name ends a sentence, so what follows the name is enough.
+SLOTS = [
+    ("bsd-names", "(.* )?nor (the )?names? of (its|their|the|other) contributors may be used to endorse or promote products derived from this software without( specific)?( prior)? written permission"),
+    ("bsd-names", "(3 )?neither the names? of .* may be used to endorse or promote products derived from this software without( specific)?( prior)? written permission"),
+    ("bsd-names", "(3 )?the names? of .* may not be used to endorse or promote products derived from this software without( specific)?( prior)? written permission"),
+    ("bsd-other-clause", ".*(endorse or promote|advertising materials|may not be called|nor may ).*"),
+    ("bsd-as-is", "this software is provided by .* as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("isc-grant", "permission to use copy modify (and or |and )?distribute this software (and its documentation )?for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("apache-2-or-mit", "(.* )?apache license version 2[.]0( .*)? or (the )?mit license( .*)?"),
+    ("apache-2-or-mit", "(.* )?mit license( .*)? or (the )?apache license version 2[.]0( .*)?"),
+    ("mit-notice", "(.* )?(licensed|released|distributed|available) under (the )?(terms of )?(the )?mit license( .*)?"),
+    ("apache-2-notice", "(.* )?(licensed|released|distributed|available) under (the )?(terms of )?(the )?apache license version 2[.]0( .*)?"),
+]
+SPDX = "spdx license identifier "
+#: Licences and their ordered sentence identifiers, from the most telling rule to the least; and, for some, identifiers that speak against them.
 RULES = [
     ("MIT", ["mit-grant", "mit-keep", "mit-as-is", "mit-liability"]),
     ("MIT", ["mit-grant", "mit-keep", "mit-as-is"]),
     ("MIT", ["mit-title", "mit-grant"]),
     ("MIT", ["mit-notice"]),
+    ("MIT", ["apache-2-or-mit"]),
     ("Apache-2.0", ["apache-2-title", "apache-2-terms", "apache-2-grant"]),
     ("Apache-2.0", ["apache-2-notice", "apache-2-comply", "apache-2-obtain"]),
     ("Apache-2.0", ["apache-2-notice", "apache-2-obtain", "apache-2-unless", "apache-2-see"]),
     ("Apache-2.0", ["apache-2-notice"]),
     ("Apache-2.0", ["apache-2-title", "apache-2-terms"]),
+    ("Apache-2.0", ["apache-2-or-mit"]),
     ("AGPL-3.0-or-later", ["agpl-3-later"]),
     ("AGPL-3.0-only", ["agpl-3-title", "gnu-verbatim", "agpl-3-preamble"]),
     ("GPL-3.0-or-later", ["gpl-3-later", "gpl-no-warranty"]),
@@ -126,7 +161,7 @@ RULES = [
     ("BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
     ("BSD-3-Clause", ["bsd-3-notice"]),
-    ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"], ["bsd-names", "bsd-advertising", "bsd-other-clause"]),
     ("BSD-2-Clause", ["bsd-2-notice"]),
     ("MPL-2.0", ["mpl-2-notice"]),
     ("MPL-2.0", ["mpl-2-title"]),
@@ -141,6 +176,23 @@ RULES = [
     ("Artistic-2.0", ["artistic-2-title"]),
     ("CC0-1.0", ["cc0-notice"]),
     ("CC0-1.0", ["cc0-waiver"]),
+    ("GFDL-1.3-or-later", ["gfdl-13-later"]),
+    ("GFDL-1.2-or-later", ["gfdl-12-later"]),
+    ("OFL-1.1", ["ofl-11-notice"]),
+    ("OFL-1.1", ["ofl-11-title"]),
+    ("EUPL-1.2", ["eupl-12-notice"]),
+    ("CDDL-1.0", ["cddl-1-title"]),
+    ("CDDL-1.0", ["cddl-1-notice"]),
+    ("EPL-1.0", ["epl-1-notice"]),
+    ("EPL-1.0", ["epl-1-title"]),
+    ("MS-PL", ["ms-pl-title"]),
+    ("PostgreSQL", ["postgresql-grant"]),
+    ("PSF-2.0", ["psf-2-title"]),
+    ("MPL-1.1", ["mpl-11-notice"]),
+    ("OSL-3.0", ["osl-3-notice"]),
+    ("AFL-3.0", ["afl-3-notice"]),
+    ("BlueOak-1.0.0", ["blue-oak-title"]),
+    ("WTFPL", ["wtfpl-title"]),
     ("LicenseRef-All-Rights-Reserved", ["all-rights-reserved"]),
 ]
 #: The parts of Creative Commons licences.
@@ -153,7 +205,7 @@ def normal_sentence(text: str) -> str:
     return re.sub(r"(?<![a-z0-9.])v\. (?=[0-9])", "v ", plain).rstrip(".!? ")
 
 
-def _with_notices() -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
+def _with_notices() -> tuple[dict[str, str], list[tuple]]:
     """The sentences and rules above, and those that are made by rule: Creative Commons notices and SPDX lines."""
     known, rules = {normal_sentence(t): i for i, t in TEXTS}, list(RULES)
     for part, name in DEEDS.items():
@@ -163,7 +215,7 @@ def _with_notices() -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
             for t in (f"Licensed under {short}", f"This work is licensed under {short}", f"This work is licensed under a Creative Commons {name} {version} {scope} License", f"This work is licensed under the Creative Commons {name} {version} {scope} License"):
                 known[normal_sentence(t)] = i
             rules.insert(len(rules) - 1, (f"CC-{part.upper()}-{version}", [i]))
-    for name in dict.fromkeys(n for n, _ in rules if not n.startswith("LicenseRef")):
+    for name in dict.fromkeys(n for n, *_ in rules if not n.startswith("LicenseRef")):
         known[normal_sentence(f"SPDX-License-Identifier: {name}")] = f"spdx-{name.lower()}"
         rules.insert(len(rules) - 1, (name, [f"spdx-{name.lower()}"]))
     return known, rules
@@ -173,13 +225,13 @@ SENTENCES, ALL_RULES = _with_notices()
 
 
 def telling_words(known: dict[str, str]) -> list[str]:
-    """A few words of which every known sentence has one: long ones that cover many sentences first, as they are rare in other texts."""
+    """A few words of which every known sentence has one: long ones that cover many sentences first, as they are rare in other texts. Those with places for names have one of the last."""
     left, words = [set(re.findall("[a-z]{5,}", s)) or {s} for s in known], []
     while left:
         best = min({w for s in left for w in s}, key=lambda w: (-sum(w in s for s in left) * len(w) ** 3, w))
         words.append(best)
         left = [s for s in left if best not in s]
-    return words
+    return list(dict.fromkeys([*words, "license", "software", "advertising"]))
 
 
 def sentence_ids(plain: Column, wrapped: bool, known: dict[str, str] = SENTENCES) -> Column:
@@ -188,13 +240,28 @@ def sentence_ids(plain: Column, wrapped: bool, known: dict[str, str] = SENTENCES
     folded = F.regexp_replace(folded, r"(^|[^a-z0-9.])v\. ?([0-9])", "$1v $2")  # v. 2.0 is no sentence end
     sentences = F.transform(F.split(F.regexp_replace(folded, r"[.!?]+( |\n|$)", "\n"), "\n"), lambda s: F.trim(s))
     table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
-    return F.array_compact(F.transform(sentences, lambda s: F.try_element_at(table, s)))
+
+    def slot(s: Column) -> Column:
+        out = F.when(F.lit(False), "")
+        for name, pattern in SLOTS:
+            out = out.when(s.rlike(f"^({pattern})$"), name)
+        return out
+
+    parts = lambda s: F.transform(F.split(F.substring(s, len(SPDX) + 1, 1 << 20), " (?:or|and|with) "), lambda p: F.try_element_at(table, F.concat(F.lit(SPDX), F.trim(p))))
+    ids = lambda s: F.when(s.startswith(SPDX), parts(s)).otherwise(F.array(F.coalesce(F.try_element_at(table, s), slot(s))))
+    return F.array_compact(F.flatten(F.transform(sentences, ids)))
 
 
 def _plain(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9.!?\n]+", " ")
 
 
+def _patterns(rule: tuple) -> tuple[str, str, str]:
+    """A rule's name, and the patterns of identifiers that it needs, and that it does not allow, if any."""
+    name, ids, *no = rule
+    return name, r"\|" + r"\|(.*\|)?".join(ids) + r"\|", r"\|(" + "|".join(no[0]) + r")\|" if no else ""
+
+
 def scan(df: DataFrame, text_col: str = "text", known: dict[str, str] = SENTENCES, rules: list = ALL_RULES) -> DataFrame:
     """``df`` with sentence_ids (of the line reading), wrapped_ids (of the other), licenses (all that match, in the order of the rules) and license (the first).
 
@@ -205,8 +272,8 @@ def scan(df: DataFrame, text_col: str = "text", known: dict[str, str] = SENTENCE
     read = lambda w: F.when(F.lower(text).rlike("|".join(telling_words(known))), sentence_ids(_plain(text), w, known)).otherwise(none)
     found = df.withColumns({"sentence_ids": read(False), "wrapped_ids": read(True)})
     joined = [F.concat(F.lit("|"), F.array_join(c, "|"), F.lit("|")) for c in ("sentence_ids", "wrapped_ids")]
-    patterns = [(name, r"\|" + r"\|(.*\|)?".join(ids) + r"\|") for name, ids in rules]
-    hits = F.array(*(F.when(joined[0].rlike(p) | joined[1].rlike(p), F.lit(name)) for name, p in patterns))
+    either = lambda p: joined[0].rlike(p) | joined[1].rlike(p)
+    hits = F.array(*(F.when(either(p) & ~either(no) if no else either(p), F.lit(name)) for name, p, no in map(_patterns, rules)))
     some = (F.size("sentence_ids") > 0) | (F.size("wrapped_ids") > 0)
     found = found.withColumn("licenses", F.when(some, F.array_distinct(F.array_compact(hits))).otherwise(none))
     return found.withColumn("license", F.try_element_at(F.col("licenses"), F.lit(1)))
@@ -215,8 +282,12 @@ def scan(df: DataFrame, text_col: str = "text", known: dict[str, str] = SENTENCE
 def oracle(table: str = "documents") -> str:
     """DuckDB's SQL for the query of this operator."""
     known = ", ".join(f"'{k}': '{v}'" for k, v in SENTENCES.items())
-    ids = lambda x: f"list_transform(list_filter(list_transform(string_split(regexp_replace(regexp_replace(x_{x}, '(^|[^a-z0-9.])v\\. ?([0-9])', '\\1v \\2', 'g'), '[.!?]+( |\\n|$)', chr(10), 'g'), chr(10)), lambda s: trim(s)), lambda s: map_contains(k, s)), lambda s: k[s])"
-    cases = ", ".join(f"CASE WHEN regexp_matches(a, '{p}') OR regexp_matches(b, '{p}') THEN '{n}' END" for n, p in ((n, r"\|" + r"\|(.*\|)?".join(i) + r"\|") for n, i in ALL_RULES))
+    slots = "CASE " + " ".join(f"WHEN regexp_full_match(s, '{p}') THEN '{n}'" for n, p in SLOTS) + " END"
+    cut = lambda x: f"list_transform(string_split(regexp_replace(regexp_replace(x_{x}, '(^|[^a-z0-9.])v\\. ?([0-9])', '\\1v \\2', 'g'), '[.!?]+( |\\n|$)', chr(10), 'g'), chr(10)), lambda s: trim(s))"
+    of = f"CASE WHEN starts_with(s, '{SPDX}') THEN list_transform(string_split_regex(substr(s, {len(SPDX) + 1}), ' (or|and|with) '), lambda p: k['{SPDX}' || trim(p)]) ELSE [coalesce(k[s], {slots})] END"
+    ids = lambda x: f"list_filter(flatten(list_transform({cut(x)}, lambda s: {of})), lambda v: v IS NOT NULL)"
+    hit = lambda p: f"(regexp_matches(a, '{p}') OR regexp_matches(b, '{p}'))"
+    cases = ", ".join(f"CASE WHEN {hit(p)}{f' AND NOT {hit(no)}' if no else ''} THEN '{n}' END" for n, p, no in map(_patterns, ALL_RULES))
     return f"""
 WITH n AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9.!?\\n]+', ' ', 'g') x_l, MAP {{{known}}} k FROM {table}),
 x AS (SELECT doc_id, k, x_l, regexp_replace(regexp_replace(x_l, '\\n ?\\n[ \\n]*', '. ', 'g'), '[ \\n]+', ' ', 'g') x_w FROM n),
