@@ -95,3 +95,30 @@ def test_names_are_distinct_in_scripts_and_genders(spark):
         assert a == b != name and surrogates.script_of(a.split()[-1]) == surrogates.script_of(name)
         person.setdefault(name, set()).add(a)
     assert all(len(x) == 1 for x in person.values()) and len(set.union(*person.values())) == len(names)
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_family_names_and_possessives(spark, few):
+    """The 's stays, and a person's family name is one, with a given name and without, in one text and in others."""
+    rows = [
+        (1, "Mr. Smith's son. Smith said. Smith’s car."),
+        (2, "Dr. Anna Smith came. Dr. Smith left. Ms Smith spoke. Then Smith slept; blacksmith work, a smith."),
+        (3, "Patient: Maria Garcia, DOB 01/02/1980. Garcia left."),
+        (4, "Contact: Dr. O'Neill-Weber. O'Neill-Weber's desk."),
+    ]
+    got = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id int, text string"), b"k", few=few).collect()}
+    assert not any(x in t for t in got.values() for x in ("Smith", "Anna", "Garcia", "Maria", "Neill"))
+    family = re.fullmatch(r"Mr\. (\w+)'s son\. (\w+) said\. (\w+)’s car\.", got[1]).groups()
+    assert len(set(family)) == 1
+    two = re.fullmatch(r"Dr\. \w+ (\w+) came\. Dr\. (\w+) left\. Ms (\w+) spoke\. Then (\w+) slept; blacksmith work, a smith\.", got[2]).groups()
+    assert set(two) == set(family)
+    assert re.fullmatch(r"Patient: \w+ (\w+), DOB 01/02/1980\. \1 left\.", got[3]) and re.fullmatch(r"Contact: Dr\. (\w+)\. \1's desk\.", got[4])
+
+
+def test_full_names_of_a_family_stay_apart(spark):
+    """More given names in one family than the lists have: all full names end distinct, and the family is one."""
+    rows = [(i, f"Mr Al{chr(97 + i // 26)}{chr(97 + i % 26)} {f} came. {f} left.") for i, f in ((i, f) for i in range(60) for f in ("Ray", "Fox"))]
+    again = {r["name"]: r["attempt"] for r in surrogates.redrawn_names(spark.createDataFrame(rows, "doc_id int, text string"), "text", b"k").collect()}
+    made = [surrogates.Replacer(b"k", again)(t)[0] for _, t in rows]
+    full = [re.fullmatch(r"Mr (\w+ (\w+)) came\. \2 left\.", t) for t in made]
+    assert all(full) and len({m[1] for m in full}) == 120 and len({m[2] for m in full}) == 2 and again

@@ -5,10 +5,10 @@ lower-case form of an address). The surrogate is then drawn by a keyed permutati
 script, digits digits, separators what they are; a card keeps the state of its check digit, an IPv4 address the kind of network it
 is in, a phone number its country code. A permutation never gives two entities one surrogate, and none its own.
 
-Names are found after titles; in the same text, their mentions without a title count too. A name is one person in the whole corpus, whatever
-the titles; its gender is the one that its titles tell, if they do not tell both. Names are the exception, as they are drawn from lists by gender, with a made-up family name of the same script: there two may meet. So all
-names of the corpus are checked: where several share a surrogate, all but the first draw again, until all are distinct. The outcome, the
-few names that had to draw again, is sent to the executors if it is small, and else joined to the texts.
+Names are found after titles, and after labels with a colon such as Patient: or Name:; in the same text, their mentions without a title count too, and so do those of their last word, the family name. A possessive 's is no part of a
+name. A name is one person in the whole corpus, whatever the titles; its gender is the one that its titles tell, if they do not tell both. Names are the exception, as given names are drawn from lists by gender, and family names are made
+up, by the last word alone, so that a person's full name and family name agree: there two may meet. So all family names of the corpus are checked first, and then all full names: where several share a surrogate, all but the first draw
+again, until all are distinct. The outcome, the few names that had to draw again, is sent to the executors if it is small, and else joined to the texts.
 
 Defined results: null text stays null, with no entities; equal texts are treated alike; other columns play no part, and are replaced if
 they have the names of the result's; an empty table gives an empty table.
@@ -56,7 +56,9 @@ _CODES = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]
 _TRIES, GENDERS = 20, "fmn"
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_NAME = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
+_NAME = r"[^\W\d_]+(?:-[^\W\d_]+|['’](?![sS](?!\w))[^\W\d_]+)*"
+#: Labels that a name follows after a colon.
+LABELS = ["Patient", "Name", "Full name", "Contact", "Contact person", "Attn", "Employee", "Customer", "Client"]
 KINDS = {
     "email": re.compile(r"(?<![\w.%+-])[\w.%+-]*\w@(?:[\w-]+\.)+[^\W\d_]{2,}"),
     "secret": re.compile(r"""(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?\s*[=:]\s*["']?(?P<v>[\w./+-]{8,}=*)|(?<!\w)(?P<h>[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?!\w)"""),
@@ -65,9 +67,9 @@ KINDS = {
     "card": re.compile(r"(?<![\w+])\d(?:[ -]?\d){12,18}(?![\w-]*\d)"),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     "phone": re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)"),
-    "name": re.compile(rf"(?<!\w)(?P<t>{'|'.join(sorted(TITLES, key=len, reverse=True))})\b\.? (?P<v>{_NAME}(?: {_NAME}){{0,2}})"),
+    "name": re.compile(rf"(?<!\w)(?:(?P<t>{'|'.join(sorted(TITLES, key=len, reverse=True))})\b\.? |(?:{'|'.join(LABELS)}): ?(?:(?P<u>{'|'.join(sorted(TITLES, key=len, reverse=True))})\b\.? )?)(?P<v>{_NAME}(?: {_NAME}){{0,2}})"),
 }
-TITLE_FILTER = rf"(^|[^\p{{L}}])({'|'.join(TITLES)})\.? \p{{Lu}}"
+TITLE_FILTER = rf"(^|[^\p{{L}}])(({'|'.join(TITLES)})\.? |({'|'.join(LABELS)}): ?)\p{{Lu}}"
 _ANY = re.compile(r"[0-9@=:]")
 
 
@@ -170,22 +172,37 @@ def script_of(name: str) -> str:
     return "cyrillic" if re.search("[Ѐ-ӿ]", name) else "greek" if re.search("[Ͱ-Ͽ]", name) else "latin"
 
 
-def name_surrogate(key: bytes, name: str, gender: str, attempt: int = 0, words: int = 2) -> str:
-    """A drawn given name and a made-up family name: 25 x 2**24 and more of them. ``name`` is canonical."""
+def _drawn(key: bytes, what: str) -> int:
+    return int.from_bytes(hashlib.blake2b(what.encode(), key=hashlib.blake2b(key).digest(), digest_size=16).digest(), "big")
+
+
+def family_number(key: bytes, family: str, attempt: int = 0) -> int:
+    """What a family name (canonical, one word) is made up from: one of 2**24."""
+    return _drawn(key, f"family|{family}|{attempt}") % 16**6
+
+
+def _made_up(number: int, syllables: list[str], n: int) -> str:
+    return "".join(syllables[number >> (4 * i) & 15] for i in range(n)).capitalize()
+
+
+def name_surrogate(key: bytes, name: str, gender: str, attempt: int = 0, words: int = 2, family_attempt: int = 0) -> str:
+    """Drawn given names and a made-up family name, which depends on the last word alone. ``name`` is canonical. After some attempts given names are made up too, so that there are always more."""
     script = script_of(name)
-    draw = int.from_bytes(hashlib.blake2b(f"{gender}|{name}|{attempt}".encode(), key=hashlib.blake2b(key).digest(), digest_size=16).digest(), "big")
-    draw, family = divmod(draw, 16**6)
-    last = "".join(SYLLABLES[script][family >> (4 * i) & 15] for i in range(6)).capitalize()
+    draw = _drawn(key, f"{gender}|{name}|{attempt}")
+    last = _made_up(family_number(key, name.split(" ")[-1], family_attempt), SYLLABLES[script], 6)
     given = GIVEN[script, gender]
-    parts = [given[draw // len(given) ** i % len(given)] for i in range(words - 1)]
+    if attempt < 6:
+        parts = [given[draw // len(given) ** i % len(given)] for i in range(words - 1)]
+    else:
+        parts = [_made_up(draw >> (32 * i), SYLLABLES[script], 4 + min(attempt // 6, 4)) for i in range(words - 1)]
     return " ".join([*parts, last])
 
 
-def surrogate(key: bytes, kind: str, text: str, gender: str = "n", attempt: int = 0) -> str:
+def surrogate(key: bytes, kind: str, text: str, gender: str = "n", attempt: int = 0, family_attempt: int = 0) -> str:
     """What stands for an entity in the form in which it is written here."""
     known = canonical(kind, text)
     if kind == "name":
-        got = name_surrogate(key, known, gender, attempt, len(text.split()))
+        got = name_surrogate(key, known, gender, attempt, len(text.split()), family_attempt)
         return got.upper() if text.isupper() and len(text) > 1 else got
     if kind == "card":
         check = (int(known[-1]) - _luhn(known[:-1])) % 10
@@ -255,7 +272,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                     kept.append(w)
                 if not kept:
                     continue
-                end, gender = start + len(" ".join(kept)), TITLES[m["t"]]
+                end, gender = start + len(" ".join(kept)), TITLES.get(m["t"] or m["u"], "n")
             elif kind == "phone" and not 8 <= sum(c.isdigit() for c in m[0]) <= 15:
                 continue
             if all(end <= a or start >= b for a, b, _, _ in found):
@@ -264,25 +281,34 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     for start, end, kind, gender in found:
         if kind == "name":
             titled.setdefault(canonical(kind, text[start:end]), gender)
+    for name in list(titled):
+        titled.setdefault(name.split(" ")[-1], "n")
     for start, end, gender in _bare(text, titled) if titled else ():
         if all(end <= a or start >= b for a, b, _, _ in found):
             found.append((start, end, "name", gender))
     return sorted(found)
 
 
+def _family_key(name: str) -> str:
+    return f"family|{name.split(' ')[-1]}"
+
+
 class Replacer:
     def __init__(self, key: bytes, attempts: dict[str, int]):
         self.key, self.attempts = key, attempts
-        self._one = lru_cache(maxsize=50_000)(lambda kind, text, gender, attempt: surrogate(key, kind, text, gender, attempt))
+        self._one = lru_cache(maxsize=50_000)(lambda kind, text, gender, attempt, family: surrogate(key, kind, text, gender, attempt, family))
 
     def __call__(self, text: str, attempts: dict[str, int] | None = None) -> tuple[str, list[str]]:
         out, at, kinds = [], 0, []
         for start, end, kind, gender in find(text):
             said = text[start:end]
-            attempt = (attempts or self.attempts).get(f"{gender}|{canonical(kind, said)}", 0) if kind == "name" else 0
+            attempt = family = 0
+            if kind == "name":
+                known, again = canonical(kind, said), attempts or self.attempts
+                attempt, family = again.get(f"{gender}|{known}", 0), again.get(_family_key(known), 0)
             if attempt >> _TRIES:
                 gender, attempt = GENDERS[(attempt >> _TRIES) - 1], attempt & (1 << _TRIES) - 1
-            out += [text[at:start], self._one(kind, said, gender, attempt)]
+            out += [text[at:start], self._one(kind, said, gender, attempt, family)]
             at = end
             kinds.append(kind)
         return "".join([*out, text[at:]]), kinds
@@ -291,7 +317,7 @@ class Replacer:
 def redrawn_names(df: DataFrame, text_col: str, key: bytes) -> DataFrame:
     """(name, attempt) of the names that must draw again for all surrogates to be distinct, or have another gender than their title's.
 
-    name is the title's gender and the canonical form; how attempt tells the gender, see ``_TRIES``.
+    name is the title's gender and the canonical form; how attempt tells the gender, see ``_TRIES``. Family names that must draw again are there as family and the last word.
     """
 
     def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -300,28 +326,39 @@ def redrawn_names(df: DataFrame, text_col: str, key: bytes) -> DataFrame:
             yield pd.DataFrame(sorted(got), columns=["name", "words"])
 
     @F.pandas_udf("string")
-    def drawn(name: pd.Series, words: pd.Series, attempt: pd.Series) -> pd.Series:
-        return pd.Series([name_surrogate(key, n.partition("|")[2], n.partition("|")[0], a, w) for n, w, a in zip(name, words, attempt, strict=True)], dtype=object)
+    def drawn(name: pd.Series, words: pd.Series, attempt: pd.Series, family: pd.Series) -> pd.Series:
+        return pd.Series([name_surrogate(key, n.partition("|")[2], n.partition("|")[0], a, w, f) for n, w, a, f in zip(name, words, attempt, family, strict=True)], dtype=object)
+
+    @F.pandas_udf("string")
+    def made_up(name: pd.Series, words: pd.Series, attempt: pd.Series, family: pd.Series) -> pd.Series:
+        return pd.Series([str(family_number(key, n, a)) for n, a in zip(name, attempt, strict=True)], dtype=object)
+
+    def settled(state: DataFrame, draw) -> DataFrame:
+        """state(name, words, attempt, family) when no two names draw the same."""
+        while True:
+            own = Window.partitionBy("s").orderBy("attempt", "name")
+            ranked = state.withColumn("s", draw("name", "words", "attempt", "family")).withColumn("n", F.row_number().over(own))
+            after = cut(ranked.select("name", "words", (F.col("attempt") + (F.col("n") > 1).cast("int")).alias("attempt"), "family", (F.col("n") > 1).alias("again")))
+            state = after.drop("again")
+            if after.filter("again").isEmpty():
+                return state
 
     with_title = df.select(F.col(text_col).alias("t")).filter(F.col("t").rlike(TITLE_FILTER))
     said = cut(with_title.mapInPandas(names, "name string, words int").distinct().select(F.substring_index("name", "|", 1).alias("title"), F.expr("substring(name, 3)").alias("who"), "words"))
     told = F.array_sort(F.collect_set(F.when(F.col("title") != "n", F.col("title"))))
     people = said.groupBy("who").agg(F.max("words").alias("words"), told.alias("told")).select("who", "words", F.when(F.size("told") == 1, F.get("told", F.lit(0))).otherwise(F.lit("n")).alias("gender"))
     people = cut(people)
-    state = cut(people.select(F.concat_ws("|", "gender", "who").alias("name"), "words", F.lit(0).alias("attempt")))
-    while True:
-        own = Window.partitionBy("s").orderBy("attempt", "name")
-        ranked = state.withColumn("s", drawn("name", "words", "attempt")).withColumn("n", F.row_number().over(own))
-        after = cut(ranked.select("name", "words", (F.col("attempt") + (F.col("n") > 1).cast("int")).alias("attempt"), (F.col("n") > 1).alias("again")))
-        state = after.drop("again")
-        if after.filter("again").isEmpty():
-            break
+    last = F.substring_index("who", " ", -1)
+    families = cut(people.select(last.alias("name"), F.lit(1).alias("words"), F.lit(0).alias("attempt"), F.lit(0).alias("family")).distinct())
+    families = settled(families, made_up).filter("attempt > 0").select(F.col("name").alias("last"), F.col("attempt").alias("family"))
+    full = people.filter("words > 1").withColumn("last", last).join(families, "last", "left")
+    state = settled(cut(full.select(F.concat_ws("|", "gender", "who").alias("name"), "words", F.lit(0).alias("attempt"), F.coalesce("family", F.lit(0)).alias("family"))), drawn)
     tries = state.filter("attempt > 0").select(F.expr("substring(name, 3)").alias("who"), "attempt")
     # Only what differs from a first draw by the title's gender goes on.
     other = said.select("title", "who").distinct().join(people.select("who", "gender"), "who").join(tries, "who", "left")
     bits = F.when(F.col("title") != F.col("gender"), F.shiftleft(F.instr(F.lit(GENDERS), F.col("gender")), _TRIES)).otherwise(F.lit(0))
     other = other.select(F.concat_ws("|", "title", "who").alias("name"), (F.coalesce("attempt", F.lit(0)) + bits).cast("int").alias("attempt"))
-    return cut(other.filter("attempt > 0"))
+    return cut(other.filter("attempt > 0").unionByName(families.select(F.concat(F.lit("family|"), "last").alias("name"), F.col("family").alias("attempt"))))
 
 
 def replace_entities(df: DataFrame, key: bytes, text_col: str = "text", few: int = 100_000) -> DataFrame:
@@ -351,7 +388,7 @@ def replace_entities(df: DataFrame, key: bytes, text_col: str = "text", few: int
 
         def mentions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                got = {(d, f"{g}|{canonical(k, t[a:b])}") for d, t in zip(pdf["d"], pdf["t"], strict=True) for a, b, k, g in find(t) if k == "name"}
+                got = {(d, x) for d, t in zip(pdf["d"], pdf["t"], strict=True) for a, b, k, g in find(t) if k == "name" for known in [canonical(k, t[a:b])] for x in (f"{g}|{known}", _family_key(known))}
                 yield pd.DataFrame(sorted(got), columns=["d", "name"])
 
         said = df.select(F.xxhash64(text_col).alias("d"), F.col(text_col).alias("t")).filter(F.col("t").rlike(TITLE_FILTER)).mapInPandas(mentions, "d long, name string").distinct()
