@@ -9,7 +9,8 @@ The trees of all languages are merged into one automaton whose nodes hold one co
 included, so that a whole batch of texts is scored by ``ORDER`` + 1 table look-ups a byte, for all languages at once.
 
 Bounds: training reads at most ``max_docs`` rows a language, chosen by a hash of the id, each over its whole text; ``max_langs`` is the
-most languages that are learned, those of most rows first, so what is collected and sent to the executors is bounded by these rows. Every row is scored, over its whole text.
+most languages that are learned, those of most rows first. Their byte strings are counted by tasks, and only the counts of different ones come to the driver, ``max_grams`` at most: with more, which such a sample of prose doesn't reach, training
+stops with a message that says so. No text comes to the driver. Every row is scored, over its whole text.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter, or if nothing could be learned; ties go to the
 language that comes first by name; rows with a null id can't be trained on; equal rows are scored alike; an empty table gives an empty table.
@@ -25,37 +26,62 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh
+from tidemark.llm.common import cut, fresh
 
 ORDER = 4
 LETTER = re.compile(r"[^\W\d_]")
 _CELLS = 500_000  # positions times languages that are scored at once
+_PIECE = 1 << 20  # bytes that are counted at once
+MAX_GRAMS = 20_000_000  # different byte strings of all lengths and languages: some 500 MB on the driver
 
 
-def _grams(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct byte strings of length k of the texts, as integers, and their counts."""
-    got = []
-    for t in texts:
-        b = np.frombuffer(t, np.uint8).astype(np.int64)
-        if len(b) >= k:
-            key = np.zeros(len(b) - k + 1, np.int64)
-            for j in range(k):
-                key = (key << 8) | b[j : len(b) - k + 1 + j]
-            got.append(key)
-    return np.unique(np.concatenate(got), return_counts=True) if got else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+def _grams(text: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct byte strings of length k of a text, as integers, and their counts. A long text is counted in pieces."""
+    found = []
+    for start in range(0, len(text) - k + 1, _PIECE):
+        b = np.frombuffer(text[start : start + _PIECE + k - 1], np.uint8).astype(np.int64)
+        key = np.zeros(len(b) - k + 1, np.int64)
+        for j in range(k):
+            key = (key << 8) | b[j : len(b) - k + 1 + j]
+        found.append(np.unique(key, return_counts=True))
+    return _added(found)
+
+
+def _added(some: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys with the sums of their counts."""
+    if not some:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, at = np.unique(np.concatenate([k for k, _ in some]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([c for _, c in some]), minlength=len(keys)).astype(np.int64)
+
+
+def _counts(order: int):
+    """Batches of (lang, text) to (lang, k, gram, n)."""
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
+                for k in range(1, order + 2):
+                    gram, n = _grams(text.encode(), k)
+                    yield pd.DataFrame({"lang": lang, "k": np.int32(k), "gram": gram, "n": n})
+
+    return step
 
 
 class Model:
     """The merged, frozen context trees. Node 0 is no node, node 1 the empty context."""
 
-    def __init__(self, samples: dict[str, list[str]], order: int = ORDER):
-        self.langs = sorted(samples)
+    def __init__(self, samples: dict[str, list[str]] | None, order: int = ORDER, counts: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] | None = None):
+        """From texts by language, or from their counts: for each language and length, sorted byte strings and how often each occurs."""
+        if counts is None:
+            counts = {x: {k: _added([_grams(t.encode(), k) for t in texts]) for k in range(1, order + 2)} for x, texts in (samples or {}).items()}
+        self.langs = sorted(counts)
         self.order = order
         n = len(self.langs)
         self.levels: list[np.ndarray] = []  # keys of the nodes of each length from 1, in the order of their ids
         ids = {0: (np.zeros(1, np.int64), np.ones(1, np.int64))}
         value, escape = [np.zeros((2, n), np.float32)], [np.zeros((1, n), np.float32)]
-        counted = [{k: _grams([t.encode() for t in samples[x]], k) for k in range(1, order + 2)} for x in self.langs]
+        counted = [counts[x] for x in self.langs]
         first = 2
         for k in range(1, order + 2):
             keys = np.unique(np.concatenate([c[k][0] for c in counted])) if n else np.zeros(0, np.int64)
@@ -193,7 +219,7 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 200, max_langs: int = 1000, order: int = ORDER) -> Model:
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 200, max_langs: int = 1000, order: int = ORDER, max_grams: int = MAX_GRAMS) -> Model:
     """Count the trees on at most ``max_docs`` labelled rows a language that are not held out, each over its whole text."""
     usable = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     usable = usable.filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
@@ -209,11 +235,18 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     )
     first = Window.partitionBy("lang", "text").orderBy("h")
     rank = Window.partitionBy("lang").orderBy("h", "text")
-    rows = picked.withColumn("copy", F.row_number().over(first)).filter("copy = 1").withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= max_docs).select("lang", "r", "text").collect()
-    samples: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["r"])):
-        samples.setdefault(r["lang"], []).append(r["text"])
-    return Model(samples, order)
+    rows = picked.withColumn("copy", F.row_number().over(first)).filter("copy = 1").withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= max_docs).select("lang", "text")
+    grams = cut(rows.repartition("lang", F.xxhash64("text")).mapInPandas(_counts(order), "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")))
+    many = grams.count()
+    if many > max_grams:
+        raise ValueError(f"{many} different byte strings in the training sample, more than max_grams = {max_grams}: take fewer documents a language")
+    got = grams.orderBy("lang", "k", "gram").toArrow()
+    lang, k, gram, n = (got.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "k", "gram", "n"))
+    trees: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] = {x: {i: (np.zeros(0, np.int64), np.zeros(0, np.int64)) for i in range(1, order + 2)} for x in sorted(set(lang.tolist()))}
+    edge = np.flatnonzero(np.append(True, (lang[1:] != lang[:-1]) | (k[1:] != k[:-1]))) if len(k) else np.zeros(0, int)
+    for a, b in zip(edge, np.append(edge[1:], len(k)), strict=True):
+        trees[lang[a]][int(k[a])] = gram[a:b], n[a:b]
+    return Model(None, order, trees)
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:

@@ -14,7 +14,7 @@ words reach that it depends on is carried along, so it is known which symbols a
 Copies of a whole text are told by its digest and weigh nothing: all their windows repeat, and one of them stands for all in the search.
 
 Defined results: null texts have no words; a text with fewer words than a window loses none; words are compared as they are, by 64-bit hashes, windows by
-128 bits over these; equal rows count as different places; a null id is an id like any other; an empty table gives an empty table; other columns play no part.
+the key that they are filed under and a 64-bit hash over these, and in the removal by the latter alone; equal rows count as different places; a null id is an id like any other; an empty table gives an empty table; other columns play no part.
 """
 
 from __future__ import annotations
