@@ -140,10 +140,6 @@ def first_filled(*choices: tuple[str, Column]) -> Column:
     return F.struct(F.coalesce(*(c for _, c in filled)).alias("value"), source.alias("source"))
 
 
-def truthy(c: Column, words: tuple[str, ...] = ("true", "1", "yes", "y", "verified")) -> Column:
-    return F.lower(F.trim(F.coalesce(c, F.lit("")))).isin(*words)
-
-
 def is_cash(instrument: Column, country: Column, ticker: Column, name: Column) -> Column:
     """No instrument type, no country, a three-letter code for a ticker, and a word of cash in the name."""
     blank = lambda c: F.trim(F.coalesce(c, F.lit("")))

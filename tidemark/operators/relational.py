@@ -63,13 +63,6 @@ def greedy_assignment(candidates: DataFrame, valid: DataFrame, rounds: int) -> D
     return done
 
 
-def first_seen(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """The first row of each key."""
-    rest = [c for c in df.columns if c != key]
-    got = df.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r"))
-    return got.select(key, *(F.col(f"r.{c}").alias(c) for c in rest))
-
-
 def replace_part(df: DataFrame, new: DataFrame, part: Column) -> DataFrame:
     """The rows outside ``part``, and the new ones."""
     return df.filter(~part).unionByName(new)
