@@ -123,3 +123,13 @@ def test_pipeline_is_that_of_brute_force(spark, tmp_path):
         want.append((r[0], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest()))
     final = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in final.collect()) == sorted(want)
+
+
+def test_the_whole_run_of_nothing_and_of_repeated_rows(spark, tmp_path):
+    """run() over an empty table gives an empty table; rows that are equal in all columns count as copies."""
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    rows = [r for r in corpus() if r[0] < 6]
+    spark.createDataFrame(rows * 3, SCHEMA).write.parquet(str(tmp_path / "thrice" / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "thrice")).collect()
+    assert {r["doc_id"] for r in got} <= {r[0] for r in rows} and all(r["n_tokens"] > 0 for r in got)
