@@ -28,7 +28,7 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """lang becomes the predicted language; documents without a language (no text, no letter) go."""
-    small_batches(spark, "4m")
+    small_batches(spark, "2m")
     got = langid.predict(docs.select(*COLUMNS), langid.fit(docs), lang_as="lang", score_as="score__")
     return got.filter("lang <> 'und'").select(*COLUMNS)
 
@@ -50,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of what they decode to."""
-    small_batches(spark, "4m")
+    small_batches(spark, "1m")
     return sentencepiece_bpe.digests(docs.select(*COLUMNS), tokenizer_path()).select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
