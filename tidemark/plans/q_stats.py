@@ -201,7 +201,7 @@ def a39(t: Tables) -> DataFrame:
 
 @query("a32_capture_peak", "WITH s AS (SELECT user_id, CAST(floor(epoch_ms(ts) / 3600000) AS BIGINT) AS hour, value FROM events) SELECT user_id, hour, max(value) AS peak FROM s GROUP BY 1, 2 HAVING max(value) > 50")
 def a32(t: Tables) -> DataFrame:
-    hour = F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 3600000)
+    hour = F.floor(X.epoch_ms(F.col("ts")) / 3600000)
     return t.events.groupBy("user_id", hour.alias("hour")).agg(F.max("value").alias("peak")).filter("peak > 50")
 
 
@@ -316,7 +316,7 @@ def x01(t: Tables) -> DataFrame:
 @query("x04_fixed_period_samples", "WITH s AS (SELECT user_id, epoch_ms(ts) AS ms, value, event_id FROM events), a AS (SELECT user_id, min(ms) AS t0 FROM s GROUP BY 1), b AS (SELECT s.user_id, CAST(floor((ms - t0 - 5400000) / 3600000.0::DOUBLE) AS BIGINT) AS slot, ms, event_id, value FROM s JOIN a USING (user_id)) SELECT user_id, slot, arg_max(CASE WHEN value >= 20 THEN 1 ELSE 0 END, (ms, event_id)) AS bit FROM b WHERE slot BETWEEN 0 AND 42 GROUP BY 1, 2")
 def x04(t: Tables) -> DataFrame:
     """43 slots of an hour from one and a half hours after the start; each holds its last sample."""
-    s = t.events.select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "value", "event_id")
+    s = t.events.select("user_id", X.epoch_ms(F.col("ts")).alias("ms"), "value", "event_id")
     a = s.groupBy("user_id").agg(F.min("ms").alias("t0"))
     b = s.join(a, "user_id").withColumn("slot", F.floor((F.col("ms") - F.col("t0") - 5400000) / 3600000)).filter(F.col("slot").between(0, 42))
     return b.groupBy("user_id", "slot").agg(F.max_by((F.col("value") >= 20).cast("int"), F.struct("ms", "event_id")).alias("bit"))
