@@ -28,10 +28,11 @@ def s09(t: Tables) -> DataFrame:
 
 
 def _held(t: Tables) -> DataFrame:
-    """Each page with a table and a script of the lines of the order of its number, and links to files, set before its end."""
-    line = F.struct("l_linenumber", F.col("l_partkey").cast("string").alias("ticker"), F.regexp_replace("p_name", "e", "&eacute;").alias("marked"), F.col("p_name").alias("security"), F.format_string("%.2f%%", F.col("l_discount") * 100).alias("weight"))
+    """Each page with a table and a script of the lines of the order of its number, and links to files, set before its end. Lines of the same number and part stay in the order of the table's rows."""
+    line = F.struct("l_linenumber", F.col("l_partkey").cast("string").alias("ticker"), F.regexp_replace("p_name", "e", "&eacute;").alias("marked"), "file", "at", F.col("p_name").alias("security"), F.format_string("%.2f%%", F.col("l_discount") * 100).alias("weight"))
     part = t.part.select("p_partkey", "p_name")
-    lines = t.lineitem.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("page_id")).agg(F.array_sort(F.collect_list(line)).alias("lines"))  # an order's
+    li = t.lineitem.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at")).join(t.pages.select(F.col("page_id").alias("l_orderkey")), "l_orderkey", "left_semi")
+    lines = li.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("page_id")).agg(F.array_sort(F.collect_list(line)).alias("lines"))  # an order's
     row = lambda x: F.concat(F.lit("<tr><td>"), x["ticker"], F.lit("</td><td><b>"), x["marked"], F.lit("</b></td><td> "), x["weight"], F.lit(" </td></tr>"))
     table = F.concat(F.lit("<table><tr><th>A</th></tr></table><table><tr><th>Ticker</th><th>Holdings</th><th>% of fund</th></tr>"), F.array_join(F.transform("lines", row), ""), F.lit("</table>"))
     script = F.concat(F.lit('<script type="application/json">{"fund": {"items": '), F.to_json(F.transform("lines", lambda x: F.struct(x["ticker"].alias("ticker"), x["security"].alias("security"), x["weight"].alias("weight")))), F.lit("}}</script>"))
