@@ -37,3 +37,14 @@ def test_lines_of_one_number_keep_the_order_of_rows(spark, tmp_path):
         both(spark, tmp_path, name, **tables)  # writes them; SQL leaves the order of such lines open
         got = catalog.QUERIES[name](spark, str(tmp_path)).select("page_id", "row", "ticker", "weight").collect()
         assert sorted(map(tuple, got)) == want
+
+
+def test_all_addresses_of_a_page(spark, tmp_path):
+    """A page whose order has two lines of one part and one of another, and one without an order at a host without a path."""
+    lines = "SELECT * FROM (VALUES (1::BIGINT, 7::BIGINT, 1, 0.08::DOUBLE), (1, 8, 2, 0.02), (1, 7, 3, 0.04)) v(l_orderkey, l_partkey, l_linenumber, l_discount)"
+    sites = "SELECT * FROM (VALUES (1::BIGINT, 'http://a.org/en/7?x=y', '<article></article>'), (2, 'https://b.org', '<article></article>')) v(page_id, url, html)"
+    got, want = both(spark, tmp_path, "s14_file_urls", lineitem=lines, part="SELECT * FROM (VALUES (7::BIGINT, 'seven'), (8, 'eight')) v(p_partkey, p_name)", pages=sites)
+    first = ["/files/holdings-1.csv", "/holdings/7.xls", "/holdings/8.xls", "/en/portfolio-1?export=1", "https://cdn.example.org/composition/7.zip", "https://cdn.example.org/composition/8.zip", "/api/holdings/download?id=7", "/api/holdings/download?id=8"]
+    hand = [(1, i, u if u.startswith("h") else "http://a.org" + u) for i, u in enumerate(first)] + [(2, 0, "https://b.org/files/holdings-2.csv"), (2, 1, "https://b.org/portfolio-2?export=1")]
+    assert got == want
+    assert sorted((r["page_id"], r["nth"], r["url"]) for r in catalog.QUERIES["s14_file_urls"](spark, str(tmp_path)).collect()) == hand

@@ -38,7 +38,7 @@ def _held(t: Tables) -> DataFrame:
     script = F.concat(F.lit('<script type="application/json">{"fund": {"items": '), F.to_json(F.transform("lines", lambda x: F.struct(x["ticker"].alias("ticker"), x["security"].alias("security"), x["weight"].alias("weight")))), F.lit("}}</script>"))
     links = F.concat(F.lit('<a href="/files/holdings-'), F.col("page_id").cast("string"), F.lit('.csv">x</a><a href="/other.csv">y</a>'))
     more = F.concat(F.coalesce(table, F.lit("")), F.coalesce(script, F.lit("")), links)
-    return t.pages.join(lines, "page_id", "left").select("page_id", "url", F.concat(F.regexp_replace("html", "</article>", ""), more, F.lit("</article>")).alias("html"))
+    return t.pages.join(lines, "page_id", "left").select("page_id", "url", "lines", F.concat(F.regexp_replace("html", "</article>", ""), more, F.lit("</article>")).alias("html"))
 
 
 LN = "SELECT l_orderkey AS page_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey::VARCHAR, replace(p_name, 'e', '&eacute;')) - 1 AS BIGINT) AS row, l_partkey::VARCHAR AS ticker, p_name, printf('%.2f%%', l_discount * 100) AS weight FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey IN (SELECT page_id FROM pages)"
@@ -61,7 +61,23 @@ def s13(t: Tables) -> DataFrame:
     return _rows(t, "json", ("ticker", "security", "weight"))
 
 
-@query("s14_file_urls", "SELECT page_id, CAST(0 AS BIGINT) AS nth, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/files/holdings-' || page_id || '.csv' AS url FROM pages")
+#: The addresses of a page in the order in which they are found, repeats included: attributes, then strings of JSON scripts, then the text of scripts. A file's name is that of its line's part.
+_FOUND = f"""WITH ln AS ({LN}), p AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, regexp_extract(url, '^(https?://[^/?#]+/([^?#]*/)?)', 1) AS folder FROM pages),
+u AS (SELECT page_id, 0 AS k, 0 AS row, origin || '/files/holdings-' || page_id || '.csv' AS url FROM p
+UNION ALL SELECT page_id, 1, row, origin || '/holdings/' || ticker || '.xls' FROM p JOIN ln USING (page_id)
+UNION ALL SELECT page_id, 2, 0, CASE WHEN folder = '' THEN origin || '/' ELSE folder END || 'portfolio-' || page_id || '?export=1' FROM p
+UNION ALL SELECT page_id, 3, row, 'https://cdn.example.org/composition/' || ticker || '.zip' FROM p JOIN ln USING (page_id)
+UNION ALL SELECT page_id, 4, row, origin || '/api/holdings/download?id=' || ticker FROM p JOIN ln USING (page_id))"""
+
+
+@query("s14_file_urls", _FOUND + " SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k, row) - 1 AS nth, url FROM (SELECT page_id, url, min((k, row))[1] AS k, min((k, row))[2] AS row FROM u GROUP BY 1, 2)")
 def s14b(t: Tables) -> DataFrame:
-    held = _held(t)
+    """Of all pages, the files of holdings that they name: in attributes, in strings of JSON scripts and in the text of scripts, of the page and of each of its order's lines; whole, by the root and relative; beside addresses of other kinds. Each once."""
+    tickers = F.transform("lines", lambda x: x["ticker"])
+    each = lambda before, after: F.coalesce(F.array_join(F.transform(tickers, lambda x: F.concat(F.lit(before), x, F.lit(after))), ""), F.lit(""))
+    page = F.col("page_id").cast("string")
+    attributes = F.concat(each('<a data-download-url="/holdings/', '.xls">x</a>'), F.lit('<div data-export-url="portfolio-'), page, F.lit('?export=1"></div><a href="mailto:holdings.csv">m</a><a href="#holdings.zip">y</a>'))
+    cdn = F.concat(F.lit('<script type="application/json">["/x"'), each(r', "https:\/\/cdn.example.org\/composition\/', '.zip"'), F.lit("]</script>"))
+    text = F.concat(F.lit("<script>"), each('load("/api/holdings/download?id=', '");'), F.lit('go("javascript:holdings.zip")</script>'))
+    held = _held(t).withColumn("html", F.concat(F.regexp_replace("html", "</article>$", ""), attributes, cdn, text, F.lit("</article>")))
     return pages.html_urls(held, "page_id", "html", F.col("url")).withColumnRenamed("id", "page_id")
