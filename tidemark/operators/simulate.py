@@ -85,34 +85,47 @@ def categorical(key: list, weights: list[float]) -> Column:
     return out.otherwise(len(weights) - 1)
 
 
-def _fold(spark: SparkSession, walks: int | DataFrame, trials: int, start: Column, step) -> DataFrame:
-    """A walk whose next state depends on its state: a fold over its own trials, one row a walk, in the JVM."""
-    return walkers(spark, walks).withColumn("s", F.aggregate(F.sequence(F.lit(1), F.lit(trials)), start, step))
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """``df`` dealt to several tasks a core: a small file of walks is one split, however long its rows' work is."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *key)
+
+
+def _fold(spark: SparkSession, walks: int | DataFrame, trials: int, kind: str, seed: int, start: Column, step) -> DataFrame:
+    """A walk whose next state depends on its state: a fold over its own trials, one row a walk, in the JVM. ``step`` takes the state and the place that the trial's turn leads to.
+
+    Turns depend on no state, so they are drawn before the fold, each once; so is each place, although the step names it often.
+    """
+    angle = lambda k: 2 * math.pi * uniform(seed, kind, F.col("walk"), k)
+    turns = F.transform(F.sequence(F.lit(1), F.lit(trials)), lambda k: F.get(F.transform(F.array(angle(k)), lambda a: F.struct(F.cos(a).alias("x"), F.sin(a).alias("y"))), F.lit(0)))
+
+    def moved(s: Column, turn: Column) -> Column:
+        there = F.struct((s["x"] + turn["x"]).alias("x"), (s["y"] + turn["y"]).alias("y"))
+        return F.get(F.transform(F.array(there), lambda to: step(s, to)), F.lit(0))
+
+    return spread(walkers(spark, walks), "walk").withColumn("s", F.aggregate(turns, start, moved))
 
 
 def box_walk(spark: SparkSession, walks: int | DataFrame, trials: int, half_width: float | Column, half_height: float | Column, seed: int = 52, strict: bool = True) -> DataFrame:
     """Steps of angle that stay in a box around the origin; a step that would leave it is drawn again. (walk, x, y, accepted)"""
 
-    def step(s: Column, k: Column) -> Column:
-        a = 2 * math.pi * uniform(seed, "box", F.col("walk"), k)
-        x, y = s["x"] + F.cos(a), s["y"] + F.sin(a)
+    def step(s: Column, to: Column) -> Column:
+        x, y = to["x"], to["y"]
         inside = (F.abs(x) < half_width) & (F.abs(y) < half_height) if strict else (F.abs(x) <= half_width) & (F.abs(y) <= half_height)
-        return F.struct(F.when(inside, x).otherwise(s["x"]).alias("x"), F.when(inside, y).otherwise(s["y"]).alias("y"), (s["n"] + inside.cast("long")).alias("n"))
+        return F.when(inside, F.struct(x.alias("x"), y.alias("y"), (s["n"] + 1).alias("n"))).otherwise(s)
 
     start = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0).cast("long").alias("n"))
-    return _fold(spark, walks, trials, start, step).select("walk", "s.x", "s.y", F.col("s.n").alias("accepted"))
+    return _fold(spark, walks, trials, "box", seed, start, step).select("walk", "s.x", "s.y", F.col("s.n").alias("accepted"))
 
 
 def target_walk(spark: SparkSession, walks: int | DataFrame, trials: int, half: float | Column, target: tuple[float | Column, ...], seed: int = 52) -> DataFrame:
     """As in a box, until a step hits the target (left, bottom, width, height): (walk, hit, moves). The target is tested first, then the border."""
     left, low, width, height = target
 
-    def step(s: Column, k: Column) -> Column:
-        a = 2 * math.pi * uniform(seed, "target", F.col("walk"), k)
-        x, y = s["x"] + F.cos(a), s["y"] + F.sin(a)
+    def step(s: Column, to: Column) -> Column:
+        x, y = to["x"], to["y"]
         hit = x.between(left, left + width) & y.between(low, low + height)
-        moves = ~s["hit"] & (hit | ((F.abs(x) <= half) & (F.abs(y) <= half)))
-        return F.struct(F.when(moves, x).otherwise(s["x"]).alias("x"), F.when(moves, y).otherwise(s["y"]).alias("y"), (s["n"] + moves.cast("long")).alias("n"), (s["hit"] | (moves & hit)).alias("hit"))
+        moves = hit | ((F.abs(x) <= half) & (F.abs(y) <= half))
+        return F.when(~s["hit"] & moves, F.struct(x.alias("x"), y.alias("y"), (s["n"] + 1).alias("n"), hit.alias("hit"))).otherwise(s)
 
     start = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("hit"))
-    return _fold(spark, walks, trials, start, step).select("walk", "s.hit", F.col("s.n").alias("moves"))
+    return _fold(spark, walks, trials, "target", seed, start, step).select("walk", "s.hit", F.col("s.n").alias("moves"))
