@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.operators import simulate as S
+from tidemark.plans import catalog
 
 
 def test_walks_are_dealt_over_tasks(spark, tmp_path):
@@ -13,3 +14,13 @@ def test_walks_are_dealt_over_tasks(spark, tmp_path):
     for got in (S.box_walk(spark, walks, 20, 4.0, 3.0), S.target_walk(spark, walks, 20, 10.0, (3.0, 0.0, 2.0, 2.0))):
         assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 4
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, got.coalesce(1).collect())) and got.count() == 40
+
+
+def test_panel_is_dealt_over_tasks(spark, sf_dir):
+    got = catalog.QUERIES["s20_synthetic_panel"](spark, sf_dir)
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_basket_of_forecasts_is_made_once(spark, sf_dir):
+    """What the forecast reads is kept, so no later pass goes back to the lines."""
+    assert "lineitem" not in catalog.QUERIES["l09_ridge_forecast"](spark, sf_dir)._jdf.queryExecution().toString()

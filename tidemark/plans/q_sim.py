@@ -229,7 +229,7 @@ def s20(t: Tables) -> DataFrame:
     """Factors x loadings and noise, 1.5 % missing, of each supplier in each week of the calendar: each cell from its own counters, factors and loadings made once each."""
     of = lambda name, key: F.array(*(normal(52, name, key, k) for k in range(3)))
     weeks = X.basket(t).select("week", of("f", F.col("week")).alias("f"))  # a row a week
-    cells = t.supplier.select("s_suppkey", "s_name", of("l", F.col("s_name")).alias("l")).crossJoin(F.broadcast(weeks))
+    cells = S.spread(t.supplier, "s_suppkey").select("s_suppkey", "s_name", of("l", F.col("s_name")).alias("l")).crossJoin(F.broadcast(weeks))
     common = sum((F.col("f")[k] * F.col("l")[k] for k in (1, 2)), F.col("f")[0] * F.col("l")[0])
     seen = uniform(52, "miss", F.col("s_name"), F.col("week")) >= 0.015
     return cells.select("s_suppkey", "week", F.when(seen, r6(0.01 * common + 0.02 * normal(52, "e", F.col("s_name"), F.col("week")))).alias("log_return"))
