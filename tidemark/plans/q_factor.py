@@ -12,6 +12,7 @@ from tidemark.operators import factors as L
 from tidemark.operators import calendar, order, panel, stats
 from tidemark.plans import fixtures as X
 from tidemark.plans.registry import Tables, query
+from tidemark.session import keep
 
 END = datetime.date(1999, 12, 31)
 r6 = lambda c, n=6: F.round(c, n)
@@ -102,6 +103,7 @@ def l09(t: Tables) -> DataFrame:
 
     w = Window.orderBy("week")
     b = X.basket(t).filter("basket_return is not null").select("week", F.col("basket_return").alias("y"), *(F.lag("basket_return", k).over(w).alias(f"l{k}") for k in (1, 2, 3))).dropna()
+    b = keep(b)  # a row a week, made once for all that reads it
     train = VectorAssembler(inputCols=["l1", "l2", "l3"], outputCol="v").transform(b)
     fit = train.filter(F.col("week") <= F.lit(END))
     n, sd = fit.agg(F.count("*"), F.stddev_pop("y")).first()
