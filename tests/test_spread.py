@@ -24,3 +24,16 @@ def test_panel_is_dealt_over_tasks(spark, sf_dir):
 def test_basket_of_forecasts_is_made_once(spark, sf_dir):
     """What the forecast reads is kept, so no later pass goes back to the lines."""
     assert "lineitem" not in catalog.QUERIES["l09_ridge_forecast"](spark, sf_dir)._jdf.queryExecution().toString()
+
+
+def test_letters_of_long_and_odd_sequences(spark):
+    from tidemark.functions import sequence as Q
+
+    given = {"": [], "AU": [], "AUGU": ["M"], "UAAAUG": [], "AUGéUGUGA": ["M", None], "AUG\nUGUUUUAGUUU": ["M", None, "F"], "AUG" * 200_000 + "UGA" + "UUU": ["M"] * 200_000, "AUG" * 200_000: ["M"] * 200_000, "AUAAUG": ["I", "M"]}
+    df = spark.createDataFrame(list(enumerate(given)), "i int, rna string").select("i", Q.letters(F.col("rna")).alias("l"))
+    assert [r["l"] for r in df.orderBy("i").collect()] == list(given.values())
+
+
+def test_letters_are_found_once(spark, sf_dir):
+    plan = catalog.QUERIES["a31_encoding_count"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct") == 1 and plan.count("[^ACGT]") == 1

@@ -47,15 +47,15 @@ def chunks(text: Column, n: int) -> Column:
 _CODONS = "".join(c + " " for c, _ in codons())
 
 
-def letters(rna: Column) -> Column:
-    """Amino acids up to the first stop; unknown codons are null among them."""
-    at = lambda c: F.instr(F.lit(_CODONS), c)
-    letter = lambda c: F.when(at(c) > 0, F.substring(F.lit(AMINO.replace("*", "X")), F.floor((at(c) - 1) / 4).cast("int") + 1, F.lit(1)))
+#: Whole codons up to the first stop, or to the end; the possessive repeat is a loop and takes no stack.
+_OPEN = r"^(?:(?!UAA|UAG|UGA)[\s\S]{3})*+"
 
-    def of(all_: Column) -> Column:
-        return _let(F.array_position(all_, "X").cast("int"), lambda stop: F.when(stop > 0, F.slice(all_, F.lit(1), stop - 1)).otherwise(all_))
 
-    return _let(F.transform(chunks(rna, 3), letter), of)
+def letters(rna: Column) -> Column:
+    """Amino acids up to the first stop; unknown codons are null among them. What follows the stop is not cut into codons."""
+    at = lambda c: F.instr(F.lit(_CODONS), c)
+    letter = lambda c: F.when(at(c) > 0, F.substring(F.lit(AMINO), F.floor((at(c) - 1) / 4).cast("int") + 1, F.lit(1)))
+    return F.transform(chunks(F.regexp_extract(rna, _OPEN, 0), 3), letter)
 
 
 def protein(rna: Column) -> Column:

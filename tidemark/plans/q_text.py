@@ -90,7 +90,7 @@ _RNA = "rn AS (SELECT doc_id, strpos(r, 'AUG') AS pos0, r FROM (SELECT doc_id, t
 
 @query("f14_transcribe", "SELECT doc_id, translate(regexp_replace(upper(text), '[^ACGT]', '', 'g'), 'T', 'U') AS rna FROM documents")
 def f14(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", Q.to_rna(F.regexp_replace(F.upper("text"), "[^ACGT]", "")).alias("rna"))
+    return t.documents.select("doc_id", Q.to_rna(F.regexp_replace(F.upper("text"), "[^ACGT]+", "")).alias("rna"))
 
 
 @query("f15_from_start_codon", f"WITH {_RNA} SELECT doc_id, CASE WHEN pos0 > 0 THEN substr(r, pos0) END AS tail FROM rn")
@@ -110,7 +110,7 @@ _LETTERS = f"{_RNA}, cd(codon, letter) AS (VALUES {_COD}), p AS (SELECT doc_id,
 
 
 def _tails(t: Tables) -> DataFrame:
-    return f15(t).filter("tail is not null")
+    return f15(t).select("doc_id", F.explode(F.array("tail")).alias("tail")).filter("tail is not null")  # a generator's result: the filter doesn't compute it again
 
 
 @query("f17_short_names", f"WITH {_LETTERS} SELECT doc_id, string_agg(abbr, '-' ORDER BY i) AS names FROM z JOIN (VALUES {_SHORT}) s(letter, abbr) USING (letter) GROUP BY 1")
@@ -122,7 +122,8 @@ def f17(t: Tables) -> DataFrame:
 @query("f18_first_seen_letters", f"WITH {_LETTERS} SELECT doc_id, string_agg(letter, '' ORDER BY i) AS letters FROM fs GROUP BY 1")
 def f18(t: Tables) -> DataFrame:
     """The letters of each document's protein in the order in which they are first seen; stops are no letters."""
-    return _tails(t).select("doc_id", F.array_join(F.array_distinct(Q.letters(F.col("tail"))), "").alias("letters")).filter("letters <> ''")
+    found = F.array_join(F.array_distinct(Q.letters(F.col("tail"))), "")
+    return _tails(t).select("doc_id", F.explode(F.array(found)).alias("letters")).filter("letters <> ''")  # a generator's result: the filter doesn't compute it again
 
 
 @query("a30_codon_multiplicity", f"WITH {_LETTERS} SELECT letter, count(DISTINCT codon) AS spellings, count(*) AS n FROM k JOIN cd USING (codon) GROUP BY 1")
