@@ -13,6 +13,8 @@ from tidemark.llm.common import cut, small_batches
 from tidemark.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Cuts that a Python worker keeps in each generation: it lives on beside the executor's JVM after the stage, when that has grown.
+CUTS = 50_000
 
 
 def tokenizer_path() -> str:
@@ -51,7 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of what they decode to."""
     small_batches(spark, "1m")
-    return sentencepiece_bpe.digests(docs.select(*COLUMNS), tokenizer_path()).select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids_sha256", "decoded_sha256")
+    return sentencepiece_bpe.digests(docs.select(*COLUMNS), tokenizer_path(), cache=CUTS).select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [

@@ -8,8 +8,8 @@ two. Where no piece fits, it goes back one piece and marks the place in a bitfie
 neighbours are all compatible is the one that the merge procedure gives, so the result is exact. Characters without a piece
 are coded by their bytes, and nothing merges across them.
 
-Memory: each worker keeps the model, and the cuts it has encoded lately in two generations of at most ``CACHE`` entries. Cuts over
-``LONG`` characters are not kept.
+Memory: each worker keeps the model, and the cuts it has encoded lately in two generations of at most ``CACHE`` entries, or as many as ``cache`` says. Cuts over
+``LONG`` characters are not kept. Spark gives the worker with all it keeps to the next stage that runs Python, so stages that share an executor's memory keep less.
 
 Defined results: a null text is encoded as an empty one (no ids, decoded text ""); equal texts are encoded alike; other columns play no part.
 """
@@ -37,7 +37,7 @@ CACHE, LONG = 200_000, 64
 class Encoder:
     """The pieces of one model, and how they merge."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, cache: int = CACHE):
         import ahocorasick
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
@@ -72,6 +72,7 @@ class Encoder:
         for p, i in whole.items():
             self.shorter[i] = next((whole[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in whole), -1)
         self.digits = [str(i).encode() for i in range(len(self.text))]
+        self.cache = cache
         self.fits: dict[int, bool] = {}
         self.young: dict[str, tuple[bytes, bytes]] = {}
         self.old: dict[str, tuple[bytes, bytes]] = {}
@@ -90,7 +91,7 @@ class Encoder:
     def _compatible(self, a: int, b: int) -> bool:
         known = self.fits.get(a << 20 | b)
         if known is None:
-            if len(self.fits) > 4 * CACHE:
+            if len(self.fits) >= 4 * self.cache:
                 self.fits.clear()
             known = self.fits[a << 20 | b] = self._stands(self.text[a], self.text[b])
         return known
@@ -185,7 +186,7 @@ class Encoder:
             ids, digits = self._cut(word), self.digits
             got = (b",".join([digits[i] for i in ids]), array("i", ids).tobytes())
         if len(word) <= LONG:
-            if len(self.young) >= CACHE:  # what was used since the last time stays
+            if len(self.young) >= self.cache:  # what was used since the last time stays
                 self.old, self.young = self.young, {}
             self.young[word] = got
         return got
@@ -208,15 +209,15 @@ class Encoder:
         return self.processor.decode(ids)
 
 
-_ENCODERS: dict[bytes, Encoder] = {}
+_ENCODERS: dict[tuple[bytes, int], Encoder] = {}
 
 
-def encoder(model: bytes) -> Encoder:
+def encoder(model: bytes, cache: int = CACHE) -> Encoder:
     """The encoder of a model, one in each process."""
-    key = hashlib.sha256(model).digest()
+    key = hashlib.sha256(model).digest(), cache
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(model)
+        _ENCODERS[key] = Encoder(model, cache)
     return _ENCODERS[key]
 
 
@@ -252,14 +253,11 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_as: str =
     return df.withColumn(text_as, spm_decode(F.col(ids_col)))
 
 
-def digests(df: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
-    """``df`` with n_tokens, ids_sha256 and decoded_sha256: both ways in one pass, without an array column on the way."""
-    shared = df.sparkSession.sparkContext.broadcast(read_model(model_path))
-
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def spm_digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        e = encoder(shared.value)
-        gc.disable()  # nothing here makes cycles, and the caches are large
+def _digested(e: Encoder, batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """The digests of batches of texts. Python's collector rests meanwhile: nothing here makes cycles, and the caches are large."""
+    collects = gc.isenabled()
+    gc.disable()
+    try:
         for texts in batches:
             n, ids_sha, text_sha = [], [], []
             for t in texts:
@@ -269,6 +267,18 @@ def digests(df: DataFrame, model_path: str, text_col: str = "text") -> DataFrame
                 ids_sha.append(hashlib.sha256(b",".join([p[0] for p in parts])).hexdigest())
                 text_sha.append(hashlib.sha256(e.decode(ids).encode()).hexdigest())
             yield pd.DataFrame({"n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": text_sha})
+    finally:
+        if collects:  # the worker goes on to other stages
+            gc.enable()
+
+
+def digests(df: DataFrame, model_path: str, text_col: str = "text", cache: int = CACHE) -> DataFrame:
+    """``df`` with n_tokens, ids_sha256 and decoded_sha256: both ways in one pass, without an array column on the way."""
+    shared = df.sparkSession.sparkContext.broadcast(read_model(model_path))
+
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def spm_digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from _digested(encoder(shared.value, cache), batches)
 
     own = fresh(df, "spm")
     kept = [c for c in df.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256")]
