@@ -176,7 +176,8 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = named.groupBy("component").agg(F.min("first").alias("keep"), F.max("last").alias("end")).filter("keep <> end").select("component", "keep")
     doomed = cut(named.join(kept, "component").select("line", "keep"))
     table.drop()
-    gone = lines.select("line", "id", "digest", "pos").join(doomed, "line").filter(~place.eqNullSafe(F.col("keep")))
+    # Merged: Spark sizes exploded lines as if there were one a document, and could broadcast all of them by way of the driver.
+    gone = lines.select("line", "id", "digest", "pos").join(doomed.hint("merge"), "line").filter(~place.eqNullSafe(F.col("keep")))
     return gone.groupBy("id", "digest").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
 

@@ -189,7 +189,8 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     entries = _entries()
     filed = F.array(*(F.struct(F.lit(n).cast("byte").alias("entry"), F.lit(s).cast("byte").alias("start"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for n, (s, m, _) in enumerate(entries)))
     rows = fps.select("fp", F.explode(filed).alias("e")).select("fp", "e.*")
-    counts = lambda df, *by: df.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 1")
+    # Merged: Spark sizes exploded rows as if there were one for each fingerprint, and would broadcast all of them by way of the driver.
+    counts = lambda df, *by: df.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 1").hint("merge")
     rows = rows.join(counts(rows, "entry", "value"), ["entry", "value"])
     zero = F.lit(0).cast("long")
     few = rows.filter(F.col("n") <= block).select("entry", "value", zero.cast("int").alias("part"), zero.alias("bits"), "start", "fp", F.lit(1).cast("long").alias("blocks"))
@@ -277,7 +278,7 @@ def _near(rows: DataFrame, texts: DataFrame, width: int, similar: float) -> Data
     distinct = cut(rows.groupBy("digest").agg(F.first("fp").alias("fp"), *(F.first(c).alias(c) for c in ("n", "bands", "bits", "ones"))))
     filed = distinct.select("digest", "n", F.explode(F.array_distinct("bands")).alias("band"))
     ends = filed.groupBy("band").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("band", "low")
-    shared = cut(filed.join(ends, "band").select("band", "digest", "n", "low"))
+    shared = cut(filed.join(ends.hint("merge"), "band").select("band", "digest", "n", "low"))  # merged for what links() says
     # Fingerprints within DISTANCE are candidates too: each text and the first of its fingerprint, and the firsts of linked ones.
     firsts = distinct.groupBy("fp").agg(F.min("digest").alias("low"))
     same = distinct.join(firsts, "fp").filter("digest <> low").select(F.col("digest").alias("a"), F.col("low").alias("b"))
